@@ -1,0 +1,115 @@
+"""DuckDB twins of ``plans/views.py`` for the correctness oracle.
+
+``with_views(sql)`` prefixes an oracle query with the CTEs of every view
+it names (dependencies first).  Only the driver tables are assumed to
+exist as DuckDB views.
+"""
+
+from __future__ import annotations
+
+import re
+
+_SKILL = ("CASE event_id % 5 WHEN 0 THEN 'receptionist' WHEN 1 THEN 'electrician' "
+          "WHEN 2 THEN 'plumber' WHEN 3 THEN 'solar' ELSE 'general' END")
+
+# name -> (sql, dependencies); order matters for dependencies.
+VIEW_SQL: dict[str, str] = {}
+
+VIEW_SQL["v_interactions"] = f"""
+SELECT event_id AS id, ts AS created_at, user_id AS session_id,
+  CASE WHEN event_id % 23 = 0 THEN NULL ELSE {_SKILL} END AS skill_id,
+  '+1555' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS phone_number,
+  concat_ws(' ', event_type, props) AS user_input,
+  're: ' || event_type AS agent_response,
+  CASE WHEN event_type IN ('purchase','signup') THEN 'deep' ELSE 'fast' END AS system_used,
+  CASE WHEN event_type IN ('purchase','signup') THEN 'complex_' || event_type END AS routing_reason,
+  CASE WHEN event_type IN ('purchase','signup') THEN CAST(50 + event_id % 100 AS INTEGER)
+       ELSE CAST(floor(value * 10) AS INTEGER) END AS fast_latency_ms,
+  CASE WHEN event_type IN ('purchase','signup') THEN CAST(floor(value * 10) AS INTEGER) END AS deep_latency_ms,
+  CAST(NULL AS INTEGER) AS total_latency_ms,
+  CAST(80 + event_id % 40 AS INTEGER) AS stt_latency_ms,
+  CAST(30 + event_id % 20 AS INTEGER) AS tts_latency_ms,
+  CASE WHEN event_id % 3 <> 0 THEN CAST(1 + event_id % 5 AS INTEGER) END AS user_feedback,
+  event_id % 4 <> 0 AS call_completed,
+  event_type = 'error' AS error_occurred,
+  CASE WHEN event_type = 'error' THEN 'upstream error ' || CAST(event_id % 7 AS VARCHAR) END AS error_message,
+  CAST(20 + event_id % 180 AS INTEGER) AS input_tokens,
+  CAST(10 + (event_id * 7) % 300 AS INTEGER) AS output_tokens,
+  event_id % 11 = 0 AS exported_for_training
+FROM events"""
+
+VIEW_SQL["v_prices"] = """
+SELECT * FROM (VALUES ('fast', CAST('0.00000059' AS DECIMAL(12,10)), CAST('0.00000079' AS DECIMAL(12,10))),
+                      ('deep', CAST('0.000003' AS DECIMAL(12,10)), CAST('0.000015' AS DECIMAL(12,10))))
+  AS p(system_used, in_price, out_price)"""
+
+VIEW_SQL["v_feedback_log"] = """
+SELECT TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 10 + turn AS BIGINT)) AS "timestamp",
+  text AS user_input, next_text AS agent_response,
+  'src' || CAST(conv_id % 20 AS VARCHAR) AS skill_used,
+  CAST(1 + conv_id % 5 AS INTEGER) AS rating,
+  CASE WHEN 1 + conv_id % 5 <= 2 THEN upper(next_text) END AS correction,
+  conv_id, turn
+FROM (SELECT conv_id, turn, role, text,
+        lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+        lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
+      FROM conversations) x
+WHERE role = 'user' AND next_role = 'assistant'"""
+
+VIEW_SQL["v_extracted"] = """
+SELECT d.doc_id AS id, d.source AS skill_id, 'qa' AS content_type,
+  split_part(d.text, chr(10), 1) AS user_input,
+  d.text AS assistant_response, d.text AS raw_content,
+  'doc_' || CAST(d.doc_id AS VARCHAR) || '.txt' AS source_filename,
+  'txt' AS source_type, d.lang AS category,
+  [d.lang, 's' || CAST(d.n_chars % 7 AS VARCHAR)] AS tags,
+  CAST(d.n_chars % 101 AS DOUBLE) AS importance_score,
+  0.8 AS confidence, d.n_chars,
+  coalesce(l.quality = 1, false) AS is_approved,
+  coalesce(l.toxic = 1, false) AS is_archived,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) AS created_at
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+VIEW_SQL["v_adapters"] = """
+SELECT o_orderkey AS id, 'skill' || CAST(o_custkey % 200 AS VARCHAR) AS skill_id,
+  'adapter_' || CAST(o_orderkey AS VARCHAR) AS adapter_name,
+  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1e5 END AS final_loss,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'training' END AS status,
+  CAST(1 + o_orderkey % 3 AS INTEGER) AS epochs,
+  CAST(60 + o_orderkey % 900 AS INTEGER) AS training_time_seconds,
+  o_orderdate AS created_at
+FROM orders"""
+
+VIEW_SQL["v_skills"] = """
+SELECT source AS id, 'Skill ' || source AS name,
+  'You are the ' || source || ' assistant.' AS system_prompt,
+  min(doc_id) % 2 = 0 AS is_builtin, count(*) AS n_docs
+FROM documents GROUP BY source"""
+
+
+def _deps(sql: str) -> list[str]:
+    found = []
+    for name in VIEW_SQL:
+        if re.search(rf"\b{name}\b", sql):
+            found.append(name)
+    return found
+
+
+def with_views(sql: str) -> str:
+    """Prefix ``sql`` with CTEs for every ``v_*`` view it (transitively) uses."""
+    needed: list[str] = []
+    todo = _deps(sql)
+    while todo:
+        n = todo.pop()
+        if n in needed:
+            continue
+        needed.append(n)
+        todo.extend(d for d in _deps(VIEW_SQL[n]) if d != n)
+    ordered = [n for n in VIEW_SQL if n in needed]  # definition order = dependency order
+    if not ordered:
+        return sql.strip()
+    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in ordered)
+    body = sql.strip()
+    if body.upper().startswith("WITH "):
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"

@@ -1,0 +1,175 @@
+"""Platform tables derived from the driver tables.
+
+Each function takes a :class:`Tables` accessor and returns a DataFrame
+with the schema of the platform table it stands for.  Derivations are
+plain column expressions over whole tables – no filters, no samples – so
+the work grows with the input.  ``plans/oracle.py`` holds the same
+derivations in DuckDB SQL.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
+                 "embeddings pages benchmark labels conversations").split()
+
+# Names used when mapping numbers onto platform vocabularies.
+SKILLS = ["receptionist", "electrician", "plumber", "solar", "general"]
+BASE_TS = "2024-01-01 00:00:00"
+
+
+class Tables:
+    """Lazy parquet readers for one scale-factor folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir.rstrip("/")
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in DRIVER_TABLES:
+            return self.read(name)
+        raise AttributeError(name)
+
+
+def _base_ts():
+    return F.lit(BASE_TS).cast("timestamp_ntz")
+
+
+def _skill_of(n):
+    """SKILLS[n % 5] as a column expression."""
+    expr = None
+    for i, s in enumerate(SKILLS):
+        cond = (n % 5) == i
+        expr = F.when(cond, s) if expr is None else expr.when(cond, s)
+    return expr
+
+
+def interactions(t: Tables) -> DataFrame:
+    """voice interactions ← events (one call turn per event)."""
+    e = t.events
+    deep = e.event_type.isin("purchase", "signup")
+    err = e.event_type == "error"
+    lat = F.floor(e.value * 10).cast("int")
+    return e.select(
+        e.event_id.alias("id"),
+        e.ts.alias("created_at"),
+        e.user_id.alias("session_id"),
+        F.when(e.event_id % 23 == 0, F.lit(None).cast("string"))
+         .otherwise(_skill_of(e.event_id)).alias("skill_id"),
+        F.concat(F.lit("+1555"), F.lpad(e.user_id.cast("string"), 7, "0")).alias("phone_number"),
+        F.concat_ws(" ", e.event_type, e.props).alias("user_input"),
+        F.concat(F.lit("re: "), e.event_type).alias("agent_response"),
+        F.when(deep, "deep").otherwise("fast").alias("system_used"),
+        F.when(deep, F.concat(F.lit("complex_"), e.event_type)).alias("routing_reason"),
+        F.when(deep, (50 + e.event_id % 100).cast("int")).otherwise(lat).alias("fast_latency_ms"),
+        F.when(deep, lat).alias("deep_latency_ms"),
+        F.lit(None).cast("int").alias("total_latency_ms"),
+        (80 + e.event_id % 40).cast("int").alias("stt_latency_ms"),
+        (30 + e.event_id % 20).cast("int").alias("tts_latency_ms"),
+        F.when(e.event_id % 3 != 0, (1 + e.event_id % 5).cast("int")).alias("user_feedback"),
+        (e.event_id % 4 != 0).alias("call_completed"),
+        err.alias("error_occurred"),
+        F.when(err, F.concat(F.lit("upstream error "), (e.event_id % 7).cast("string")))
+         .alias("error_message"),
+        (20 + e.event_id % 180).cast("int").alias("input_tokens"),
+        (10 + (e.event_id * 7) % 300).cast("int").alias("output_tokens"),
+        (e.event_id % 11 == 0).alias("exported_for_training"),
+    )
+
+
+def prices(spark: SparkSession) -> DataFrame:
+    """Price table per routing system (USD per token)."""
+    # Per-token prices of the two systems.
+    rows = [("fast", "0.00000059", "0.00000079"), ("deep", "0.000003", "0.000015")]
+    return spark.createDataFrame(rows, "system_used string, in_price string, out_price string") \
+        .select("system_used", F.col("in_price").cast("decimal(12,10)").alias("in_price"),
+                F.col("out_price").cast("decimal(12,10)").alias("out_price"))
+
+
+def turns(t: Tables) -> DataFrame:
+    """conversation turns as they come (conv_id, turn, role, text)."""
+    return t.conversations
+
+
+def feedback_log(t: Tables) -> DataFrame:
+    """feedback log ← conversations: each user turn and the next assistant turn
+    form one logged interaction; rating 1 + conv_id % 5; a correction
+    (upper-cased response) exists when the rating is ≤ 2."""
+    c = t.conversations
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = c.select("conv_id", "turn", "role", "text",
+                 F.lead("role").over(w).alias("next_role"),
+                 F.lead("text").over(w).alias("next_text"))
+    x = x.where((x.role == "user") & (x.next_role == "assistant"))
+    rating = (1 + x.conv_id % 5).cast("int")
+    return x.select(
+        F.timestamp_add("MINUTE", x.conv_id * 10 + x.turn, _base_ts()).alias("timestamp"),
+        x.text.alias("user_input"),
+        x.next_text.alias("agent_response"),
+        F.concat(F.lit("src"), (x.conv_id % 20).cast("string")).alias("skill_used"),
+        rating.alias("rating"),
+        F.when(rating <= 2, F.upper(x.next_text)).alias("correction"),
+        x.conv_id, x.turn,
+    )
+
+
+def extracted(t: Tables) -> DataFrame:
+    """extracted items ← documents ⟕ labels."""
+    d, lab = t.documents, t.labels
+    j = d.join(lab, "doc_id", "left")
+    return j.select(
+        j.doc_id.alias("id"),
+        j.source.alias("skill_id"),
+        F.lit("qa").alias("content_type"),
+        F.split_part(j.text, F.lit("\n"), F.lit(1)).alias("user_input"),
+        j.text.alias("assistant_response"),
+        j.text.alias("raw_content"),
+        F.concat(F.lit("doc_"), j.doc_id.cast("string"), F.lit(".txt")).alias("source_filename"),
+        F.lit("txt").alias("source_type"),
+        j.lang.alias("category"),
+        F.array(j.lang, F.concat(F.lit("s"), (j.n_chars % 7).cast("string"))).alias("tags"),
+        (j.n_chars % 101).cast("double").alias("importance_score"),
+        F.lit(0.8).alias("confidence"),
+        j.n_chars.alias("n_chars"),
+        F.coalesce(j.quality == 1, F.lit(False)).alias("is_approved"),
+        F.coalesce(j.toxic == 1, F.lit(False)).alias("is_archived"),
+        F.timestamp_add("MINUTE", j.doc_id, _base_ts()).alias("created_at"),
+    )
+
+
+def adapters(t: Tables) -> DataFrame:
+    """trained adapters ← orders."""
+    o = t.orders
+    return o.select(
+        o.o_orderkey.alias("id"),
+        F.concat(F.lit("skill"), (o.o_custkey % 200).cast("string")).alias("skill_id"),
+        F.concat(F.lit("adapter_"), o.o_orderkey.cast("string")).alias("adapter_name"),
+        F.when(o.o_orderstatus != "P", o.o_totalprice / 1e5).alias("final_loss"),
+        F.when(o.o_orderstatus == "F", "completed").when(o.o_orderstatus == "P", "failed")
+         .otherwise("training").alias("status"),
+        (1 + o.o_orderkey % 3).cast("int").alias("epochs"),
+        (60 + o.o_orderkey % 900).cast("int").alias("training_time_seconds"),
+        o.o_orderdate.alias("created_at"),
+    )
+
+
+def skills(t: Tables) -> DataFrame:
+    """skills ← distinct document sources (one skill per source)."""
+    d = t.documents
+    g = d.groupBy("source").agg(F.min("doc_id").alias("first_doc"),
+                                F.count("*").alias("n_docs"))
+    return g.select(
+        g.source.alias("id"),
+        F.concat(F.lit("Skill "), g.source).alias("name"),
+        F.concat(F.lit("You are the "), g.source, F.lit(" assistant.")).alias("system_prompt"),
+        (g.first_doc % 2 == 0).alias("is_builtin"),
+        g.n_docs,
+    )
