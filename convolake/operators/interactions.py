@@ -79,16 +79,14 @@ def monthly_cost_projection(df: DataFrame, unit_cost: DataFrame) -> DataFrame:
     as calls over distinct active days of the skill; the saving is against
     sending every call to the deep system.
     """
-    uc = broadcast_if_small(unit_cost, "unit costs")
-    fast_c = F.first(F.when(F.col("system_used") == "fast", F.col("per_call")), ignorenulls=True)
-    deep_c = F.first(F.when(F.col("system_used") == "deep", F.col("per_call")), ignorenulls=True)
-    costs = uc.agg(fast_c.alias("fast_per_call"), deep_c.alias("deep_per_call"))
-    g = (df.groupBy("skill_id")
+    fast_c = unit_cost.where(F.col("system_used") == "fast").select("per_call").scalar()
+    deep_c = unit_cost.where(F.col("system_used") == "deep").select("per_call").scalar()
+    x = (df.groupBy("skill_id")
          .agg(F.count_if(F.col("system_used") == "fast").alias("n_fast"),
               F.count_if(F.col("system_used") == "deep").alias("n_deep"),
               F.count("*").alias("n_calls"),
-              F.countDistinct(F.to_date("created_at")).alias("days_observed")))
-    x = g.crossJoin(F.broadcast(costs))  # one-row parameter aggregate
+              F.countDistinct(F.to_date("created_at")).alias("days_observed"))
+         .withColumn("fast_per_call", fast_c).withColumn("deep_per_call", deep_c))
     s1 = (F.col("n_fast") * 30).cast("decimal(20,0)") / F.col("days_observed")
     s2 = (F.col("n_deep") * 30).cast("decimal(20,0)") / F.col("days_observed")
     cpm = (F.col("n_calls") * 30).cast("decimal(20,0)") / F.col("days_observed")
@@ -203,12 +201,10 @@ def dashboard_metrics(df: DataFrame, as_of=None, windows_hours: Sequence[int] =
     aggregates, then unpivoted.  Shares divide by all rows of the window;
     the latency average counts missing latencies as 0 (reference rule).
     """
-    if as_of is None:
-        anchor = df.agg(F.max("created_at").alias("__as_of"))
-    else:
-        anchor = df.sparkSession.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("__as_of"))
-    x = df.crossJoin(F.broadcast(anchor))  # single row
-    aggs = []
+    anchor = (df.agg(F.max("created_at")).scalar() if as_of is None
+              else F.lit(as_of).cast("timestamp_ntz"))
+    x = df.withColumn("__as_of", anchor)  # scalar subquery, evaluated once
+    aggs = [F.max("__as_of").alias("__as_of")]
     for h in windows_hours:
         inw = F.col("created_at") >= F.col("__as_of") - F.expr(f"INTERVAL {int(h)} HOURS")
         aggs += [
@@ -218,7 +214,7 @@ def dashboard_metrics(df: DataFrame, as_of=None, windows_hours: Sequence[int] =
             F.sum(F.when(inw, F.coalesce(F.col("total_latency_ms"), F.lit(0)))).alias(f"l_{h}"),
             F.sum(F.when(inw, F.col("estimated_cost_usd"))).alias(f"c_{h}"),
         ]
-    g = x.groupBy("__as_of").agg(*aggs)
+    g = x.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(int(h)).alias("window_hours"),
                               F.col(f"n_{h}").alias("n"), F.col(f"f_{h}").alias("f"),
                               F.col(f"e_{h}").alias("e"), F.col(f"l_{h}").alias("l"),

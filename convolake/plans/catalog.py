@@ -23,6 +23,7 @@ _ORACLES: dict[str, str] = {}
 
 _MODULES = [
     "convolake.plans.q_interactions",
+    "convolake.plans.q_curation",
 ]
 
 

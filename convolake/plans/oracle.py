@@ -48,7 +48,7 @@ SELECT TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 10 + turn AS
   text AS user_input, next_text AS agent_response,
   'src' || CAST(conv_id % 20 AS VARCHAR) AS skill_used,
   CAST(1 + conv_id % 5 AS INTEGER) AS rating,
-  CASE WHEN 1 + conv_id % 5 <= 2 THEN upper(next_text) END AS correction,
+  CASE WHEN 1 + conv_id % 5 <= 2 THEN '[corrected] ' || next_text END AS correction,
   conv_id, turn
 FROM (SELECT conv_id, turn, role, text,
         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
@@ -87,6 +87,27 @@ SELECT source AS id, 'Skill ' || source AS name,
 FROM documents GROUP BY source"""
 
 
+VIEW_SQL["v_exchanges"] = """
+SELECT conv_id, turn, text AS user_input, next_text AS agent_response
+FROM (SELECT conv_id, turn, role, text,
+        lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+        lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
+      FROM conversations) x
+WHERE role = 'user' AND next_role = 'assistant'"""
+
+VIEW_SQL["v_training_data"] = """
+SELECT conv_id * 100 + turn AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS skill_id,
+  user_input AS user_message, agent_response AS assistant_response,
+  CAST(1 + (conv_id + turn) % 5 AS INTEGER) AS rating,
+  CASE WHEN (conv_id + turn) % 4 = 0 THEN '[corrected] ' || agent_response WHEN (conv_id + turn) % 4 = 1 THEN '' END
+    AS corrected_response,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 10 + turn AS BIGINT)) AS created_at
+FROM v_exchanges"""
+
+VIEW_SQL["v_knowledge"] = """
+SELECT source AS skill_id, doc_id AS ord, split_part(text, chr(10), 1) AS item FROM documents"""
+
+
 def _deps(sql: str) -> list[str]:
     found = []
     for name in VIEW_SQL:

@@ -116,7 +116,7 @@ def feedback_log(t: Tables) -> DataFrame:
         x.next_text.alias("agent_response"),
         F.concat(F.lit("src"), (x.conv_id % 20).cast("string")).alias("skill_used"),
         rating.alias("rating"),
-        F.when(rating <= 2, F.upper(x.next_text)).alias("correction"),
+        F.when(rating <= 2, F.concat(F.lit("[corrected] "), x.next_text)).alias("correction"),
         x.conv_id, x.turn,
     )
 
@@ -173,3 +173,33 @@ def skills(t: Tables) -> DataFrame:
         (g.first_doc % 2 == 0).alias("is_builtin"),
         g.n_docs,
     )
+
+
+def exchanges(t: Tables) -> DataFrame:
+    """user turn + the next turn when it is the assistant's (op 46 form)."""
+    from convolake.operators.curation import exchange_pairs
+    return exchange_pairs(t.conversations)
+
+
+def training_data(t: Tables) -> DataFrame:
+    """manually curated examples ← exchanges."""
+    x = exchanges(t)
+    k = x.conv_id + x.turn
+    return x.select(
+        (x.conv_id * 100 + x.turn).alias("id"),
+        F.concat(F.lit("src"), (x.conv_id % 20).cast("string")).alias("skill_id"),
+        x.user_input.alias("user_message"),
+        x.agent_response.alias("assistant_response"),
+        (1 + k % 5).cast("int").alias("rating"),
+        F.when(k % 4 == 0, F.concat(F.lit("[corrected] "), x.agent_response)).when(k % 4 == 1, F.lit(""))
+         .alias("corrected_response"),
+        F.timestamp_add("MINUTE", x.conv_id * 10 + x.turn, _base_ts()).alias("created_at"),
+    )
+
+
+def knowledge(t: Tables) -> DataFrame:
+    """skill knowledge in long form (skill_id, ord, item) ← first line of
+    each document of the skill's source."""
+    d = t.documents
+    return d.select(d.source.alias("skill_id"), d.doc_id.alias("ord"),
+                    F.split_part(d.text, F.lit("\n"), F.lit(1)).alias("item"))
