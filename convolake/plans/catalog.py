@@ -24,6 +24,7 @@ _ORACLES: dict[str, str] = {}
 _MODULES = [
     "convolake.plans.q_interactions",
     "convolake.plans.q_curation",
+    "convolake.plans.q_items",
 ]
 
 

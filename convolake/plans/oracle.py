@@ -64,7 +64,7 @@ SELECT d.doc_id AS id, d.source AS skill_id, 'qa' AS content_type,
   'txt' AS source_type, d.lang AS category,
   [d.lang, 's' || CAST(d.n_chars % 7 AS VARCHAR)] AS tags,
   CAST(d.n_chars % 101 AS DOUBLE) AS importance_score,
-  0.8 AS confidence, d.n_chars,
+  0.8 AS confidence, d.n_chars, CAST(d.n_chars // 4 AS INTEGER) AS tokens,
   coalesce(l.quality = 1, false) AS is_approved,
   coalesce(l.toxic = 1, false) AS is_archived,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) AS created_at
@@ -108,6 +108,22 @@ VIEW_SQL["v_knowledge"] = """
 SELECT source AS skill_id, doc_id AS ord, split_part(text, chr(10), 1) AS item FROM documents"""
 
 
+VIEW_SQL["v_jobs"] = """
+SELECT o_orderkey AS id, 'skill' || CAST(o_custkey % 200 AS VARCHAR) AS skill_id,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status,
+  CAST(60 + o_orderkey % 900 AS INTEGER) AS training_time_seconds,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) / 1000 AS DECIMAL(18,5)) AS cost_usd,
+  o_orderdate AS created_at
+FROM orders"""
+
+VIEW_SQL["v_steps"] = """
+SELECT ts AS "timestamp", 'job' || CAST(user_id AS VARCHAR) AS job_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+  count(*) OVER (PARTITION BY user_id) AS total_steps,
+  value / 100 AS loss, CAST(event_id % 30 + 1 AS DOUBLE) AS step_time_seconds
+FROM events"""
+
+
 def _deps(sql: str) -> list[str]:
     found = []
     for name in VIEW_SQL:

@@ -139,6 +139,7 @@ def extracted(t: Tables) -> DataFrame:
         (j.n_chars % 101).cast("double").alias("importance_score"),
         F.lit(0.8).alias("confidence"),
         j.n_chars.alias("n_chars"),
+        F.floor(j.n_chars / 4).cast("int").alias("tokens"),
         F.coalesce(j.quality == 1, F.lit(False)).alias("is_approved"),
         F.coalesce(j.toxic == 1, F.lit(False)).alias("is_archived"),
         F.timestamp_add("MINUTE", j.doc_id, _base_ts()).alias("created_at"),
@@ -203,3 +204,31 @@ def knowledge(t: Tables) -> DataFrame:
     d = t.documents
     return d.select(d.source.alias("skill_id"), d.doc_id.alias("ord"),
                     F.split_part(d.text, F.lit("\n"), F.lit(1)).alias("item"))
+
+
+def jobs(t: Tables) -> DataFrame:
+    """training jobs ← orders."""
+    o = t.orders
+    return o.select(
+        o.o_orderkey.alias("id"),
+        F.concat(F.lit("skill"), (o.o_custkey % 200).cast("string")).alias("skill_id"),
+        F.when(o.o_orderstatus == "F", "completed").when(o.o_orderstatus == "P", "failed")
+         .otherwise("running").alias("status"),
+        (60 + o.o_orderkey % 900).cast("int").alias("training_time_seconds"),
+        (o.o_totalprice.cast("decimal(18,2)") / 1000).cast("decimal(18,5)").alias("cost_usd"),
+        o.o_orderdate.alias("created_at"),
+    )
+
+
+def steps(t: Tables) -> DataFrame:
+    """training step events ← events (job = user, step in time order)."""
+    e = t.events
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(
+        e.ts.alias("timestamp"),
+        F.concat(F.lit("job"), e.user_id.cast("string")).alias("job_id"),
+        F.row_number().over(w).alias("step"),
+        F.count("*").over(Window.partitionBy("user_id")).alias("total_steps"),
+        (e.value / 100).alias("loss"),
+        ((e.event_id % 30) + 1).cast("double").alias("step_time_seconds"),
+    )
