@@ -25,6 +25,8 @@ _MODULES = [
     "convolake.plans.q_interactions",
     "convolake.plans.q_curation",
     "convolake.plans.q_items",
+    "convolake.plans.q_changes",
+    "convolake.plans.q_adapters",
 ]
 
 
