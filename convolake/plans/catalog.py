@@ -27,6 +27,7 @@ _MODULES = [
     "convolake.plans.q_items",
     "convolake.plans.q_changes",
     "convolake.plans.q_adapters",
+    "convolake.plans.q_labels",
 ]
 
 

@@ -32,7 +32,11 @@ SELECT event_id AS id, ts AS created_at, user_id AS session_id,
   CASE WHEN event_id % 3 <> 0 THEN CAST(1 + event_id % 5 AS INTEGER) END AS user_feedback,
   event_id % 4 <> 0 AS call_completed,
   event_type = 'error' AS error_occurred,
-  CASE WHEN event_type = 'error' THEN 'upstream error ' || CAST(event_id % 7 AS VARCHAR) END AS error_message,
+  CASE WHEN event_type = 'error' THEN (CASE event_id % 7 WHEN 0 THEN 'TimeoutError: upstream took too long'
+    WHEN 1 THEN 'ConnectionError: reset by peer' WHEN 2 THEN 'ValueError: invalid format in payload'
+    WHEN 3 THEN 'CUDA out of memory while decoding' WHEN 4 THEN 'model not found: 404'
+    WHEN 5 THEN 'No CUDA GPUs are available' ELSE 'unexpected failure' END) || ' #' || CAST(event_id AS VARCHAR)
+  END AS error_message,
   CAST(20 + event_id % 180 AS INTEGER) AS input_tokens,
   CAST(10 + (event_id * 7) % 300 AS INTEGER) AS output_tokens,
   event_id % 11 = 0 AS exported_for_training
@@ -124,6 +128,26 @@ SELECT ts AS "timestamp", 'job' || CAST(user_id AS VARCHAR) AS job_id,
 FROM events"""
 
 
+VIEW_SQL["v_turns"] = """
+SELECT conv_id, turn, role, text,
+  CASE conv_id % 6 WHEN 0 THEN 'receptionist' WHEN 1 THEN 'electrician' WHEN 2 THEN 'plumber'
+    WHEN 3 THEN 'solar' WHEN 4 THEN 'lawyer' ELSE 'general' END AS skill_id,
+  CAST((conv_id * 37 + turn * 101) % 1500 AS INTEGER) AS duration_ms
+FROM conversations"""
+
+VIEW_SQL["v_files"] = """
+SELECT doc_id AS file_id, source AS project_id,
+  CASE doc_id % 14 WHEN 0 THEN 'Scope of Work ' WHEN 1 THEN 'Section 07 5423 ' WHEN 2 THEN '271-mech plan '
+    WHEN 3 THEN 'GAF warranty ' WHEN 4 THEN 'field sketch ' WHEN 5 THEN 'taper ' WHEN 6 THEN 'typical '
+    WHEN 7 THEN 'takeoff ' WHEN 8 THEN 'contract ' WHEN 9 THEN 'photo ' WHEN 10 THEN 'IMG_'
+    WHEN 11 THEN '302-product data ' WHEN 12 THEN '261 plumbing riser ' ELSE '282-E ' END
+  || CAST(doc_id AS VARCHAR) ||
+  CASE doc_id % 14 WHEN 0 THEN '.docx' WHEN 7 THEN '.xlsx' WHEN 9 THEN '.jpg' WHEN 10 THEN '.dxf'
+    WHEN 13 THEN '.dxf' ELSE '.pdf' END AS name,
+  text, n_chars AS size
+FROM documents"""
+
+
 def _deps(sql: str) -> list[str]:
     found = []
     for name in VIEW_SQL:

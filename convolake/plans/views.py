@@ -39,6 +39,19 @@ class Tables:
         raise AttributeError(name)
 
 
+# Invented error texts of failed calls (picked by event id).
+ERROR_TEXTS = ["TimeoutError: upstream took too long", "ConnectionError: reset by peer",
+               "ValueError: invalid format in payload", "CUDA out of memory while decoding",
+               "model not found: 404", "No CUDA GPUs are available", "unexpected failure"]
+
+
+def _pick(n, values):
+    expr = None
+    for i, v in enumerate(values):
+        expr = F.when(n == i, v) if expr is None else expr.when(n == i, v)
+    return expr
+
+
 def _base_ts():
     return F.lit(BASE_TS).cast("timestamp_ntz")
 
@@ -77,7 +90,7 @@ def interactions(t: Tables) -> DataFrame:
         F.when(e.event_id % 3 != 0, (1 + e.event_id % 5).cast("int")).alias("user_feedback"),
         (e.event_id % 4 != 0).alias("call_completed"),
         err.alias("error_occurred"),
-        F.when(err, F.concat(F.lit("upstream error "), (e.event_id % 7).cast("string")))
+        F.when(err, F.concat(_pick(e.event_id % 7, ERROR_TEXTS), F.lit(" #"), e.event_id.cast("string")))
          .alias("error_message"),
         (20 + e.event_id % 180).cast("int").alias("input_tokens"),
         (10 + (e.event_id * 7) % 300).cast("int").alias("output_tokens"),
@@ -232,3 +245,31 @@ def steps(t: Tables) -> DataFrame:
         (e.value / 100).alias("loss"),
         ((e.event_id % 30) + 1).cast("double").alias("step_time_seconds"),
     )
+
+
+def turns_labelled(t: Tables) -> DataFrame:
+    """conversation turns with a skill and a speech duration attached."""
+    c = t.conversations
+    skills6 = ["receptionist", "electrician", "plumber", "solar", "lawyer", "general"]
+    sk = None
+    for i, s in enumerate(skills6):
+        sk = F.when(c.conv_id % 6 == i, s) if sk is None else sk.when(c.conv_id % 6 == i, s)
+    return c.select("conv_id", "turn", "role", "text", sk.alias("skill_id"),
+                    ((c.conv_id * 37 + c.turn * 101) % 1500).cast("int").alias("duration_ms"))
+
+
+# Invented project file names (stem, extension) picked by document id.
+FILE_NAMES = [("Scope of Work ", ".docx"), ("Section 07 5423 ", ".pdf"), ("271-mech plan ", ".pdf"),
+              ("GAF warranty ", ".pdf"), ("field sketch ", ".pdf"), ("taper ", ".pdf"), ("typical ", ".pdf"),
+              ("takeoff ", ".xlsx"), ("contract ", ".pdf"), ("photo ", ".jpg"), ("IMG_", ".dxf"),
+              ("302-product data ", ".pdf"), ("261 plumbing riser ", ".pdf"), ("282-E ", ".dxf")]
+
+
+def files(t: Tables) -> DataFrame:
+    """project files ← documents (project = source, text = document text)."""
+    d = t.documents
+    k = d.doc_id % len(FILE_NAMES)
+    name = F.concat(_pick(k, [s for s, _ in FILE_NAMES]), d.doc_id.cast("string"),
+                    _pick(k, [e for _, e in FILE_NAMES]))
+    return d.select(d.doc_id.alias("file_id"), d.source.alias("project_id"), name.alias("name"),
+                    "text", d.n_chars.alias("size"))
