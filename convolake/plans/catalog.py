@@ -28,6 +28,7 @@ _MODULES = [
     "convolake.plans.q_changes",
     "convolake.plans.q_adapters",
     "convolake.plans.q_labels",
+    "convolake.plans.q_takeoff",
 ]
 
 

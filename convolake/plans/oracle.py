@@ -148,6 +148,37 @@ SELECT doc_id AS file_id, source AS project_id,
 FROM documents"""
 
 
+VIEW_SQL["v_entities"] = """
+SELECT 's' || CAST(l_suppkey AS VARCHAR) AS drawing, l_orderkey * 10 + l_linenumber AS entity_id,
+  CASE WHEN l_linenumber <= 2 THEN 'LINE' WHEN l_linenumber = 3 THEN 'CIRCLE' WHEN l_linenumber = 4 THEN 'TEXT'
+    WHEN l_linenumber = 5 THEN 'INSERT' WHEN l_linenumber = 6 THEN 'DIMENSION' WHEN l_returnflag = 'R' THEN 'LEADER'
+    ELSE 'MTEXT' END AS type,
+  'L-' || l_returnflag AS layer, l_linenumber AS color,
+  CASE WHEN l_linenumber <= 2 THEN [{'x': CAST(l_quantity AS DOUBLE), 'y': CAST(l_discount * 100 AS DOUBLE)},
+                                    {'x': CAST(l_extendedprice / 1000 AS DOUBLE), 'y': CAST(l_tax * 100 AS DOUBLE)}]
+       ELSE [{'x': CAST(l_quantity AS DOUBLE), 'y': CAST(l_tax * 100 AS DOUBLE)}] END AS points,
+  false AS closed,
+  CASE WHEN l_linenumber = 3 THEN l_discount * 100 END AS radius,
+  CASE WHEN l_linenumber IN (4, 7) THEN ' NOTE P' || CAST(l_partkey AS VARCHAR) || ' ' END AS text,
+  CASE WHEN l_linenumber IN (4, 7) THEN l_tax * 10 END AS height,
+  CASE WHEN l_linenumber = 5 THEN 'BLK-' || l_linestatus END AS block_name,
+  CASE WHEN l_linenumber = 6 THEN l_extendedprice / 100 END AS measurement,
+  CAST(l_suppkey % 7 AS INTEGER) AS units_code
+FROM lineitem
+UNION ALL
+SELECT 'e' || CAST(vec_id % 10 AS VARCHAR), vec_id + 1000000000000, 'LWPOLYLINE', 'POLY-' || CAST(label AS VARCHAR), 7,
+  CASE WHEN len(embedding) >= 64 THEN list_transform(range(0, 32), lambda i: {'x': CAST(embedding[i * 2 + 1] AS DOUBLE),
+                                                                        'y': CAST(embedding[i * 2 + 2] AS DOUBLE)})
+       ELSE [] END,
+  vec_id % 2 = 0, NULL, NULL, NULL, NULL, NULL, CAST((vec_id % 10) % 7 AS INTEGER)
+FROM embeddings"""
+
+VIEW_SQL["v_units"] = """
+SELECT code, name, CAST(f AS DOUBLE) / d AS to_feet FROM (VALUES (0, 'Unitless', 1, 1), (1, 'Inches', 1, 12),
+  (2, 'Feet', 1, 1), (3, 'Miles', 5280, 1), (4, 'Millimeters', 0.00328084, 1), (5, 'Centimeters', 0.0328084, 1),
+  (6, 'Meters', 3.28084, 1)) AS u(code, name, f, d)"""
+
+
 def _deps(sql: str) -> list[str]:
     found = []
     for name in VIEW_SQL:

@@ -273,3 +273,57 @@ def files(t: Tables) -> DataFrame:
                     _pick(k, [e for _, e in FILE_NAMES]))
     return d.select(d.doc_id.alias("file_id"), d.source.alias("project_id"), name.alias("name"),
                     "text", d.n_chars.alias("size"))
+
+
+def entities(t: Tables) -> DataFrame:
+    """drawing entities ← lineitem (lines, circles, texts, blocks, dimensions,
+    leaders; one drawing per supplier) ∪ embeddings (polylines whose vertices
+    are consecutive embedding pairs)."""
+    li = t.lineitem
+    n = li.l_linenumber
+    typ = (F.when(n <= 2, "LINE").when(n == 3, "CIRCLE").when(n == 4, "TEXT").when(n == 5, "INSERT")
+           .when(n == 6, "DIMENSION").when(li.l_returnflag == "R", "LEADER").otherwise("MTEXT"))
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    points = (F.when(n <= 2, F.array(pt(li.l_quantity, li.l_discount * 100),
+                                     pt(li.l_extendedprice / 1000, li.l_tax * 100)))
+              .otherwise(F.array(pt(li.l_quantity, li.l_tax * 100))))
+    a = li.select(
+        F.concat(F.lit("s"), li.l_suppkey.cast("string")).alias("drawing"),
+        (li.l_orderkey * 10 + n).alias("entity_id"),
+        typ.alias("type"),
+        F.concat(F.lit("L-"), li.l_returnflag).alias("layer"),
+        n.alias("color"),
+        points.alias("points"),
+        F.lit(False).alias("closed"),
+        F.when(n == 3, li.l_discount * 100).alias("radius"),
+        F.when(n.isin(4, 7), F.concat(F.lit(" NOTE P"), li.l_partkey.cast("string"), F.lit(" "))).alias("text"),
+        F.when(n.isin(4, 7), li.l_tax * 10).alias("height"),
+        F.when(n == 5, F.concat(F.lit("BLK-"), li.l_linestatus)).alias("block_name"),
+        F.when(n == 6, li.l_extendedprice / 100).alias("measurement"),
+        (li.l_suppkey % 7).cast("int").alias("units_code"),
+    )
+    e = t.embeddings
+    pts = F.transform(F.sequence(F.lit(0), F.lit(31)),
+                      lambda i: F.struct(F.element_at(e.embedding, i * 2 + 1).cast("double").alias("x"),
+                                         F.element_at(e.embedding, i * 2 + 2).cast("double").alias("y")))
+    b = e.select(
+        F.concat(F.lit("e"), (e.vec_id % 10).cast("string")).alias("drawing"),
+        (e.vec_id + 10**12).alias("entity_id"),
+        F.lit("LWPOLYLINE").alias("type"),
+        F.concat(F.lit("POLY-"), e.label.cast("string")).alias("layer"),
+        F.lit(7).alias("color"),
+        F.when(F.size(e.embedding) >= 64, pts).otherwise(F.array()).alias("points"),
+        (e.vec_id % 2 == 0).alias("closed"),
+        F.lit(None).cast("double").alias("radius"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("double").alias("height"), F.lit(None).cast("string").alias("block_name"),
+        F.lit(None).cast("double").alias("measurement"),
+        ((e.vec_id % 10) % 7).cast("int").alias("units_code"),
+    )
+    return a.unionByName(b)
+
+
+def units(spark: SparkSession) -> DataFrame:
+    """drawing unit codes → feet (miles corrected to 5280 feet, Q12)."""
+    from convolake.operators.takeoff import UNITS
+    return spark.createDataFrame([(c, nm, f) for c, (nm, f) in UNITS.items()],
+                                 "code int, name string, to_feet double")
