@@ -99,3 +99,42 @@ EMOTION_MODIFIERS = {
     "empathetic": "speaking with deep empathy and understanding", "urgent": "speaking with urgency and importance",
     "cheerful": "speaking cheerfully and pleasantly",
 }
+
+# Supported file types – extension, category, display name.
+FILE_TYPES = [
+    ("pdf", "document", "PDF Document"), ("docx", "document", "Word Document"),
+    ("doc", "document", "Word Document (Legacy)"), ("rtf", "document", "Rich Text Format"),
+    ("odt", "document", "OpenDocument Text"), ("pages", "document", "Apple Pages"),
+    ("xlsx", "spreadsheet", "Excel Spreadsheet"), ("xls", "spreadsheet", "Excel (Legacy)"),
+    ("csv", "spreadsheet", "CSV File"), ("tsv", "spreadsheet", "TSV File"),
+    ("ods", "spreadsheet", "OpenDocument Spreadsheet"),
+    ("pptx", "presentation", "PowerPoint"), ("ppt", "presentation", "PowerPoint (Legacy)"),
+    ("odp", "presentation", "OpenDocument Presentation"), ("key", "presentation", "Apple Keynote"),
+    ("txt", "text", "Plain Text"), ("md", "text", "Markdown"), ("rst", "text", "reStructuredText"),
+    ("log", "text", "Log File"),
+    ("py", "code", "Python"), ("js", "code", "JavaScript"), ("ts", "code", "TypeScript"), ("java", "code", "Java"),
+    ("cpp", "code", "C++"), ("c", "code", "C"), ("cs", "code", "C#"), ("go", "code", "Go"), ("rs", "code", "Rust"),
+    ("rb", "code", "Ruby"), ("php", "code", "PHP"), ("sql", "code", "SQL"), ("sh", "code", "Shell Script"),
+    ("bash", "code", "Bash Script"),
+    ("json", "data", "JSON"), ("jsonl", "data", "JSON Lines"), ("xml", "data", "XML"), ("yaml", "data", "YAML"),
+    ("yml", "data", "YAML"), ("toml", "data", "TOML"), ("ini", "data", "INI Config"),
+    ("env", "data", "Environment File"),
+    ("html", "web", "HTML"), ("htm", "web", "HTML"), ("xhtml", "web", "XHTML"), ("css", "web", "CSS"),
+    ("scss", "web", "SCSS"), ("less", "web", "LESS"),
+    ("eml", "email", "Email Message"), ("msg", "email", "Outlook Message"), ("mbox", "email", "Email Archive"),
+    ("epub", "ebook", "EPUB eBook"), ("mobi", "ebook", "Kindle eBook"),
+    ("png", "image", "PNG Image"), ("jpg", "image", "JPEG Image"), ("jpeg", "image", "JPEG Image"),
+    ("gif", "image", "GIF Image"), ("webp", "image", "WebP Image"), ("bmp", "image", "Bitmap Image"),
+    ("tiff", "image", "TIFF Image"), ("tif", "image", "TIFF Image"), ("svg", "image", "SVG Image"),
+    ("heic", "image", "HEIC Image"),
+    ("mp3", "audio", "MP3 Audio"), ("wav", "audio", "WAV Audio"), ("m4a", "audio", "M4A Audio"),
+    ("ogg", "audio", "OGG Audio"), ("flac", "audio", "FLAC Audio"), ("aac", "audio", "AAC Audio"),
+    ("wma", "audio", "WMA Audio"),
+    ("mp4", "video", "MP4 Video"), ("mkv", "video", "MKV Video"), ("avi", "video", "AVI Video"),
+    ("mov", "video", "MOV Video"), ("wmv", "video", "WMV Video"), ("webm", "video", "WebM Video"),
+    ("flv", "video", "FLV Video"),
+    ("zip", "archive", "ZIP Archive"), ("tar", "archive", "TAR Archive"), ("gz", "archive", "GZIP Archive"),
+    ("tgz", "archive", "TAR.GZ Archive"), ("rar", "archive", "RAR Archive"), ("7z", "archive", "7-Zip Archive"),
+    ("srt", "subtitle", "SRT Subtitles"), ("vtt", "subtitle", "WebVTT Subtitles"), ("ass", "subtitle", "ASS Subtitles"),
+    ("ssa", "subtitle", "SSA Subtitles"),
+]

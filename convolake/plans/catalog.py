@@ -29,6 +29,7 @@ _MODULES = [
     "convolake.plans.q_adapters",
     "convolake.plans.q_labels",
     "convolake.plans.q_takeoff",
+    "convolake.plans.q_documents",
 ]
 
 
