@@ -30,6 +30,7 @@ _MODULES = [
     "convolake.plans.q_labels",
     "convolake.plans.q_takeoff",
     "convolake.plans.q_documents",
+    "convolake.plans.q_analytics",
 ]
 
 

@@ -179,6 +179,13 @@ SELECT code, name, CAST(f AS DOUBLE) / d AS to_feet FROM (VALUES (0, 'Unitless',
   (6, 'Meters', 3.28084, 1)) AS u(code, name, f, d)"""
 
 
+VIEW_SQL["v_health"] = """
+SELECT event_id AS id, ts AS checked_at, event_id % 7 <> 0 AS groq_healthy, event_id % 11 <> 0 AS anthropic_healthy,
+  event_id % 13 <> 0 AS deepgram_healthy, event_id % 17 <> 0 AS cartesia_healthy, event_id % 19 <> 0 AS livekit_healthy,
+  CAST(floor(value) AS INTEGER) AS groq_latency_ms, CAST(floor(value * 3) AS INTEGER) AS anthropic_latency_ms
+FROM events"""
+
+
 def _deps(sql: str) -> list[str]:
     found = []
     for name in VIEW_SQL:

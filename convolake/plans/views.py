@@ -327,3 +327,16 @@ def units(spark: SparkSession) -> DataFrame:
     from convolake.operators.takeoff import UNITS
     return spark.createDataFrame([(c, nm, f) for c, (nm, f) in UNITS.items()],
                                  "code int, name string, to_feet double")
+
+
+def health(t: Tables) -> DataFrame:
+    """service health checks ← events (one check per event)."""
+    e = t.events
+    return e.select(
+        e.event_id.alias("id"), e.ts.alias("checked_at"),
+        (e.event_id % 7 != 0).alias("groq_healthy"), (e.event_id % 11 != 0).alias("anthropic_healthy"),
+        (e.event_id % 13 != 0).alias("deepgram_healthy"), (e.event_id % 17 != 0).alias("cartesia_healthy"),
+        (e.event_id % 19 != 0).alias("livekit_healthy"),
+        F.floor(e.value).cast("int").alias("groq_latency_ms"),
+        F.floor(e.value * 3).cast("int").alias("anthropic_latency_ms"),
+    )
