@@ -31,6 +31,7 @@ _MODULES = [
     "convolake.plans.q_takeoff",
     "convolake.plans.q_documents",
     "convolake.plans.q_analytics",
+    "convolake.plans.q_streaming",
 ]
 
 

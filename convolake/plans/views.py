@@ -33,6 +33,15 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str, max_files: int | None = None) -> DataFrame:
+        """The same table as a streaming source (file source over the folder,
+        filtered to the table's file)."""
+        r = (self.spark.readStream.schema(self.read(name).schema)
+             .option("pathGlobFilter", f"{name}.parquet"))
+        if max_files:
+            r = r.option("maxFilesPerTrigger", max_files)
+        return r.parquet(self.sf_dir)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.read(name)
@@ -67,7 +76,11 @@ def _skill_of(n):
 
 def interactions(t: Tables) -> DataFrame:
     """voice interactions ← events (one call turn per event)."""
-    e = t.events
+    return interactions_of(t.events)
+
+
+def interactions_of(e: DataFrame) -> DataFrame:
+    """The interactions mapping applied to an events frame (batch or stream)."""
     deep = e.event_type.isin("purchase", "signup")
     err = e.event_type == "error"
     lat = F.floor(e.value * 10).cast("int")
@@ -331,7 +344,11 @@ def units(spark: SparkSession) -> DataFrame:
 
 def health(t: Tables) -> DataFrame:
     """service health checks ← events (one check per event)."""
-    e = t.events
+    return health_of(t.events)
+
+
+def health_of(e: DataFrame) -> DataFrame:
+    """The health mapping applied to an events frame (batch or stream)."""
     return e.select(
         e.event_id.alias("id"), e.ts.alias("checked_at"),
         (e.event_id % 7 != 0).alias("groq_healthy"), (e.event_id % 11 != 0).alias("anthropic_healthy"),
