@@ -37,3 +37,16 @@ def broadcast_if_small(df: DataFrame, what: str = "side",
         return F.broadcast(df)
     log.info("not broadcasting %s: estimate %s > %s", what, size, limit)
     return df
+
+
+def param_table(spark, rows, schema: str) -> DataFrame:
+    """A small parameter table as a local relation.
+
+    Built from pandas so Catalyst sees a ``LocalRelation`` with a known
+    size (a plain Python list becomes an RDD scan of unknown size, which no
+    size check would ever let through to a broadcast)."""
+    import pandas as pd
+    from pyspark.sql.types import StructType
+    st = StructType.fromDDL(schema)
+    pdf = pd.DataFrame(list(rows), columns=st.fieldNames())
+    return spark.createDataFrame(pdf, st)

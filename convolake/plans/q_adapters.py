@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolake.functions.sizing import param_table
+
 from convolake.operators import adapters as AD
 from convolake.operators import curation as C
 from convolake.plans import views as V
@@ -19,8 +21,8 @@ def q_loss_rating(t):
 
 def budget_tables(spark):
     # Typical training minutes by example count; GPU hourly rates (USD).
-    times = spark.createDataFrame([(10, 5), (50, 12), (100, 20), (500, 60)], "n_examples int, minutes int")
-    rates = spark.createDataFrame([("a10g", 1.10), ("t4", 0.40)], "gpu string, hourly_rate double")
+    times = param_table(spark, [(10, 5), (50, 12), (100, 20), (500, 60)], "n_examples int, minutes int")
+    rates = param_table(spark, [("a10g", 1.10), ("t4", 0.40)], "gpu string, hourly_rate double")
     return times, rates
 
 

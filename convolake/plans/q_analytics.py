@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolake.functions.sizing import param_table
+
 from convolake.operators import analytics as AN
 from convolake.operators import changes as CH
 from convolake.operators import curation as C
@@ -34,7 +36,7 @@ def q_skill_overview(t):
 
 
 def tiers(spark):
-    return spark.createDataFrame(AN.QUALITY_TIERS, "metric string, tier string, min_value int, rank int")
+    return param_table(spark, AN.QUALITY_TIERS, "metric string, tier string, min_value int, rank int")
 
 
 def _quality_sql() -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolake.functions.sizing import param_table
+
 from convolake.operators import curation as C
 from convolake.plans import views as V
 from convolake.plans.catalog import query
@@ -58,7 +60,7 @@ def templates(spark):
     rows = [("general", "You are a helpful assistant. Caller {phone} asked about {topic}."),
             ("electrician", "You are an electrician's assistant. Caller {phone}: {topic}. Ref {ticket}."),
             ("plumber", "Plumbing desk for {phone} about {topic}.")]
-    return spark.createDataFrame(rows, "skill_id string, template string")
+    return param_table(spark, rows, "skill_id string, template string")
 
 
 @query("fill_template", """

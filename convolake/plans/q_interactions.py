@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolake.functions.sizing import param_table
+
 from convolake.operators import interactions as I
 from convolake.plans import views as V
 from convolake.plans.catalog import query
@@ -64,7 +66,7 @@ def q_throughput(t):
 
 def unit_cost(spark):
     # Per-call cost of each system (USD).
-    return spark.createDataFrame([("fast", "0.0005"), ("deep", "0.01")], "system_used string, per_call string") \
+    return param_table(spark, [("fast", "0.0005"), ("deep", "0.01")], "system_used string, per_call string") \
         .select("system_used", F.col("per_call").cast("decimal(10,4)").alias("per_call"))
 
 

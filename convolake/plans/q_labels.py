@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolake.functions.sizing import param_table
+
 from convolake.functions import lexicons as L
 from convolake.operators import labels as LB
 from convolake.plans import views as V
@@ -162,7 +164,7 @@ def q_classify_files(t):
 def taxonomy(spark):
     """code taxonomy: the fixed defaults (priority 2) and one override row (priority 1)."""
     rows = [(k, v, 2) for k, v in L.DOC_CODES.items()] + [("271", "Mechanical Roof Plan", 1)]
-    return spark.createDataFrame(rows, "code string, description string, priority int")
+    return param_table(spark, rows, "code string, description string, priority int")
 
 
 TAXONOMY_SQL = ("tx AS (SELECT code, arg_min(description, priority) AS description FROM (VALUES "
@@ -252,7 +254,7 @@ SELECT x.event_id, coalesce((SELECT DISTINCT skill FROM nm WHERE nm.skill = x.to
   (SELECT skill FROM nm WHERE nm.phone = x.phone), 'receptionist') AS skill
 FROM x""")
 def q_route_skill(t):
-    nm = t.spark.createDataFrame(NUMBER_MAP, "phone string, skill string")
+    nm = param_table(t.spark, NUMBER_MAP, "phone string, skill string")
     return LB.route_skill(calls(t), nm, "receptionist").select("event_id", "skill")
 
 
@@ -266,7 +268,7 @@ SKILL_PATTERNS = [("receptionist", 0, "tion", 0, "Reception can help with that."
 
 
 def patterns_df(spark):
-    return spark.createDataFrame(SKILL_PATTERNS, "skill string, skill_ord int, pattern string, pattern_ord int, "
+    return param_table(spark, SKILL_PATTERNS, "skill string, skill_ord int, pattern string, pattern_ord int, "
                                                  "response string")
 
 
@@ -307,7 +309,7 @@ def error_patterns(spark):
         for p in pats:
             rows.append((cat, sev, o, p))
             o += 1
-    return spark.createDataFrame(rows, "category string, severity string, ord int, pattern string")
+    return param_table(spark, rows, "category string, severity string, ord int, pattern string")
 
 
 def _error_sql() -> str:
@@ -348,6 +350,6 @@ SELECT e.conv_id, e.turn, e.emotion,
 FROM e LEFT JOIN pe ON e.skill_id = pe.skill_id LEFT JOIN mo ON e.emotion = mo.emotion""")
 def q_voice(t):
     x = LB.label_emotion(exchanges_with_skill(t), rules=DRIVER_EMOTION_RULES)
-    personas = t.spark.createDataFrame(PERSONAS, "skill_id string, description string")
-    mods = t.spark.createDataFrame(list(L.EMOTION_MODIFIERS.items()), "emotion string, modifier string")
+    personas = param_table(t.spark, PERSONAS, "skill_id string, description string")
+    mods = param_table(t.spark, list(L.EMOTION_MODIFIERS.items()), "emotion string, modifier string")
     return LB.voice_context(x, personas, mods).select("conv_id", "turn", "emotion", "voice_description")

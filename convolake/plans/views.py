@@ -13,6 +13,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from convolake.functions.sizing import param_table
 from pyspark.sql import Window
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -115,7 +117,7 @@ def prices(spark: SparkSession) -> DataFrame:
     """Price table per routing system (USD per token)."""
     # Per-token prices of the two systems.
     rows = [("fast", "0.00000059", "0.00000079"), ("deep", "0.000003", "0.000015")]
-    return spark.createDataFrame(rows, "system_used string, in_price string, out_price string") \
+    return param_table(spark, rows, "system_used string, in_price string, out_price string") \
         .select("system_used", F.col("in_price").cast("decimal(12,10)").alias("in_price"),
                 F.col("out_price").cast("decimal(12,10)").alias("out_price"))
 
@@ -338,7 +340,7 @@ def entities(t: Tables) -> DataFrame:
 def units(spark: SparkSession) -> DataFrame:
     """drawing unit codes → feet (miles corrected to 5280 feet, Q12)."""
     from convolake.operators.takeoff import UNITS
-    return spark.createDataFrame([(c, nm, f) for c, (nm, f) in UNITS.items()],
+    return param_table(spark, [(c, nm, f) for c, (nm, f) in UNITS.items()],
                                  "code int, name string, to_feet double")
 
 

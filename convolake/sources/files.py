@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.functions import lexicons as L
-from convolake.functions.sizing import broadcast_if_small
+from convolake.functions.sizing import broadcast_if_small, param_table
 
 
 def file_types(spark: SparkSession) -> DataFrame:
     """The supported-type table (ext, category, name)."""
-    return spark.createDataFrame(L.FILE_TYPES, "ext string, category string, name string")
+    return param_table(spark, L.FILE_TYPES, "ext string, category string, name string")
 
 
 def scan_documents(spark: SparkSession, path: str, types: DataFrame | None = None,
