@@ -217,7 +217,8 @@ def q_read_log(t):
     t.conversations.select(F.concat(F.lit("not json: "), F.col("role")).alias("value")).write.text(path + "/bad")
     good, bad = SL.read_event_log(t.spark, path + "/*", FEEDBACK_DDL)
     return good.select(F.lit("good").alias("kind"), "skill_used", F.lit(None).cast("string").alias("raw_line")) \
-        .unionByName(bad.select(F.lit("quarantined").alias("kind"), "skill_used", "raw_line"))
+        .unionByName(bad.select(F.lit("quarantined").alias("kind"), F.lit(None).cast("string").alias("skill_used"),
+                                "raw_line"))
 
 
 @query("write_training_set")

@@ -26,13 +26,17 @@ def read_event_log(spark: SparkSession, path: str, schema: StructType | str,
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     full = _with_corrupt(schema)
-    reader = (spark.readStream if streaming else spark.read).schema(full) \
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.json(path).withColumn("_source_file", F.col("_metadata.file_path"))
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_source_file")
-    # the quarantine keeps the parsed columns too: Spark refuses scans of raw
-    # JSON that reference only the corrupt-record column
-    bad = df.where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "raw_line")
+    # Lines are read as text and parsed with from_json: the corrupt-record
+    # column is then an ordinary column (the JSON source refuses queries that
+    # touch only that column, e.g. a count of the good rows).
+    lines = (spark.readStream if streaming else spark.read).text(path)
+    lines = lines.where(F.trim(F.col("value")) != "").withColumn("_source_file", F.col("_metadata.file_path"))
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE",
+                                                      "columnNameOfCorruptRecord": CORRUPT}).alias("r"),
+                          "value", "_source_file")
+    df = parsed.select("r.*", "value", "_source_file")
+    good = df.where(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
+    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.col("value").alias("raw_line"), "_source_file")
     return good, bad
 
 
