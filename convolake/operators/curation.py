@@ -144,7 +144,8 @@ def time_ago(df: DataFrame, ts: str, as_of=None, out: str = "ago") -> DataFrame:
     Uses the total elapsed seconds (Q3 corrected).  ``as_of`` defaults to
     the newest ``ts`` of the input (one-row aggregate, broadcast).
     """
-    x = df.withColumn("__as_of", _anchor(df, ts, as_of))
+    anchor = as_of if isinstance(as_of, Column) else _anchor(df, ts, as_of)
+    x = df.withColumn("__as_of", anchor)
     secs = F.floor(F.timestamp_diff("MICROSECOND", F.col(ts), F.col("__as_of")) / F.lit(1000000))
     label = (F.when(secs < 60, F.lit("just now"))
              .when(secs < 3600, F.concat(F.floor(secs / 60).cast("string"), F.lit(" minutes ago")))
@@ -284,3 +285,27 @@ def knowledge_examples(skills: DataFrame, knowledge: DataFrame) -> DataFrame:
          .select("skill_id", "instruction", F.concat(F.lit("Tell me about "), topic).alias("input"),
                  item.alias("output"), F.lit("knowledge").alias("kind")))
     return greet.unionByName(k)
+
+
+def recent_activity(df: DataFrame, n: int = 20, category: str | None = None, ts: str = "created_at",
+                    id_col: str = "id", as_of=None) -> DataFrame:
+    """Op 34: the newest ``n`` activity rows (optionally one category) with
+    their "ago" text; planned as a top-k (TakeOrderedAndProject), not a sort."""
+    x = df.where(F.col("category") == category) if category else df
+    top = x.orderBy(F.desc(ts), F.desc(id_col)).limit(n)
+    return time_ago(top, ts, as_of if as_of is not None else df.agg(F.max(ts)).scalar())
+
+
+def nest_children(parent: DataFrame, child: DataFrame, key: str, order: Sequence[str],
+                  out: str = "children") -> DataFrame:
+    """Op 37: each parent row with its children as an ordered array.
+
+    Children are grouped per key (one shuffle) and the parent is joined on
+    the grouped side; the array of a parent is as large as its child set,
+    so this is meant for bounded child sets (samples of a project, lines of
+    an order)."""
+    cols = [c for c in child.columns if c != key]
+    g = child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order],
+                                                                     *[F.col(c) for c in cols if c not in order])))
+                               .alias(out))
+    return parent.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array()))

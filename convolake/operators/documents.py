@@ -285,3 +285,22 @@ def extract_text(files: DataFrame) -> DataFrame:
         F.create_map().cast("map<string,string>").alias("metadata"), "source_type", "file_type")
     binary = r.where(h.isin(*PY_HANDLERS)).mapInPandas(_py_decode, PARSED_SCHEMA)
     return text_rows.unionByName(binary).unionByName(media).unionByName(other)
+
+
+def types_by_category(files: DataFrame, ext: str = "file_type", category: str = "source_type") -> DataFrame:
+    """Op 58: file types grouped by category – sorted distinct extensions,
+    file count per category and the overall total."""
+    g = files.groupBy(category).agg(F.array_sort(F.collect_set(ext)).alias("types"),
+                                    F.count("*").alias("files"))
+    return g.withColumn("total_files", files.select(F.count("*")).scalar())
+
+
+def ingest_summary(parsed: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Op 62: files ok / failed and items extracted (one row), plus one row
+    per error with its file name (never a list of all errors in one row)."""
+    summary = parsed.agg(F.count("*").alias("files_total"),
+                         F.count_if(F.size("errors") == 0).alias("files_ok"),
+                         F.count_if(F.size("errors") > 0).alias("files_failed")) \
+        .withColumn("items_extracted", items.select(F.count("*")).scalar())
+    errors = parsed.select(F.col("path").alias("file"), F.explode("errors").alias("error"))
+    return summary, errors

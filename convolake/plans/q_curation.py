@@ -212,3 +212,31 @@ FROM v_knowledge k JOIN sk ON k.skill_id = sk.skill_id
 WHERE k.item IS NOT NULL AND trim(k.item) <> ''""")
 def q_knowledge_examples(t):
     return C.knowledge_examples(V.skills(t), V.knowledge(t))
+
+
+@query("recent_activity", """
+WITH a AS (SELECT event_id AS id, event_type AS category, props AS description, ts AS created_at FROM events),
+top AS (SELECT * FROM a WHERE category = 'error' ORDER BY created_at DESC, id DESC LIMIT 20),
+x AS (SELECT id, category, created_at,
+        (epoch_us((SELECT max(created_at) FROM a)) - epoch_us(created_at)) // 1000000 AS s FROM top)
+SELECT id, category, created_at, CASE WHEN s < 60 THEN 'just now'
+  WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' minutes ago'
+  WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || ' hours ago'
+  ELSE CAST(s // 86400 AS VARCHAR) || ' days ago' END AS ago FROM x""")
+def q_recent_activity(t):
+    e = t.events
+    a = e.select(e.event_id.alias("id"), e.event_type.alias("category"), e.props.alias("description"),
+                 e.ts.alias("created_at"))
+    return C.recent_activity(a, 20, "error").select("id", "category", "created_at", "ago")
+
+
+@query("nest_children", """
+SELECT o.o_orderkey, o.o_orderstatus, coalesce(list(l.l_linenumber ORDER BY l.l_linenumber)
+  FILTER (WHERE l.l_linenumber IS NOT NULL), []) AS lines, count(l.l_linenumber) AS n_lines
+FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, o.o_orderstatus""")
+def q_nest(t):
+    par = t.orders.select("o_orderkey", "o_orderstatus")
+    kids = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    out = C.nest_children(par, kids, "o_orderkey", ["l_linenumber"], "children")
+    return out.select("o_orderkey", "o_orderstatus", F.transform("children", lambda c: c["l_linenumber"]).alias("lines"),
+                      F.size("children").alias("n_lines"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from convolake.functions import lexicons as L
 from convolake.operators import documents as DOC
 from convolake.operators import curation as C
 from convolake.plans import views as V
@@ -247,13 +248,13 @@ def q_write_steps(t):
     return t.spark.read.json(path).select("step", "data")
 
 
+@query("read_adapter_metadata")
 def q_adapter_meta(t):
-    """adapter folders ← adapters view: every folder gets a file, completed
-    adapters also a metadata file.  Not registered: one folder per adapter
-    makes this an I/O test of the file system (used by the unit test on a
-    small fixture), not a query."""
+    """adapter folders ← the registry's best adapter per skill (op 65): every
+    folder gets a weights file, completed adapters also a metadata file."""
+    from convolake.operators.adapters import best_adapter
     root = _scratch(t.spark, "adapters")
-    a = V.adapters(t)
+    a = best_adapter(V.adapters(t))
     a.select("adapter_name", F.lit("weights").alias("value")).write.partitionBy("adapter_name").text(root)
     (a.where(F.col("status") == "completed").select("adapter_name", "skill_id", "final_loss", "status")
      .write.mode("append").partitionBy("adapter_name").json(root))
@@ -284,3 +285,24 @@ UNION ALL SELECT 'training_data', count(*), count(DISTINCT skill_id) FROM v_trai
 def q_profile(t):
     return SC.table_profile({"interactions": V.interactions(t), "extracted": V.extracted(t),
                              "adapters": V.adapters(t), "training_data": V.training_data(t)})
+
+
+@query("types_by_category", """
+WITH ft AS (SELECT * FROM (VALUES """ + ", ".join(f"('{e}', '{c}')" for e, c, _ in L.FILE_TYPES) + """) AS t(ext, category)),
+f AS (SELECT lower(regexp_extract(name, '\\.([^./\\\\]+)$', 1)) AS ext FROM v_files),
+j AS (SELECT f.ext, ft.category FROM f JOIN ft ON f.ext = ft.ext)
+SELECT category, list_sort(list(DISTINCT ext)) AS types, count(*) AS files, (SELECT count(*) FROM j) AS total_files
+FROM j GROUP BY category""")
+def q_types_by_category(t):
+    f = V.files(t).select(F.lower(F.regexp_extract("name", r"\.([^./\\]+)$", 1)).alias("ext"))
+    ft = SF.file_types(t.spark).select("ext", "category")
+    return DOC.types_by_category(f.join(F.broadcast(ft), "ext"), "ext", "category")
+
+
+@query("ingest_summary")
+def q_ingest_summary(t):
+    from convolake.operators.items import chunk_text
+    parsed = DOC.extract_text(DOC.expand_archives(document_files(t)))
+    items = chunk_text(parsed.where(F.size("errors") == 0), "text", 2000, "\n")
+    summary, _ = DOC.ingest_summary(parsed, items)
+    return summary

@@ -197,3 +197,18 @@ def test_op124_qa_lines(spark):
     df = spark.createDataFrame([('"What is X?" -> Y.\nQ: What is X? A: Y.\nplain line',)], "text string")
     out = [(r.user_input, r.assistant_response) for r in IT.extract_qa_pairs(df).collect()]
     assert out == [("What is X?", "Y."), ("What is X?", "Y.")]
+
+
+def test_op34_recent_activity(spark):
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, "error" if i % 2 else "view", base + dt.timedelta(hours=i)) for i in range(10)],
+                               "id int, category string, created_at timestamp_ntz")
+    out = C.recent_activity(df, 2, "error").collect()
+    assert [r.id for r in out] == [9, 7] and out[0].ago == "just now" and out[1].ago == "2 hours ago"
+
+
+def test_op37_nest_children(spark):
+    par = spark.createDataFrame([(1, "p"), (2, "q")], "k int, name string")
+    kid = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k int, ord int, v string")
+    out = {r.k: [c.v for c in r.children] for r in C.nest_children(par, kid, "k", ["ord"]).collect()}
+    assert out == {1: ["a", "b"], 2: []}

@@ -151,3 +151,16 @@ def test_op6_op9(spark):
         ["a"], [], []]
     prof = SC.table_profile({"t": spark.createDataFrame([("a",), ("a",), ("b",)], "skill_id string")}).collect()[0]
     assert (prof.row_count, prof.distinct_skills) == (3, 2)
+
+
+def test_op58_op62(spark):
+    parsed = spark.createDataFrame([("a", "pdf", "document", []), ("b", "txt", "text", []),
+                                    ("c", "md", "text", ["boom"])],
+                                   "path string, file_type string, source_type string, errors array<string>")
+    t = {r.source_type: (r.types, r.files, r.total_files) for r in DOC.types_by_category(parsed).collect()}
+    assert t == {"document": (["pdf"], 1, 3), "text": (["md", "txt"], 2, 3)}
+    items = spark.createDataFrame([(1,), (2,)], "x int")
+    summary, errors = DOC.ingest_summary(parsed, items)
+    s = summary.collect()[0]
+    assert (s.files_total, s.files_ok, s.files_failed, s.items_extracted) == (3, 2, 1, 2)
+    assert [tuple(r) for r in errors.collect()] == [("c", "boom")]
