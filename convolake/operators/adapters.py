@@ -70,13 +70,15 @@ def keep_best_or_newest(df: DataFrame, key: str = "skill_id") -> DataFrame:
 
 def adapter_cleanup_report(df: DataFrame, key: str = "skill_id") -> DataFrame:
     """Op 67: for every skill with duplicates – kept id, kept loss, deleted
-    count; one window pass instead of a query per skill.  The overall total
-    is ``sum(deleted)`` of this result."""
-    x = (df.withColumn("__rn", F.row_number().over(_best_window(key)))
-         .withColumn("__n", F.count("*").over(Window.partitionBy(key))))
-    return (x.where((F.col("__rn") == 1) & (F.col("__n") > 1))
-            .select(key, F.col("id").alias("kept_id"), F.col("final_loss").alias("kept_loss"),
-                    (F.col("__n") - 1).alias("deleted")))
+    count.  One hash aggregate (map-side partial ``min_by`` and count)
+    instead of a query per skill or a window over a whole skill."""
+    newest_first = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    rank = F.struct(F.coalesce(F.col("final_loss"), F.lit(NULL_LOSS)), newest_first, F.col("id"))
+    g = df.groupBy(key).agg(F.count("*").alias("__n"),
+                            F.min_by(F.struct(F.col("id").alias("i"), F.col("final_loss").alias("l")), rank)
+                            .alias("__k"))
+    return g.where(F.col("__n") > 1).select(key, F.col("__k.i").alias("kept_id"), F.col("__k.l").alias("kept_loss"),
+                                            (F.col("__n") - 1).alias("deleted"))
 
 
 def loss_curve(steps: DataFrame, job: str = "job_id") -> DataFrame:

@@ -228,12 +228,28 @@ def training_examples_filter(df: DataFrame, skill: str | None = None,
     return df.orderBy(F.desc("created_at"), "id")
 
 
-def exchange_pairs(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
+def exchange_pairs(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
+                   balanced: bool = False) -> DataFrame:
     """Op 46: each user turn with the following turn when it is the
-    assistant's (``lead`` over the conversation, no self join)."""
-    w = Window.partitionBy(conv).orderBy(order)
-    x = turns.select(conv, order, "role", "text",
-                     F.lead("role").over(w).alias("__nr"), F.lead("text").over(w).alias("__nt"))
+    assistant's.
+
+    Default: ``lead`` over the conversation (one shuffle, no self join).
+    ``balanced=True`` is for conversations too large for one task: turns are
+    numbered with :func:`row_number_within` (range-partitioned, no per-key
+    window) and each turn is equi-joined with the turn numbered one higher –
+    the join key (conversation, number) spreads one huge conversation over
+    all tasks.
+    """
+    if balanced:
+        from convolake.functions.ordering import row_number_within
+        n = row_number_within(turns.select(conv, order, "role", "text"), [conv], [F.col(order)], "__n")
+        nxt = n.select(F.col(conv).alias("__c"), (F.col("__n") - 1).alias("__p"),
+                       F.col("role").alias("__nr"), F.col("text").alias("__nt"))
+        x = n.join(nxt, (F.col(conv) == F.col("__c")) & (F.col("__n") == F.col("__p")), "left")
+    else:
+        w = Window.partitionBy(conv).orderBy(order)
+        x = turns.select(conv, order, "role", "text",
+                         F.lead("role").over(w).alias("__nr"), F.lead("text").over(w).alias("__nt"))
     return (x.where((F.col("role") == "user") & (F.col("__nr") == "assistant"))
             .select(conv, order, F.col("text").alias("user_input"), F.col("__nt").alias("agent_response")))
 

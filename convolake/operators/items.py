@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions.columns import round_half_up, word_count
+from convolake.functions.ordering import row_number_within
 
 # Sortable columns of the item listing, item defaults.
 VALID_SORTS = ["importance_score", "created_at", "tokens", "category"]
@@ -94,9 +95,13 @@ def apply_scores(items: DataFrame, scores: DataFrame, default: float = 50.0) ->
 
 def batch_rows(df: DataFrame, key: str = "skill_id", size: int = 20,
                order: Sequence = ("id",)) -> DataFrame:
-    """Op 72: number rows in batches of ``size`` within each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """Op 72: number rows in batches of ``size`` within each key.
+
+    Row numbers come from :func:`row_number_within` (range-partitioned sort,
+    no per-key window), so one huge skill is spread over many tasks."""
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    x = row_number_within(df, [key], cols, "__rn")
+    return x.withColumn("batch_no", F.floor((F.col("__rn") - 1) / size).cast("int")).drop("__rn")
 
 
 # --- stats (53-56) -------------------------------------------------------

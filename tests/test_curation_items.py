@@ -212,3 +212,23 @@ def test_op37_nest_children(spark):
     kid = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k int, ord int, v string")
     out = {r.k: [c.v for c in r.children] for r in C.nest_children(par, kid, "k", ["ord"]).collect()}
     assert out == {1: ["a", "b"], 2: []}
+
+
+def test_row_number_within_hot_key_matches_window(spark):
+    from pyspark.sql import Window
+    from convolake.functions.ordering import row_number_within
+    rows = [("hot" if i % 5 < 3 else f"k{i % 7}", i, (i * 37) % 101) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id int, v int")
+    got = row_number_within(df, ["k"], [F.desc("v"), F.asc("id")], "rn", num_partitions=16)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), "id")))
+    assert sorted(map(tuple, got.select("k", "id", "rn").collect())) == \
+        sorted(map(tuple, want.select("k", "id", "rn").collect()))
+
+
+def test_op46_balanced_equals_window(spark):
+    t = spark.createDataFrame([(c, i, "user" if i % 2 == 0 else "assistant", f"t{c}{i}")
+                               for c in range(3) for i in range(0, 40, 3)],
+                              "conv_id int, turn int, role string, text string")
+    a = sorted(map(tuple, C.exchange_pairs(t).collect()))
+    b = sorted(map(tuple, C.exchange_pairs(t, balanced=True).collect()))
+    assert a == b and len(a) > 0
