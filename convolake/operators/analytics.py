@@ -148,3 +148,9 @@ def last_turns(df: DataFrame, n: int = 10, conv: str = "conv_id", order: str = "
                                                                  F.concat_ws(": ", "role", t).alias("t"))))
                             .alias("__h"))
     return g.select(conv, F.transform("__h", lambda s: s["t"]).alias("last_turns"))
+
+
+def ewma_latency(df: DataFrame, key: str | None = "skill_id", order: Sequence[str] = ("created_at", "id"),
+                 alpha: float = 0.1, value: str = "total_latency_ms") -> DataFrame:
+    """Op 70 under its inventory name: running latency average per key."""
+    return ewma(df, key, list(order), value, alpha, out="ewma_latency_ms")
