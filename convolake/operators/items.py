@@ -106,10 +106,12 @@ def batch_rows(df: DataFrame, key: str = "skill_id", size: int = 20,
 
 # --- stats (53-56) -------------------------------------------------------
 
-def item_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def item_stats(df: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Op 53: totals over unarchived items; archived counted before the
-    filter (Q6)."""
+    filter (Q6).  Distinct counts are exact by default; ``approx=True`` uses
+    HyperLogLog sketches (no Expand of the input for two distinct counts)."""
     live = ~F.col("is_archived")
+    distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else F.countDistinct
     aggs = [
         F.count_if(live).alias("total"),
         F.count_if(live & F.col("is_approved")).alias("approved"),
@@ -118,8 +120,8 @@ def item_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         round_half_up(F.coalesce(F.avg(F.when(live, F.col("importance_score"))), F.lit(0.0)), 1)
         .alias("avg_importance"),
         F.coalesce(F.sum(F.when(live, F.col("tokens"))), F.lit(0)).cast("bigint").alias("total_tokens"),
-        F.countDistinct(F.when(live, F.col("category"))).alias("categories_count"),
-        F.countDistinct(F.when(live, F.col("source_filename"))).alias("sources_count"),
+        distinct(F.when(live, F.col("category"))).alias("categories_count"),
+        distinct(F.when(live, F.col("source_filename"))).alias("sources_count"),
     ]
     return df.groupBy(*by).agg(*aggs)
 

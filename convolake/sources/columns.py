@@ -21,12 +21,15 @@ def decode_json_columns(df: DataFrame, specs: dict[str, DataType | str]) -> Data
     return df
 
 
-def table_profile(tables: dict[str, DataFrame], key: str = "skill_id") -> DataFrame:
+def table_profile(tables: dict[str, DataFrame], key: str = "skill_id", approx: bool = False) -> DataFrame:
     """Op 9: row count and distinct ``key`` values per table (one global
-    aggregate per table, unioned)."""
+    aggregate per table, unioned); ``approx=True`` counts with HyperLogLog."""
     out = None
     for name, d in tables.items():
-        distinct = F.countDistinct(key) if key in d.columns else F.lit(None).cast("bigint")
+        if key not in d.columns:
+            distinct = F.lit(None).cast("bigint")
+        else:
+            distinct = F.approx_count_distinct(key, 0.01) if approx else F.countDistinct(key)
         row = d.agg(F.count("*").alias("row_count"), distinct.alias("distinct_skills")) \
             .select(F.lit(name).alias("table_name"), "row_count", "distinct_skills")
         out = row if out is None else out.unionByName(row)

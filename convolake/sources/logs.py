@@ -54,7 +54,17 @@ def write_training_set(df: DataFrame, path: str, layout: str = "instruction", sk
     if as_of is not None:
         out = out.withColumn("as_of", F.lit(as_of))
         parts.append("as_of")
-    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    _write_partitioned(out, parts, cols, mode, path)
+
+
+def _write_partitioned(out: DataFrame, parts: list[str], cols: list[str], mode: str, path: str,
+                       max_records: int = 1_000_000) -> None:
+    """Range-partition on (partition columns, row hash) before writing: each
+    task holds a contiguous slice, so it writes into few partitions, and a
+    very large partition value is spread over several tasks instead of one;
+    ``maxRecordsPerFile`` bounds the file size."""
+    out = out.repartitionByRange(*[F.col(p) for p in parts], F.xxhash64(*[F.col(c) for c in cols]))
+    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records)
      .partitionBy(*parts).json(path))
 
 
@@ -76,5 +86,4 @@ def read_part_files(spark: SparkSession, root: str, skill: str | None = None,
 def write_step_outputs(df: DataFrame, path: str, step: str = "step", data: str = "data",
                        mode: str = "overwrite") -> None:
     """Op 8: one JSON dataset per workflow step, only where data exists."""
-    (df.where(F.col(data).isNotNull()).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy(step).json(path))
+    _write_partitioned(df.where(F.col(data).isNotNull()), [step], [data], mode, path)
