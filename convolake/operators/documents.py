@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convolake.functions import lexicons as L
 from convolake.operators import decoders as D
@@ -182,34 +183,52 @@ def expand_archives(files: DataFrame) -> DataFrame:
     return plain.withColumn("archive_error", F.lit(None).cast("string")).unionByName(members)
 
 
+def _decode_one(raw: bytes, h: str) -> tuple[str, int, list, dict]:
+    """Decode one binary file; errors are returned as data."""
+    try:
+        if h in ("eml", "mbox"):
+            msgs = D.mail_messages(raw, h == "mbox")
+            if h == "eml":
+                m = msgs[0]
+                text = (f"Subject: {m['subject']}\nFrom: {m['from']}\nTo: {m['to']}\nDate: {m['date']}"
+                        f"\n\n{m['body']}")
+                return text, 1, [], {"subject": m["subject"], "from": m["from"]}
+            text = "\n\n---\n\n".join(f"[Email: {m['subject'] or 'No Subject'}]\n{m['body']}" for m in msgs)
+            return text, len(msgs), [], {"email_count": str(len(msgs))}
+        text, pages = D.BINARY_DECODERS[h](raw)
+        return text, int(pages), [], {}
+    except Exception as e:  # noqa: BLE001 - errors are data, not job failures
+        return "", 0, [f"Parse error: {e}"], {}
+
+
 def _py_decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         out = []
         for p, b, h, ext, cat in zip(pdf["path"], pdf["content"], pdf["handler"], pdf["file_type"],
                                       pdf["source_type"]):
-            text, pages, errors, meta = "", 0, [], {}
-            try:
-                raw = bytes(b) if b is not None else b""
-                if h in ("eml", "mbox"):
-                    msgs = D.mail_messages(raw, h == "mbox")
-                    if h == "eml":
-                        m = msgs[0]
-                        text = (f"Subject: {m['subject']}\nFrom: {m['from']}\nTo: {m['to']}\nDate: {m['date']}"
-                                f"\n\n{m['body']}")
-                        meta = {"subject": m["subject"], "from": m["from"]}
-                    else:
-                        text = "\n\n---\n\n".join(f"[Email: {m['subject'] or 'No Subject'}]\n{m['body']}"
-                                                  for m in msgs)
-                        meta = {"email_count": str(len(msgs))}
-                    pages = 1 if h == "eml" else len(msgs)
-                else:
-                    text, pages = D.BINARY_DECODERS[h](raw)
-            except Exception as e:  # noqa: BLE001 - errors are data, not job failures
-                text, pages, errors = "", 0, [f"Parse error: {e}"]
-            out.append((p, text, int(pages), errors, meta, cat, ext))
+            text, pages, errors, meta = _decode_one(bytes(b) if b is not None else b"", h)
+            out.append((p, text, pages, errors, meta, cat, ext))
         yield pd.DataFrame(out, columns=["path", "text", "pages", "errors", "metadata", "source_type", "file_type"])
 
 
+DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("pages", T.IntegerType()),
+                        T.StructField("errors", T.ArrayType(T.StringType())),
+                        T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
+
+
+@F.pandas_udf(DECODED)
+def _decode_udf(content: pd.Series, handler: pd.Series) -> pd.DataFrame:
+    """Arrow-batched decoder for the binary formats; rows of other formats
+    arrive with null content and cost nothing."""
+    rows = []
+    for b, h in zip(content, handler):
+        if b is None or h not in PY_HANDLERS:
+            rows.append((None, None, None, None))
+        else:
+            rows.append(_decode_one(bytes(b), h))
+    return pd.DataFrame(rows, columns=["text", "pages", "errors", "metadata"])
+
+
 def office_to_text(files: DataFrame) -> DataFrame:
     """Op 89: zipped office formats (docx, xlsx, pptx, odt/ods/odp, epub)
     and csv/tsv → text per file via stdlib decoders."""
@@ -251,40 +270,46 @@ def _route(files: DataFrame) -> DataFrame:
 def extract_text(files: DataFrame) -> DataFrame:
     """Op 82: route every file by extension and return text, pages,
     errors, metadata, source_type and file_type; never fails the job on one
-    file.  Text formats stay in column expressions; binary formats go
-    through ``mapInPandas``."""
+    file.
+
+    One pass over the files: text formats are decoded by column expressions
+    in the JVM, binary formats by an Arrow-batched pandas UDF that only
+    receives their content (null for every other row), media and
+    unsupported types get their metadata / error entry directly.
+    """
     r = _route(files)
-    raw = F.decode(F.col("content"), "UTF-8")
     h = F.col("handler")
-    tx = r.where(h.isin(*TEXT_HANDLERS)).withColumn("__raw", raw)
-    text = (F.when(h == "rtf", rtf_text("__raw")).when(h == "xml", xml_text("__raw"))
-            .when(h == "env", redact_text("__raw")).when(h == "html", html_text("__raw"))
-            .when(h == "srt", srt_text("__raw")).when(h == "ass", ass_text("__raw"))
-            .otherwise(F.col("__raw")))
-    meta = (F.when(h == "html", F.create_map(F.lit("title"), html_title("__raw")))
+    raw = F.decode(F.col("content"), "UTF-8")
+    text = (F.when(h == "rtf", rtf_text(raw)).when(h == "xml", xml_text(raw))
+            .when(h == "env", redact_text(raw)).when(h == "html", html_text(raw))
+            .when(h == "srt", srt_text(raw)).when(h == "ass", ass_text(raw))
+            .when(h.isin(*TEXT_HANDLERS), raw))
+    meta = (F.when(h == "html", F.create_map(F.lit("title"), html_title(raw)))
             .when(h == "json", F.create_map(F.lit("format"), F.lit("json")))
             .when(h == "jsonl", F.create_map(F.lit("format"), F.lit("jsonl"), F.lit("count"), F.size(
-                F.filter(F.split(F.col("__raw"), "\n"), lambda s: _strip(s) != "")).cast("string")))
+                F.filter(F.split(raw, "\n"), lambda s: _strip(s) != "")).cast("string")))
             .when(h.isin("xml", "env"), F.create_map(F.lit("format"), F.col("file_type")))
             .when(h == "srt", F.create_map(F.lit("format"), F.lit("srt")))
             .when(h == "ass", F.create_map(F.lit("format"), F.lit("ass")))
             .when(F.col("source_type") == "code", F.create_map(F.lit("language"), F.col("file_type")))
+            .when(h == "ocr", F.create_map(F.lit("needs_ocr"), F.lit("true")))
+            .when(h == "transcribe", F.create_map(F.lit("needs_transcription"), F.lit("true")))
             .otherwise(F.create_map().cast("map<string,string>")))
-    text_rows = tx.select("path", text.alias("text"), F.lit(1).alias("pages"),
-                          F.array().cast("array<string>").alias("errors"), meta.alias("metadata"),
-                          "source_type", "file_type")
-    media = r.where(h.isin("ocr", "transcribe")).select(
-        "path", F.lit("").alias("text"), F.lit(1).alias("pages"), F.array().cast("array<string>").alias("errors"),
-        F.when(h == "ocr", F.create_map(F.lit("needs_ocr"), F.lit("true")))
-        .otherwise(F.create_map(F.lit("needs_transcription"), F.lit("true"))).alias("metadata"),
+    unsupported = ~h.isin(*TEXT_HANDLERS, *PY_HANDLERS, "ocr", "transcribe", "archive")
+    err = F.when(unsupported, F.array(
+        F.when(F.col("source_type").isNull(), F.concat(F.lit("Unsupported: "), F.col("file_type")))
+        .otherwise(F.concat(F.lit("Decoder not available: "), F.col("file_type"))))) \
+        .otherwise(F.array().cast("array<string>"))
+    x = r.where(h != "archive").withColumn(
+        "__bin", _decode_udf(F.when(h.isin(*PY_HANDLERS), F.col("content")), h))
+    is_bin = h.isin(*PY_HANDLERS)
+    return x.select(
+        "path",
+        F.when(is_bin, F.col("__bin.text")).otherwise(F.coalesce(text, F.lit(""))).alias("text"),
+        F.when(is_bin, F.col("__bin.pages")).when(unsupported, F.lit(0)).otherwise(F.lit(1)).alias("pages"),
+        F.when(is_bin, F.col("__bin.errors")).otherwise(err).alias("errors"),
+        F.when(is_bin, F.col("__bin.metadata")).otherwise(meta).alias("metadata"),
         "source_type", "file_type")
-    other = r.where(~h.isin(*TEXT_HANDLERS, *PY_HANDLERS, "ocr", "transcribe", "archive")).select(
-        "path", F.lit("").alias("text"), F.lit(0).alias("pages"),
-        F.array(F.when(F.col("source_type").isNull(), F.concat(F.lit("Unsupported: "), F.col("file_type")))
-                .otherwise(F.concat(F.lit("Decoder not available: "), F.col("file_type")))).alias("errors"),
-        F.create_map().cast("map<string,string>").alias("metadata"), "source_type", "file_type")
-    binary = r.where(h.isin(*PY_HANDLERS)).mapInPandas(_py_decode, PARSED_SCHEMA)
-    return text_rows.unionByName(binary).unionByName(media).unionByName(other)
 
 
 def types_by_category(files: DataFrame, ext: str = "file_type", category: str = "source_type") -> DataFrame:
