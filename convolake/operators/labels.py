@@ -45,8 +45,11 @@ def contains_join(probe: DataFrame, id_col: str, text: Column, rules: DataFrame,
     size = estimated_bytes(rules)
     if size is not None and size <= limit:
         return p.join(F.broadcast(rules), F.col("__t").contains(F.col(pattern_col)), "inner").drop("__t")
-    lens = rules.select(F.length(pattern_col).alias("__len")).distinct()
-    subs = (p.join(lens, F.col("__len") <= F.length("__t"), "inner")  # few distinct lengths
+    # the distinct pattern lengths (bounded by the longest pattern) as one
+    # scalar array – each text expands to its substrings of those lengths
+    lens = rules.select(F.array_sort(F.collect_set(F.length(pattern_col)))).scalar()
+    subs = (p.select("__id", "__t", F.explode(lens).alias("__len"))
+            .where(F.col("__len") <= F.length("__t"))
             .select("__id", "__t", "__len",
                     F.explode(F.sequence(F.lit(1), F.length("__t") - F.col("__len") + 1)).alias("__pos"))
             .select("__id", F.substring(F.col("__t"), F.col("__pos"), F.col("__len")).alias("__sub"))

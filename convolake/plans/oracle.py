@@ -122,7 +122,7 @@ FROM orders"""
 
 VIEW_SQL["v_steps"] = """
 SELECT ts AS "timestamp", 'job' || CAST(user_id AS VARCHAR) AS job_id,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS step,
   count(*) OVER (PARTITION BY user_id) AS total_steps,
   value / 100 AS loss, CAST(event_id % 30 + 1 AS DOUBLE) AS step_time_seconds
 FROM events"""

@@ -86,7 +86,7 @@ def q_loss_curve(t):
 
 
 @query("adapter_versions", """
-SELECT id, skill_id, row_number() OVER w AS version,
+SELECT id, skill_id, CAST(row_number() OVER w AS INTEGER) AS version,
   coalesce(status = 'completed' AND (created_at, id) = max(CASE WHEN status = 'completed' THEN (created_at, id) END)
     OVER (PARTITION BY skill_id), false) AS is_active,
   CAST(round(CAST(final_loss - lag(final_loss) OVER w AS DECIMAL(38,10)), 6) AS DOUBLE) AS loss_change

@@ -11,8 +11,8 @@ from convolake.plans import views as V
 from convolake.plans.catalog import query
 
 # DuckDB word count equal to Python's str.split()
-WORDS_SQL = ("len(list_filter(string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ' '), "
-             "lambda w: w <> ''))")
+WORDS_SQL = ("CAST(len(list_filter(string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ' '), "
+             "lambda w: w <> '')) AS INTEGER)")
 
 
 @query("shape_instruction", """
@@ -23,8 +23,8 @@ def q_shape_instruction(t):
 
 
 @query("shape_messages", """
-SELECT id, to_json({'messages': [{'role': 'user', 'content': user_message},
-   {'role': 'assistant', 'content': coalesce(nullif(corrected_response, ''), assistant_response)}]}) AS messages
+SELECT id, CAST(to_json({'messages': [{'role': 'user', 'content': user_message},
+   {'role': 'assistant', 'content': coalesce(nullif(corrected_response, ''), assistant_response)}]}) AS VARCHAR) AS messages
 FROM v_training_data""")
 def q_shape_messages(t):
     return C.shape_messages(V.training_data(t)).select("id", "messages")
@@ -232,7 +232,7 @@ def q_recent_activity(t):
 
 @query("nest_children", """
 SELECT o.o_orderkey, o.o_orderstatus, coalesce(list(l.l_linenumber ORDER BY l.l_linenumber)
-  FILTER (WHERE l.l_linenumber IS NOT NULL), []) AS lines, count(l.l_linenumber) AS n_lines
+  FILTER (WHERE l.l_linenumber IS NOT NULL), []) AS lines, CAST(count(l.l_linenumber) AS INTEGER) AS n_lines
 FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, o.o_orderstatus""")
 def q_nest(t):
     par = t.orders.select("o_orderkey", "o_orderstatus")

@@ -107,7 +107,8 @@ def q_candidates(t):
 @query("export_candidates", """
 SELECT * FROM (
   SELECT id, skill_id, user_input AS prompt, agent_response AS completion, user_feedback,
-    row_number() OVER (PARTITION BY skill_id ORDER BY user_feedback DESC, created_at DESC, id) AS rank_in_skill
+    CAST(row_number() OVER (PARTITION BY skill_id ORDER BY user_feedback DESC, created_at DESC, id) AS INTEGER)
+      AS rank_in_skill
   FROM v_interactions
   WHERE system_used = 'deep' AND user_feedback >= 4 AND error_occurred = false AND exported_for_training = false)
 WHERE rank_in_skill <= 100""")

@@ -81,7 +81,7 @@ def q_category_counts(t):
 WITH c AS (SELECT skill_id, tag, count(*) AS count FROM (SELECT skill_id, unnest(tags) AS tag FROM v_extracted
            WHERE NOT is_archived) GROUP BY 1, 2)
 SELECT * FROM (SELECT skill_id, tag, count,
-  row_number() OVER (PARTITION BY skill_id ORDER BY count DESC, tag) AS rank FROM c) WHERE rank <= 3""")
+  CAST(row_number() OVER (PARTITION BY skill_id ORDER BY count DESC, tag) AS INTEGER) AS rank FROM c) WHERE rank <= 3""")
 def q_top_tags(t):
     return IT.top_tags(V.extracted(t), 3)
 
@@ -112,7 +112,24 @@ def q_promote(t):
     return new_rows.select("id", "skill_id", "quality_score", "source")
 
 
-@query("chunk_text")
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+CHUNK_SQL = f"""
+WITH f AS (
+  SELECT doc_id, text, list_reduce(string_split(text, chr(10)), lambda acc, p:
+      CASE WHEN length(acc.cur) + length(p) < 2000 THEN {{'done': acc.done, 'cur': acc.cur || p || chr(10)}}
+           ELSE {{'done': CASE WHEN acc.cur <> '' THEN list_append(acc.done, {STRIP.format(x='acc.cur')}) ELSE acc.done END,
+                 'cur': p || chr(10)}} END,
+    {{'done': []::VARCHAR[], 'cur': ''}}) AS acc
+  FROM documents),
+c AS (
+  SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text]
+    ELSE coalesce(nullif(CASE WHEN acc.cur <> '' THEN list_append(acc.done, {STRIP.format(x='acc.cur')}) ELSE acc.done END,
+                         []::VARCHAR[]), [left(text, 2000)]) END AS chunks FROM f)
+SELECT doc_id, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS chunk_no,
+  CAST(unnest(list_transform(chunks, lambda x: length(x))) AS INTEGER) AS chunk_chars FROM c"""
+
+
+@query("chunk_text", CHUNK_SQL)
 def q_chunk(t):
     return IT.chunk_text(t.documents.select("doc_id", "text"), "text", 2000, "\n").select(
         "doc_id", "chunk_no", F.length("chunk").alias("chunk_chars"))
@@ -136,7 +153,8 @@ def exchange_items(t):
 @query("build_items", f"""
 SELECT left(md5(concat_ws('_', 'src' || CAST(conv_id % 20 AS VARCHAR), 'conv_' || CAST(conv_id AS VARCHAR) || '.txt',
   user_input, agent_response)), 16) AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS skill_id,
-  'qa_pair' AS content_type, 'general' AS category, 50.0 AS importance_score, 0.8 AS confidence,
+  'qa_pair' AS content_type, 'general' AS category, CAST(50.0 AS DOUBLE) AS importance_score,
+  CAST(0.8 AS DOUBLE) AS confidence,
   {WORDS_SQL.format(c='user_input')} + {WORDS_SQL.format(c='agent_response')} AS tokens
 FROM v_exchanges""")
 def q_build_items(t):

@@ -83,7 +83,7 @@ def query_label_sql(c: str) -> str:
     return (f"CASE WHEN {si} IS NOT NULL THEN 'simple' ELSE {cx} END AS complexity, "
             f"coalesce({si}, CASE WHEN contains({c}, '?') THEN 'question' ELSE 'statement' END) AS intent, "
             f"CASE WHEN {si} IS NOT NULL THEN false ELSE {hr} END AS requires_reasoning, "
-            f"CASE WHEN {si} IS NOT NULL THEN 0.95 ELSE 0.8 END AS confidence")
+            f"CAST(CASE WHEN {si} IS NOT NULL THEN 0.95 ELSE 0.8 END AS DOUBLE) AS confidence")
 
 
 @query("label_query", f"""

@@ -30,7 +30,8 @@ FEET = "e AS (SELECT v_entities.*, coalesce(u.to_feet, 1.0) AS to_feet FROM v_en
 
 @query("entity_preview", """
 WITH bt AS (SELECT drawing, type, count(*) AS n FROM v_entities GROUP BY 1, 2),
-c AS (SELECT drawing, list_sort(list(type || ':' || CAST(n AS VARCHAR))) AS entity_counts, sum(n) AS total_entities,
+c AS (SELECT drawing, list_sort(list(type || ':' || CAST(n AS VARCHAR))) AS entity_counts,
+        CAST(sum(n) AS BIGINT) AS total_entities,
         coalesce(sum(n) FILTER (WHERE type IN ('LINE', 'LWPOLYLINE')), 0) AS geo,
         coalesce(sum(n) FILTER (WHERE type IN ('TEXT', 'MTEXT')), 0) AS txt,
         coalesce(sum(n) FILTER (WHERE type = 'DIMENSION'), 0) AS dim,
@@ -46,7 +47,8 @@ r AS (SELECT c.*, list_filter([CASE WHEN geo > 0 THEN 'SPATIAL - Good for layer
         CASE WHEN txt > 0 OR dim > 0 THEN 'SPECS - Good for extracting notes and dimensions' END,
         CASE WHEN blk > 0 THEN 'QUANTITY - Will count blocks (drains, scuppers, etc.)' END], lambda x: x IS NOT NULL) AS recs
       FROM c)
-SELECT r.drawing, r.entity_counts, r.total_entities, nm.layers, len(nm.layers) AS layer_count, nm.block_names,
+SELECT r.drawing, r.entity_counts, r.total_entities, nm.layers, CAST(len(nm.layers) AS INTEGER) AS layer_count,
+  nm.block_names,
   coalesce(s.text_samples, []) AS text_samples,
   CASE WHEN len(r.recs) = 0 THEN ['FULL - Recommended for complete data extraction'] ELSE r.recs END AS recommendations
 FROM r JOIN nm ON r.drawing = nm.drawing LEFT JOIN s ON r.drawing = s.drawing""")
@@ -112,7 +114,7 @@ SELECT drawing, entity_id, type, layer, color,
   CASE WHEN type = 'LINE' THEN {R('points[2].y', 4)} END AS end_y,
   CASE WHEN type = 'LINE' THEN {R(DIST('points[1]', 'points[2]'), 4)} END AS length_raw,
   CASE WHEN type = 'LINE' THEN {R(DIST('points[1]', 'points[2]') + ' * to_feet', 4)} END AS length_feet,
-  CASE WHEN type = 'LWPOLYLINE' THEN len(points) END AS point_count,
+  CASE WHEN type = 'LWPOLYLINE' THEN CAST(len(points) AS INTEGER) END AS point_count,
   CASE WHEN type = 'LWPOLYLINE' THEN coalesce(closed, false) END AS closed,
   CASE WHEN type IN ('CIRCLE','ARC') THEN {R('points[1].x', 4)} END AS center_x,
   CASE WHEN type IN ('CIRCLE','ARC') THEN {R('points[1].y', 4)} END AS center_y,
@@ -131,7 +133,7 @@ def q_full(t):
 
 STEPS_SQL = f"""cf AS (SELECT project_id, name, {step_sql('name')} AS step FROM v_files),
 per AS (SELECT project_id, step, count(*) AS n_files, min(name) AS first_file FROM cf GROUP BY 1, 2),
-grid AS (SELECT project_id, unnest(range(1, 11)) AS step FROM (SELECT DISTINCT project_id FROM cf)),
+grid AS (SELECT project_id, CAST(unnest(range(1, 11)) AS INTEGER) AS step FROM (SELECT DISTINCT project_id FROM cf)),
 ps AS (SELECT g.project_id, g.step, {STEP_NAMES_SQL}[g.step] AS step_name,
          CASE WHEN p.n_files > 0 THEN 'complete' ELSE 'pending' END AS status,
          coalesce(p.n_files, 0) AS n_files, p.first_file
