@@ -209,7 +209,9 @@ FEEDBACK_DDL = ("timestamp timestamp_ntz, user_input string, agent_response stri
                 "rating int, correction string")
 
 
-@query("read_event_log")
+@query("read_event_log", """
+SELECT 'good' AS kind, skill_used, CAST(NULL AS VARCHAR) AS raw_line FROM v_feedback_log
+UNION ALL SELECT 'quarantined', NULL, 'not json: ' || role FROM conversations""")
 def q_read_log(t):
     """feedback log written as JSON lines (plus raw non-JSON conversation
     lines) and read back: good rows and quarantined lines."""
@@ -222,33 +224,47 @@ def q_read_log(t):
                                 "raw_line"))
 
 
-@query("write_training_set")
+@query("write_training_set", """
+SELECT skill_used AS skill, '20240101' AS as_of, user_input AS prompt FROM v_feedback_log
+WHERE correction IS NOT NULL AND correction <> ''""")
 def q_write_training(t):
     path = _scratch(t.spark, "training-set")
     pairs = C.correction_pairs(V.feedback_log(t))
     SL.write_training_set(pairs, path, "dpo", skill="skill", as_of="20240101")
-    return t.spark.read.json(path).select("skill", "as_of", "prompt")
+    return t.spark.read.json(path).select("skill", F.col("as_of").cast("string").alias("as_of"), "prompt")
 
 
-@query("read_part_files")
+@query("read_part_files", """
+SELECT skill_used AS skill, '20240101' AS as_of, user_input AS prompt FROM v_feedback_log
+WHERE correction IS NOT NULL AND correction <> ''""")
 def q_read_parts(t):
     path = _scratch(t.spark, "parts")
     pairs = C.correction_pairs(V.feedback_log(t))
     SL.write_training_set(pairs, path, "dpo", skill="skill", as_of="20240101")
     SL.write_training_set(pairs, path, "dpo", skill="skill", as_of="merged")
-    return SL.read_part_files(t.spark, path).select("skill", "as_of", "prompt")
+    return SL.read_part_files(t.spark, path).select("skill", F.col("as_of").cast("string").alias("as_of"), "prompt")
 
 
-@query("write_step_outputs")
+def _steps_sql():
+    from convolake.plans.q_labels import step_sql
+    return f"SELECT {step_sql('name')} AS step, name AS data FROM v_files"
+
+
+@query("write_step_outputs", _steps_sql())
 def q_write_steps(t):
     from convolake.operators.labels import classify_files
     path = _scratch(t.spark, "steps")
     f = classify_files(V.files(t)).select("step", F.col("name").alias("data"))
     SL.write_step_outputs(f, path)
-    return t.spark.read.json(path).select("step", "data")
+    return t.spark.read.json(path).select(F.col("step").cast("int").alias("step"), "data")
 
 
-@query("read_adapter_metadata")
+@query("read_adapter_metadata", """
+SELECT 'adapter_name=' || adapter_name AS adapter_name,
+  CASE WHEN status = 'completed' THEN 'completed' ELSE 'unknown' END AS status,
+  CASE WHEN status = 'completed' THEN skill_id END AS skill_id
+FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY coalesce(final_loss, 999) ASC, created_at DESC, id ASC)
+      AS rn FROM v_adapters) WHERE rn = 1""")
 def q_adapter_meta(t):
     """adapter folders ← the registry's best adapter per skill (op 65): every
     folder gets a weights file, completed adapters also a metadata file."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from convolake.operators import interactions as I
 from convolake.plans import views as V
 from convolake.plans.catalog import query
-from convolake.plans.q_interactions import HOURLY_SQL, session_ratings
+from convolake.plans.q_interactions import HOURLY_SQL, _w
 from convolake.session import ensure_checkpoint_dir
 from convolake.streaming import cycle as CY
 from convolake.streaming import metrics as SM
@@ -51,7 +51,17 @@ def q_stream_hourly(t):
     return spark.read.parquet(d + "/table").drop("hour")
 
 
-@query("stream_alerts")
+@query("stream_alerts", _w("""
+, w AS (SELECT c.*, time_bucket(INTERVAL 5 MINUTE, created_at) - to_minutes(5 * k) AS ws
+        FROM v_costed c, (SELECT unnest(range(0, 12)) AS k)),
+g AS (SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, count(*) AS calls,
+        count(*) FILTER (WHERE error_occurred) AS errors, avg(coalesce(total_latency_ms, 0)) AS avg_latency
+      FROM w GROUP BY ws),
+r AS (SELECT *, CAST(round(CAST(errors * 100.0 / calls AS DECIMAL(38,10)), 2) AS DOUBLE) AS rate FROM g)
+SELECT window_start, window_end, calls, 'error' AS severity, 'error_rate' AS metric, rate AS value FROM r WHERE rate > 5.0
+UNION ALL
+SELECT window_start, window_end, calls, 'warning', 'avg_latency_ms',
+  CAST(round(CAST(avg_latency AS DECIMAL(38,10)), 1) AS DOUBLE) FROM r WHERE avg_latency > 500""").replace("\n, w AS", ",\nw AS"))
 def q_stream_alerts(t):
     spark = t.spark
     d = _dir(spark, "alerts")
@@ -70,12 +80,7 @@ def q_stream_alerts(t):
                                          "severity string, metric string, value double")
 
 
-@query("stream_health")
-def q_stream_health(t):
-    return _run_to_files(ST.stream_health(V.health_of(t.stream("events"))), "health")
-
-
-@query("health_state_changes", """
+HEALTH_CHANGES_SQL = """
 WITH lg AS (""" + " UNION ALL ".join(
     f"SELECT '{s}' AS service, checked_at, {s}_healthy AS healthy FROM v_health"
     for s in ["groq", "anthropic", "deepgram", "cartesia", "livekit"]) + """),
@@ -83,7 +88,19 @@ x AS (SELECT *, lag(healthy) OVER (PARTITION BY service ORDER BY checked_at) AS
       WHERE healthy IS NOT NULL),
 ch AS (SELECT * FROM x WHERE previous IS NULL OR previous <> healthy)
 SELECT service, checked_at, previous, healthy, 'state_change' AS event FROM ch
-UNION ALL SELECT service, checked_at, previous, healthy, 'down_alert' FROM ch WHERE NOT healthy""")
+UNION ALL SELECT service, checked_at, previous, healthy, 'down_alert' FROM ch WHERE NOT healthy"""
+
+
+@query("stream_health", HEALTH_CHANGES_SQL)
+def q_stream_health(t):
+    out = _run_to_files(ST.stream_health(V.health_of(t.stream("events"))), "health")
+    return out.withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
+
+
+
+
+
+@query("health_state_changes", HEALTH_CHANGES_SQL)
 def q_health_changes(t):
     return ST.health_batch(V.health(t)).withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
 
@@ -137,7 +154,8 @@ def q_stream_turns(t):
     return _run_to_files(ST.stream_turns(frames_of(t.stream("conversations"))), "turns")
 
 
-@query("stream_corrections")
+@query("stream_corrections", """SELECT "timestamp", user_input AS prompt, correction AS chosen, agent_response AS rejected, skill_used AS skill
+  FROM v_feedback_log WHERE correction IS NOT NULL AND correction <> ''""")
 def q_stream_corrections(t):
     spark = t.spark
     d = _dir(spark, "corrections-log")
@@ -145,11 +163,18 @@ def q_stream_corrections(t):
     schema = ("timestamp timestamp_ntz, user_input string, agent_response string, skill_used string, "
               "rating int, correction string")
     s = spark.readStream.schema(schema).json(d + "/log")
-    return _run_to_files(SM.stream_corrections(s), "corrections")
+    out = _run_to_files(SM.stream_corrections(s), "corrections")
+    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@query("training_cycle")
+@query("training_cycle", """
+WITH c AS (SELECT "timestamp", user_input AS prompt, correction AS chosen, agent_response AS rejected, skill_used AS skill
+  FROM v_feedback_log WHERE correction IS NOT NULL AND correction <> ''),
+rc AS (SELECT DISTINCT skill, prompt, chosen, rejected FROM c
+       WHERE "timestamp" > (SELECT max("timestamp") FROM c) - INTERVAL 30 DAY)
+SELECT skill, count(*) AS n_pairs, 'v1' AS version FROM rc GROUP BY skill HAVING count(*) >= 3""")
 def q_training_cycle(t):
     spark = t.spark
     d = _dir(spark, "cycle")
-    return CY.training_cycle(V.feedback_log(t), None, d + "/out", d + "/history", days=30, min_examples=3)
+    hist = CY.training_cycle(V.feedback_log(t), None, d + "/out", d + "/history", days=30, min_examples=3)
+    return hist.select("skill", "n_pairs", "version")
