@@ -72,18 +72,33 @@ def shape_chat_template(df: DataFrame, system: str = "instruction", user: str =
 
 def render_prompt(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
                   role: str = "role", text: str = "text", system_prompt: str | None = None,
-                  history: int = 10) -> DataFrame:
+                  history: int = 10, balanced: bool = False) -> DataFrame:
     """Op 16: the model prompt before each user turn.
 
     For every user turn: optional ``System:`` line, the previous
-    ``history`` turns as ``Role: text`` lines (bounded window frame), the
-    current ``User:`` line and a final ``Assistant:``.  The frame is bounded,
-    so each output row has bounded size however long the conversation is.
+    ``history`` turns as ``Role: text`` lines, the current ``User:`` line
+    and a final ``Assistant:``.  Each output row has bounded size however
+    long the conversation is.  Default plan: a bounded window frame per
+    conversation.  ``balanced=True`` (conversations too large for one task):
+    turns are numbered with :func:`row_number_within` and every turn is sent
+    to the ``history`` user turns that follow it by an equi-join on
+    (conversation, number), so one conversation is spread over all tasks.
     """
-    w = Window.partitionBy(conv).orderBy(order).rowsBetween(-history, -1)
     line = F.concat(F.initcap(F.col(role)), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
-    x = turns.withColumn("__hist", F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))).over(w))
-    x = x.where(F.col(role) == "user")
+    if balanced:
+        from convolake.functions.ordering import row_number_within
+        n = row_number_within(turns.select(conv, order, role, text), [conv], [F.col(order)], "__n")
+        users = n.where(F.col(role) == "user").select(conv, order, text, "__n")
+        prev = n.select(F.col(conv).alias("__c"), F.col("__n").alias("__pn"), line.alias("__l"),
+                        F.explode(F.sequence(F.lit(1), F.lit(history))).alias("__k"))
+        j = users.join(prev, (F.col(conv) == F.col("__c")) & (F.col("__n") == F.col("__pn") + F.col("__k")), "left")
+        x = j.groupBy(conv, order, text).agg(
+            F.collect_list(F.when(F.col("__pn").isNotNull(), F.struct(F.col("__pn").alias("o"),
+                                                                      F.col("__l").alias("l")))).alias("__hist"))
+    else:
+        w = Window.partitionBy(conv).orderBy(order).rowsBetween(-history, -1)
+        x = turns.withColumn("__hist", F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))).over(w))
+        x = x.where(F.col(role) == "user")
     hist = F.transform(F.array_sort(F.col("__hist")), lambda s: s["l"])
     parts = F.concat(
         F.array(F.lit(f"System: {system_prompt}")) if system_prompt else F.array().cast("array<string>"),

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from convolake.functions import lexicons as L
+from convolake.functions.sizing import broadcast_if_small
 from convolake.operators import documents as DOC
 from convolake.operators import curation as C
 from convolake.plans import views as V
@@ -312,7 +313,7 @@ FROM j GROUP BY category""")
 def q_types_by_category(t):
     f = V.files(t).select(F.lower(F.regexp_extract("name", r"\.([^./\\]+)$", 1)).alias("ext"))
     ft = SF.file_types(t.spark).select("ext", "category")
-    return DOC.types_by_category(f.join(F.broadcast(ft), "ext"), "ext", "category")
+    return DOC.types_by_category(f.join(broadcast_if_small(ft, "file types"), "ext"), "ext", "category")
 
 
 @query("ingest_summary")
