@@ -40,13 +40,16 @@ def broadcast_if_small(df: DataFrame, what: str = "side",
 
 
 def param_table(spark, rows, schema: str) -> DataFrame:
-    """A small parameter table as a local relation.
+    """A small parameter table built from literals.
 
-    Built from pandas so Catalyst sees a ``LocalRelation`` with a known
-    size (a plain Python list becomes an RDD scan of unknown size, which no
-    size check would ever let through to a broadcast)."""
-    import pandas as pd
+    ``inline(array(struct(lit…)))`` over a one-row range gives Catalyst a
+    plan with a tiny known size (a plain Python list would become an RDD
+    scan of unknown size, which no size check could let through to a
+    broadcast) and does not depend on Arrow settings of the session."""
     from pyspark.sql.types import StructType
     st = StructType.fromDDL(schema)
-    pdf = pd.DataFrame(list(rows), columns=st.fieldNames())
-    return spark.createDataFrame(pdf, st)
+    rows = list(rows)
+    if not rows:
+        return spark.createDataFrame([], st)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
