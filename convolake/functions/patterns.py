@@ -6,20 +6,18 @@ occurs in the text wins".  Two physical forms:
 * :func:`first_match` – a small, fixed rule list becomes one generated
   ``CASE WHEN`` expression; it stays inside whole-stage codegen and needs
   no join at all.
-* :func:`first_match_join` – a rule *table* (a DataFrame that can be
-  edited as data) is joined with a broadcast nested-loop join on
-  ``contains`` and reduced with ``min_by(order)`` per input row.  The rule
-  table is a parameter table; its size is checked before broadcasting.
+* rule *tables* (DataFrames that are edited as data) are matched by
+  ``operators.labels.contains_join`` – a size-checked broadcast nested-loop
+  join, or an exact substring equi-join beyond the size bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from convolake.functions.sizing import broadcast_if_small
 
 
 def _c(c) -> Column:
@@ -63,32 +61,3 @@ def first_match(text, rules: Sequence[tuple[object, Iterable[str]]],
     if expr is None:
         return F.lit(default)
     return expr.otherwise(F.lit(default))
-
-
-def first_match_join(df: DataFrame, id_col: str, text: Column, rules: DataFrame,
-                     pattern_col: str, order_cols: Sequence[str], value_cols: Sequence[str],
-                     how: str = "contains", prefix: str = "m_") -> DataFrame:
-    """Attach the values of the first matching rule of a rule table.
-
-    ``rules`` holds one row per pattern with ordering columns; the input is
-    joined on pattern containment (broadcast nested loop – the rule table is
-    a bounded parameter table) and reduced per ``id_col`` with ``min_by`` on
-    the ordering struct.  Rows without a match keep nulls (left join).
-    """
-    rr = broadcast_if_small(rules.select(pattern_col, *order_cols, *value_cols), "rule table")
-    probe = df.select(F.col(id_col).alias("__id"), text.alias("__t"))
-    pat = F.col(f"r.{pattern_col}")
-    if how == "contains":
-        cond = F.col("__t").contains(pat)
-    elif how == "startswith":
-        cond = F.col("__t").startswith(pat)
-    else:
-        raise ValueError(how)
-    hits = (probe.join(rr.alias("r"), cond, "inner")
-            .groupBy("__id")
-            .agg(F.min_by(F.struct(*[F.col(f"r.{c}") for c in value_cols]),
-                         F.struct(*[F.col(f"r.{c}") for c in order_cols])).alias("__m")))
-    out = df.join(hits, df[id_col] == hits["__id"], "left")
-    for c in value_cols:
-        out = out.withColumn(prefix + c, F.col(f"__m.{c}"))
-    return out.drop("__id", "__m")

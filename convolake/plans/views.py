@@ -9,7 +9,6 @@ derivations in DuckDB SQL.
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

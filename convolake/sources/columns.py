@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, MapType, _parse_datatype_string
 
 
 def decode_json_columns(df: DataFrame, specs: dict[str, DataType | str]) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolake.functions.columns import round_half_up, round_int
-from convolake.operators.changes import upsert_rows  # noqa: F401 - documented sink semantics
 
 
 def _ts(df: DataFrame, col: str) -> DataFrame:
