@@ -72,19 +72,23 @@ def shape_chat_template(df: DataFrame, system: str = "instruction", user: str =
 
 def render_prompt(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
                   role: str = "role", text: str = "text", system_prompt: str | None = None,
-                  history: int = 10, balanced: bool = False) -> DataFrame:
+                  history: int | None = 10, balanced: bool = False) -> DataFrame:
     """Op 16: the model prompt before each user turn.
 
     For every user turn: optional ``System:`` line, the previous
     ``history`` turns as ``Role: text`` lines, the current ``User:`` line
-    and a final ``Assistant:``.  Each output row has bounded size however
-    long the conversation is.  Default plan: a bounded window frame per
+    and a final ``Assistant:``.  With the default bounded history (the
+    10-turn cap of the voice path, Q19) each output row has bounded size
+    however long the conversation is; ``history=None`` renders the whole
+    preceding conversation (row size then grows with the conversation).  Default plan: a bounded window frame per
     conversation.  ``balanced=True`` (conversations too large for one task):
     turns are numbered with :func:`row_number_within` and every turn is sent
     to the ``history`` user turns that follow it by an equi-join on
     (conversation, number), so one conversation is spread over all tasks.
     """
     line = F.concat(F.initcap(F.col(role)), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
+    if balanced and history is None:
+        raise ValueError("balanced rendering needs a bounded history")
     if balanced:
         from convolake.functions.ordering import row_number_within
         n = row_number_within(turns.select(conv, order, role, text), [conv], [F.col(order)], "__n")
@@ -96,7 +100,8 @@ def render_prompt(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
             F.collect_list(F.when(F.col("__pn").isNotNull(), F.struct(F.col("__pn").alias("o"),
                                                                       F.col("__l").alias("l")))).alias("__hist"))
     else:
-        w = Window.partitionBy(conv).orderBy(order).rowsBetween(-history, -1)
+        lo = Window.unboundedPreceding if history is None else -history
+        w = Window.partitionBy(conv).orderBy(order).rowsBetween(lo, -1)
         x = turns.withColumn("__hist", F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))).over(w))
         x = x.where(F.col(role) == "user")
     hist = F.transform(F.array_sort(F.col("__hist")), lambda s: s["l"])
@@ -255,6 +260,8 @@ def exchange_pairs(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
     the join key (conversation, number) spreads one huge conversation over
     all tasks.
     """
+    if balanced and history is None:
+        raise ValueError("balanced rendering needs a bounded history")
     if balanced:
         from convolake.functions.ordering import row_number_within
         n = row_number_within(turns.select(conv, order, "role", "text"), [conv], [F.col(order)], "__n")

@@ -232,3 +232,11 @@ def test_op46_balanced_equals_window(spark):
     a = sorted(map(tuple, C.exchange_pairs(t).collect()))
     b = sorted(map(tuple, C.exchange_pairs(t, balanced=True).collect()))
     assert a == b and len(a) > 0
+
+
+def test_op16_full_history_option(spark):
+    t = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(30)],
+                              "conv_id int, turn int, role string, text string")
+    full = {r.turn: r.prompt for r in C.render_prompt(t, history=None).collect()}
+    capped = {r.turn: r.prompt for r in C.render_prompt(t).collect()}
+    assert full[28].count("\n") == 29 and capped[28].count("\n") == 11
