@@ -66,15 +66,11 @@ def q_stream_alerts(t):
     spark = t.spark
     d = _dir(spark, "alerts")
     alerts = SM.stream_alerts(_costed_stream(t))
-
-    def sink(batch, epoch_id):
-        batch.write.mode("append").parquet(d + "/table")
-
-    q = (alerts.writeStream.outputMode("update").foreachBatch(sink)
+    q = (alerts.writeStream.outputMode("update").foreachBatch(SM.epoch_sink(d + "/table"))
          .option("checkpointLocation", d + "/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     try:
-        return spark.read.parquet(d + "/table")
+        return spark.read.parquet(d + "/table").drop("epoch")
     except Exception:  # no alert at all → empty table with the alert schema
         return spark.createDataFrame([], "window_start timestamp_ntz, window_end timestamp_ntz, calls bigint, "
                                          "severity string, metric string, value double")

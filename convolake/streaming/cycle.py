@@ -29,5 +29,7 @@ def training_cycle(log: DataFrame, as_of, out_path: str, history_path: str, days
             .withColumn("as_of", F.lit(as_of).cast("timestamp_ntz") if as_of is not None
                         else log.agg(F.max("timestamp")).scalar())
             .withColumn("output_path", F.concat(F.lit(out_path.rstrip("/") + "/skill="), F.col("skill"))))
-    hist.write.mode("append").parquet(history_path)
+    # one history partition per version: re-running a version replaces its rows
+    (hist.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("version").parquet(history_path))
     return log.sparkSession.read.parquet(history_path).where(F.col("version") == ver)

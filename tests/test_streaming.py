@@ -107,3 +107,36 @@ def test_corrections_dedup_batch(spark):
                                 "timestamp timestamp_ntz, user_input string, agent_response string, skill_used string, "
                                 "rating int, correction string")
     assert SM.stream_corrections(log).count() == 1
+
+
+def _calls(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, session_id bigint, created_at timestamp_ntz, error_occurred boolean, "
+                                       "total_latency_ms int")
+
+
+def test_alert_rows(spark):
+    t0 = dt.datetime(2024, 1, 1, 10, 2)
+    df = _calls(spark, [(1, 1, t0, True, 100), (2, 1, t0, False, 900)])
+    out = SM.stream_alerts(df).collect()
+    kinds = {(r.severity, r.metric) for r in out}
+    assert kinds == {("error", "error_rate"), ("warning", "avg_latency_ms")}
+    assert {r.value for r in out if r.metric == "error_rate"} == {50.0} and len(out) == 24   # 12 windows × 2
+
+
+def test_feedback_join_time_range(spark):
+    t0 = dt.datetime(2024, 1, 1, 10)
+    calls = _calls(spark, [(1, 7, t0, False, 1), (2, 8, t0, False, 1)])
+    fb = spark.createDataFrame([(7, 5, t0 + dt.timedelta(minutes=30)), (8, 4, t0 + dt.timedelta(hours=2))],
+                               "session_id bigint, rating int, ts timestamp_ntz")
+    out = {r.id: r.rating for r in SM.stream_feedback(calls, fb).collect()}
+    assert out == {1: 5, 2: None}
+
+
+def test_epoch_sink_is_idempotent(spark):
+    d = tempfile.mkdtemp(dir="/tmp") + "/alerts"
+    sink = SM.epoch_sink(d)
+    batch = spark.createDataFrame([(1,)], "x int")
+    sink(batch, 0)
+    sink(batch, 0)   # replay of the same epoch
+    sink(batch, 1)
+    assert spark.read.parquet(d).count() == 2
