@@ -116,7 +116,7 @@ def _calls(spark, rows):
 
 def test_alert_rows(spark):
     t0 = dt.datetime(2024, 1, 1, 10, 2)
-    df = _calls(spark, [(1, 1, t0, True, 100), (2, 1, t0, False, 900)])
+    df = _calls(spark, [(1, 1, t0, True, 100), (2, 1, t0, False, 1000)])
     out = SM.stream_alerts(df).collect()
     kinds = {(r.severity, r.metric) for r in out}
     assert kinds == {("error", "error_rate"), ("warning", "avg_latency_ms")}
