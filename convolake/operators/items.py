@@ -147,9 +147,9 @@ def top_tags(df: DataFrame, n: int = 20, by: Sequence[str] = ("skill_id",)) -> D
 
 
 def skill_token_totals(df: DataFrame) -> DataFrame:
-    """Op 56: items and tokens per skill."""
-    return df.groupBy("skill_id").agg(F.count("*").alias("items"),
-                                      F.sum("tokens").cast("bigint").alias("tokens"))
+    """Op 56: unarchived items and their tokens per skill."""
+    return (df.where(~F.col("is_archived")).groupBy("skill_id")
+            .agg(F.count("*").alias("items"), F.sum("tokens").cast("bigint").alias("tokens")))
 
 
 # --- bulk edits and promotion (80-81) -----------------------------------

@@ -87,7 +87,8 @@ def q_top_tags(t):
 
 
 @query("skill_token_totals", """
-SELECT skill_id, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens FROM v_extracted GROUP BY 1""")
+SELECT skill_id, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens FROM v_extracted WHERE NOT is_archived
+GROUP BY 1""")
 def q_skill_tokens(t):
     return IT.skill_token_totals(V.extracted(t))
 
