@@ -155,31 +155,39 @@ def _ext_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
-def expand_archives(files: DataFrame) -> DataFrame:
+def expand_archives(files: DataFrame, flush_bytes: int = 64 << 20) -> DataFrame:
     """Op 4: one row per supported member of zip / tar / tar.gz files
     (nested archives skipped for zip); other files pass through.
 
-    Member paths are ``archive!/member``.  Archives are repartitioned by path
-    first so that the expansion of large archives spreads over tasks.
+    Member paths are ``archive!/member``.  Members are emitted in batches of
+    at most ``flush_bytes`` so a large archive never materialises as one
+    pandas frame, and the members are repartitioned by path afterwards so
+    the (CPU-heavy) decoding of one big archive spreads over many tasks.
     """
     ext = _ext_of(F.col("path"))
     is_arc = ext.isin(*ARCHIVE_EXT)
     plain = files.where(~is_arc).select("path", "content")
-    arcs = files.where(is_arc).select("path", "content").repartition("path")
+    arcs = files.where(is_arc).select("path", "content")
     allowed = ALLOWED_EXT
+    cols = ["path", "content", "archive_error"]
 
     def expand(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
+            rows, size = [], 0
             for p, b in zip(pdf["path"], pdf["content"]):
                 try:
                     for name, data in D.archive_members(p, bytes(b), allowed):
                         rows.append((f"{p}!/{name}", data, None))
+                        size += len(data)
+                        if size >= flush_bytes:
+                            yield pd.DataFrame(rows, columns=cols)
+                            rows, size = [], 0
                 except Exception as e:  # noqa: BLE001 - one bad archive must not fail the job
                     rows.append((p, None, f"Parse error: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "content", "archive_error"])
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
 
-    members = arcs.mapInPandas(expand, "path string, content binary, archive_error string")
+    members = arcs.mapInPandas(expand, "path string, content binary, archive_error string").repartition("path")
     return plain.withColumn("archive_error", F.lit(None).cast("string")).unionByName(members)
 
 
