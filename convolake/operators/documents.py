@@ -248,6 +248,8 @@ def mail_to_rows(files: DataFrame) -> DataFrame:
     date, first text/plain body)."""
     x = _route(files).where(F.col("handler").isin("eml", "mbox")).select("path", "content", "handler")
 
+    cols = ["path", "message_no", "subject", "from", "to", "date", "body", "error"]
+
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
@@ -255,9 +257,13 @@ def mail_to_rows(files: DataFrame) -> DataFrame:
                 try:
                     for i, m in enumerate(D.mail_messages(bytes(b), h == "mbox")):
                         out.append((p, i, m["subject"], m["from"], m["to"], m["date"], m["body"], None))
+                        if len(out) >= 10_000:  # a large mailbox is emitted in bounded batches
+                            yield pd.DataFrame(out, columns=cols)
+                            out = []
                 except Exception as e:  # noqa: BLE001
                     out.append((p, 0, None, None, None, None, None, f"Parse error: {e}"))
-            yield pd.DataFrame(out, columns=["path", "message_no", "subject", "from", "to", "date", "body", "error"])
+            if out:
+                yield pd.DataFrame(out, columns=cols)
 
     return x.mapInPandas(rows, "path string, message_no int, subject string, from string, to string, "
                                "date string, body string, error string")
