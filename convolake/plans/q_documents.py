@@ -18,7 +18,7 @@ from convolake.operators import documents as DOC
 from convolake.operators import curation as C
 from convolake.plans import views as V
 from convolake.plans.catalog import query
-from convolake.session import ensure_checkpoint_dir
+from convolake.session import cut_lineage, ensure_checkpoint_dir
 from convolake.sources import columns as SC
 from convolake.sources import files as SF
 from convolake.sources import logs as SL
@@ -319,7 +319,9 @@ def q_types_by_category(t):
 @query("ingest_summary")
 def q_ingest_summary(t):
     from convolake.operators.items import chunk_text
-    parsed = DOC.extract_text(DOC.expand_archives(document_files(t)))
+    # parsed files feed two aggregates: decode once, cut the lineage (reliable
+    # checkpoint in spark.checkpoint.dir) and read the result twice
+    parsed = cut_lineage(DOC.extract_text(DOC.expand_archives(document_files(t))))
     items = chunk_text(parsed.where(F.size("errors") == 0), "text", 2000, "\n")
     summary, _ = DOC.ingest_summary(parsed, items)
     return summary
