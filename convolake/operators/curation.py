@@ -260,8 +260,6 @@ def exchange_pairs(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
     the join key (conversation, number) spreads one huge conversation over
     all tasks.
     """
-    if balanced and history is None:
-        raise ValueError("balanced rendering needs a bounded history")
     if balanced:
         from convolake.functions.ordering import row_number_within
         n = row_number_within(turns.select(conv, order, "role", "text"), [conv], [F.col(order)], "__n")
