@@ -11,7 +11,7 @@ from convolake.sources.logs import write_training_set
 
 def training_cycle(log: DataFrame, as_of, out_path: str, history_path: str, days: int = 7,
                    min_examples: int = 10, version: str | None = None) -> DataFrame:
-    """Gate (op 60) → preference dataset (op 94) → versioned JSONL output per
+    """Op 123: gate (op 60) → preference dataset (op 94) → versioned JSONL output per
     skill (op 7) → one history row per trained skill.
 
     Every skill is handled in the same job (no per-skill loop or re-read of
