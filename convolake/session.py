@@ -31,7 +31,7 @@ LOCAL_DEFAULTS = {
 
 
 def get_spark(app: str = "convolake", master: str | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Return the active session, building a local one if none exists."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -43,6 +43,8 @@ def get_spark(app: str = "convolake", master: str | None = None,
     builder = builder.config("spark.sql.shuffle.partitions",
                              str(shuffle_partitions or int(cpus)))
     builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
