@@ -56,16 +56,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a shared, fault-tolerant folder and is
     read as is.  Only when it is unset (local tests) a fresh scratch folder
-    is created and set.
+    is created and registered with the context (the setting itself cannot be
+    changed on a running session).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="convolake-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
+    sc = None
     try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - Spark Connect: the server reads spark.checkpoint.dir itself
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no local context
         pass
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
+    if not d:
+        d = tempfile.mkdtemp(prefix="convolake-ckpt-", dir="/tmp")
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
