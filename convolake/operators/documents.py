@@ -59,14 +59,24 @@ def _strip(c: Column) -> Column:
 # HTML entities decoded by html_to_text (&amp; last).
 HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                  ("&apos;", "'"), ("&amp;", "&")]
-BLOCK_TAGS = "p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title|blockquote|pre"
+BLOCK_TAGS = "p|div|br|ul|ol|tr|table|section|article|header|footer|nav|blockquote|pre|body|html"
 
 
 def html_text(c) -> Column:
-    """HTML → text: drop script/style/comments, block tags become line
-    breaks, other tags vanish, entities decoded, blank lines squeezed."""
-    x = F.regexp_replace(_c(c), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    """HTML → Markdown-flavoured text: head, script, style and comments
+    dropped; headings become ``#`` lines, links ``[text](href)``, list items
+    ``* ``, bold ``**``, italics ``_``; other block tags become line breaks,
+    remaining tags vanish, entities are decoded and blank runs squeezed
+    (no line wrapping)."""
+    x = F.regexp_replace(_c(c), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
+    x = F.regexp_replace(x, r"(?is)<head\b.*?</head\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
+    for n in range(1, 7):
+        x = F.regexp_replace(x, rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n" + "#" * n + " $1\n")
+    x = F.regexp_replace(x, r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)")
+    x = F.regexp_replace(x, r"(?i)<li\b[^>]*>", "\n  * ")
+    x = F.regexp_replace(x, r"(?i)</?(b|strong)\b[^>]*>", "**")
+    x = F.regexp_replace(x, r"(?i)</?(i|em)\b[^>]*>", "_")
     x = F.regexp_replace(x, rf"(?i)</?({BLOCK_TAGS})\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
     for ent, ch in HTML_ENTITIES:

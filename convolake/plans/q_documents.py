@@ -28,7 +28,15 @@ ENT = DOC.HTML_ENTITIES
 
 def html_sql(c: str) -> str:
     x = f"regexp_replace({c}, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is)<head\\b.*?</head\\s*>', ' ', 'g')"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    for n in range(1, 7):
+        x = (f"regexp_replace({x}, '(?is)<h{n}\\b[^>]*>(.*?)</h{n}\\s*>', "
+             f"chr(10) || '{'#' * n} \\1' || chr(10), 'g')")
+    x = f"regexp_replace({x}, '(?is)<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"
+    x = f"regexp_replace({x}, '(?i)<li\\b[^>]*>', chr(10) || '  * ', 'g')"
+    x = f"regexp_replace({x}, '(?i)</?(b|strong)\\b[^>]*>', '**', 'g')"
+    x = f"regexp_replace({x}, '(?i)</?(i|em)\\b[^>]*>', '_', 'g')"
     x = f"regexp_replace({x}, '(?i)</?({DOC.BLOCK_TAGS})\\b[^>]*>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for ent, ch in ENT:

@@ -24,7 +24,10 @@ def test_op83_html(spark):
     html = ("<html><head><title>T &amp; Co</title><style>p{}</style><script>var x='<p>';</script></head>"
             "<body><p>Hello&nbsp;world</p><div>Line <b>two</b></div></body></html>")
     r = DOC.html_to_text(spark.createDataFrame([(html,)], "html string")).collect()[0]
-    assert r.title == "T & Co" and r.text == "T & Co\nHello world\nLine two"
+    assert r.title == "T & Co" and r.text == "Hello world\nLine **two**"
+    md = ("<body><h2>Title</h2><ul><li><a href=\"/x\">X</a></li><li><em>y</em></li></ul></body>")
+    r2 = DOC.html_to_text(spark.createDataFrame([(md,)], "html string")).collect()[0]
+    assert r2.text == "## Title\n* [X](/x)\n* _y_"
 
 
 def test_op84_rows_to_text(spark):
