@@ -74,10 +74,10 @@ def dataset_quality(df: DataFrame, tiers: DataFrame, key: str = "skill_id", user
     return x.select(
         key, "examples", "avg_tokens", "topics", "min_response_words", "max_response_words", "response_words_stddev",
         "question_openers",
-        F.element_at(names, rk("__r_examples") + 1).alias("examples_tier"),
-        F.element_at(names, rk("__r_avg_tokens") + 1).alias("tokens_tier"),
-        F.element_at(names, rk("__r_topics") + 1).alias("topics_tier"),
-        F.element_at(names, overall + 1).alias("overall_tier"),
+        F.try_element_at(names, rk("__r_examples") + 1).alias("examples_tier"),
+        F.try_element_at(names, rk("__r_avg_tokens") + 1).alias("tokens_tier"),
+        F.try_element_at(names, rk("__r_topics") + 1).alias("topics_tier"),
+        F.try_element_at(names, overall + 1).alias("overall_tier"),
         F.when(F.col("__next").isNotNull(), F.col("__next") - F.col("examples")).alias("missing_to_next_tier"))
 
 

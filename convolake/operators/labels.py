@@ -286,7 +286,7 @@ def classify_files(df: DataFrame, name: str = "name", patterns=None, ext_steps=N
     by_ext = first_match(ext, [(s, [e]) for e, s in ext_steps.items()], how="equals")
     step = F.coalesce(by_name, by_ext, F.lit(10)).cast("int")
     names = F.array(*[F.lit(n) for n in L.STEP_NAMES])
-    return df.withColumn("step", step).withColumn("step_name", F.element_at(names, step))
+    return df.withColumn("step", step).withColumn("step_name", F.try_element_at(names, step))
 
 
 def voice_context(df: DataFrame, personas: DataFrame, modifiers: DataFrame, skill: str = "skill_id",

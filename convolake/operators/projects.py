@@ -28,7 +28,7 @@ def project_steps(files: DataFrame, project: str = "project_id") -> DataFrame:
     grid = projects.select(project, F.explode(F.sequence(F.lit(1), F.lit(10))).alias("step"))
     names = F.array(*[F.lit(n) for n in L.STEP_NAMES])
     x = grid.join(per, [project, "step"], "left")
-    return x.select(project, "step", F.element_at(names, F.col("step")).alias("step_name"),
+    return x.select(project, "step", F.try_element_at(names, F.col("step")).alias("step_name"),
                     F.when(F.col("n_files") > 0, "complete").otherwise("pending").alias("status"),
                     F.coalesce("n_files", F.lit(0)).alias("n_files"), "first_file")
 

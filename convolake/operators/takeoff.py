@@ -48,14 +48,15 @@ def path_length(points: Column, closed: Column) -> Column:
     segs = F.zip_with(F.slice(points, 1, F.greatest(n - 1, F.lit(0))),
                       F.slice(points, 2, F.greatest(n - 1, F.lit(0))), _dist)
     open_len = F.aggregate(segs, F.lit(0.0), lambda acc, d: acc + d)
-    closing = F.when(closed & (n > 1), _dist(F.element_at(points, -1), F.element_at(points, 1))).otherwise(0.0)
+    first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
+    closing = F.when(closed & (n > 1), _dist(last, first)).otherwise(0.0)
     return open_len + closing
 
 
 def entity_length(type_col: str = "type") -> Column:
     """Raw length of a LINE (start–end) or LWPOLYLINE (segments), else null."""
     p = F.col("points")
-    return (F.when(F.col(type_col) == "LINE", _dist(F.element_at(p, 1), F.element_at(p, 2)))
+    return (F.when(F.col(type_col) == "LINE", _dist(F.try_element_at(p, F.lit(1)), F.try_element_at(p, F.lit(2))))
             .when(F.col(type_col) == "LWPOLYLINE", path_length(p, F.coalesce(F.col("closed"), F.lit(False)))))
 
 
@@ -101,7 +102,7 @@ def entity_bounds(entities: DataFrame) -> DataFrame:
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
     r = F.coalesce(F.col("radius"), F.lit(0.0))
     round_ = F.col("type").isin("CIRCLE", "ARC")
-    c = F.element_at("points", 1)
+    c = F.try_element_at("points", F.lit(1))
     minx = F.when(round_, c["x"] - r).otherwise(F.array_min(xs))
     maxx = F.when(round_, c["x"] + r).otherwise(F.array_max(xs))
     miny = F.when(round_, c["y"] - r).otherwise(F.array_min(ys))
@@ -142,7 +143,7 @@ def spec_notes(entities: DataFrame, units: DataFrame) -> DataFrame:
     2 dp), dimensions (raw and feet at 4 dp) and leaders, one row each with
     a ``kind``."""
     x = with_feet(entities.where(F.col("type").isin("TEXT", "MTEXT", "DIMENSION", "LEADER")), units)
-    loc = F.element_at("points", 1)
+    loc = F.try_element_at("points", F.lit(1))
     kind = F.when(F.col("type").isin("TEXT", "MTEXT"), "note").when(F.col("type") == "DIMENSION", "dimension") \
         .otherwise("leader")
     note = F.col("type").isin("TEXT", "MTEXT")
@@ -162,7 +163,7 @@ def entity_full(entities: DataFrame, units: DataFrame) -> DataFrame:
     columns (null where a column does not apply)."""
     x = with_feet(entities, units)
     t = F.col("type")
-    p1, p2 = F.element_at("points", 1), F.element_at("points", 2)
+    p1, p2 = F.try_element_at("points", F.lit(1)), F.try_element_at("points", F.lit(2))
     ln = _dist(p1, p2)
     is_ = lambda *ks: t.isin(*ks)
     return x.select(

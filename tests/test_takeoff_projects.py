@@ -91,3 +91,11 @@ def test_polygon_area(spark):
     df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)],)],
                                "points array<struct<x:double,y:double>>")
     assert df.select(TK.polygon_area(F.col("points")).alias("a")).collect()[0].a == 12.0
+
+
+def test_entities_with_missing_points_do_not_fail(spark):
+    df = ent(spark, [{"type": "TEXT", "text": "x", "points": []}, {"type": "LWPOLYLINE", "points": []},
+                     {"points": []}])
+    assert TK.entity_full(df, V.units(spark)).count() == 3
+    assert TK.spec_notes(df, V.units(spark)).collect()[0].x is None
+    assert TK.linear_feet(df, V.units(spark)).where("is_total").collect()[0].linear_feet == 0.0
