@@ -303,7 +303,10 @@ def extract_text(files: DataFrame) -> DataFrame:
     """
     r = _route(files)
     h = F.col("handler")
-    raw = F.decode(F.col("content"), "UTF-8")
+    # lenient UTF-8: a binary→string cast never fails on malformed bytes
+    # (``decode`` raises); the replacement characters are dropped, which is
+    # reading with errors ignored
+    raw = F.regexp_replace(F.col("content").cast("string"), "\ufffd", "")
     text = (F.when(h == "rtf", rtf_text(raw)).when(h == "xml", xml_text(raw))
             .when(h == "env", redact_text(raw)).when(h == "html", html_text(raw))
             .when(h == "srt", srt_text(raw)).when(h == "ass", ass_text(raw))

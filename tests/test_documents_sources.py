@@ -86,10 +86,12 @@ def test_op4_expand_archives(spark):
 
 def test_op82_extract_text_routes_and_never_fails(spark):
     df = files_df(spark, [("/d/a.txt", b"plain"), ("/d/b.html", b"<title>t</title><p>x</p>"),
+                          ("/d/bad.txt", b"ok \xff\xfe text"),
                           ("/d/c.docx", b"broken"), ("/d/d.png", b"\x89PNG"), ("/d/e.pdf", b"%PDF"),
                           ("/d/f.weird", b"?"), ("/d/g.env", b"A=1\n#c"), ("/d/h.py", b"print(1)")])
     out = {r.path: r for r in DOC.extract_text(df).collect()}
     assert out["/d/a.txt"].text == "plain" and out["/d/b.html"].metadata["title"] == "t"
+    assert out["/d/bad.txt"].text == "ok  text"
     assert out["/d/c.docx"].errors and out["/d/d.png"].metadata == {"needs_ocr": "true"}
     assert out["/d/e.pdf"].errors == ["Decoder not available: pdf"]
     assert out["/d/f.weird"].errors == ["Unsupported: weird"]
