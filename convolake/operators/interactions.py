@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions.columns import pct, round_half_up, round_int, safe_div, trunc_ts
 from convolake.functions.sizing import broadcast_if_small
+from convolake.functions.skew import salted_join
 
 SYSTEMS = ("fast", "deep")
 
@@ -154,18 +155,22 @@ def mark_exported(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFram
             .drop("__id", "__hit"))
 
 
-def session_feedback(interactions: DataFrame, feedback: DataFrame) -> DataFrame:
+def session_feedback(interactions: DataFrame, feedback: DataFrame, salt_buckets: int | None = None) -> DataFrame:
     """Op 45: a session rating applies to all interactions of the session.
 
     ``feedback`` (session_id, rating, ts): ratings outside 1..5 are rejected;
     the latest valid rating per session wins.  Feedback is reduced to one
     row per session before the join (map-side partial aggregation), so a hot
-    session cannot multiply rows; AQE splits a skewed left side.
+    session cannot multiply rows; AQE splits a skewed left side, and
+    ``salt_buckets`` spreads a hot session explicitly (salted join).
     """
     latest = (feedback.where(F.col("rating").between(1, 5))
               .groupBy("session_id")
               .agg(F.max_by(F.col("rating"), F.struct("ts", "rating")).alias("__rating")))
-    out = interactions.join(latest, "session_id", "left")
+    if salt_buckets:
+        out = salted_join(interactions, latest, ["session_id"], "left", salt_buckets)
+    else:
+        out = interactions.join(latest, "session_id", "left")
     rated = F.col("__rating").isNotNull()
     return (out.withColumn("user_feedback", F.when(rated, F.col("__rating").cast("int"))
                            .otherwise(F.col("user_feedback")))

@@ -54,3 +54,16 @@ def test_session_feedback_hot_session(spark):
     out = I.session_feedback(inter, fb)
     assert out.count() == inter.count()
     assert out.where(F.col("session_id") == -1).select("user_feedback").distinct().count() == 1
+
+
+def test_salted_session_feedback_equals_plain(spark):
+    t = V.Tables(spark, SF)
+    inter = V.interactions(t).withColumn("session_id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(
+        F.col("session_id")))
+    fb = t.events.select(F.col("user_id").alias("session_id"), (F.floor(F.col("value")) % 7).cast("int").alias("rating"),
+                         F.col("ts"))
+    fb = fb.unionByName(fb.where(F.col("session_id") == 7).withColumn("session_id", F.lit(-1).cast("bigint")))
+    cols = ["id", "session_id", "user_feedback", "call_completed"]
+    a = sorted(map(tuple, I.session_feedback(inter, fb).select(*cols).collect()))
+    b = sorted(map(tuple, I.session_feedback(inter, fb, salt_buckets=8).select(*cols).collect()))
+    assert a == b
