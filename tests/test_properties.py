@@ -1,0 +1,70 @@
+"""Property tests on generated inputs."""
+
+import datetime as dt
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from convolake.functions.ordering import row_number_within
+from convolake.operators import adapters as AD
+from convolake.operators import curation as C
+from convolake.operators import items as IT
+
+SETTINGS = dict(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+para = st.text(alphabet="abcdefgh ", min_size=1, max_size=30).map(lambda s: "x" + s.strip() + "y")
+
+
+@settings(**SETTINGS)
+@given(paras=st.lists(para, min_size=1, max_size=12), max_chars=st.integers(5, 80))
+def test_op90_chunks_concatenate_back(spark, paras, max_chars):
+    text = "\n\n".join(paras)
+    df = spark.createDataFrame([(text,)], "text string")
+    chunks = [r.chunk for r in IT.chunk_text(df, "text", max_chars).orderBy("chunk_no").collect()]
+    assert "\n\n".join(chunks) == text
+
+
+@settings(**SETTINGS)
+@given(n_manual=st.integers(0, 6), flags=st.lists(st.booleans(), max_size=8))
+def test_op74_count_is_sum_of_parts(spark, n_manual, flags):
+    manual = spark.createDataFrame([("s", f"q{i}", "a") for i in range(n_manual)],
+                                   "skill_id string, user_message string, assistant_response string")
+    ext = spark.createDataFrame([("s", f"e{i}", "a", f) for i, f in enumerate(flags)],
+                                "skill_id string, user_input string, assistant_response string, is_archived boolean")
+    assert C.all_training_examples(manual, ext).count() == n_manual + sum(1 for f in flags if not f)
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.sampled_from("abc"), st.one_of(st.none(), st.floats(0, 5)), st.integers(0, 9)),
+                     min_size=1, max_size=15))
+def test_op65_one_row_per_skill(spark, rows):
+    data = [(f"id{i}", s, l, dt.datetime(2024, 1, 1 + d), "completed") for i, (s, l, d) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id string, skill_id string, final_loss double, created_at timestamp_ntz, "
+                                     "status string")
+    best = AD.best_adapter(df).collect()
+    assert sorted(r.skill_id for r in best) == sorted({s for s, _, _ in rows})
+    rep = {r.skill_id: r.kept_id for r in AD.adapter_cleanup_report(df).collect()}
+    assert all(rep[r.skill_id] == r.id for r in best if r.skill_id in rep)
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.sampled_from("kkkkxyz"), st.integers(-5, 5)), min_size=1, max_size=40),
+       parts=st.integers(1, 6))
+def test_row_number_within_matches_window(spark, rows, parts):
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "k string, v int, id int")
+    got = row_number_within(df, ["k"], [F.desc("v"), F.asc("id")], "rn", num_partitions=parts)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), "id")))
+    assert sorted(map(tuple, got.select("id", "rn").collect())) == sorted(map(tuple, want.select("id", "rn").collect()))
+
+
+@settings(**SETTINGS)
+@given(ids=st.lists(st.integers(0, 20), max_size=15))
+def test_op76_insert_is_idempotent(spark, ids):
+    base = spark.createDataFrame([(0, "b")], "id int, v string")
+    new = spark.createDataFrame([(i, "n") for i in ids], "id int, v string")
+    from convolake.operators.changes import insert_new_only
+    t1, _ = insert_new_only(base, new)
+    t2, ins2 = insert_new_only(t1, new)
+    assert ins2.count() == 0 and t2.count() == len(set(ids) | {0})
