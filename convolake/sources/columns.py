@@ -9,8 +9,12 @@ from pyspark.sql.types import ArrayType, DataType, MapType, _parse_datatype_stri
 
 def decode_json_columns(df: DataFrame, specs: dict[str, DataType | str]) -> DataFrame:
     """Op 6: decode JSON text columns in place; null / empty / invalid text
-    becomes an empty array or map (structs stay null)."""
+    becomes an empty array or map (structs stay null).  The spec
+    ``"variant"`` keeps free-form JSON as a VARIANT (``try_parse_json``)."""
     for col, t in specs.items():
+        if t == "variant":
+            df = df.withColumn(col, F.try_parse_json(F.nullif(F.trim(F.col(col)), F.lit(""))))
+            continue
         dt = _parse_datatype_string(t) if isinstance(t, str) else t
         parsed = F.from_json(F.nullif(F.trim(F.col(col)), F.lit("")), dt, {"mode": "PERMISSIVE"})
         if isinstance(dt, ArrayType):

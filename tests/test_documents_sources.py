@@ -169,3 +169,12 @@ def test_op58_op62(spark):
     s = summary.collect()[0]
     assert (s.files_total, s.files_ok, s.files_failed, s.items_extracted) == (3, 2, 1, 2)
     assert [tuple(r) for r in errors.collect()] == [("c", "boom")]
+
+
+def test_schemas_parse_and_variant(spark):
+    from convolake.schemas import DDL, schema
+    assert all(len(schema(n).fields) > 3 for n in DDL)
+    df = spark.createDataFrame([('{"a": {"b": 2}}',), ("not json",)], "meta string")
+    out = SC.decode_json_columns(df, {"meta": "variant"})
+    vals = [r.v for r in out.select(F.expr("variant_get(meta, '$.a.b', 'int')").alias("v")).collect()]
+    assert vals == [2, None]
