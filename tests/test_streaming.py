@@ -140,3 +140,18 @@ def test_epoch_sink_is_idempotent(spark):
     sink(batch, 0)   # replay of the same epoch
     sink(batch, 1)
     assert spark.read.parquet(d).count() == 2
+
+
+def test_stream_turns_equals_batch_twin(spark):
+    from convolake.plans.q_streaming import frames_of
+    d = tempfile.mkdtemp(dir="/tmp")
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    conv.write.parquet(d + "/conv")
+    stream = spark.readStream.schema(conv.schema).parquet(d + "/conv")
+    q = (ST.stream_turns(frames_of(stream)).writeStream.format("parquet")
+         .option("checkpointLocation", d + "/ck").trigger(availableNow=True).start(d + "/out"))
+    q.awaitTermination()
+    s = spark.read.parquet(d + "/out")
+    b = ST.turns_batch(frames_of(conv))
+    key = ["call_id", "ts", "kind", "from_state", "to_state", "text"]
+    assert sorted(map(tuple, s.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
