@@ -33,28 +33,37 @@ def _norm(c) -> Column:
 # --- containment join of a rule table -------------------------------------
 
 def contains_join(probe: DataFrame, id_col: str, text: Column, rules: DataFrame, pattern_col: str,
-                  limit: int = BROADCAST_LIMIT) -> DataFrame:
+                  limit: int = BROADCAST_LIMIT, gram: int = 4) -> DataFrame:
     """All (probe id, rule row) pairs where the rule pattern occurs in the text.
 
     Small rule tables: broadcast nested-loop join on ``contains``.  Larger
-    ones: every substring of the text whose length equals some pattern
-    length is generated and equi-joined with the patterns (shuffle join,
-    exact, no cartesian product).
+    ones: a q-gram filter join – every pattern is keyed by its first
+    ``min(len, gram)`` characters, every text emits its distinct grams of
+    those (at most ``gram``) lengths, the two are equi-joined (shuffle join,
+    no cartesian product) and each candidate pair is verified with
+    ``contains``.  Exact: an occurrence of a pattern always contains its
+    prefix gram; the text side grows by at most ``gram`` rows per character.
     """
     p = probe.select(F.col(id_col).alias("__id"), text.alias("__t"))
     size = estimated_bytes(rules)
     if size is not None and size <= limit:
         return p.join(F.broadcast(rules), F.col("__t").contains(F.col(pattern_col)), "inner").drop("__t")
-    # the distinct pattern lengths (bounded by the longest pattern) as one
-    # scalar array – each text expands to its substrings of those lengths
-    lens = rules.select(F.array_sort(F.collect_set(F.length(pattern_col)))).scalar()
-    subs = (p.select("__id", "__t", F.explode(lens).alias("__len"))
-            .where(F.col("__len") <= F.length("__t"))
-            .select("__id", "__t", "__len",
-                    F.explode(F.sequence(F.lit(1), F.length("__t") - F.col("__len") + 1)).alias("__pos"))
-            .select("__id", F.substring(F.col("__t"), F.col("__pos"), F.col("__len")).alias("__sub"))
-            .distinct())
-    return subs.join(rules, F.col("__sub") == F.col(pattern_col), "inner").drop("__sub")
+    r = (rules.where(F.length(pattern_col) > 0)
+         .withColumn("__k", F.least(F.length(pattern_col), F.lit(gram)))
+         .withColumn("__g", F.substring(F.col(pattern_col), 1, F.col("__k"))))
+    # the distinct gram lengths (at most ``gram`` values) as one scalar array
+    lens = r.select(F.array_sort(F.collect_set("__k"))).scalar()
+    grams = (p.select("__id", F.explode(lens).alias("__k2"), F.length("__t").alias("__n"), "__t")
+             .where(F.col("__k2") <= F.col("__n"))
+             .select("__id", "__k2", F.explode(F.sequence(F.lit(1), F.col("__n") - F.col("__k2") + 1)).alias("__pos"),
+                     "__t")
+             .select("__id", "__k2", F.substring(F.col("__t"), F.col("__pos"), F.col("__k2")).alias("__g2"))
+             .distinct())
+    texts = p.select(F.col("__id").alias("__id3"), "__t")
+    cand = grams.join(r, (F.col("__k2") == F.col("__k")) & (F.col("__g2") == F.col("__g")), "inner")
+    cand = cand.join(texts, F.col("__id") == F.col("__id3"), "inner")
+    hits = cand.where(F.col("__t").contains(F.col(pattern_col)))
+    return hits.drop("__k", "__g", "__k2", "__g2", "__id3", "__t").dropDuplicates()
 
 
 # --- 39-42: codes, routing, skill matching -------------------------------

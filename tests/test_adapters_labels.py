@@ -198,3 +198,15 @@ def test_op97_references(spark):
     r = LB.extract_references(df).collect()[0]
     assert r.sections == ["075423"] and r.sheet_refs == ["A-101", "A101"]
     assert r.trade_codes == ["075423 "]
+
+
+def test_qgram_join_matches_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    alpha = "abcde "
+    texts = [(i, "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 60)))) for i in range(200)]
+    pats = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 7))) for _ in range(60)})
+    q = spark.createDataFrame(texts, "id int, t string")
+    rules = spark.createDataFrame([(p,) for p in pats], "p string")
+    got = sorted(map(tuple, LB.contains_join(q, "id", q["t"], rules, "p", limit=-1).collect()))
+    assert got == sorted({(i, p) for i, t in texts for p in pats if p in t})
