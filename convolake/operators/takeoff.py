@@ -195,3 +195,24 @@ def polygon_area(points: Column) -> Column:
     nxt = F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
     cross = F.zip_with(points, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v)) / 2
+
+
+def takeoff_lenses(entities: DataFrame, units: DataFrame,
+                   lenses: Sequence[str] = ("preview", "bounds", "linear_feet", "blocks", "matrix", "specs", "full")
+                   ) -> dict[str, DataFrame]:
+    """All takeoff lenses (ops 109-115) from one scan of the entity table.
+
+    The entity table is persisted (memory, spilling to disk) so the lenses
+    share one read of the source; a lost executor only recomputes its
+    blocks from the lineage.  Call ``unpersist()`` on the returned
+    ``"_entities"`` frame when done.
+    """
+    from pyspark import StorageLevel
+    e = entities.persist(StorageLevel.MEMORY_AND_DISK)
+    build = {"preview": lambda: entity_preview(e), "bounds": lambda: entity_bounds(e),
+             "linear_feet": lambda: linear_feet(e, units), "blocks": lambda: block_counts(e),
+             "matrix": lambda: entity_matrix(e), "specs": lambda: spec_notes(e, units),
+             "full": lambda: entity_full(e, units)}
+    out = {name: build[name]() for name in lenses}
+    out["_entities"] = e
+    return out

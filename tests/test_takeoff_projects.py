@@ -99,3 +99,10 @@ def test_entities_with_missing_points_do_not_fail(spark):
     assert TK.entity_full(df, V.units(spark)).count() == 3
     assert TK.spec_notes(df, V.units(spark)).collect()[0].x is None
     assert TK.linear_feet(df, V.units(spark)).where("is_total").collect()[0].linear_feet == 0.0
+
+
+def test_all_lenses_from_one_scan(spark):
+    df = ent(spark, [{"points": [(0.0, 0.0), (3.0, 4.0)]}, {"type": "INSERT", "block_name": "B"}])
+    lenses = TK.takeoff_lenses(df, V.units(spark))
+    assert lenses["blocks"].count() == 1 and lenses["full"].count() == 2
+    lenses["_entities"].unpersist()
