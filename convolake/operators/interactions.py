@@ -43,7 +43,7 @@ def interaction_cost(df: DataFrame, prices: DataFrame) -> DataFrame:
             .drop("in_price", "out_price"))
 
 
-def reject_reason(df: DataFrame) -> Column:
+def reject_reason() -> Column:
     """First violated constraint of the interactions table (null = valid)."""
     return (F.when(F.col("session_id").isNull(), "session_id is null")
             .when(F.col("skill_id").isNull(), "skill_id is null")
@@ -59,7 +59,7 @@ def validate_interactions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns ``(ok, rejected)``; ``rejected`` carries ``reject_reason``.  A
     CHECK on a null value passes, as in SQL.
     """
-    tagged = df.withColumn("reject_reason", reject_reason(df))
+    tagged = df.withColumn("reject_reason", reject_reason())
     ok = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
     bad = tagged.where(F.col("reject_reason").isNotNull())
     return ok, bad
