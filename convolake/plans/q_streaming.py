@@ -84,7 +84,7 @@ x AS (SELECT *, lag(healthy) OVER (PARTITION BY service ORDER BY checked_at) AS
       WHERE healthy IS NOT NULL),
 ch AS (SELECT * FROM x WHERE previous IS NULL OR previous <> healthy)
 SELECT service, checked_at, previous, healthy, 'state_change' AS event FROM ch
-UNION ALL SELECT service, checked_at, previous, healthy, 'down_alert' FROM ch WHERE NOT healthy"""
+UNION ALL SELECT service, checked_at, previous, healthy, 'down_alert' FROM x WHERE NOT healthy"""
 
 
 @query("stream_health", HEALTH_CHANGES_SQL)

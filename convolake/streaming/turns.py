@@ -224,15 +224,16 @@ def _health_events(service: str, prev, pdf: pd.DataFrame):
             continue
         if prev is None or h != prev:
             rows.append((service, r.checked_at, prev, h, "state_change"))
-            if not h:
-                rows.append((service, r.checked_at, prev, h, "down_alert"))
+        if not h:  # every failed check raises an alert, as the scheduled check does
+            rows.append((service, r.checked_at, prev, h, "down_alert"))
         prev = h
     return rows, prev
 
 
 def stream_health(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Op 118: per service, state changes of the health flag and a down
-    alert whenever a service turns unhealthy (last value kept in state)."""
+    """Op 118: per service, state changes of the health flag (the last value
+    is kept in state between micro-batches) and a down alert for every
+    failed check."""
     def fn(key, pdfs, state):
         prev = state.get[0] if state.exists else None
         rows = []
@@ -255,6 +256,6 @@ def health_batch(df: DataFrame) -> DataFrame:
     x = health_long(df).where(F.col("healthy").isNotNull())
     w = Window.partitionBy("service").orderBy("checked_at")
     x = x.withColumn("previous", F.lag("healthy").over(w))
-    ch = x.where(F.col("previous").isNull() | (F.col("previous") != F.col("healthy")))
-    ev = F.array_compact(F.array(F.lit("state_change"), F.when(~F.col("healthy"), F.lit("down_alert"))))
-    return ch.select("service", "checked_at", "previous", "healthy", F.explode(ev).alias("event"))
+    changed = F.col("previous").isNull() | (F.col("previous") != F.col("healthy"))
+    ev = F.array_compact(F.array(F.when(changed, F.lit("state_change")), F.when(~F.col("healthy"), F.lit("down_alert"))))
+    return x.select("service", "checked_at", "previous", "healthy", F.explode(ev).alias("event"))
