@@ -49,3 +49,30 @@ def trunc_ts(unit: str, c) -> Column:
     undoes the zone shift so results do not depend on the session zone.
     """
     return F.date_trunc(unit, _c(c)).cast("timestamp_ntz")
+
+
+def with_distinct_counts(base, df, by, counts: dict):
+    """Join exact ``count(DISTINCT expr)`` columns onto ``base`` (one row per
+    ``by`` group) without Spark's Expand rewrite.
+
+    Several distinct aggregates in one ``agg`` make Spark replicate every
+    input row once per distinct expression before the shuffle.  Here each
+    distinct count is its own two-step aggregate – (group, value) pairs
+    first, map-side combined, then a count per group – so only distinct
+    pairs are shuffled.  Nulls are not counted, as in ``count(DISTINCT)``.
+    """
+    by = list(by)
+    for alias, expr in counts.items():
+        pairs = df.select(*by, expr.alias("__v")).where(F.col("__v").isNotNull()).distinct()
+        if not by:
+            base = base.withColumn(alias, pairs.select(F.count("*")).scalar())
+            continue
+        d = pairs.groupBy(*by).agg(F.count("*").alias(alias))
+        d = d.select(*[F.col(b).alias(f"__b_{b}") for b in by], alias)
+        cond = None
+        for b in by:
+            c = F.col(b).eqNullSafe(F.col(f"__b_{b}"))
+            cond = c if cond is None else cond & c
+        base = (base.join(d, cond, "left").drop(*[f"__b_{b}" for b in by])
+                .withColumn(alias, F.coalesce(F.col(alias), F.lit(0)).cast("bigint")))
+    return base

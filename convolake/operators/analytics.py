@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.functions.columns import pct, round_half_up, word_count
+from convolake.functions.columns import pct, round_half_up, with_distinct_counts, word_count
 from convolake.functions.sizing import broadcast_if_small
 
 # Data-quality tier thresholds (metric, tier, minimum, rank).
@@ -50,11 +50,11 @@ def dataset_quality(df: DataFrame, tiers: DataFrame, key: str = "skill_id", user
     g = df.groupBy(key).agg(
         F.count("*").alias("examples"),
         round_half_up(F.avg(toks), 1).alias("avg_tokens"),
-        F.countDistinct(topic).alias("topics"),
         F.min(word_count(response)).alias("min_response_words"),
         F.max(word_count(response)).alias("max_response_words"),
-        round_half_up(F.stddev_samp(word_count(response)), 2).alias("response_words_stddev"),
-        F.countDistinct(F.nullif(first, F.lit(""))).alias("question_openers"))
+        round_half_up(F.stddev_samp(word_count(response)), 2).alias("response_words_stddev"))
+    g = with_distinct_counts(g, df, [key], {"topics": F.col(topic),
+                                            "question_openers": F.nullif(first, F.lit(""))})
     tb = broadcast_if_small(tiers, "tiers")
     long = g.select(key, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                             for m in ("examples", "avg_tokens", "topics")])))

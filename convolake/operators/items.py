@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.functions.columns import round_half_up, word_count
+from convolake.functions.columns import round_half_up, with_distinct_counts, word_count
 from convolake.functions.ordering import row_number_within
 
 # Sortable columns of the item listing, item defaults.
@@ -108,10 +108,10 @@ def batch_rows(df: DataFrame, key: str = "skill_id", size: int = 20,
 
 def item_stats(df: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Op 53: totals over unarchived items; archived counted before the
-    filter (Q6).  Distinct counts are exact by default; ``approx=True`` uses
-    HyperLogLog sketches (no Expand of the input for two distinct counts)."""
+    filter (Q6).  Distinct counts are exact by default (separate pair
+    aggregates, no Expand of the input); ``approx=True`` uses HyperLogLog
+    sketches."""
     live = ~F.col("is_archived")
-    distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else F.countDistinct
     aggs = [
         F.count_if(live).alias("total"),
         F.count_if(live & F.col("is_approved")).alias("approved"),
@@ -120,10 +120,12 @@ def item_stats(df: DataFrame, by: Sequence[str] = (), approx: bool = False) -> D
         round_half_up(F.coalesce(F.avg(F.when(live, F.col("importance_score"))), F.lit(0.0)), 1)
         .alias("avg_importance"),
         F.coalesce(F.sum(F.when(live, F.col("tokens"))), F.lit(0)).cast("bigint").alias("total_tokens"),
-        distinct(F.when(live, F.col("category"))).alias("categories_count"),
-        distinct(F.when(live, F.col("source_filename"))).alias("sources_count"),
     ]
-    return df.groupBy(*by).agg(*aggs)
+    distinct = {"categories_count": F.when(live, F.col("category")),
+                "sources_count": F.when(live, F.col("source_filename"))}
+    if approx:
+        return df.groupBy(*by).agg(*aggs, *[F.approx_count_distinct(e, 0.01).alias(a) for a, e in distinct.items()])
+    return with_distinct_counts(df.groupBy(*by).agg(*aggs), df, by, distinct)
 
 
 def category_counts(df: DataFrame, by: Sequence[str] = ("skill_id",)) -> DataFrame:
