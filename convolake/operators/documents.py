@@ -56,7 +56,7 @@ def _strip(c: Column) -> Column:
 
 # --- 83-87: column-expression text transforms ----------------------------
 
-# HTML entities decoded by html_to_text (&amp; last).
+# HTML entities decoded by html_to_text (&amp; last).
 HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                  ("&apos;", "'"), ("&amp;", "&")]
 BLOCK_TAGS = "p|div|br|ul|ol|tr|table|section|article|header|footer|nav|blockquote|pre|body|html"

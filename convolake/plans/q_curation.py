@@ -56,7 +56,7 @@ def q_render_prompt(t):
 
 
 def templates(spark):
-    # Invented prompt templates with {key} placeholders.
+    # Invented prompt templates with {key} placeholders (query parameters).
     rows = [("general", "You are a helpful assistant. Caller {phone} asked about {topic}."),
             ("electrician", "You are an electrician's assistant. Caller {phone}: {topic}. Ref {ticket}."),
             ("plumber", "Plumbing desk for {phone} about {topic}.")]

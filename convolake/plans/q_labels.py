@@ -223,7 +223,7 @@ def q_extract_refs(t):
     return LB.extract_references(t.documents).select("doc_id", "trade_codes", "sheet_refs", "sections", "exclusions")
 
 
-# Fixed values (invented): dialled numbers of the skills.
+# Invented test values: dialled numbers of the skills.
 NUMBER_MAP = [("+15550000001", "electrician"), ("+15550000002", "plumber"), ("+15550000003", "solar"),
               ("+15550000004", "receptionist"), ("+15550000005", "lawyer")]
 

@@ -19,7 +19,7 @@ from pyspark.sql import Window
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
 
-# Names used when mapping numbers onto platform vocabularies.
+# Skill names the driver-table mapping assigns (by event id).
 SKILLS = ["receptionist", "electrician", "plumber", "solar", "general"]
 BASE_TS = "2024-01-01 00:00:00"
 
