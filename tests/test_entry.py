@@ -18,3 +18,14 @@ def test_some_queries_match_schema_on_smoke_data(spark):
     for name in ("hourly_metrics", "best_adapter", "label_emotion", "linear_feet", "html_to_text"):
         df = qs[name](spark, E.SMOKE_DIR)
         assert df.count() >= 0 and len(df.columns) > 0
+
+
+def test_every_registered_query_runs_on_smoke_data(spark):
+    """All 128 queries build and execute over the sf0.001 driver tables."""
+    failures = {}
+    for name, build in E.queries().items():
+        try:
+            build(spark, E.SMOKE_DIR).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - collect every failure for the report
+            failures[name] = str(e)[:200]
+    assert not failures, failures
