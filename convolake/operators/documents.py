@@ -131,19 +131,32 @@ def rtf_text(c) -> Column:
     return _strip(F.regexp_replace(F.regexp_replace(_c(c), r"\\[a-z]+[0-9]* ?", ""), r"[{}]", ""))
 
 
-def xml_text(c) -> Column:
-    """XML/SVG text content: tags removed, one text node per line."""
-    x = F.regexp_replace(_c(c), r"(?s)<\?.*?\?>|<!--.*?-->", "")
-    nodes = F.transform(F.split(F.regexp_replace(x, r"<[^>]*>", "\n"), "\n"), lambda s: _strip(s))
-    x = F.array_join(F.filter(nodes, lambda s: s != ""), "\n")
+def _entities(x: Column) -> Column:
     for ent, ch in HTML_ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
     return x
 
 
+def xml_text(c) -> Column:
+    """XML text content: every text node concatenated in document order
+    (markup removed, no separators added), entities decoded, stripped."""
+    x = F.regexp_replace(_c(c), r"(?s)<\?.*?\?>|<!--.*?-->|<!\[CDATA\[|\]\]>", "")
+    return _strip(_entities(F.regexp_replace(x, r"<[^>]*>", "")))
+
+
+def svg_text(c) -> Column:
+    """SVG text: one line per non-blank text node."""
+    x = F.regexp_replace(_c(c), r"(?s)<\?.*?\?>|<!--.*?-->", "")
+    nodes = F.transform(F.split(F.regexp_replace(x, r"<[^>]*>", "\n"), "\n"), lambda s: _strip(s))
+    return _entities(F.array_join(F.filter(nodes, lambda s: s != ""), "\n"))
+
+
 def strip_markup(df: DataFrame, col: str = "text", fmt: str = "rtf", out: str = "plain_text") -> DataFrame:
-    """Op 86: RTF control words and braces, or XML/SVG text content."""
-    return df.withColumn(out, rtf_text(col) if fmt == "rtf" else xml_text(col))
+    """Op 86: RTF control words and braces (``rtf``), XML text content
+    (``xml``: concatenated text nodes) or SVG text (``svg``: one line per
+    text node)."""
+    f = {"rtf": rtf_text, "xml": xml_text, "svg": svg_text}[fmt]
+    return df.withColumn(out, f(col))
 
 
 def redact_text(c) -> Column:
@@ -307,7 +320,8 @@ def extract_text(files: DataFrame) -> DataFrame:
     # (``decode`` raises); the replacement characters are dropped, which is
     # reading with errors ignored
     raw = F.regexp_replace(F.col("content").cast("string"), "\ufffd", "")
-    text = (F.when(h == "rtf", rtf_text(raw)).when(h == "xml", xml_text(raw))
+    text = (F.when(h == "rtf", rtf_text(raw))
+            .when((h == "xml") & (F.col("file_type") == "svg"), svg_text(raw)).when(h == "xml", xml_text(raw))
             .when(h == "env", redact_text(raw)).when(h == "html", html_text(raw))
             .when(h == "srt", srt_text(raw)).when(h == "ass", ass_text(raw))
             .when(h.isin(*TEXT_HANDLERS), raw))

@@ -45,8 +45,9 @@ def test_op85_captions(spark):
 
 def test_op86_rtf_xml(spark):
     df = spark.createDataFrame([("{\\rtf1\\ansi Hello \\b world\\b0}", "<a><b>x</b><c> y </c></a>")], "r string, x string")
-    r = DOC.strip_markup(DOC.strip_markup(df, "r", "rtf", "o1"), "x", "xml", "o2").collect()[0]
-    assert r.o1 == "Hello world" and r.o2 == "x\ny"
+    r = DOC.strip_markup(DOC.strip_markup(DOC.strip_markup(df, "r", "rtf", "o1"), "x", "xml", "o2"), "x", "svg",
+                         "o3").collect()[0]
+    assert r.o1 == "Hello world" and r.o2 == "x y" and r.o3 == "x\ny"
 
 
 def test_op87_redact(spark):
