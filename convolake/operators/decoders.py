@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import email
 import io
+import json
 import re
 import tarfile
 import zipfile
@@ -141,6 +142,17 @@ def mail_messages(b: bytes, mbox: bool) -> list[dict]:
     return out
 
 
+def json_text(b: bytes) -> tuple[str, dict]:
+    """JSON re-indented with two spaces (non-ASCII escaped, as ``json.dumps``)."""
+    return json.dumps(json.loads(b.decode("utf-8")), indent=2), {"format": "json"}
+
+
+def jsonl_text(b: bytes) -> tuple[str, dict]:
+    """JSON lines → one indented JSON array of the records."""
+    items = [json.loads(line) for line in b.decode("utf-8").splitlines() if line.strip()]
+    return json.dumps(items, indent=2), {"format": "jsonl", "count": str(len(items))}
+
+
 def csv_text(b: bytes, delimiter: str = ",") -> tuple[str, int]:
     reader = csv.DictReader(io.StringIO(b.decode("utf-8", errors="ignore")), delimiter=delimiter)
     rows = [" | ".join(f"{k}: {v}" for k, v in row.items() if v) for row in reader]

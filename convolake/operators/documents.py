@@ -39,8 +39,8 @@ HANDLERS.update({"rtf": "rtf", "csv": "csv", "tsv": "tsv", "json": "json", "json
                  "xlsx": "xlsx", "pptx": "pptx", "odt": "odf", "ods": "odf", "odp": "odf", "pages": "odf",
                  "key": "odf", "epub": "epub", "zip": "archive", "tar": "archive", "gz": "archive",
                  "tgz": "archive"})
-TEXT_HANDLERS = ("text", "rtf", "json", "jsonl", "xml", "env", "html", "srt", "ass")
-PY_HANDLERS = ("csv", "tsv", "eml", "mbox", "docx", "xlsx", "pptx", "odf", "epub")
+TEXT_HANDLERS = ("text", "rtf", "xml", "env", "html", "srt", "ass")
+PY_HANDLERS = ("csv", "tsv", "json", "jsonl", "eml", "mbox", "docx", "xlsx", "pptx", "odf", "epub")
 
 PARSED_SCHEMA = ("path string, text string, pages int, errors array<string>, metadata map<string,string>, "
                  "source_type string, file_type string")
@@ -217,6 +217,9 @@ def expand_archives(files: DataFrame, flush_bytes: int = 64 << 20) -> DataFrame:
 def _decode_one(raw: bytes, h: str) -> tuple[str, int, list, dict]:
     """Decode one binary file; errors are returned as data."""
     try:
+        if h in ("json", "jsonl"):
+            text, meta = D.json_text(raw) if h == "json" else D.jsonl_text(raw)
+            return text, 1, [], meta
         if h in ("eml", "mbox"):
             msgs = D.mail_messages(raw, h == "mbox")
             if h == "eml":
@@ -326,9 +329,6 @@ def extract_text(files: DataFrame) -> DataFrame:
             .when(h == "srt", srt_text(raw)).when(h == "ass", ass_text(raw))
             .when(h.isin(*TEXT_HANDLERS), raw))
     meta = (F.when(h == "html", F.create_map(F.lit("title"), html_title(raw)))
-            .when(h == "json", F.create_map(F.lit("format"), F.lit("json")))
-            .when(h == "jsonl", F.create_map(F.lit("format"), F.lit("jsonl"), F.lit("count"), F.size(
-                F.filter(F.split(raw, "\n"), lambda s: _strip(s) != "")).cast("string")))
             .when(h.isin("xml", "env"), F.create_map(F.lit("format"), F.col("file_type")))
             .when(h == "srt", F.create_map(F.lit("format"), F.lit("srt")))
             .when(h == "ass", F.create_map(F.lit("format"), F.lit("ass")))

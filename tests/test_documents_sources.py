@@ -89,7 +89,9 @@ def test_op82_extract_text_routes_and_never_fails(spark):
     df = files_df(spark, [("/d/a.txt", b"plain"), ("/d/b.html", b"<title>t</title><p>x</p>"),
                           ("/d/bad.txt", b"ok \xff\xfe text"),
                           ("/d/c.docx", b"broken"), ("/d/d.png", b"\x89PNG"), ("/d/e.pdf", b"%PDF"),
-                          ("/d/f.weird", b"?"), ("/d/g.env", b"A=1\n#c"), ("/d/h.py", b"print(1)")])
+                          ("/d/f.weird", b"?"), ("/d/g.env", b"A=1\n#c"), ("/d/h.py", b"print(1)"),
+                          ("/d/i.json", b'{"a": [1, 2]}'), ("/d/j.jsonl", b'{"a": 1}\n\n{"b": 2}\n'),
+                          ("/d/k.json", b"{broken")])
     out = {r.path: r for r in DOC.extract_text(df).collect()}
     assert out["/d/a.txt"].text == "plain" and out["/d/b.html"].metadata["title"] == "t"
     assert out["/d/bad.txt"].text == "ok  text"
@@ -97,6 +99,8 @@ def test_op82_extract_text_routes_and_never_fails(spark):
     assert out["/d/e.pdf"].errors == ["Decoder not available: pdf"]
     assert out["/d/f.weird"].errors == ["Unsupported: weird"]
     assert out["/d/g.env"].text == "A=<redacted>\n#c" and out["/d/h.py"].metadata == {"language": "py"}
+    assert out["/d/i.json"].text == '{\n  "a": [\n    1,\n    2\n  ]\n}'
+    assert out["/d/j.jsonl"].metadata == {"format": "jsonl", "count": "2"} and out["/d/k.json"].errors
 
 
 def test_op88_mail_rows(spark):
