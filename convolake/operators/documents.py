@@ -199,12 +199,16 @@ def expand_archives(files: DataFrame, flush_bytes: int = 64 << 20) -> DataFrame:
             rows, size = [], 0
             for p, b in zip(pdf["path"], pdf["content"]):
                 try:
+                    found = 0
                     for name, data in D.archive_members(p, bytes(b), allowed):
                         rows.append((f"{p}!/{name}", data, None))
+                        found += 1
                         size += len(data)
                         if size >= flush_bytes:
                             yield pd.DataFrame(rows, columns=cols)
                             rows, size = [], 0
+                    if not found:  # keep the archive itself so no input file disappears
+                        rows.append((p, None, None))
                 except Exception as e:  # noqa: BLE001 - one bad archive must not fail the job
                     rows.append((p, None, f"Parse error: {e}"))
             if rows:
@@ -265,7 +269,7 @@ def _decode_udf(content: pd.Series, handler: pd.Series) -> pd.DataFrame:
 
 def office_to_text(files: DataFrame) -> DataFrame:
     """Op 89: zipped office formats (docx, xlsx, pptx, odt/ods/odp, epub)
-    and csv/tsv → text per file via stdlib decoders."""
+    and the other Python-decoded types (csv/tsv, json/jsonl, e-mail) → text per file via stdlib decoders."""
     return _route(files).where(F.col("handler").isin(*PY_HANDLERS)).mapInPandas(_py_decode, PARSED_SCHEMA)
 
 
@@ -335,19 +339,22 @@ def extract_text(files: DataFrame) -> DataFrame:
             .when(F.col("source_type") == "code", F.create_map(F.lit("language"), F.col("file_type")))
             .when(h == "ocr", F.create_map(F.lit("needs_ocr"), F.lit("true")))
             .when(h == "transcribe", F.create_map(F.lit("needs_transcription"), F.lit("true")))
+            .when(h == "archive", F.create_map(F.lit("archive"), F.lit("true")))
             .otherwise(F.create_map().cast("map<string,string>")))
     unsupported = ~h.isin(*TEXT_HANDLERS, *PY_HANDLERS, "ocr", "transcribe", "archive")
     err = F.when(unsupported, F.array(
         F.when(F.col("source_type").isNull(), F.concat(F.lit("Unsupported: "), F.col("file_type")))
         .otherwise(F.concat(F.lit("Decoder not available: "), F.col("file_type"))))) \
         .otherwise(F.array().cast("array<string>"))
-    x = r.where(h != "archive").withColumn(
-        "__bin", _decode_udf(F.when(h.isin(*PY_HANDLERS), F.col("content")), h))
+    # archives reaching this point had no supported member (expand_archives
+    # first): they stay as one empty row, as an empty archive text
+    x = r.withColumn("__bin", _decode_udf(F.when(h.isin(*PY_HANDLERS), F.col("content")), h))
     is_bin = h.isin(*PY_HANDLERS)
     return x.select(
         "path",
         F.when(is_bin, F.col("__bin.text")).otherwise(F.coalesce(text, F.lit(""))).alias("text"),
-        F.when(is_bin, F.col("__bin.pages")).when(unsupported, F.lit(0)).otherwise(F.lit(1)).alias("pages"),
+        F.when(is_bin, F.col("__bin.pages")).when(unsupported | (h == "archive"), F.lit(0)).otherwise(F.lit(1))
+        .alias("pages"),
         F.when(is_bin, F.col("__bin.errors")).otherwise(err).alias("errors"),
         F.when(is_bin, F.col("__bin.metadata")).otherwise(meta).alias("metadata"),
         "source_type", "file_type")

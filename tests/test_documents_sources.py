@@ -79,10 +79,12 @@ def test_op4_expand_archives(spark):
         info.size = 1
         t.addfile(info, io.BytesIO(b"B"))
     df = files_df(spark, [("/x/a.zip", buf.getvalue()), ("/x/b.tgz", tb.getvalue()), ("/x/c.txt", b"C"),
-                          ("/x/bad.zip", b"not a zip")])
+                          ("/x/bad.zip", b"not a zip"), ("/x/d.gz", b"\x1f\x8b")])
     out = {r.path: r.archive_error for r in DOC.expand_archives(df).collect()}
-    assert set(out) == {"/x/a.zip!/a.txt", "/x/b.tgz!/b.md", "/x/c.txt", "/x/bad.zip"}
+    assert set(out) == {"/x/a.zip!/a.txt", "/x/b.tgz!/b.md", "/x/c.txt", "/x/bad.zip", "/x/d.gz"}
     assert out["/x/bad.zip"].startswith("Parse error")
+    parsed = {r.path: r for r in DOC.extract_text(DOC.expand_archives(df)).collect()}
+    assert parsed["/x/d.gz"].metadata == {"archive": "true"} and parsed["/x/a.zip!/a.txt"].text == "A"
 
 
 def test_op82_extract_text_routes_and_never_fails(spark):
