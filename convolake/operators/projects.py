@@ -18,6 +18,7 @@ from convolake.functions.columns import round_half_up
 REC_MISSING = "Upload missing critical documents before proceeding"
 REC_TAPER = "Consider uploading taper plan for accurate insulation takeoff"
 READY_SCORE = 70
+FINDING_EXCLUDES = "Scope excludes: "
 
 
 def project_steps(files: DataFrame, project: str = "project_id") -> DataFrame:
@@ -33,9 +34,15 @@ def project_steps(files: DataFrame, project: str = "project_id") -> DataFrame:
                     F.coalesce("n_files", F.lit(0)).alias("n_files"), "first_file")
 
 
-def project_score(steps: DataFrame, project: str = "project_id") -> DataFrame:
+def project_score(steps: DataFrame, project: str = "project_id",
+                  scope_files: DataFrame | None = None) -> DataFrame:
     """Op 107: score = int(critical/4·70 + done/10·30) in exact integer
-    arithmetic, missing critical documents, readiness and recommendations."""
+    arithmetic, missing critical documents, readiness, recommendations and
+    key findings.
+
+    ``scope_files`` (project_id, name, text) are the scope-of-work files; the
+    exclusion lines found in them (op 97) give the "Scope excludes: …"
+    finding (first three, from the last scope file by name)."""
     done = F.col("status") == "complete"
     crit = F.col("step").between(1, 4)
     missing = F.array_compact(F.array(*[
@@ -49,8 +56,18 @@ def project_score(steps: DataFrame, project: str = "project_id") -> DataFrame:
     g = g.withColumn("score", score)
     recs = F.array_compact(F.array(F.when(F.col("score") < READY_SCORE, F.lit(REC_MISSING)),
                                    F.when(F.coalesce(F.col("__taper_missing"), F.lit(False)), F.lit(REC_TAPER))))
-    return g.select(project, "critical_complete", "completed_steps", "score", "missing_docs",
-                    (F.col("score") >= READY_SCORE).alias("ready"), recs.alias("recommendations"))
+    out = g.select(project, "critical_complete", "completed_steps", "score", "missing_docs",
+                   (F.col("score") >= READY_SCORE).alias("ready"), recs.alias("recommendations"))
+    if scope_files is None:
+        return out.withColumn("key_findings", F.array().cast("array<string>"))
+    from convolake.operators.labels import extract_references
+    ex = (extract_references(scope_files.select(project, "name", "text"), "text")
+          .where(F.size("exclusions") > 0)
+          .groupBy(project).agg(F.max_by(F.slice("exclusions", 1, 3), "name").alias("__ex")))
+    finding = F.when(F.col("__ex").isNotNull(),
+                     F.array(F.concat(F.lit(FINDING_EXCLUDES), F.array_join("__ex", ", "))))
+    return (out.join(ex, project, "left")
+            .withColumn("key_findings", F.coalesce(finding, F.array().cast("array<string>"))).drop("__ex"))
 
 
 def project_effort(areas: DataFrame, details: DataFrame, project: str = "project_id",

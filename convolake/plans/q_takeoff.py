@@ -149,7 +149,7 @@ def q_project_steps(t):
     return steps_df(t)
 
 
-@query("project_score", "WITH " + STEPS_SQL + """,
+@query("project_score", "WITH " + STEPS_SQL + f""",
 g AS (SELECT project_id, count(*) FILTER (WHERE step BETWEEN 1 AND 4 AND status = 'complete') AS critical_complete,
         count(*) FILTER (WHERE status = 'complete') AS completed_steps,
         list_filter([max(CASE WHEN step = 1 AND status <> 'complete' THEN 'Scope of Work' END),
@@ -159,16 +159,27 @@ g AS (SELECT project_id, count(*) FILTER (WHERE step BETWEEN 1 AND 4 AND status
                     lambda x: x IS NOT NULL) AS missing_docs,
         coalesce(bool_or(step = 6 AND status <> 'complete'), false) AS taper_missing
       FROM ps GROUP BY 1)
-SELECT project_id, critical_complete, completed_steps,
+SELECT g.project_id, critical_complete, completed_steps,
   CAST(floor((critical_complete * 700 + completed_steps * 120) / 40) AS INTEGER) AS score, missing_docs,
   CAST(floor((critical_complete * 700 + completed_steps * 120) / 40) AS INTEGER) >= 70 AS ready,
   list_filter([CASE WHEN CAST(floor((critical_complete * 700 + completed_steps * 120) / 40) AS INTEGER) < 70
                  THEN 'Upload missing critical documents before proceeding' END,
                CASE WHEN taper_missing THEN 'Consider uploading taper plan for accurate insulation takeoff' END],
-              lambda x: x IS NOT NULL) AS recommendations
-FROM g""")
+              lambda x: x IS NOT NULL) AS recommendations,
+  CASE WHEN ex.e IS NULL THEN []::VARCHAR[] ELSE ['Scope excludes: ' || array_to_string(ex.e, ', ')] END
+    AS key_findings
+FROM g LEFT JOIN (
+  SELECT project_id, arg_max(list_slice(excl, 1, 3), name) AS e FROM (
+    SELECT project_id, name,
+      CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_slice(list_filter(list_transform(
+          string_split(left(split_part(lower(text), 'exclud', 2), 500), chr(10)),
+          lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10), 1, 10)
+        ELSE [] END AS excl
+    FROM v_files WHERE {step_sql('name')} = 1)
+  WHERE len(excl) > 0 GROUP BY project_id) ex ON g.project_id = ex.project_id""")
 def q_project_score(t):
-    return P.project_score(steps_df(t))
+    f = LB.classify_files(V.files(t))
+    return P.project_score(P.project_steps(f), scope_files=f.where(F.col("step") == 1))
 
 
 @query("project_effort", f"""

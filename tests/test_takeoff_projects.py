@@ -106,3 +106,12 @@ def test_all_lenses_from_one_scan(spark):
     lenses = TK.takeoff_lenses(df, V.units(spark))
     assert lenses["blocks"].count() == 1 and lenses["full"].count() == 2
     lenses["_entities"].unpersist()
+
+
+def test_op107_scope_exclusion_finding(spark):
+    f = files(spark, ["scope.pdf"])
+    scope = spark.createDataFrame([("p", "scope.pdf", "Work items\nExcluded:\nroof drains by others\n"
+                                    "electrical work by owner\nshort\n")], "project_id string, name string, text string")
+    r = P.project_score(P.project_steps(f), scope_files=scope).collect()[0]
+    assert r.key_findings == ["Scope excludes: roof drains by others, electrical work by owner"]
+    assert P.project_score(P.project_steps(f)).collect()[0].key_findings == []
