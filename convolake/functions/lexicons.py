@@ -138,3 +138,19 @@ FILE_TYPES = [
     ("srt", "subtitle", "SRT Subtitles"), ("vtt", "subtitle", "WebVTT Subtitles"), ("ass", "subtitle", "ASS Subtitles"),
     ("ssa", "subtitle", "SSA Subtitles"),
 ]
+
+# Turn-end scoring – base, per end pattern, per continue pattern,
+# pending-question bonus, length adjustment and its word bounds, backchannel
+# and empty-text scores.
+TURN_SCORE = {"base": 0.5, "end": 0.3, "continue": 0.4, "question_pending": 0.2, "length": 0.1,
+              "long_words": 10, "short_words": 3, "backchannel": 0.9, "empty": 0.5}
+
+# Interruption thresholds (milliseconds, words).
+INTERRUPTION = {"backchannel_max_ms": 500, "barge_in_min_ms": 300, "barge_in_min_words": 2}
+
+# Query analysis word bounds and confidences.
+QUERY_ANALYSIS = {"simple_max_words": 5, "complex_min_words": 30, "simple_confidence": 0.95,
+                  "default_confidence": 0.8}
+
+# Backchannel class – speech longer than this encourages continuation.
+BACKCHANNEL_LONG_SPEECH_MS = 5000

@@ -31,21 +31,27 @@ NORM = "lower(regexp_replace({c}, '^\\\\s+|\\\\s+$', ''))"
 
 def _turn_end(c: str) -> str:
     t = NORM.format(c=c)
-    end = " + ".join(f"(CASE WHEN {t} RLIKE {_lit(p)} THEN 0.3 ELSE 0.0 END)" for p in L.TURN_END_PATTERNS)
-    cont = " + ".join(f"(CASE WHEN {t} RLIKE {_lit(p)} THEN 0.4 ELSE 0.0 END)" for p in L.TURN_CONTINUE_PATTERNS)
+    w = L.TURN_SCORE
+    end = " + ".join(f"(CASE WHEN {t} RLIKE {_lit(p)} THEN {w['end']} ELSE 0.0 END)" for p in L.TURN_END_PATTERNS)
+    cont = " + ".join(f"(CASE WHEN {t} RLIKE {_lit(p)} THEN {w['continue']} ELSE 0.0 END)"
+                      for p in L.TURN_CONTINUE_PATTERNS)
     wc = WORDS.format(c=t)
-    adj = f"(CASE WHEN {wc} > 10 THEN 0.1 WHEN {wc} < 3 THEN -0.1 ELSE 0.0 END)"
-    score = f"greatest(0.0, least(1.0, 0.5 + (0.0 + {end} + {adj}) - (0.0 + {cont})))"
-    return (f"CAST(round(CAST(CASE WHEN coalesce({t}, '') = '' THEN 0.5 WHEN {_any(t, L.BACKCHANNEL_PATTERNS, 'rlike')} "
-            f"THEN 0.9 ELSE {score} END AS DECIMAL(38,10)), 2) AS DOUBLE)")
+    adj = (f"(CASE WHEN {wc} > {w['long_words']} THEN {w['length']} WHEN {wc} < {w['short_words']} "
+           f"THEN -{w['length']} ELSE 0.0 END)")
+    score = f"greatest(0.0, least(1.0, {w['base']} + (0.0 + {end} + {adj}) - (0.0 + {cont})))"
+    return (f"CAST(round(CAST(CASE WHEN coalesce({t}, '') = '' THEN {w['empty']} "
+            f"WHEN {_any(t, L.BACKCHANNEL_PATTERNS, 'rlike')} THEN {w['backchannel']} ELSE {score} END "
+            f"AS DECIMAL(38,10)), 2) AS DOUBLE)")
 
 
 def _interruption(c: str, ms: str) -> str:
     t = NORM.format(c=c)
-    return (f"CASE WHEN {ms} < 500 AND {_any(t, L.BACKCHANNEL_WORDS)} THEN 'backchannel' "
+    th = L.INTERRUPTION
+    return (f"CASE WHEN {ms} < {th['backchannel_max_ms']} AND {_any(t, L.BACKCHANNEL_WORDS)} THEN 'backchannel' "
             f"WHEN {_any(t, L.CORRECTION_STARTERS, 'startswith')} THEN 'correction' "
             f"WHEN {_any(t, L.CLARIFICATION_STARTERS, 'startswith')} THEN 'clarification' "
-            f"WHEN {ms} > 300 AND {WORDS.format(c=c)} > 2 THEN 'barge_in' ELSE 'none' END")
+            f"WHEN {ms} > {th['barge_in_min_ms']} AND {WORDS.format(c=c)} > {th['barge_in_min_words']} "
+            f"THEN 'barge_in' ELSE 'none' END")
 
 
 def _emotion(u: str, r: str, skill: str) -> str:
@@ -64,8 +70,10 @@ def _complexity(c: str) -> str:
     q = NORM.format(c=c)
     simple = " OR ".join(f"startswith({q}, {_lit(p)})" for p in L.SIMPLE_PATTERNS)
     wc = WORDS.format(c=c)
-    return (f"CASE WHEN {simple} THEN 'simple' WHEN {wc} <= 5 AND NOT {_any(q, L.QUESTION_WORDS)} THEN 'simple' "
-            f"WHEN {_any(q, L.REASONING_WORDS)} OR {wc} > 30 THEN 'complex' ELSE 'medium' END")
+    qa = L.QUERY_ANALYSIS
+    return (f"CASE WHEN {simple} THEN 'simple' "
+            f"WHEN {wc} <= {qa['simple_max_words']} AND NOT {_any(q, L.QUESTION_WORDS)} THEN 'simple' "
+            f"WHEN {_any(q, L.REASONING_WORDS)} OR {wc} > {qa['complex_min_words']} THEN 'complex' ELSE 'medium' END")
 
 
 FUNCTIONS = {

@@ -212,14 +212,16 @@ def label_query(df: DataFrame, text: str = "query", simple=None, question_words=
         simple_intent = F.when(hit(p), intent) if simple_intent is None else simple_intent.when(hit(p), intent)
     wc = word_count(F.col(text))
     has_q, has_r = any_contains(q, qw), any_contains(q, rw)
-    complexity = (F.when((wc <= 5) & ~has_q, "simple")
-                  .when(has_r | (wc > 30), "complex").otherwise("medium"))
+    qa = L.QUERY_ANALYSIS
+    complexity = (F.when((wc <= qa["simple_max_words"]) & ~has_q, "simple")
+                  .when(has_r | (wc > qa["complex_min_words"]), "complex").otherwise("medium"))
     is_simple = simple_intent.isNotNull()
     return (df.withColumn("complexity", F.when(is_simple, "simple").otherwise(complexity))
             .withColumn("intent", F.coalesce(simple_intent,
                                              F.when(F.col(text).contains("?"), "question").otherwise("statement")))
             .withColumn("requires_reasoning", F.when(is_simple, F.lit(False)).otherwise(has_r))
-            .withColumn("confidence", F.when(is_simple, F.lit(0.95)).otherwise(F.lit(0.8))))
+            .withColumn("confidence", F.when(is_simple, F.lit(qa["simple_confidence"]))
+                        .otherwise(F.lit(qa["default_confidence"]))))
 
 
 def _re_escape(s: str) -> str:
@@ -247,16 +249,17 @@ def turn_end_score(df: DataFrame, text: str = "text", question_pending: str | No
     pattern − 0.4 per continue pattern (+0.2 pending question, ±0.1 by
     length), clamped to 0..1; backchannels score 0.9, empty text 0.5."""
     t = _norm(text)
-    end = sum((F.when(t.rlike(p), 0.3).otherwise(0.0) for p in L.TURN_END_PATTERNS), F.lit(0.0))
+    w = L.TURN_SCORE
+    end = sum((F.when(t.rlike(p), w["end"]).otherwise(0.0) for p in L.TURN_END_PATTERNS), F.lit(0.0))
     if question_pending:
-        end = end + F.when(F.col(question_pending), 0.2).otherwise(0.0)
+        end = end + F.when(F.col(question_pending), w["question_pending"]).otherwise(0.0)
     wc = word_count(t)
-    end = end + F.when(wc > 10, 0.1).when(wc < 3, -0.1).otherwise(0.0)
-    cont = sum((F.when(t.rlike(p), 0.4).otherwise(0.0) for p in L.TURN_CONTINUE_PATTERNS), F.lit(0.0))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + end - cont))
+    end = end + F.when(wc > w["long_words"], w["length"]).when(wc < w["short_words"], -w["length"]).otherwise(0.0)
+    cont = sum((F.when(t.rlike(p), w["continue"]).otherwise(0.0) for p in L.TURN_CONTINUE_PATTERNS), F.lit(0.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(w["base"]) + end - cont))
     backchannel = any_contains(t, L.BACKCHANNEL_PATTERNS, "rlike")
-    final = (F.when(F.coalesce(t, F.lit("")) == "", F.lit(0.5))
-             .when(backchannel, F.lit(0.9)).otherwise(score))
+    final = (F.when(F.coalesce(t, F.lit("")) == "", F.lit(w["empty"]))
+             .when(backchannel, F.lit(w["backchannel"])).otherwise(score))
     return df.withColumn("turn_end_score", round_half_up(final, 2))
 
 
@@ -265,10 +268,11 @@ def label_interruption(df: DataFrame, text: str = "text", duration: str = "durat
     (correction is tested before clarification, Q17)."""
     t = _norm(text)
     d = F.col(duration)
-    e = (F.when((d < 500) & any_contains(t, L.BACKCHANNEL_WORDS), "backchannel")
+    th = L.INTERRUPTION
+    e = (F.when((d < th["backchannel_max_ms"]) & any_contains(t, L.BACKCHANNEL_WORDS), "backchannel")
          .when(any_contains(t, L.CORRECTION_STARTERS, "startswith"), "correction")
          .when(any_contains(t, L.CLARIFICATION_STARTERS, "startswith"), "clarification")
-         .when((d > 300) & (word_count(F.col(text)) > 2), "barge_in")
+         .when((d > th["barge_in_min_ms"]) & (word_count(F.col(text)) > th["barge_in_min_words"]), "barge_in")
          .otherwise("none"))
     return df.withColumn("interruption", e)
 
@@ -277,7 +281,7 @@ def backchannel_class(df: DataFrame, text: str = "text", duration: str = "speech
     """Op 103: encouragement (long speech) / understanding (question) /
     acknowledgment."""
     return df.withColumn("backchannel_class",
-                         F.when(F.col(duration) > 5000, "encouragement")
+                         F.when(F.col(duration) > L.BACKCHANNEL_LONG_SPEECH_MS, "encouragement")
                          .when(F.col(text).contains("?"), "understanding").otherwise("acknowledgment"))
 
 

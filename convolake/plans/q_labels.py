@@ -108,15 +108,18 @@ def q_route(t):
 
 def turn_end_sql(c: str) -> str:
     t = NORM.format(c=c)
-    end = " + ".join(f"(CASE WHEN regexp_matches({t}, {lit(p)}) THEN 0.3 ELSE 0.0 END)" for p in L.TURN_END_PATTERNS)
-    cont = " + ".join(f"(CASE WHEN regexp_matches({t}, {lit(p)}) THEN 0.4 ELSE 0.0 END)"
+    w = L.TURN_SCORE
+    end = " + ".join(f"(CASE WHEN regexp_matches({t}, {lit(p)}) THEN {w['end']} ELSE 0.0 END)"
+                     for p in L.TURN_END_PATTERNS)
+    cont = " + ".join(f"(CASE WHEN regexp_matches({t}, {lit(p)}) THEN {w['continue']} ELSE 0.0 END)"
                       for p in L.TURN_CONTINUE_PATTERNS)
     wc = WORDS_SQL.format(c=t)
-    end = f"(0.0 + {end} + (CASE WHEN {wc} > 10 THEN 0.1 WHEN {wc} < 3 THEN -0.1 ELSE 0.0 END))"
+    end = (f"(0.0 + {end} + (CASE WHEN {wc} > {w['long_words']} THEN {w['length']} "
+           f"WHEN {wc} < {w['short_words']} THEN -{w['length']} ELSE 0.0 END))")
     bc = " OR ".join(f"regexp_matches({t}, {lit(p)})" for p in L.BACKCHANNEL_PATTERNS)
-    score = f"greatest(0.0, least(1.0, 0.5 + {end} - (0.0 + {cont})))"
-    return (f"CAST(round(CAST(CASE WHEN coalesce({t}, '') = '' THEN 0.5 WHEN {bc} THEN 0.9 ELSE {score} END "
-            f"AS DECIMAL(38,10)), 2) AS DOUBLE)")
+    score = f"greatest(0.0, least(1.0, {w['base']} + {end} - (0.0 + {cont})))"
+    return (f"CAST(round(CAST(CASE WHEN coalesce({t}, '') = '' THEN {w['empty']} WHEN {bc} THEN {w['backchannel']} "
+            f"ELSE {score} END AS DECIMAL(38,10)), 2) AS DOUBLE)")
 
 
 @query("turn_end_score", f"""

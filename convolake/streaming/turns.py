@@ -41,30 +41,32 @@ _BC = [re.compile(p, re.IGNORECASE) for p in L.BACKCHANNEL_PATTERNS]
 
 def turn_end_confidence(transcript: str, question_pending: bool = False) -> float:
     """Python twin of op 101 for the per-frame machine."""
+    w = L.TURN_SCORE
     t = (transcript or "").strip().lower()
     if not t:
-        return 0.5
+        return w["empty"]
     if any(p.match(t) for p in _BC):
-        return 0.9
-    end = sum(0.3 for p in _END if p.search(t))
-    cont = sum(0.4 for p in _CONT if p.search(t))
+        return w["backchannel"]
+    end = sum(w["end"] for p in _END if p.search(t))
+    cont = sum(w["continue"] for p in _CONT if p.search(t))
     if question_pending:
-        end += 0.2
+        end += w["question_pending"]
     n = len(t.split())
-    end += 0.1 if n > 10 else (-0.1 if n < 3 else 0.0)
-    return max(0.0, min(1.0, 0.5 + end - cont))
+    end += w["length"] if n > w["long_words"] else (-w["length"] if n < w["short_words"] else 0.0)
+    return max(0.0, min(1.0, w["base"] + end - cont))
 
 
 def interruption(transcript: str, speech_ms: float) -> str:
     """Python twin of op 102."""
+    th = L.INTERRUPTION
     t = (transcript or "").strip().lower()
-    if speech_ms < 500 and any(w in t for w in L.BACKCHANNEL_WORDS):
+    if speech_ms < th["backchannel_max_ms"] and any(w in t for w in L.BACKCHANNEL_WORDS):
         return "backchannel"
     if any(t.startswith(s) for s in L.CORRECTION_STARTERS):
         return "correction"
     if any(t.startswith(s) for s in L.CLARIFICATION_STARTERS):
         return "clarification"
-    if speech_ms > 300 and len((transcript or "").split()) > 2:
+    if speech_ms > th["barge_in_min_ms"] and len((transcript or "").split()) > th["barge_in_min_words"]:
         return "barge_in"
     return "none"
 
