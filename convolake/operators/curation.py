@@ -27,6 +27,8 @@ CHAT_MARKERS = {
 GREETINGS = ["Hello", "Hi", "Hey there", "Good morning", "I need help"]
 KNOWLEDGE_HEADER = "\n\n## Quick Reference\n"
 PREFILL_TOKENS_PER_SEC = 6000
+# Secret masking – longer than 8 characters shows the first and last 4.
+MASK_MIN_LEN, MASK_KEEP = 8, 4
 
 
 def _c(c) -> Column:
@@ -147,7 +149,8 @@ def mask_secret(c) -> Column:
     """First 4 + ``...`` + last 4 when longer than 8 characters, else ``***``."""
     c = _c(c)
     return F.when(c.isNull(), F.lit(None)).when(
-        F.length(c) > 8, F.concat(F.left(c, F.lit(4)), F.lit("..."), F.right(c, F.lit(4)))
+        F.length(c) > MASK_MIN_LEN,
+        F.concat(F.left(c, F.lit(MASK_KEEP)), F.lit("..."), F.right(c, F.lit(MASK_KEEP)))
     ).otherwise(F.lit("***"))
 
 

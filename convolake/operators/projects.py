@@ -19,6 +19,10 @@ REC_MISSING = "Upload missing critical documents before proceeding"
 REC_TAPER = "Consider uploading taper plan for accurate insulation takeoff"
 READY_SCORE = 70
 FINDING_EXCLUDES = "Scope excludes: "
+# Score weights (critical steps, all steps) and the effort model
+# (base hours, square feet per hour, hours per detail, complexity bounds).
+CRITICAL_WEIGHT, COMPLETE_WEIGHT = 70, 30
+EFFORT = {"base_hours": 5.0, "sf_per_hour": 1000, "hours_per_detail": 0.5, "high_details": 15, "medium_details": 8}
 
 
 def project_steps(files: DataFrame, project: str = "project_id") -> DataFrame:
@@ -52,7 +56,10 @@ def project_score(steps: DataFrame, project: str = "project_id",
         F.count_if(done).alias("completed_steps"),
         missing.alias("missing_docs"),
         F.max(F.when((F.col("step") == 6) & ~done, F.lit(True))).alias("__taper_missing"))
-    score = F.floor((F.col("critical_complete") * 700 + F.col("completed_steps") * 120) / 40).cast("int")
+    n_crit, n_steps = len(L.CRITICAL_DOCS), len(L.STEP_NAMES)
+    # int(crit/n_crit·W1 + done/n_steps·W2) on integers: no float rounding at the boundaries
+    score = F.floor((F.col("critical_complete") * (CRITICAL_WEIGHT * n_steps)
+                     + F.col("completed_steps") * (COMPLETE_WEIGHT * n_crit)) / (n_crit * n_steps)).cast("int")
     g = g.withColumn("score", score)
     recs = F.array_compact(F.array(F.when(F.col("score") < READY_SCORE, F.lit(REC_MISSING)),
                                    F.when(F.coalesce(F.col("__taper_missing"), F.lit(False)), F.lit(REC_TAPER))))
@@ -85,8 +92,9 @@ def project_effort(areas: DataFrame, details: DataFrame, project: str = "project
         x = x.withColumn("__conf", F.lit(0))
     sf = F.coalesce(F.col("total_sf"), F.lit(0.0))
     dc = F.coalesce(F.col("detail_count"), F.lit(0))
-    hours = round_half_up(F.lit(5.0) + sf / 1000 + dc * 0.5, 1)
-    cx = (F.when((dc > 15) | (F.coalesce(F.col("__conf"), F.lit(0)) > 0), "High")
-          .when(dc > 8, "Medium").otherwise("Low"))
+    e = EFFORT
+    hours = round_half_up(F.lit(e["base_hours"]) + sf / e["sf_per_hour"] + dc * e["hours_per_detail"], 1)
+    cx = (F.when((dc > e["high_details"]) | (F.coalesce(F.col("__conf"), F.lit(0)) > 0), "High")
+          .when(dc > e["medium_details"], "Medium").otherwise("Low"))
     return x.select(project, sf.alias("total_sf"), dc.alias("detail_count"), hours.alias("est_hours"),
                     cx.alias("complexity"))
