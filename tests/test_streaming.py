@@ -155,3 +155,18 @@ def test_stream_turns_equals_batch_twin(spark):
     b = ST.turns_batch(frames_of(conv))
     key = ["call_id", "ts", "kind", "from_state", "to_state", "text"]
     assert sorted(map(tuple, s.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+
+
+def test_day_partitioned_upsert_sink(spark):
+    d = tempfile.mkdtemp(dir="/tmp") + "/hourly"
+    sink = SM.hourly_upsert_sink(d, partition="day")
+    schema = ("hour_bucket timestamp_ntz, total_calls bigint, system1_calls bigint, system2_calls bigint, "
+              "avg_latency_ms int, error_count bigint, total_cost_usd decimal(18,4)")
+    t = dt.datetime
+    b1 = spark.createDataFrame([(t(2024, 1, 1, 8), 2, 2, 0, 10, 0, None), (t(2024, 1, 1, 9), 1, 1, 0, 5, 0, None)], schema)
+    b2 = spark.createDataFrame([(t(2024, 1, 1, 9), 3, 2, 1, 7, 1, None), (t(2024, 1, 2, 0), 1, 1, 0, 1, 0, None)], schema)
+    sink(b1, 0)
+    sink(b2, 1)
+    sink(b2, 1)   # replay
+    got = {r.hour_bucket: r.total_calls for r in spark.read.parquet(d).collect()}
+    assert got == {t(2024, 1, 1, 8): 2, t(2024, 1, 1, 9): 3, t(2024, 1, 2, 0): 1}
