@@ -252,23 +252,31 @@ def training_examples_filter(df: DataFrame, skill: str | None = None,
 
 
 def exchange_pairs(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
-                   balanced: bool = False) -> DataFrame:
+                   balanced: bool = False, bucket: int = 1024) -> DataFrame:
     """Op 46: each user turn with the following turn when it is the
     assistant's.
 
     Default: ``lead`` over the conversation (one shuffle, no self join).
     ``balanced=True`` is for conversations too large for one task: turns are
-    numbered with :func:`row_number_within` (range-partitioned, no per-key
-    window) and each turn is equi-joined with the turn numbered one higher –
-    the join key (conversation, number) spreads one huge conversation over
-    all tasks.
+    cut into ranges of ``bucket`` turn numbers, ``lead`` runs inside each
+    (conversation, range) window, and the last turn of a range takes the
+    first turn of the next non-empty range from a small per-range summary
+    (one row per range).  Exact for any integer turn numbering, and one
+    huge conversation is spread over all its ranges.
     """
     if balanced:
-        from convolake.functions.ordering import row_number_within
-        n = row_number_within(turns.select(conv, order, "role", "text"), [conv], [F.col(order)], "__n")
-        nxt = n.select(F.col(conv).alias("__c"), (F.col("__n") - 1).alias("__p"),
-                       F.col("role").alias("__nr"), F.col("text").alias("__nt"))
-        x = n.join(nxt, (F.col(conv) == F.col("__c")) & (F.col("__n") == F.col("__p")), "left")
+        x = turns.select(conv, order, "role", "text").withColumn("__b", F.floor(F.col(order) / bucket))
+        wb = Window.partitionBy(conv, "__b").orderBy(order)
+        x = (x.withColumn("__lt", F.lead(order).over(wb))
+             .withColumn("__lr", F.lead("role").over(wb)).withColumn("__lx", F.lead("text").over(wb)))
+        firsts = x.groupBy(conv, "__b").agg(F.min_by(F.struct("role", "text"), F.col(order)).alias("__f"))
+        wn = Window.partitionBy(conv).orderBy("__b")
+        nxt = firsts.select(F.col(conv).alias("__c"), F.col("__b").alias("__bb"),
+                            F.lead("__f").over(wn).alias("__nf"))
+        x = x.join(nxt, (F.col(conv) == F.col("__c")) & (F.col("__b") == F.col("__bb")), "left")
+        last = F.col("__lt").isNull()
+        x = (x.withColumn("__nr", F.when(last, F.col("__nf.role")).otherwise(F.col("__lr")))
+             .withColumn("__nt", F.when(last, F.col("__nf.text")).otherwise(F.col("__lx"))))
     else:
         w = Window.partitionBy(conv).orderBy(order)
         x = turns.select(conv, order, "role", "text",
