@@ -252,17 +252,17 @@ def training_examples_filter(df: DataFrame, skill: str | None = None,
 
 
 def exchange_pairs(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
-                   balanced: bool = False, bucket: int = 1024) -> DataFrame:
+                   balanced: bool = True, bucket: int = 1024) -> DataFrame:
     """Op 46: each user turn with the following turn when it is the
     assistant's.
 
-    Default: ``lead`` over the conversation (one shuffle, no self join).
-    ``balanced=True`` is for conversations too large for one task: turns are
-    cut into ranges of ``bucket`` turn numbers, ``lead`` runs inside each
-    (conversation, range) window, and the last turn of a range takes the
-    first turn of the next non-empty range from a small per-range summary
-    (one row per range).  Exact for any integer turn numbering, and one
-    huge conversation is spread over all its ranges.
+    Default (``balanced=True``): turns are cut into ranges of ``bucket``
+    turn numbers, ``lead`` runs inside each (conversation, range) window, and
+    the last turn of a range takes the first turn of the next non-empty range
+    from a small per-range summary (one row per range).  Exact for any
+    integer turn numbering, and one huge conversation is spread over all its
+    ranges.  ``balanced=False``: plain ``lead`` over the whole conversation
+    (one task per conversation).
     """
     if balanced:
         x = turns.select(conv, order, "role", "text").withColumn("__b", F.floor(F.col(order) / bucket))

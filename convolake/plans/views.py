@@ -130,20 +130,16 @@ def feedback_log(t: Tables) -> DataFrame:
     """feedback log ← conversations: each user turn and the next assistant turn
     form one logged interaction; rating 1 + conv_id % 5; a correction
     (upper-cased response) exists when the rating is ≤ 2."""
-    c = t.conversations
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    x = c.select("conv_id", "turn", "role", "text",
-                 F.lead("role").over(w).alias("next_role"),
-                 F.lead("text").over(w).alias("next_text"))
-    x = x.where((x.role == "user") & (x.next_role == "assistant"))
+    from convolake.operators.curation import exchange_pairs
+    x = exchange_pairs(t.conversations)
     rating = (1 + x.conv_id % 5).cast("int")
     return x.select(
         F.timestamp_add("MINUTE", x.conv_id * 10 + x.turn, _base_ts()).alias("timestamp"),
-        x.text.alias("user_input"),
-        x.next_text.alias("agent_response"),
+        x.user_input.alias("user_input"),
+        x.agent_response.alias("agent_response"),
         F.concat(F.lit("src"), (x.conv_id % 20).cast("string")).alias("skill_used"),
         rating.alias("rating"),
-        F.when(rating <= 2, F.concat(F.lit("[corrected] "), x.next_text)).alias("correction"),
+        F.when(rating <= 2, F.concat(F.lit("[corrected] "), x.agent_response)).alias("correction"),
         x.conv_id, x.turn,
     )
 
