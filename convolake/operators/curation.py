@@ -74,7 +74,7 @@ def shape_chat_template(df: DataFrame, system: str = "instruction", user: str =
 
 def render_prompt(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
                   role: str = "role", text: str = "text", system_prompt: str | None = None,
-                  history: int | None = 10, balanced: bool = False) -> DataFrame:
+                  history: int | None = 10, balanced: bool = True, bucket: int = 1024) -> DataFrame:
     """Op 16: the model prompt before each user turn.
 
     For every user turn: optional ``System:`` line, the previous
@@ -82,29 +82,43 @@ def render_prompt(turns: DataFrame, conv: str = "conv_id", order: str = "turn",
     and a final ``Assistant:``.  With the default bounded history (the
     10-turn cap of the voice path, Q19) each output row has bounded size
     however long the conversation is; ``history=None`` renders the whole
-    preceding conversation (row size then grows with the conversation).  Default plan: a bounded window frame per
-    conversation.  ``balanced=True`` (conversations too large for one task):
-    turns are numbered with :func:`row_number_within` and every turn is sent
-    to the ``history`` user turns that follow it by an equi-join on
-    (conversation, number), so one conversation is spread over all tasks.
+    preceding conversation (row size then grows with the conversation, one
+    window per conversation).
+
+    Default plan (``balanced=True``, bounded history): turns are cut into
+    ranges of ``bucket`` turn numbers; each row takes its in-range history
+    from a bounded window frame, and the first rows of a range complete it
+    from a carry of the last ``history`` turns of the preceding ranges
+    (a per-range summary of at most ``history`` items).  One huge
+    conversation is spread over all its ranges.  ``balanced=False``: one
+    bounded window frame per conversation.
     """
     line = F.concat(F.initcap(F.col(role)), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
-    if balanced and history is None:
-        raise ValueError("balanced rendering needs a bounded history")
-    if balanced:
-        from convolake.functions.ordering import row_number_within
-        n = row_number_within(turns.select(conv, order, role, text), [conv], [F.col(order)], "__n")
-        users = n.where(F.col(role) == "user").select(conv, order, text, "__n")
-        prev = n.select(F.col(conv).alias("__c"), F.col("__n").alias("__pn"), line.alias("__l"),
-                        F.explode(F.sequence(F.lit(1), F.lit(history))).alias("__k"))
-        j = users.join(prev, (F.col(conv) == F.col("__c")) & (F.col("__n") == F.col("__pn") + F.col("__k")), "left")
-        x = j.groupBy(conv, order, text).agg(
-            F.collect_list(F.when(F.col("__pn").isNotNull(), F.struct(F.col("__pn").alias("o"),
-                                                                      F.col("__l").alias("l")))).alias("__hist"))
+    item = F.struct(F.col(order).alias("o"), line.alias("l"))
+
+    def last_k(arr, k):
+        return F.slice(arr, F.greatest(F.size(arr) - k + 1, F.lit(1)), k)
+
+    if history is not None and balanced:
+        k = history
+        x = turns.select(conv, order, role, text).withColumn("__b", F.floor(F.col(order) / bucket))
+        wb = Window.partitionBy(conv, "__b").orderBy(order)
+        x = x.withColumn("__in", F.collect_list(item).over(wb.rowsBetween(-k, -1)))
+        tails = (x.withColumn("__rd", F.row_number().over(Window.partitionBy(conv, "__b").orderBy(F.desc(order))))
+                 .where(F.col("__rd") <= k)
+                 .groupBy(conv, "__b").agg(F.collect_list(item).alias("__tail")))
+        wn = Window.partitionBy(conv).orderBy("__b").rowsBetween(-k, -1)
+        carry = tails.select(F.col(conv).alias("__c"), F.col("__b").alias("__bb"),
+                             F.collect_list("__tail").over(wn).alias("__prev"))
+        carry = carry.select("__c", "__bb", last_k(F.array_sort(F.flatten("__prev")), k).alias("__carry"))
+        x = x.where(F.col(role) == "user").join(
+            carry, (F.col(conv) == F.col("__c")) & (F.col("__b") == F.col("__bb")), "left")
+        x = x.withColumn("__hist", last_k(F.concat(F.coalesce("__carry", F.array().cast(
+            "array<struct<o:" + turns.schema[order].dataType.simpleString() + ",l:string>>")), F.col("__in")), k))
     else:
         lo = Window.unboundedPreceding if history is None else -history
         w = Window.partitionBy(conv).orderBy(order).rowsBetween(lo, -1)
-        x = turns.withColumn("__hist", F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))).over(w))
+        x = turns.withColumn("__hist", F.collect_list(item).over(w))
         x = x.where(F.col(role) == "user")
     hist = F.transform(F.array_sort(F.col("__hist")), lambda s: s["l"])
     parts = F.concat(

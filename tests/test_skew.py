@@ -31,9 +31,10 @@ def test_balanced_exchange_pairs_on_hot_conversation(spark):
 
 def test_balanced_render_prompt_on_hot_conversation(spark):
     t = hot_turns(spark)
-    a = sorted(map(tuple, C.render_prompt(t).collect()))
+    a = sorted(map(tuple, C.render_prompt(t, balanced=False).collect()))
     b = sorted(map(tuple, C.render_prompt(t, balanced=True).collect()))
-    assert a == b
+    c = sorted(map(tuple, C.render_prompt(t, balanced=True, bucket=16).collect()))
+    assert a == b == c
 
 
 def test_batch_rows_hot_skill(spark):
@@ -76,3 +77,14 @@ def test_bucketed_lead_across_range_boundaries(spark):
     a = sorted(map(tuple, C.exchange_pairs(t, balanced=False).collect()))
     b = sorted(map(tuple, C.exchange_pairs(t, balanced=True, bucket=4).collect()))
     assert a == b and len(a) == 5
+
+
+
+def test_render_prompt_ranges_with_gaps(spark):
+    turns = [0, 1, 2, 5, 9, 10, 11, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41, 60]
+    rows = [(1, t, "user" if i % 3 != 1 else "assistant", f"m{t}") for i, t in enumerate(turns)]
+    t = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    for k in (1, 3, 10):
+        a = sorted(map(tuple, C.render_prompt(t, history=k, balanced=False).collect()))
+        b = sorted(map(tuple, C.render_prompt(t, history=k, balanced=True, bucket=4).collect()))
+        assert a == b
