@@ -280,9 +280,62 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str,
     return g.select(*out)
 
 
+def band_percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float] = (0.5, 0.99),
+                     accuracy: int = 10000, prefix: str = "p") -> DataFrame:
+    """Exact percentiles for continuous values in two passes, no group held
+    whole.
+
+    Pass 1: ``percentile_approx`` gives, per group, values bracketing each
+    wanted rank with a margin of three times the sketch's rank error
+    (1/accuracy of the group size).  Pass 2: per group, count the values
+    below the lower bracket and collect only the values inside the bracket
+    (about 6/accuracy of the group), then pick the exact order statistics
+    from that sorted band.  A group whose band misses its ranks (the sketch
+    bound failed) gets null.
+    """
+    eps = 3.0 / accuracy
+    bands = [(max(0.0, p - eps), min(1.0, p + eps)) for p in ps]
+    qs = sorted({q for b in bands for q in b})
+    g = (df.where(F.col(value).isNotNull()).groupBy(*by)
+         .agg(F.count(value).alias("__n"), F.percentile_approx(value, qs, accuracy).alias("__q")))
+    g = g.select(*[F.col(b).alias(f"__g_{b}") for b in by], "__n", "__q")
+    g = broadcast_if_small(g, "percentile brackets")
+    cond = F.lit(True)
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"__g_{b}"))
+    x = df.where(F.col(value).isNotNull()).join(g, cond, "inner")
+    aggs = [F.first("__n").alias("n")]
+    for i, (lo_q, hi_q) in enumerate(bands):
+        lo, hi = F.col("__q")[qs.index(lo_q)], F.col("__q")[qs.index(hi_q)]
+        aggs += [F.count_if(F.col(value) < lo).alias(f"__below{i}"),
+                 F.array_sort(F.collect_list(F.when(F.col(value).between(lo, hi), F.col(value)))).alias(f"__band{i}"),
+                 # the nearest value on each side extends the band by one rank
+                 F.max(F.when(F.col(value) < lo, F.col(value))).alias(f"__prev{i}"),
+                 F.min(F.when(F.col(value) > hi, F.col(value))).alias(f"__next{i}")]
+    r = x.groupBy(*[F.col(f"__g_{b}").alias(b) for b in by]).agg(*aggs)
+    out = [F.col(b) for b in by] + [F.col("n")]
+    for i, p in enumerate(ps):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        k_lo, k_hi = F.floor(pos), F.ceil(pos)
+        prev, nxt = F.col(f"__prev{i}"), F.col(f"__next{i}")
+        band = F.concat(F.array_compact(F.array(prev)), F.col(f"__band{i}"), F.array_compact(F.array(nxt)))
+        below = F.col(f"__below{i}") - F.when(prev.isNotNull(), 1).otherwise(0)
+        v_lo = F.try_element_at(band, (k_lo - below + 1).cast("int"))
+        v_hi = F.try_element_at(band, (k_hi - below + 1).cast("int"))
+        ok = (k_lo >= below) & (k_hi - below < F.size(band))
+        out.append(F.when(ok, round_half_up(v_lo + (v_hi - v_lo) * (pos - k_lo), 3))
+                   .alias(f"{prefix}{int(round(p * 100))}"))
+    return r.select(*out)
+
+
 def latency_percentiles(df: DataFrame, by: Sequence[str] = ("skill_id", "system_used"),
-                        value: str = "total_latency_ms", exact: bool = True) -> DataFrame:
-    """Op 51: P50 / P99 latency per group (exact, or ``percentile_approx``)."""
+                        value: str = "total_latency_ms", exact: bool = True,
+                        method: str = "histogram") -> DataFrame:
+    """Op 51: P50 / P99 latency per group – exact (``histogram`` for a
+    bounded value domain such as integer milliseconds, ``band`` for
+    continuous values) or ``percentile_approx``."""
+    if exact and method == "band":
+        return band_percentiles(df, list(by), value, (0.5, 0.99))
     if exact:
         return exact_percentiles(df, list(by), value, (0.5, 0.99))
     return (df.groupBy(*by)

@@ -112,3 +112,15 @@ def test_op52_rollup_levels(spark):
     df = I.interaction_cost(I.derive_interaction(mk(spark, [{}, {"system_used": "deep"}])), V.prices(spark))
     levels = sorted(r.grouping_level for r in I.routing_rollup(df).collect())
     assert levels == [0, 0, 1, 3]
+
+
+def test_band_percentiles_exact_on_continuous_values(spark):
+    rng = np.random.default_rng(7)
+    rows = [("big", float(v)) for v in rng.exponential(300.0, 20000)] + \
+           [("small", float(v)) for v in rng.normal(50.0, 5.0, 37)] + [("one", 3.25)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.p50, r.p99) for r in I.band_percentiles(df, ["g"], "x", (0.5, 0.99), accuracy=1000).collect()}
+    for g in ("big", "small", "one"):
+        vals = [v for k, v in rows if k == g]
+        want = (round(float(np.percentile(vals, 50)), 3), round(float(np.percentile(vals, 99)), 3))
+        assert got[g] == want, (g, got[g], want)
