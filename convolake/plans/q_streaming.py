@@ -101,13 +101,23 @@ def q_health_changes(t):
     return ST.health_batch(V.health(t)).withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
 
 
-@query("stream_feedback")
+# A row without feedback is emitted once the watermark (newest event − 2 h)
+# has passed its one-hour match window; matched rows are emitted at once.
+@query("stream_feedback", """
+WITH f AS (SELECT user_id AS session_id, CAST(floor(value) % 7 AS INTEGER) AS rating, ts + INTERVAL 5 MINUTE AS fb_ts
+           FROM events WHERE CAST(floor(value) % 7 AS INTEGER) BETWEEN 1 AND 5),
+j AS (SELECT i.id, i.session_id, i.created_at, f.rating, f.fb_ts FROM v_interactions i LEFT JOIN f
+        ON i.session_id = f.session_id AND f.fb_ts >= i.created_at AND f.fb_ts <= i.created_at + INTERVAL 1 HOUR)
+SELECT * FROM j WHERE rating IS NOT NULL
+   OR created_at + INTERVAL 1 HOUR < (SELECT max(created_at) FROM v_interactions) - INTERVAL 2 HOUR""")
 def q_stream_feedback(t):
     inter = V.interactions_of(t.stream("events"))
     e = t.stream("events")
     fb = e.select(e.user_id.alias("session_id"), (F.floor(e.value) % 7).cast("int").alias("rating"),
                   (e.ts + F.expr("INTERVAL 5 MINUTES")).alias("ts"))
-    return _run_to_files(SM.stream_feedback(inter, fb.where(F.col("rating").between(1, 5))), "feedback")
+    out = _run_to_files(SM.stream_feedback(inter, fb.where(F.col("rating").between(1, 5))), "feedback")
+    return (out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+            .withColumn("fb_ts", F.col("fb_ts").cast("timestamp_ntz")))
 
 
 @query("stream_sessions", """
