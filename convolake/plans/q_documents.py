@@ -287,12 +287,18 @@ def q_adapter_meta(t):
     return out.select("adapter_name", "status", "skill_id")
 
 
-@query("scan_documents")
+@query("scan_documents", """
+SELECT 'd' || CAST(doc_id % 3 AS VARCHAR) AS bucket, 'txt' AS ext, 'text' AS category,
+  CAST(sum(strlen(text) + 1) AS BIGINT) AS length
+FROM documents GROUP BY 1""")
 def q_scan(t):
+    """document texts written as one text file per bucket (one task per
+    bucket) and scanned back with the binaryFile source."""
     root = _scratch(t.spark, "docs")
     d = t.documents.select(F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("bucket"), "text")
-    d.write.partitionBy("bucket").text(root)
-    return SF.scan_documents(t.spark, root).select("path", "ext", "category", "length")
+    d.repartition("bucket").write.partitionBy("bucket").text(root)
+    return SF.scan_documents(t.spark, root).select(
+        F.regexp_extract("path", r"bucket=([^/]+)/", 1).alias("bucket"), "ext", "category", "length")
 
 
 @query("decode_json_columns", """
