@@ -68,3 +68,40 @@ def test_op76_insert_is_idempotent(spark, ids):
     t1, _ = insert_new_only(base, new)
     t2, ins2 = insert_new_only(t1, new)
     assert ins2.count() == 0 and t2.count() == len(set(ids) | {0})
+
+
+keys = st.lists(st.integers(0, 8), max_size=10)
+
+
+@settings(**SETTINGS)
+@given(base_ids=keys, new_ids=keys)
+def test_op77_upsert_is_idempotent(spark, base_ids, new_ids):
+    from convolake.operators.changes import upsert_rows
+    base = spark.createDataFrame([(i, f"b{i}") for i in set(base_ids)], "id int, v string")
+    new = spark.createDataFrame([(i, f"n{i}") for i in set(new_ids)], "id int, v string")
+    once = upsert_rows(base, new, "id")
+    twice = upsert_rows(once, new, "id")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    assert once.count() == len(set(base_ids) | set(new_ids))
+
+
+@settings(**SETTINGS)
+@given(ids=keys)
+def test_op78_patch_touches_only_allowed_columns(spark, ids):
+    from convolake.operators.changes import patch_rows
+    base = spark.createDataFrame([(i, f"a{i}", f"b{i}") for i in range(9)], "id int, a string, b string")
+    patches = spark.createDataFrame([(i, "A", "B") for i in set(ids)], "id int, a string, b string")
+    out = {r.id: r for r in patch_rows(base, patches, "id", ["a"], "2024-01-01 00:00:00").collect()}
+    assert all(out[i].b == f"b{i}" for i in range(9))
+    assert all((out[i].a == "A") == (i in set(ids)) for i in range(9))
+
+
+@settings(**SETTINGS)
+@given(tags=st.lists(st.lists(st.sampled_from("xyz"), max_size=3), min_size=1, max_size=6))
+def test_op80_tagging_is_idempotent(spark, tags):
+    df = spark.createDataFrame([(str(i), "s", t) for i, t in enumerate(tags)], "id string, skill_id string, "
+                                                                              "tags array<string>")
+    once = IT.bulk_edit(df, df.select("id"), "tag", "x")
+    twice = IT.bulk_edit(once, once.select("id"), "tag", "x")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    assert all("x" in r.tags for r in once.collect())
