@@ -105,3 +105,51 @@ def test_op80_tagging_is_idempotent(spark, tags):
     twice = IT.bulk_edit(once, once.select("id"), "tag", "x")
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
     assert all("x" in r.tags for r in once.collect())
+
+
+@settings(**SETTINGS)
+@given(a=keys, b=keys, c=keys)
+def test_op69_highest_priority_source_wins(spark, a, b, c):
+    from convolake.operators.changes import merge_by_priority
+    srcs = [(n, spark.createDataFrame([(i, f"{n}{i}") for i in set(ids)], "id int, v string"))
+            for n, ids in (("runtime", a), ("db", b), ("builtin", c))]
+    out = {r.id: r.source for r in merge_by_priority(srcs, "id").collect()}
+    for i in set(a) | set(b) | set(c):
+        assert out[i] == ("runtime" if i in a else "db" if i in b else "builtin")
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.sampled_from("pq"), st.integers(0, 50), st.integers(0, 9)), min_size=1, max_size=20))
+def test_op68_last_write_wins_matches_python(spark, rows):
+    from convolake.operators.changes import latest_by_key
+    data = [(k, t, i, v) for i, (k, t, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, t int, seq int, v int")
+    got = {r.k: r.v for r in latest_by_key(df, ["k"], ["t", "seq"]).collect()}
+    want = {}
+    for k, t, i, v in sorted(data, key=lambda r: (r[1], r[2])):
+        want[k] = v
+    assert got == want
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.integers(0, 5), st.sampled_from(["fast", "deep"]), st.integers(0, 3000),
+                               st.booleans()), min_size=1, max_size=25))
+def test_op47_hourly_matches_python(spark, rows):
+    import datetime as _dt
+    from decimal import ROUND_HALF_UP, Decimal
+    from convolake.operators.interactions import hourly_metrics
+    t0 = _dt.datetime(2024, 1, 1)
+    data = [(t0 + _dt.timedelta(minutes=17 * h + i), s, lat, e, None) for i, (h, s, lat, e) in enumerate(rows)]
+    df = spark.createDataFrame(data, "created_at timestamp_ntz, system_used string, total_latency_ms int, "
+                                     "error_occurred boolean, estimated_cost_usd decimal(10,6)")
+    got = {r.hour_bucket: (r.total_calls, r.system1_calls, r.avg_latency_ms, r.error_count)
+           for r in hourly_metrics(df).collect()}
+    groups = {}
+    for ts, s, lat, e, _ in data:
+        groups.setdefault(ts.replace(minute=0, second=0, microsecond=0), []).append((s, lat, e))
+    def avg_half_up(g):
+        return int((Decimal(sum(lat for _, lat, _ in g)) / Decimal(len(g))).quantize(Decimal(1), ROUND_HALF_UP))
+
+    want = {h: (len(g), sum(s == "fast" for s, _, _ in g), avg_half_up(g), sum(e for _, _, e in g))
+            for h, g in groups.items()}
+    assert got == want
