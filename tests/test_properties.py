@@ -153,3 +153,30 @@ def test_op47_hourly_matches_python(spark, rows):
     want = {h: (len(g), sum(s == "fast" for s, _, _ in g), avg_half_up(g), sum(e for _, _, e in g))
             for h, g in groups.items()}
     assert got == want
+
+
+conv_rows = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.sampled_from(["user", "assistant", "system"])),
+                     min_size=1, max_size=30, unique_by=lambda r: (r[0], r[1]))
+
+
+@settings(**SETTINGS)
+@given(rows=conv_rows, bucket=st.integers(1, 8))
+def test_op46_balanced_matches_python(spark, rows, bucket):
+    df = spark.createDataFrame([(c, t, r, f"m{c}-{t}") for c, t, r in rows], "conv_id int, turn int, role string, text string")
+    got = sorted(map(tuple, C.exchange_pairs(df, bucket=bucket).collect()))
+    want = []
+    for c in {r[0] for r in rows}:
+        seq = sorted((t, r) for cc, t, r in rows if cc == c)
+        for (t, r), (t2, r2) in zip(seq, seq[1:]):
+            if r == "user" and r2 == "assistant":
+                want.append((c, t, f"m{c}-{t}", f"m{c}-{t2}"))
+    assert got == sorted(want)
+
+
+@settings(**SETTINGS)
+@given(rows=conv_rows, bucket=st.integers(1, 8), k=st.integers(1, 4))
+def test_op16_balanced_matches_window(spark, rows, bucket, k):
+    df = spark.createDataFrame([(c, t, r, f"m{t}") for c, t, r in rows], "conv_id int, turn int, role string, text string")
+    a = sorted(map(tuple, C.render_prompt(df, history=k, balanced=False).collect()))
+    b = sorted(map(tuple, C.render_prompt(df, history=k, balanced=True, bucket=bucket).collect()))
+    assert a == b
