@@ -180,3 +180,32 @@ def test_op16_balanced_matches_window(spark, rows, bucket, k):
     a = sorted(map(tuple, C.render_prompt(df, history=k, balanced=False).collect()))
     b = sorted(map(tuple, C.render_prompt(df, history=k, balanced=True, bucket=bucket).collect()))
     assert a == b
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 600), st.integers(0, 1000)), min_size=1,
+                     max_size=40))
+def test_op70_ewma_matches_recurrence(spark, rows):
+    from convolake.operators.analytics import ewma
+    base = dt.datetime(2024, 1, 1)
+    data = [(k, base + dt.timedelta(minutes=m), i, x) for i, (k, m, x) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, id int, x int")
+    got = {r.id: r.ewma for r in ewma(df, "k", ["ts", "id"], "x").collect()}
+    state = {}
+    for k, ts, i, x in sorted(data, key=lambda r: (r[1], r[2])):
+        state[k] = 0.9 * state.get(k, 0.0) + 0.1 * x
+        assert abs(got[i] - state[k]) < 1e-9
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 100)), min_size=1, max_size=50),
+       size=st.integers(1, 7))
+def test_op72_batches_match_python(spark, rows, size):
+    df = spark.createDataFrame([(str(i), k, float(v)) for i, (k, v) in enumerate(rows)],
+                               "id string, skill_id string, importance_score double")
+    got = {r.id: r.batch_no for r in IT.batch_rows(df, "skill_id", size, (F.desc("importance_score"), F.asc("id")))
+           .collect()}
+    for k in {r[0] for r in rows}:
+        members = sorted(((-v, str(i)) for i, (kk, v) in enumerate(rows) if kk == k))
+        for pos, (_, i) in enumerate(members):
+            assert got[i] == pos // size
