@@ -162,7 +162,8 @@ def extract_references(df: DataFrame, col: str = "text", max_trades: int = 10, m
                      1, max_trades)
     sheets = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Z]-?\d{3}"), 0))),
                      1, max_sheets)
-    sections = F.slice(F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})"), 1), 1, max_sections)
+    # a match runs to the end of its line, so one line yields at most one section
+    sections = F.slice(F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1), 1, max_sections)
     low = F.lower(t)
     after = F.left(F.substring_index(F.substring(low, F.locate("exclud", low) + 6, 1 << 30), "exclud", 1),
                    F.lit(500))

@@ -216,7 +216,7 @@ def q_project_dialogue(t):
 SELECT doc_id,
   list_slice(list_sort(list_distinct(regexp_extract_all(text, '0[5-9]\\d{4}[^0-9]', 0))), 1, 10) AS trade_codes,
   list_slice(list_sort(list_distinct(regexp_extract_all(text, '[A-Z]-?\\d{3}', 0))), 1, 20) AS sheet_refs,
-  list_slice(regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})', 1), 1, 10) AS sections,
+  list_slice(regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})[^\\n]*', 1), 1, 10) AS sections,
   CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_slice(list_filter(list_transform(
       string_split(left(split_part(lower(text), 'exclud', 2), 500), chr(10)),
       lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10), 1, 10)

@@ -210,3 +210,8 @@ def test_qgram_join_matches_brute_force(spark):
     rules = spark.createDataFrame([(p,) for p in pats], "p string")
     got = sorted(map(tuple, LB.contains_join(q, "id", q["t"], rules, "p", limit=-1).collect()))
     assert got == sorted({(i, p) for i, t in texts for p in pats if p in t})
+
+
+def test_op97_one_section_per_line(spark):
+    df = spark.createDataFrame([("SECTION 072200 and SECTION 075423\nsection 081100",)], "text string")
+    assert LB.extract_references(df).collect()[0].sections == ["072200", "081100"]

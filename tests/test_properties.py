@@ -209,3 +209,26 @@ def test_op72_batches_match_python(spark, rows, size):
         members = sorted(((-v, str(i)) for i, (kk, v) in enumerate(rows) if kk == k))
         for pos, (_, i) in enumerate(members):
             assert got[i] == pos // size
+
+
+token = st.sampled_from(["A-101", "B202", "075423 ", "0754231", "SECTION 072200 roof", "section  081100x", "plain",
+                         "SECTION 072200 and SECTION 075423",
+                         "Excluded:", "by owner and others", "\n", " ", "C-3"])
+
+
+@settings(**SETTINGS)
+@given(parts=st.lists(token, max_size=25))
+def test_op97_references_match_python_regex(spark, parts):
+    import re
+    from convolake.operators.labels import extract_references
+    text = "".join(parts)
+    r = extract_references(spark.createDataFrame([(text,)], "text string")).collect()[0]
+    assert r.trade_codes == sorted(set(re.findall(r"0[5-9]\d{4}[^0-9]", text)))[:10]
+    assert r.sheet_refs == sorted(set(re.findall(r"[A-Z]-?\d{3}", text)))[:20]
+    assert r.sections == re.findall(r"SECTION\s+(\d{6})[^\n]*", text, re.IGNORECASE)[:10]
+    low = text.lower()
+    if "exclud" in low:
+        seg = low.split("exclud")[1][:500]
+        assert r.exclusions == [s.strip() for s in seg.split("\n") if len(s.strip()) > 10][:10]
+    else:
+        assert r.exclusions == []
