@@ -232,3 +232,20 @@ def test_op97_references_match_python_regex(spark, parts):
         assert r.exclusions == [s.strip() for s in seg.split("\n") if len(s.strip()) > 10][:10]
     else:
         assert r.exclusions == []
+
+
+word = st.sampled_from(["uh-huh", "okay", "ok", "yes", "so", "because", "and", "um", "uhh", "like", "well", "first",
+                        "thanks", "please", "right?", "got it", "that's all", "what", "sorry", "actually", "no wait",
+                        "I", "need", "help", "today", "time?", "sink.", "leaking!", "...", ",", "hold on", "i see"])
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(words=st.lists(word, max_size=14), ms=st.integers(0, 1200))
+def test_turn_rules_match_python_twins(spark, words, ms):
+    from convolake.operators.labels import label_interruption, turn_end_score
+    from convolake.streaming.turns import interruption, turn_end_confidence
+    text = " ".join(words)
+    df = spark.createDataFrame([(text, ms)], "text string, duration_ms int")
+    r = label_interruption(turn_end_score(df, "text"), "text", "duration_ms").collect()[0]
+    assert r.turn_end_score == round(turn_end_confidence(text) + 1e-12, 2)
+    assert r.interruption == interruption(text, ms)
