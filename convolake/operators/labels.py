@@ -296,7 +296,8 @@ def classify_files(df: DataFrame, name: str = "name", patterns=None, ext_steps=N
     ext_steps = ext_steps or L.EXTENSION_STEPS
     fname = F.lower(F.col(name))
     by_name = first_match(fname, [(step, pats) for step, pats in sorted(patterns.items())])
-    ext = F.lower(F.regexp_extract(F.col(name), r"(\.[^./\\]*)$", 1))
+    # suffix as pathlib sees it: a leading dot alone (".dxf") is no suffix
+    ext = F.lower(F.regexp_extract(F.col(name), r"^.+(\.[^./\\]*)$", 1))
     by_ext = first_match(ext, [(s, [e]) for e, s in ext_steps.items()], how="equals")
     step = F.coalesce(by_name, by_ext, F.lit(10)).cast("int")
     names = F.array(*[F.lit(n) for n in L.STEP_NAMES])

@@ -150,7 +150,7 @@ def q_backchannel(t):
 def step_sql(c: str) -> str:
     n = f"lower({c})"
     by_name = " ".join(f"WHEN {any_sql(n, pats)} THEN {step}" for step, pats in sorted(L.FILE_PATTERNS.items()))
-    ext = f"lower(regexp_extract({c}, '(\\.[^./\\\\]*)$', 1))"
+    ext = f"lower(regexp_extract({c}, '^.+(\\.[^./\\\\]*)$', 1))"
     by_ext = " ".join(f"WHEN {ext} = {lit(e)} THEN {s}" for e, s in L.EXTENSION_STEPS.items())
     return f"CAST(coalesce(CASE {by_name} END, CASE {by_ext} END, 10) AS INTEGER)"
 

@@ -249,3 +249,51 @@ def test_turn_rules_match_python_twins(spark, words, ms):
     r = label_interruption(turn_end_score(df, "text"), "text", "duration_ms").collect()[0]
     assert r.turn_end_score == round(turn_end_confidence(text) + 1e-12, 2)
     assert r.interruption == interruption(text, ms)
+
+
+def _py_label_query(q):
+    from convolake.functions import lexicons as L
+    ql = q.lower().strip()
+    for p in L.SIMPLE_PATTERNS:
+        if ql.startswith(p) or ql == p:
+            return ("simple", "greeting" if p in L.GREETING_PATTERNS else "acknowledgment", False, 0.95)
+    n = len(q.split())
+    hq = any(w in ql for w in L.QUESTION_WORDS)
+    hr = any(w in ql for w in L.REASONING_WORDS)
+    cx = "simple" if n <= 5 and not hq else ("complex" if hr or n > 30 else "medium")
+    return (cx, "question" if "?" in q else "statement", hr, 0.8)
+
+
+qword = st.sampled_from(["hello", "hi", "history", "why", "how", "because", "think", "the", "bill", "is", "high?",
+                         "explain", "compare", "what if", "ok", "noon", "no", "sure", "thanks", "bye", "x", "y"])
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(words=st.lists(qword, min_size=1, max_size=35))
+def test_op99_matches_python_rules(spark, words):
+    from convolake.operators.labels import label_query
+    q = " ".join(words)
+    r = label_query(spark.createDataFrame([(q,)], "query string")).collect()[0]
+    assert (r.complexity, r.intent, r.requires_reasoning, r.confidence) == _py_label_query(q)
+
+
+name_part = st.sampled_from(["scope", "spec", "A-1", "plan", "taper", "detail", "gaf", "sketch", "typical", "takeoff",
+                             "contract", "photo", "misc", "IMG", "_", " ", "x", "Roof", "Quantity"])
+ext = st.sampled_from([".pdf", ".dxf", ".DWG", ".xlsx", ".csv", ".jpg", "", ".txt"])
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(parts=st.lists(name_part, max_size=4), e=ext)
+def test_op104_matches_python_rules(spark, parts, e):
+    from pathlib import Path
+    from convolake.functions import lexicons as L
+    from convolake.operators.labels import classify_files
+    name = "".join(parts) + e
+    want = None
+    for step, pats in sorted(L.FILE_PATTERNS.items()):
+        if any(p in name.lower() for p in pats):
+            want = step
+            break
+    if want is None:
+        want = L.EXTENSION_STEPS.get(Path(name).suffix.lower(), 10)
+    assert classify_files(spark.createDataFrame([(name,)], "name string")).collect()[0].step == want
