@@ -297,3 +297,52 @@ def test_op104_matches_python_rules(spark, parts, e):
     if want is None:
         want = L.EXTENSION_STEPS.get(Path(name).suffix.lower(), 10)
     assert classify_files(spark.createDataFrame([(name,)], "name string")).collect()[0].step == want
+
+
+eword = st.sampled_from(["sparks", "fire", "right now", "frustrated", "not working", "issue", "sorry", "regret",
+                         "great news", "perfect", "hello", "the", "pipe", "Urgent", "SMOKE", "wonderful", "x" * 30])
+
+
+def _py_emotion(user, resp, skill):
+    from convolake.functions import lexicons as L
+    u, r = user.lower(), resp.lower()
+    for label, field, kws in L.EMOTION_RULES:
+        if any(k in (u if field == "user" else r) for k in kws):
+            return label
+    sr = L.EMOTION_SKILL_RULES
+    if skill in sr["technical_skills"] and len(resp) > sr["technical_min_chars"]:
+        return "confident"
+    if skill in sr["legal_skills"]:
+        return "empathetic"
+    if skill in sr["sales_skills"]:
+        return "excited"
+    return "warm"
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(u=st.lists(eword, max_size=5), r=st.lists(eword, max_size=12),
+       skill=st.sampled_from(["electrician", "plumber", "lawyer", "solar", "general"]))
+def test_op98_matches_python_rules(spark, u, r, skill):
+    from convolake.operators.labels import label_emotion
+    user, resp = " ".join(u), " ".join(r)
+    df = spark.createDataFrame([(user, resp, skill)], "user_input string, agent_response string, skill_id string")
+    assert label_emotion(df).collect()[0].emotion == _py_emotion(user, resp, skill)
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(lines=st.lists(st.sampled_from(["KEY=abc", "  A = 1", "# K=v", "plain", "  # x=y", "a=b=c", "", "  spaced  "]),
+                      max_size=8))
+def test_op87_matches_python_rule(spark, lines):
+    text = "\n".join(lines)
+    want = "\n".join(f"{ln.split('=')[0]}=<redacted>" if "=" in ln and not ln.strip().startswith("#") else ln.strip()
+                     for ln in text.split("\n"))
+    from convolake.operators.documents import redact_assignments
+    got = redact_assignments(spark.createDataFrame([(text,)], "text string")).collect()[0].redacted
+    assert got == want
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(s=st.text(alphabet="abcdeé€ 1", max_size=14))
+def test_op19_matches_python_rule(spark, s):
+    want = f"{s[:4]}...{s[-4:]}" if len(s) > 8 else "***"
+    assert C.mask_secrets(spark.createDataFrame([(s,)], "k string"), ["k"]).collect()[0].k == want
