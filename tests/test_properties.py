@@ -346,3 +346,25 @@ def test_op87_matches_python_rule(spark, lines):
 def test_op19_matches_python_rule(spark, s):
     want = f"{s[:4]}...{s[-4:]}" if len(s) > 8 else "***"
     assert C.mask_secrets(spark.createDataFrame([(s,)], "k string"), ["k"]).collect()[0].k == want
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(lines=st.lists(st.sampled_from(["1", "12", "00:00:01,000 --> 00:00:02,000", "Hello", "  there  ", "", " ",
+                                       "a-->b", "x1", "WEBVTT"]), max_size=10))
+def test_op85_srt_matches_python_rule(spark, lines):
+    from convolake.operators.documents import captions_to_text
+    text = "\n".join(lines)
+    want = " ".join(ln.strip() for ln in text.split("\n") if ln.strip() and not ln.strip().isdigit() and "-->" not in ln)
+    got = captions_to_text(spark.createDataFrame([(text,)], "text string"), "text", "srt").collect()[0].caption_text
+    assert got == want
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(secs=st.integers(0, 40 * 86400))
+def test_op20_matches_total_seconds_rule(spark, secs):
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(base,)], "ts timestamp_ntz")
+    as_of = (base + dt.timedelta(seconds=secs)).strftime("%Y-%m-%d %H:%M:%S")
+    want = ("just now" if secs < 60 else f"{secs // 60} minutes ago" if secs < 3600
+            else f"{secs // 3600} hours ago" if secs < 86400 else f"{secs // 86400} days ago")
+    assert C.time_ago(df, "ts", as_of).collect()[0].ago == want
