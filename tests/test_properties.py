@@ -401,3 +401,20 @@ def test_op85_ass_matches_python_rule(spark, lines):
                     out.append(t.strip())
     got = captions_to_text(spark.createDataFrame([(text,)], "text string"), "text", "ass").collect()[0].caption_text
     assert got == " ".join(out)
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(s=st.text(alphabet="ab é\t\n\r\x0b\x0c", max_size=30))
+def test_word_count_matches_python_split_on_ascii_whitespace(spark, s):
+    from convolake.functions.columns import word_count
+    got = spark.createDataFrame([(s,)], "t string").select(word_count("t").alias("n")).collect()[0].n
+    assert got == len(s.split())
+
+
+@settings(**{**SETTINGS, "max_examples": 25})
+@given(vals=st.lists(st.one_of(st.none(), st.sampled_from(["", "x", "a b", "0"])), min_size=3, max_size=3))
+def test_op84_matches_python_rule(spark, vals):
+    from convolake.operators.documents import rows_to_text
+    df = spark.createDataFrame([tuple(vals)], "a string, b string, c string")
+    want = " | ".join(f"{k}: {v}" for k, v in zip("abc", vals) if v)
+    assert rows_to_text(df).collect()[0].text == want
