@@ -247,7 +247,10 @@ def chunk_text(df: DataFrame, col: str = "text", max_chars: int = 10000, sep: st
 
 def parse_model_json(df: DataFrame, col: str, schema, out: str = "parsed") -> DataFrame:
     """Op 91: JSON out of a model reply – fenced block first, else the
-    outermost ``[…]``/``{…}`` span, else empty (null)."""
+    outermost ``[…]``/``{…}`` span, else empty (an empty array for array
+    schemas).  Spark's JSON reader accepts a value followed by trailing
+    text, so "[a] and [b]" yields the first array where a strict parser
+    would fall through to empty."""
     c = F.trim(F.col(col))
     fenced_json = F.regexp_extract(c, r"(?s)```json(.*?)(?:```|$)", 1)
     fenced = F.regexp_extract(c, r"(?s)```(.*?)(?:```|$)", 1)
@@ -256,6 +259,10 @@ def parse_model_json(df: DataFrame, col: str, schema, out: str = "parsed") -> Da
     span = F.regexp_extract(body, r"(?s)[\[{].*[\]}]", 0)
     opts = {"mode": "PERMISSIVE"}
     parsed = F.coalesce(F.from_json(body, schema, opts), F.from_json(span, schema, opts))
+    from pyspark.sql.types import ArrayType, _parse_datatype_string
+    dt = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if isinstance(dt, ArrayType):  # nothing parseable → empty list
+        parsed = F.coalesce(parsed, F.array().cast(dt))
     return df.withColumn(out, parsed)
 
 

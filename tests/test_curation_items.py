@@ -183,7 +183,7 @@ def test_op91_model_json(spark):
     df = spark.createDataFrame([("```json\n[{\"q\": \"a\"}]\n```",), ("Here: [{\"q\": \"b\"}] ok",), ("nothing",)],
                                "reply string")
     out = [r.parsed for r in IT.parse_model_json(df, "reply", "array<struct<q string>>").collect()]
-    assert out[0][0].q == "a" and out[1][0].q == "b" and out[2] is None
+    assert out[0][0].q == "a" and out[1][0].q == "b" and out[2] == []
 
 
 def test_op92_content_hash_stable(spark):
