@@ -240,3 +240,16 @@ def test_op16_full_history_option(spark):
     full = {r.turn: r.prompt for r in C.render_prompt(t, history=None).collect()}
     capped = {r.turn: r.prompt for r in C.render_prompt(t).collect()}
     assert full[28].count("\n") == 29 and capped[28].count("\n") == 11
+
+
+def test_op44_null_in_keep_set_does_not_empty_result(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    keep = spark.createDataFrame([(1,), (None,)], "id int")
+    assert sorted(r.id for r in CH.rows_to_retire(df, keep).collect()) == [2, 3]   # SQL NOT IN would give nothing
+
+
+def test_op43_select_ids_within_skill(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, skill_id string")
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "id int")
+    assert sorted(r.id for r in CH.select_ids(df, ids, "a").collect()) == [1]
+    assert sorted(r.id for r in CH.select_ids(df, ids).collect()) == [1, 2]
