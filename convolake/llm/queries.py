@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convolake.llm import byte_bpe, secret_scan, suffix_decontamination
+from convolake.llm import bbit_minhash, byte_bpe, rans_store, secret_scan, suffix_decontamination
 from convolake.llm.common import table
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,5 +29,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op7_decontamination, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan)}
 ORACLES: dict[str, str] = {}
