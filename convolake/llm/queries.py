@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convolake.llm import bbit_minhash, byte_bpe, rans_store, secret_scan, suffix_decontamination
+from convolake.llm import bbit_minhash, byte_bpe, log_bilinear, rans_store, secret_scan, suffix_decontamination
 from convolake.llm.common import table
 
 
@@ -29,5 +29,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
