@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convolake.llm import bbit_minhash, byte_bpe, log_bilinear, rans_store, secret_scan, suffix_decontamination
+from convolake.llm import bbit_minhash, byte_bpe, log_bilinear, patience_license, preference_quality, rans_store, secret_scan, suffix_decontamination
 from convolake.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return preference_quality.score_documents(docs, preference_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patience_license.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,5 +42,5 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
