@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convolake.llm import bbit_minhash, byte_bpe, log_bilinear, patience_license, preference_quality, rans_store, secret_scan, suffix_decontamination
+from convolake.llm import bbit_minhash, byte_bpe, log_bilinear, order_minhash, patience_license, preference_quality, rans_store, secret_scan, suffix_decontamination
 from convolake.llm.common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.duplicate_components(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
