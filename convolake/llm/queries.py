@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convolake.llm import bbit_minhash, byte_bpe, log_bilinear, order_minhash, patience_license, preference_quality, rans_store, secret_scan, suffix_decontamination
-from convolake.llm.common import table
+from convolake.llm import bbit_minhash, byte_bpe, line_set_dedup, log_bilinear, order_minhash, patience_license, preference_quality, rans_store, secret_scan, suffix_decontamination
+from convolake.llm.common import hex_sha256, table
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_set_dedup.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", hex_sha256(F.coalesce("text", F.lit("")).cast("binary")).alias("text_sha256"))
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op9_line_dedup, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
