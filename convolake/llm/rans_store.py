@@ -38,6 +38,7 @@ LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 17
 LANES = 2048
 CACHE_WORDS = 400_000
+LIBRARY_CALL = 4096  # words handed to the library at once
 
 
 class WordCachedTokenizer:
@@ -51,30 +52,42 @@ class WordCachedTokenizer:
         self.library = Tokenizer.from_file(path)
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.start = np.empty(0, dtype=np.int64)
-        self.size = np.empty(0, dtype=np.int64)
+    def _forget(self, least_uses: int = 1 << 40) -> None:
+        """Keeps only the words that were used at least so often since then."""
+        old = np.flatnonzero(self.uses >= least_uses) if hasattr(self, "uses") else np.empty(0, dtype=np.int64)
+        if len(old) > CACHE_WORDS // 2:
+            old = old[:0]
+        if not len(old):
+            self.known, self.flat = {}, np.empty(0, dtype=np.uint32)
+            self.start, self.size, self.uses = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+            return
+        words, size = list(self.known), self.size[old]
+        self.flat = self.flat[np.repeat(self.start[old] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, np.zeros(len(old), dtype=np.int32)
+        self.known = {words[i]: k for k, i in enumerate(old.tolist())}
+
+    def _add(self, words: list[str], found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], dtype=np.uint32)])
+        self.size = np.concatenate([self.size, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int32)])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by ``end_id``, and the sizes."""
         if len(self.known) > CACHE_WORDS:
-            self._forget()
-        if not self.known:
-            self.known["\n"] = 0  # stands for the end of a text
-            self.flat = np.array([end_id], dtype=np.uint32)
-            self.start, self.size = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+            self._forget(least_uses=3)
+        if "\n" not in self.known:  # stands for the end of a text
+            self._add(["\n"], [[end_id]])
         split = [t.replace("\n", " ").split(" ") for t in texts]
         unseen = list({w for words in split for w in words}.difference(self.known))
         if unseen:
-            found = [e.ids for e in self.library.encode_batch_fast(unseen, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self.known.update(zip(unseen, range(len(self.size), len(self.size) + len(unseen))))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], dtype=np.uint32)])
-            self.size = np.concatenate([self.size, sizes])
+            for k in range(0, len(unseen), LIBRARY_CALL):
+                part = unseen[k:k + LIBRARY_CALL]
+                self._add(part, [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)])
         at = np.concatenate([np.fromiter(map(self.known.__getitem__, [*words, "\n"]), dtype=np.int64, count=len(words) + 1) for words in split])
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         size = self.size[at]
         ids = self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         ends = np.cumsum([len(words) + 1 for words in split])
