@@ -16,11 +16,12 @@ with nothing.  Two documents are linked if 100 |A & B| >= 75 |A | B|.
     hopelessly low (``MARGIN`` below the limit, over six standard
     deviations), and is then confirmed on the full sets.
 4.  Links give components.  A bucket whose members then lie in more than one
-    component is not settled: small ones compare all members across
-    components; large ones are cut into finer buckets by a second band key,
-    and so on, and what is still large gets further stars, each with a new
-    centre, until every member has been a centre or the bucket is settled.
-    Hence no link between different texts is lost to a group's size.
+    component is not settled.  If at most ``SMALL`` members are outside its
+    largest component, each of those is compared with all members of other
+    components.  Otherwise the bucket is cut into finer ones by a second band
+    key, up to ``CUTS`` times; what is still mixed then makes its outside
+    members centres in turns, until each has been one.  Hence no link between
+    different texts is lost to a group's size.
 
 Defined results: null text counts as empty; ``kept`` is doc_id = component_id;
 rows that share a doc_id count as one document (each row gets its result); a
@@ -47,10 +48,10 @@ WORDS = PERMUTATIONS * BITS // 64
 #: percent of the union, as integers so that the test is exact
 LIMIT = 75
 MARGIN = 0.25
-#: members of a bucket up to which all of them are compared
-SMALL = 32
-#: times that a large, unsettled bucket is cut into finer ones
-CUTS = 3
+#: members outside the largest component up to which they are compared at once
+SMALL = 64
+#: times that a bucket with more of them is cut into finer ones
+CUTS = 2
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -179,12 +180,22 @@ def _buckets(members: DataFrame) -> DataFrame:
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with ``c``."""
-    own = buckets.drop("c", "cs").join(labels.withColumnRenamed("component", "c"), "id", "left") \
-        .withColumn("c", F.coalesce("c", "id"))
+    """Members of buckets that hold more than one component, with the
+    component ``c`` and ``others``: members outside the bucket's largest."""
+    own = buckets.select("key", "id").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     own = staged(own, "bucket-labels")
-    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return staged(own.join(staged(mixed, "mixed-buckets"), "key"), "unsettled")
+    sizes = own.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key") \
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top")).where("n > top.n")
+    sizes = staged(sizes.select("key", F.col("top.c").alias("top"), (F.col("n") - F.col("top.n")).alias("others")), "mixed-buckets")
+    return staged(own.join(sizes, "key"), "unsettled")
+
+
+def _across(members: DataFrame, centres: Column) -> DataFrame:
+    """Pairs of a member outside its bucket's largest component for which
+    ``centres`` holds with every member of another component."""
+    one = members.where((F.col("c") != F.col("top")) & centres).select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
+    two = members.select("key", F.col("id").alias("y"), F.col("c").alias("cy"))
+    return one.join(two, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,37 +209,33 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("t"))
     texts = staged(texts.join(candidates, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
 
-    def star(members, centre="centre"):
-        return _similar(members.where(F.col("id") != F.col(centre)).select(F.col(centre).alias("a"), F.col("id").alias("b")).distinct(), reps, texts)
+    def star(members):
+        pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        return _similar(pairs, reps, texts)
 
     links = star(buckets)
     labels = staged(components(links), "labels")
-    cut = 0
-    while True:
+    for cut in range(CUTS + 1):
         open_ = _unsettled(buckets, labels)
-        if open_.isEmpty():
+        more = _similar(_across(open_.where(F.col("others") <= SMALL), F.lit(True)), reps, texts)
+        many = open_.where(F.col("others") > SMALL)
+        last = many.isEmpty()
+        if not last and cut < CUTS:  # finer buckets: this key with every other band key
+            finer = many.select("key", "id").join(reps.select("id", F.explode("bands").alias("band")), "id").where("key <> band") \
+                .select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "id").distinct()
+            buckets = _buckets(finer)
+            more = more.unionByName(star(buckets))
+        links = staged(links.unionByName(more).distinct(), "links")
+        labels = staged(components(links), "labels")
+        if last:
             break
-        few = open_.where(F.col("n") <= SMALL)
-        one = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "centre")
-        two = few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-        pairs = one.join(two, "key").where("a < b and ca <> cb and a <> centre").select("a", "b").distinct()
-        more = _similar(pairs, reps, texts)
-        many = open_.where(F.col("n") > SMALL)
-        if many.isEmpty():
-            links = links.unionByName(more)
+    else:  # large buckets to the end: every member outside the largest component is a centre once
+        rounds = many.agg(F.max(F.ceil(F.col("others") / SMALL))).collect()[0][0]
+        for k in range(rounds):
+            turn = F.pmod(F.xxhash64("id"), F.ceil(F.col("others") / SMALL)) == k
+            now = many.drop("c").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            links = staged(links.unionByName(_similar(_across(now, turn), reps, texts)).distinct(), "links")
             labels = staged(components(links), "labels")
-            break
-        if cut < CUTS:  # finer buckets: this key with every other band key
-            cut += 1
-            finer = many.select("key", "id").join(reps.select("id", F.explode("bands").alias("band")), "id") \
-                .select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "id", (F.col("key") == F.col("band")).alias("same"))
-            buckets = _buckets(finer.where("not same").select("key", "id").distinct())
-        else:  # another centre: the next member that has not been one
-            after = many.where("id > centre").groupBy("key").agg(F.min("id").alias("next"))
-            buckets = staged(many.drop("c").join(staged(after, "next-centres"), "key")
-                             .select("key", "id", F.col("next").alias("centre"), "n"), "buckets")
-        links = staged(links.unionByName(more).unionByName(star(buckets)).distinct(), "links")
-        labels = staged(components(links), "labels")
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left") \
         .select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     named = staged(named, "class-components")
