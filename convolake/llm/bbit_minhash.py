@@ -13,7 +13,7 @@ with nothing.  Two documents are linked if 100 |A & B| >= 75 |A | B|.
 3.  Each band bucket links its members to its smallest member only (a star,
     never all pairs).  A candidate goes on if its similarity as estimated from
     bit counts, corrected for chance collisions of ``BITS``-bit values, is not
-    hopelessly low (``MARGIN`` below the limit, over six standard
+    hopelessly low (``MARGIN`` below the limit, five standard
     deviations), and is then confirmed on the full sets.
 4.  Links give components.  A bucket whose members then lie in more than one
     component is not settled.  If at most ``SMALL`` members are outside its
@@ -47,9 +47,9 @@ BANDS = PERMUTATIONS // ROWS
 WORDS = PERMUTATIONS * BITS // 64
 #: percent of the union, as integers so that the test is exact
 LIMIT = 75
-MARGIN = 0.25
+MARGIN = 0.2
 #: members outside the largest component up to which they are compared at once
-SMALL = 64
+SMALL = 512
 #: times that a bucket with more of them is cut into finer ones
 CUTS = 2
 
@@ -142,12 +142,19 @@ def estimated_similarity(left: str, right: str) -> Column:
     return (1 - unequal / float(PERMUTATIONS) - chance) / (1 - chance)
 
 
+def _sign() -> Column:
+    return F.struct(*(F.col(f"s{k}") for k in range(WORDS)))
+
+
+def _possible(left: str, right: str) -> Column:
+    return estimated_similarity(left, right) >= LIMIT / 100 - MARGIN
+
+
 def _similar(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
     """The candidate pairs ``(a, b)`` that the full sets confirm."""
-    sign = F.struct(*(F.col(f"s{k}") for k in range(WORDS)))
-    one = signs.select(F.col("id").alias("a"), sign.alias("l"))
-    two = signs.select(F.col("id").alias("b"), sign.alias("r"))
-    near = pairs.join(one, "a").join(two, "b").where(estimated_similarity("l", "r") >= LIMIT / 100 - MARGIN).select("a", "b")
+    one = signs.select(F.col("id").alias("a"), _sign().alias("l"))
+    two = signs.select(F.col("id").alias("b"), _sign().alias("r"))
+    near = pairs.join(one, "a").join(two, "b").where(_possible("l", "r")).select("a", "b")
     near = staged(near, "near-pairs")
 
     def run(batches):
@@ -190,12 +197,15 @@ def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(own.join(sizes, "key"), "unsettled")
 
 
-def _across(members: DataFrame, centres: Column) -> DataFrame:
+def _across(members: DataFrame, signs: DataFrame, centres: Column) -> DataFrame:
     """Pairs of a member outside its bucket's largest component for which
-    ``centres`` holds with every member of another component."""
-    one = members.where((F.col("c") != F.col("top")) & centres).select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    two = members.select("key", F.col("id").alias("y"), F.col("c").alias("cy"))
-    return one.join(two, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ``centres`` holds with every member of another component; pairs that are
+    hopelessly unlike don't leave the join."""
+    members = staged(members.join(signs.select("id", _sign().alias("sign")), "id"), "signed-members")
+    one = members.where((F.col("c") != F.col("top")) & centres).select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("sign").alias("l"))
+    two = members.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("sign").alias("r"))
+    return one.join(two, "key").where((F.col("cx") != F.col("cy")) & _possible("l", "r")) \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +227,7 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labels = staged(components(links), "labels")
     for cut in range(CUTS + 1):
         open_ = _unsettled(buckets, labels)
-        more = _similar(_across(open_.where(F.col("others") <= SMALL), F.lit(True)), reps, texts)
+        more = _similar(_across(open_.where(F.col("others") <= SMALL), reps, F.lit(True)), reps, texts)
         many = open_.where(F.col("others") > SMALL)
         last = many.isEmpty()
         if not last and cut < CUTS:  # finer buckets: this key with every other band key
@@ -234,7 +244,7 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for k in range(rounds):
             turn = F.pmod(F.xxhash64("id"), F.ceil(F.col("others") / SMALL)) == k
             now = many.drop("c").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            links = staged(links.unionByName(_similar(_across(now, turn), reps, texts)).distinct(), "links")
+            links = staged(links.unionByName(_similar(_across(now, reps, turn), reps, texts)).distinct(), "links")
             labels = staged(components(links), "labels")
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left") \
         .select("k1", "k2", F.coalesce("component", "rep").alias("component"))
