@@ -38,8 +38,7 @@ def pct(num, den, scale: int) -> Column:
 
 def word_count(c) -> Column:
     """Whitespace word count, equal to Python's ``len(s.split())``."""
-    words = F.split(F.trim(F.regexp_replace(_c(c), r"\s+", " ")), " ")
-    return F.size(F.filter(words, lambda w: w != ""))
+    return F.regexp_count(_c(c), F.lit(r"(?U)\S+"))
 
 
 def trunc_ts(unit: str, c) -> Column:

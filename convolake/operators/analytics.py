@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,18 +101,19 @@ def health_rollup(df: DataFrame, services: Sequence[str] = tuple(HEALTH_SERVICES
 
 
 def ewma(df: DataFrame, key: str | None, order: Sequence[str], value: str, alpha: float = 0.1,
-         block: str = "1 hour", horizon: int = 350, out: str = "ewma") -> DataFrame:
+         block: str = "1 hour", out: str = "ewma") -> DataFrame:
     """Op 70: ``s = (1−α)·s + α·x`` in time order per key, starting at 0,
     for every row.
 
     Scales without sorting a whole key in one task: rows are cut into time
     blocks of ``block`` (first order column); each (key, block) computes its
-    local recurrence from its last ``horizon`` rows (a window frame – the
-    weight (1−α)^horizon is far below double precision for the default), the
+    local recurrence from its last rows – as many as weigh more than 1e-18, i.e.
+    less than a double can hold beside the rest, whatever ``alpha`` is –, the
     carry from earlier blocks is another bounded fold over block summaries
     (one row per block), and each row adds carry·(1−α)^(position+1).
     """
     a = 1.0 - alpha
+    horizon = max(1, math.ceil(math.log(1e-18) / math.log(a))) if 0 < a < 1 else 1
     keys = [key] if key else []
     ts = order[0]
     x = df.withColumn("__blk", F.window(F.col(ts).cast("timestamp"), block)["start"])

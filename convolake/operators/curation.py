@@ -340,7 +340,7 @@ def knowledge_examples(skills: DataFrame, knowledge: DataFrame) -> DataFrame:
                       F.concat(F.lit("Hello! I'm "), F.col("name"), F.lit(". How can I help you today?"))
                       .alias("output"), F.lit("greeting").alias("kind"))
     item = F.col("item")
-    topic = F.when(item.contains(":"), F.substring_index(item, ":", 1)).otherwise(F.left(item, F.lit(50)))
+    topic = F.when(item.contains(":"), F.substring_index(item, ":", 1)).otherwise(item)
     k = (knowledge.where(item.isNotNull() & (F.trim(item) != ""))
          .join(broadcast_if_small(sk, "skills"), "skill_id", "inner")
          .select("skill_id", "instruction", F.concat(F.lit("Tell me about "), topic).alias("input"),

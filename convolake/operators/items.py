@@ -20,7 +20,6 @@ from convolake.functions.ordering import row_number_within
 VALID_SORTS = ["importance_score", "created_at", "tokens", "category"]
 ITEM_DEFAULTS = {"content_type": "qa_pair", "category": "general", "importance": 50.0,
                  "confidence": 0.8, "source_type": "unknown"}
-RAW_MAX = 500
 
 
 def _c(c) -> Column:
@@ -258,7 +257,9 @@ def parse_model_json(df: DataFrame, col: str, schema, out: str = "parsed") -> Da
             .when(c.contains("```"), fenced).otherwise(c))
     span = F.regexp_extract(body, r"(?s)[\[{].*[\]}]", 0)
     opts = {"mode": "PERMISSIVE"}
-    parsed = F.coalesce(F.from_json(body, schema, opts), F.from_json(span, schema, opts))
+    # a struct schema gives a struct of nulls for text that is no JSON; the variant parser says which it is
+    whole = F.try_parse_json(body).isNotNull()
+    parsed = F.coalesce(F.when(whole, F.from_json(body, schema, opts)), F.when(F.try_parse_json(span).isNotNull(), F.from_json(span, schema, opts)))
     from pyspark.sql.types import ArrayType, _parse_datatype_string
     dt = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     if isinstance(dt, ArrayType):  # nothing parseable → empty list
@@ -267,17 +268,18 @@ def parse_model_json(df: DataFrame, col: str, schema, out: str = "parsed") -> Da
 
 
 def build_items(df: DataFrame) -> DataFrame:
-    """Op 92: extracted records with defaults, raw text ≤ 500 chars, word
+    """Op 92: extracted records with defaults, the whole raw text, word
     tokens and a content-hash id (Q9: same content → same id)."""
     def opt(name, default):
         return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>")) if "tags" in df.columns \
         else F.array().cast("array<string>")
-    raw = F.left(F.coalesce(F.col("raw"), F.lit("")), F.lit(RAW_MAX)) if "raw" in df.columns else F.lit("")
-    key = F.concat_ws("_", F.col("skill_id"), F.col("source_filename"), F.col("user_input"),
-                      F.col("assistant_response"))
+    raw = F.coalesce(F.col("raw"), F.lit("")) if "raw" in df.columns else F.lit("")
+    # each field with its length, so that different fields never give one key
+    key = F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+                     for c in ("skill_id", "source_filename", "user_input", "assistant_response")])
     return df.select(
-        F.left(F.md5(key), F.lit(16)).alias("id"),
+        F.sha2(key.cast("binary"), 256).alias("id"),
         "skill_id",
         opt("type", ITEM_DEFAULTS["content_type"]).alias("content_type"),
         "user_input", "assistant_response",
@@ -294,7 +296,7 @@ def build_items(df: DataFrame) -> DataFrame:
 
 
 QA_ARROW = r'^\s*"(.+?)"\s*->\s*(.+?)\s*$'
-QA_QA = r"^\s*Q:\s*(.+?)\s*A:\s*(.+?)\s*$"
+QA_QA = r"^\s*Q:\s*(.+?)\s+A:\s*(.+?)\s*$"
 
 
 def extract_qa_pairs(df: DataFrame, col: str = "text", keep: Sequence[str] = ()) -> DataFrame:

@@ -151,25 +151,19 @@ def error_classes(logs: DataFrame, patterns: DataFrame, id_col: str = "id", text
 
 # --- 97: references --------------------------------------------------------
 
-def extract_references(df: DataFrame, col: str = "text", max_trades: int = 10, max_sheets: int = 20,
-                       max_sections: int = 10, max_exclusions: int = 10) -> DataFrame:
-    """Op 97: trade codes, sheet references, section numbers (distinct,
-    capped per document as in the report), and exclusion lines after the
-    first "exclud"."""
+def extract_references(df: DataFrame, col: str = "text") -> DataFrame:
+    """Op 97: trade codes, sheet references, section numbers (distinct),
+    and the lines between the first and the second "exclud", all of them."""
     t = F.col(col)
-    # distinct values are sorted before the cap so the kept subset is stable
-    trades = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"0[5-9]\d{4}[^0-9]"), 0))),
-                     1, max_trades)
-    sheets = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Z]-?\d{3}"), 0))),
-                     1, max_sheets)
+    trades = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"0[5-9]\d{4}[^0-9]"), 0)))
+    sheets = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Z]-?\d{3}"), 0)))
     # a match runs to the end of its line, so one line yields at most one section
-    sections = F.slice(F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1), 1, max_sections)
+    sections = F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1)
     low = F.lower(t)
-    after = F.left(F.substring_index(F.substring(low, F.locate("exclud", low) + 6, 1 << 30), "exclud", 1),
-                   F.lit(500))
+    after = F.split_part(low, F.lit("exclud"), F.lit(2))
     exc_lines = F.filter(F.transform(F.split(after, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")),
                          lambda s: F.length(s) > 10)
-    exclusions = F.when(F.locate("exclud", low) > 0, F.slice(exc_lines, 1, max_exclusions)) \
+    exclusions = F.when(F.locate("exclud", low) > 0, exc_lines) \
         .otherwise(F.array().cast("array<string>"))
     return (df.withColumn("trade_codes", trades).withColumn("sheet_refs", sheets)
             .withColumn("sections", sections).withColumn("exclusions", exclusions))
@@ -317,25 +311,22 @@ def voice_context(df: DataFrame, personas: DataFrame, modifiers: DataFrame, skil
     return x.withColumn("voice_description", desc).drop("__ps", "__pd", "__me", "__mm")
 
 
-def project_dialogue(files: DataFrame, taxonomy: DataFrame, name: str = "name", text: str = "text",
-                     max_chars: int = 3000, preview: int = 200) -> DataFrame:
+def project_dialogue(files: DataFrame, taxonomy: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """Op 96: per drawing/PDF file one identity Q/A pair plus at most one
     domain pair chosen by the context/filename cascade.
 
-    Whitespace is collapsed over the whole text; the answer keeps the first
-    ``max_chars`` characters (the identity answer the first ``preview``).
+    Whitespace is collapsed over the whole text; both answers hold all of it.
     """
     x = classify_by_code(files.where(F.lower(F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)).isin(".pdf", ".dxf")),
                          taxonomy, name)
     x = x.where(~(F.col("doc_code").isNull() & F.lower(F.col(name)).contains("taxonomy")))
-    clean = F.left(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "),
-                                    r"^ | $", ""), F.lit(max_chars))
+    clean = F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
     x = x.withColumn("__clean", clean)
     ident = F.struct(F.lit(0).alias("pair_no"),
                      F.concat(F.lit("What is the file "), F.col(name), F.lit("?")).alias("user"),
                      F.concat(F.lit("This is the "), F.col("context"),
                               F.lit(". It contains the following technical data: "),
-                              F.left(F.col("__clean"), F.lit(preview)), F.lit("...")).alias("assistant"))
+                              F.col("__clean"), F.lit("...")).alias("assistant"))
     dom = None
     for ctx_word, frag, q, lead in L.DIALOGUE_RULES:
         cond = F.col("context").contains(ctx_word) | F.col(name).contains(frag)

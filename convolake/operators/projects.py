@@ -70,7 +70,8 @@ def project_score(steps: DataFrame, project: str = "project_id",
     from convolake.operators.labels import extract_references
     ex = (extract_references(scope_files.select(project, "name", "text"), "text")
           .where(F.size("exclusions") > 0)
-          .groupBy(project).agg(F.max_by(F.slice("exclusions", 1, 3), "name").alias("__ex")))
+          .groupBy(project).agg(F.array_sort(F.collect_list(F.struct("name", "exclusions"))).alias("__files"))
+          .select(project, F.flatten(F.transform("__files", lambda f: f["exclusions"])).alias("__ex")))
     finding = F.when(F.col("__ex").isNotNull(),
                      F.array(F.concat(F.lit(FINDING_EXCLUDES), F.array_join("__ex", ", "))))
     return (out.join(ex, project, "left")

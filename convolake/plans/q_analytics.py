@@ -91,7 +91,7 @@ def q_health(t):
 WITH c AS (SELECT id, skill_id, created_at,
   CAST(coalesce(total_latency_ms, fast_latency_ms + coalesce(deep_latency_ms, 0)) AS DOUBLE) AS x FROM v_interactions)
 SELECT id, CAST(round(CAST(list_reduce(list(x) OVER (PARTITION BY skill_id ORDER BY created_at, id
-    ROWS BETWEEN 350 PRECEDING AND CURRENT ROW), lambda acc, v: acc * 0.9 + v * 0.1, 0.0) AS DECIMAL(38,10)), 6)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda acc, v: acc * 0.9 + v * 0.1, 0.0) AS DECIMAL(38,10)), 6)
   AS DOUBLE) AS ewma
 FROM c""")
 def q_ewma(t):

@@ -206,7 +206,7 @@ SELECT skill_id, instruction, g AS input, 'Hello! I''m ' || name || '. How can I
 FROM sk, (SELECT unnest(['Hello', 'Hi', 'Hey there', 'Good morning', 'I need help']) AS g)
 UNION ALL
 SELECT k.skill_id, sk.instruction,
-  'Tell me about ' || CASE WHEN contains(k.item, ':') THEN split_part(k.item, ':', 1) ELSE left(k.item, 50) END,
+  'Tell me about ' || CASE WHEN contains(k.item, ':') THEN split_part(k.item, ':', 1) ELSE k.item END,
   k.item, 'knowledge'
 FROM v_knowledge k JOIN sk ON k.skill_id = sk.skill_id
 WHERE k.item IS NOT NULL AND trim(k.item) <> ''""")

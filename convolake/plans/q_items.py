@@ -152,8 +152,8 @@ def exchange_items(t):
 
 
 @query("build_items", f"""
-SELECT left(md5(concat_ws('_', 'src' || CAST(conv_id % 20 AS VARCHAR), 'conv_' || CAST(conv_id AS VARCHAR) || '.txt',
-  user_input, agent_response)), 16) AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS skill_id,
+SELECT sha256(list_aggregate(list_transform(['src' || CAST(conv_id % 20 AS VARCHAR), 'conv_' || CAST(conv_id AS VARCHAR) || '.txt',
+  user_input, agent_response], lambda x: coalesce(CAST(length(x) AS VARCHAR) || ':' || x, '-')), 'string_agg', '')) AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS skill_id,
   'qa_pair' AS content_type, 'general' AS category, CAST(50.0 AS DOUBLE) AS importance_score,
   CAST(0.8 AS DOUBLE) AS confidence,
   {WORDS_SQL.format(c='user_input')} + {WORDS_SQL.format(c='agent_response')} AS tokens

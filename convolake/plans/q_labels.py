@@ -186,7 +186,7 @@ def q_classify_by_code(t):
 
 
 def _dialogue_sql() -> str:
-    clean = "left(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g'), 3000)"
+    clean = "regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
     dom = " ".join(
         f"WHEN contains(context, {lit(w)}) OR contains(name, {lit(fr)}) THEN {{'pair_no': 1, 'user': {lit(q)}, "
         f"'assistant': {lit(lead)} || clean}}" for w, fr, q, lead in L.DIALOGUE_RULES)
@@ -201,7 +201,7 @@ c AS (SELECT f.file_id, f.name, {clean} AS clean,
       WHERE NOT (f.doc_code IS NULL AND contains(lower(f.name), 'taxonomy'))),
 p AS (SELECT file_id, name, context, list_filter([
         {{'pair_no': 0, 'user': 'What is the file ' || name || '?',
-          'assistant': 'This is the ' || context || '. It contains the following technical data: ' || left(clean, 200)
+          'assistant': 'This is the ' || context || '. It contains the following technical data: ' || clean
                        || '...'}},
         CASE {dom} END], lambda x: x IS NOT NULL) AS pairs FROM c)
 SELECT file_id, name, context, u.pair_no, u.user, u.assistant FROM (SELECT file_id, name, context, unnest(pairs) AS u FROM p)"""
@@ -214,12 +214,12 @@ def q_project_dialogue(t):
 
 @query("extract_references", """
 SELECT doc_id,
-  list_slice(list_sort(list_distinct(regexp_extract_all(text, '0[5-9]\\d{4}[^0-9]', 0))), 1, 10) AS trade_codes,
-  list_slice(list_sort(list_distinct(regexp_extract_all(text, '[A-Z]-?\\d{3}', 0))), 1, 20) AS sheet_refs,
-  list_slice(regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})[^\\n]*', 1), 1, 10) AS sections,
-  CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_slice(list_filter(list_transform(
-      string_split(left(split_part(lower(text), 'exclud', 2), 500), chr(10)),
-      lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10), 1, 10)
+  list_sort(list_distinct(regexp_extract_all(text, '0[5-9]\\d{4}[^0-9]', 0))) AS trade_codes,
+  list_sort(list_distinct(regexp_extract_all(text, '[A-Z]-?\\d{3}', 0))) AS sheet_refs,
+  regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})[^\\n]*', 1) AS sections,
+  CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_filter(list_transform(
+      string_split(split_part(lower(text), 'exclud', 2), chr(10)),
+      lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)
     ELSE [] END AS exclusions
 FROM documents""")
 def q_extract_refs(t):

@@ -137,29 +137,6 @@ def q_stream_sessions(t):
     return SM.stream_sessions(V.interactions(t))
 
 
-def frames_of(c: DataFrame) -> DataFrame:
-    """audio frames ← conversation turns: a user turn is speech on, speech
-    off with its transcript and a trailing silence frame; an assistant turn
-    is an agent start and end."""
-    t0 = F.timestamp_add("SECOND", c.conv_id * 3600 + c.turn * 10, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    dur = (300 + F.length(c.text) % 900)
-    ms = lambda x: F.timestamp_add("MILLISECOND", x, t0)
-    fr = lambda off, sp, tr, ev, ut: F.struct(ms(off).alias("ts"), F.lit(sp).alias("is_speech"),
-                                              tr.alias("transcript"), F.lit(ev).cast("string").alias("agent_event"),
-                                              ut.alias("utterance"))
-    none = F.lit(None).cast("string")
-    user = F.array(fr(F.lit(0), True, F.lit(""), None, none), fr(dur, False, c.text, None, none),
-                   fr(dur + 700, False, c.text, None, none))
-    agent = F.array(fr(F.lit(0), False, none, "start", c.text), fr(dur, False, none, "end", none))
-    frames = F.when(c.role == "user", user).when(c.role == "assistant", agent)
-    return c.select(c.conv_id.cast("string").alias("call_id"), F.inline_outer(frames)).where(F.col("ts").isNotNull())
-
-
-@query("stream_turns")
-def q_stream_turns(t):
-    return _run_to_files(ST.stream_turns(frames_of(t.stream("conversations"))), "turns")
-
-
 @query("stream_corrections", """SELECT "timestamp", user_input AS prompt, correction AS chosen, agent_response AS rejected, skill_used AS skill
   FROM v_feedback_log WHERE correction IS NOT NULL AND correction <> ''""")
 def q_stream_corrections(t):

@@ -169,11 +169,11 @@ SELECT g.project_id, critical_complete, completed_steps,
   CASE WHEN ex.e IS NULL THEN []::VARCHAR[] ELSE ['Scope excludes: ' || array_to_string(ex.e, ', ')] END
     AS key_findings
 FROM g LEFT JOIN (
-  SELECT project_id, arg_max(list_slice(excl, 1, 3), name) AS e FROM (
+  SELECT project_id, flatten(list(excl ORDER BY name, excl)) AS e FROM (
     SELECT project_id, name,
-      CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_slice(list_filter(list_transform(
-          string_split(left(split_part(lower(text), 'exclud', 2), 500), chr(10)),
-          lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10), 1, 10)
+      CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_filter(list_transform(
+          string_split(split_part(lower(text), 'exclud', 2), chr(10)),
+          lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)
         ELSE [] END AS excl
     FROM v_files WHERE {step_sql('name')} = 1)
   WHERE len(excl) > 0 GROUP BY project_id) ex ON g.project_id = ex.project_id""")

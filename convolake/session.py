@@ -67,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         pass
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    if not d and sc is not None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="convolake-ckpt-", dir="/tmp")
     if sc is not None and not sc.getCheckpointDir():

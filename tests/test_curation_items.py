@@ -98,7 +98,7 @@ def test_op95_knowledge_examples(spark):
     out = C.knowledge_examples(sk, kn).collect()
     assert len(out) == 7
     inputs = {r.input for r in out if r.kind == "knowledge"}
-    assert inputs == {"Tell me about Hours", "Tell me about " + "x" * 50}
+    assert inputs == {"Tell me about Hours", "Tell me about " + "x" * 60}
 
 
 ITEM_SCHEMA = ("id string, skill_id string, user_input string, assistant_response string, category string, "
@@ -190,7 +190,7 @@ def test_op92_content_hash_stable(spark):
     df = spark.createDataFrame([("s", "f", "What is X?", "It is Y.")],
                                "skill_id string, source_filename string, user_input string, assistant_response string")
     a, b = IT.build_items(df).collect()[0], IT.build_items(df).collect()[0]
-    assert a.id == b.id and len(a.id) == 16 and a.tokens == 6 and a.importance_score == 50.0
+    assert a.id == b.id and len(a.id) == 64 and a.tokens == 6 and a.importance_score == 50.0
 
 
 def test_op124_qa_lines(spark):

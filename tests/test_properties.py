@@ -223,34 +223,17 @@ def test_op97_references_match_python_regex(spark, parts):
     from convolake.operators.labels import extract_references
     text = "".join(parts)
     r = extract_references(spark.createDataFrame([(text,)], "text string")).collect()[0]
-    assert r.trade_codes == sorted(set(re.findall(r"0[5-9]\d{4}[^0-9]", text)))[:10]
-    assert r.sheet_refs == sorted(set(re.findall(r"[A-Z]-?\d{3}", text)))[:20]
-    assert r.sections == re.findall(r"SECTION\s+(\d{6})[^\n]*", text, re.IGNORECASE)[:10]
+    assert r.trade_codes == sorted(set(re.findall(r"0[5-9]\d{4}[^0-9]", text)))
+    assert r.sheet_refs == sorted(set(re.findall(r"[A-Z]-?\d{3}", text)))
+    assert r.sections == re.findall(r"SECTION\s+(\d{6})[^\n]*", text, re.IGNORECASE)
     low = text.lower()
     if "exclud" in low:
-        seg = low.split("exclud")[1][:500]
-        assert r.exclusions == [s.strip() for s in seg.split("\n") if len(s.strip()) > 10][:10]
+        seg = low.split("exclud")[1]
+        assert r.exclusions == [s.strip() for s in seg.split("\n") if len(s.strip()) > 10]
     else:
         assert r.exclusions == []
 
 
-word = st.sampled_from(["uh-huh", "okay", "ok", "yes", "so", "because", "and", "um", "uhh", "like", "well", "first",
-                        "thanks", "please", "right?", "got it", "that's all", "what", "sorry", "actually", "no wait",
-                        "I", "need", "help", "today", "time?", "sink.", "leaking!", "...", ",", "hold on", "i see"])
-
-
-@settings(**{**SETTINGS, "max_examples": 25})
-@given(words=st.lists(word, max_size=14), ms=st.integers(0, 1200))
-def test_turn_rules_match_python_twins(spark, words, ms):
-    from convolake.operators.labels import label_interruption, turn_end_score
-    from convolake.streaming.turns import interruption, turn_end_confidence
-    text = " ".join(words)
-    df = spark.createDataFrame([(text, ms)], "text string, duration_ms int")
-    r = label_interruption(turn_end_score(df, "text"), "text", "duration_ms").collect()[0]
-    assert r.turn_end_score == round(turn_end_confidence(text) + 1e-12, 2)
-    assert r.interruption == interruption(text, ms)
-
-
 def _py_label_query(q):
     from convolake.functions import lexicons as L
     ql = q.lower().strip()

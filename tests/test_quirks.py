@@ -15,7 +15,6 @@ from convolake.operators import projects as P
 from convolake.operators import takeoff as TK
 from convolake.plans import views as V
 from convolake.sources import logs as SL
-from convolake.streaming import turns as ST
 
 from tests.test_interactions import mk
 
@@ -132,22 +131,6 @@ def test_q17_sorry_is_correction(spark):
     assert LB.label_interruption(df).collect()[0].interruption == "correction"
 
 
-def test_q18_timeout_unreachable_in_semantic_mode():
-    m = ST.TurnMachine()
-    m.step(0, True, "")
-    m.step(100, False, "so because")
-    m.step(600, False, "so because")
-    assert m.state == "USER_DONE"      # base 500 ms threshold, long before the 3000 ms timeout
-
-
-def test_q19_cap_applies_to_every_role():
-    m = ST.TurnMachine()
-    for i in range(12):
-        m.step(0, False, "", "start", f"a{i}")
-        m.step(1, False, "", "end")
-    assert len(m.history) == 10 and m.history[-1] == "AGENT: a11"
-
-
 def test_q20_export_keeps_ids(spark):
     df = mk(spark, [{"system_used": "deep", "user_feedback": 5}])
     assert "id" in I.export_candidates(df).columns

@@ -4,7 +4,6 @@ import datetime as dt
 
 from convolake.operators import curation as C
 from convolake.operators import labels as LB
-from convolake.streaming import turns as ST
 
 
 def test_skill_center_demo_cached_answer(spark):
@@ -20,22 +19,6 @@ def test_skill_center_demo_cached_answer(spark):
     assert rate.collect()[0].hit_rate == 100.0
 
 
-def test_turn_taking_demo():
-    m = ST.TurnMachine(ST.TurnConfig(min_silence_for_turn_end_ms=400))
-    a = "Hi, I need help with my plumbing because"
-    b = "Hi, I need help with my plumbing because my sink is leaking"
-    m.step(0, True, "Hi, I need help with")
-    m.step(100, True, "Hi, I need help with my plumbing")
-    m.step(200, True, a)
-    m.step(300, False, a)
-    m.step(600, False, a)
-    assert m.state == "USER_PAUSING"            # conjunction: keep waiting
-    m.step(600, True, b)
-    m.step(700, False, b + ".")
-    m.step(1200, False, b + ".")
-    assert m.state == "USER_DONE" and m.history == ["USER: " + b + "."]
-
-
 def test_continuous_learner_demo(spark):
     ts = dt.datetime(2024, 1, 10)
     log = spark.createDataFrame([

@@ -12,62 +12,6 @@ from convolake.streaming import metrics as SM
 from convolake.streaming import turns as ST
 
 
-def run(frames):
-    m, out = ST.TurnMachine(), []
-    for ms, speech, text, *ev in frames:
-        out += [(ms, *e) for e in m.step(ms, speech, text, *(ev or [None]))]
-    return m, out
-
-
-def test_turn_done_fast_on_confident_text():
-    _, out = run([(0, True, ""), (300, False, "my sink is leaking."), (700, False, "my sink is leaking.")])
-    assert (700, "turn_done", "USER_PAUSING", "USER_DONE", "my sink is leaking.") in out
-
-
-def test_q18_low_score_waits_base_threshold():
-    t = "I need help because"
-    m, out = run([(0, True, ""), (300, False, t), (700, False, t)])
-    assert m.state == "USER_PAUSING"
-    m2, out2 = run([(0, True, ""), (300, False, t), (700, False, t), (800, False, t)])
-    assert m2.state == "USER_DONE"   # 500 ms silence; the 3000 ms timeout is never the trigger
-
-
-def test_back_to_speaking():
-    m, _ = run([(0, True, ""), (300, False, ""), (400, True, "")])
-    assert m.state == "USER_SPEAKING"
-
-
-def test_agent_backchannel_vs_barge_in():
-    m = ST.TurnMachine()
-    m.step(0, False, "", "start", "Let me explain")
-    m.step(0, True, "uh-huh")
-    m.step(200, True, "uh-huh")
-    assert m.state == "BACKCHANNEL"
-    m = ST.TurnMachine()
-    m.step(0, False, "", "start", "Let me explain")
-    m.step(0, True, "I need it today please")
-    m.step(350, True, "I need it today please")
-    assert m.state == "AGENT_INTERRUPTED"
-
-
-def test_q19_history_cap():
-    m = ST.TurnMachine()
-    for i in range(15):
-        m.step(0, False, "", "start", f"a{i}")
-        m.step(1, False, "", "end")
-    assert len(m.history) == 10
-
-
-def test_turns_batch_twin(spark):
-    f = spark.createDataFrame([("c", dt.datetime(2024, 1, 1, 0, 0, 0), True, "", None, None),
-                               ("c", dt.datetime(2024, 1, 1, 0, 0, 0, 300000), False, "my sink is leaking.", None, None),
-                               ("c", dt.datetime(2024, 1, 1, 0, 0, 0, 700000), False, "my sink is leaking.", None, None)],
-                              "call_id string, ts timestamp_ntz, is_speech boolean, transcript string, "
-                              "agent_event string, utterance string")
-    kinds = [r.kind for r in ST.turns_batch(f).orderBy("ts", "kind").collect()]
-    assert kinds.count("turn_done") == 1
-
-
 def test_stream_hourly_equals_batch(spark):
     d = tempfile.mkdtemp(dir="/tmp")
     t = V.Tables(spark, "/root/testdata/sf0.001")
@@ -142,21 +86,6 @@ def test_epoch_sink_is_idempotent(spark):
     assert spark.read.parquet(d).count() == 2
 
 
-def test_stream_turns_equals_batch_twin(spark):
-    from convolake.plans.q_streaming import frames_of
-    d = tempfile.mkdtemp(dir="/tmp")
-    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
-    conv.write.parquet(d + "/conv")
-    stream = spark.readStream.schema(conv.schema).parquet(d + "/conv")
-    q = (ST.stream_turns(frames_of(stream)).writeStream.format("parquet")
-         .option("checkpointLocation", d + "/ck").trigger(availableNow=True).start(d + "/out"))
-    q.awaitTermination()
-    s = spark.read.parquet(d + "/out")
-    b = ST.turns_batch(frames_of(conv))
-    key = ["call_id", "ts", "kind", "from_state", "to_state", "text"]
-    assert sorted(map(tuple, s.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
-
-
 def test_day_partitioned_upsert_sink(spark):
     d = tempfile.mkdtemp(dir="/tmp") + "/hourly"
     sink = SM.hourly_upsert_sink(d, partition="day")
