@@ -34,7 +34,7 @@ from convolake.llm.common import text_bytes
 
 NO_RANK = np.int64(1) << 40
 #: pieces that a worker remembers before it starts afresh
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,7 +176,7 @@ def encoder(path: str, pattern: str) -> SegmentTreeBpe:
     return _ENCODERS[path, pattern]
 
 
-def in_slices(columns: list[list], weight: list[int], limit: int = 8_000_000) -> Iterator[slice]:
+def in_slices(columns: list[list], weight: list[int], limit: int = 1_000_000) -> Iterator[slice]:
     """Slices of about ``limit`` bytes each, so that a batch of long texts is
     handled in bounded memory."""
     begin, held = 0, 0
