@@ -37,7 +37,7 @@ SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 17
 LANES = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LIBRARY_CALL = 4096  # words handed to the library at once
 
 
