@@ -24,12 +24,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark removes the shuffle files of a finished write, as what it wrote is read from then on
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, so
     that a lost executor costs no recomputation of what stands before."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
