@@ -14,7 +14,11 @@ with nothing.  Two documents are linked if 100 |A & B| >= 75 |A | B|.
     never all pairs).  A candidate goes on if its similarity as estimated from
     bit counts, corrected for chance collisions of ``BITS``-bit values, is not
     hopelessly low (``MARGIN`` below the limit, five standard
-    deviations), and is then confirmed on the full sets.
+    deviations) and its parities allow it: a set has ``PARITIES`` bits, each
+    the parity of the shingles that hash there.  Every shingle that only one
+    of two sets has flips one bit, so more unequal bits than the limit allows
+    unequal shingles rule a pair out for certain.  What is left is confirmed
+    on the full sets.
 4.  Links give components.  A bucket whose members then lie in more than one
     component is not settled.  If at most ``SMALL`` members are outside its
     largest component, each of those is compared with all members of other
@@ -45,6 +49,8 @@ SHINGLE = 5
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS = PERMUTATIONS // ROWS
 WORDS = PERMUTATIONS * BITS // 64
+PARITIES = 1024
+PARITY_WORDS = PARITIES // 64
 #: percent of the union, as integers so that the test is exact
 LIMIT = 75
 MARGIN = 0.2
@@ -99,6 +105,16 @@ def band_keys(minimum: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``PARITIES`` hashed places."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+#: columns of a document's signature: minima and parities
+_SIGN = [*(f"s{k}" for k in range(WORDS)), *(f"p{k}" for k in range(PARITY_WORDS))]
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -110,18 +126,18 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes.append(len(s))
                 classes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 m = minima(s)
-                signs.append(packed(m).tobytes())
+                signs.append(packed(m).tobytes() + parities(s).tobytes())
                 bands.append(band_keys(m))
             keys = np.frombuffer(b"".join(classes), dtype="<i8").reshape(-1, 2)
             flat = pa.array(np.concatenate(bands) if bands else np.empty(0, dtype=np.int64), pa.int64())
-            sign = np.frombuffer(b"".join(signs), dtype="<i8").reshape(-1, WORDS)
+            sign = np.frombuffer(b"".join(signs), dtype="<i8").reshape(-1, len(_SIGN))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0], pa.int64()), pa.array(keys[:, 1], pa.int64()),
-                 *(pa.array(sign[:, k], pa.int64()) for k in range(WORDS)),
+                 *(pa.array(sign[:, k], pa.int64()) for k in range(len(_SIGN))),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), flat)],
-                ["id", "n_shingles", "k1", "k2", *(f"s{k}" for k in range(WORDS)), "bands"])
+                ["id", "n_shingles", "k1", "k2", *_SIGN, "bands"])
 
-    signs = ", ".join(f"s{k} bigint" for k in range(WORDS))
+    signs = ", ".join(f"{k} bigint" for k in _SIGN)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("t"))
     return src.mapInArrow(run, f"id bigint, n_shingles bigint, k1 bigint, k2 bigint, {signs}, bands array<bigint>")
 
@@ -143,11 +159,16 @@ def estimated_similarity(left: str, right: str) -> Column:
 
 
 def _sign() -> Column:
-    return F.struct(*(F.col(f"s{k}") for k in range(WORDS)))
+    return F.struct(F.col("n_shingles").alias("n"), *_SIGN)
 
 
 def _possible(left: str, right: str) -> Column:
-    return estimated_similarity(left, right) >= LIMIT / 100 - MARGIN
+    """Holds for every similar pair whose estimate is not far off."""
+    unequal = F.lit(0)
+    for k in range(PARITY_WORDS):
+        unequal = unequal + F.bit_count(F.col(f"{left}.p{k}").bitwiseXOR(F.col(f"{right}.p{k}")))
+    allowed = (F.col(f"{left}.n") + F.col(f"{right}.n")) * (100 - LIMIT)
+    return (estimated_similarity(left, right) >= LIMIT / 100 - MARGIN) & (unequal * (100 + LIMIT) <= allowed)
 
 
 def _similar(pairs: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -213,7 +234,7 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signed = staged(_signatures(docs, id_col, text_col), "signatures")
     classes = staged(signed.where("id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     reps = signed.join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi").dropDuplicates(["k1", "k2"])
-    reps = staged(reps.drop("k1", "k2", "n_shingles"), "class-signatures")
+    reps = staged(reps.drop("k1", "k2"), "class-signatures")
     buckets = _buckets(reps.select(F.explode("bands").alias("key"), "id"))
     candidates = buckets.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("t"))

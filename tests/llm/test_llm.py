@@ -318,3 +318,39 @@ def test_pipeline_stages_keep_columns(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_parities_never_rule_out_a_similar_pair(spark):
+    rng = random.Random(3)
+    for n in (1, 8, 200, 4000):
+        base = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+        for _ in range(30):
+            other = np.union1d(base[rng.randint(0, max(0, n // 7)):], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, n // 6))], dtype=np.uint64))
+            both = len(np.intersect1d(base, other))
+            unequal = int(np.bitwise_count((bbit_minhash.parities(base) ^ bbit_minhash.parities(other)).view(np.uint64)).sum())
+            assert unequal <= len(base) + len(other) - 2 * both
+            if 100 * both >= bbit_minhash.LIMIT * (len(base) + len(other) - both):
+                assert unequal * (100 + bbit_minhash.LIMIT) <= (len(base) + len(other)) * (100 - bbit_minhash.LIMIT)
+
+
+def test_minhash_members_around_a_large_group(spark):
+    """A group of near copies with texts around it that are near but not
+    linked, and others linked only through a chain."""
+    rng = random.Random(11)
+    base = _prose(110, rng).split(" ")
+    texts = []
+    for i in range(220):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.choice([1, 1, 2, 2, 3, 4, 6])):
+            words[at] = f"w{i}x{at}"
+        texts.append(" ".join(words))
+    got = {r.doc_id: r.component_id for r in bbit_minhash.duplicate_components(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 1
