@@ -65,15 +65,13 @@ SELECT window_start, window_end, calls, 'warning', 'avg_latency_ms',
 def q_stream_alerts(t):
     spark = t.spark
     d = _dir(spark, "alerts")
-    alerts = SM.stream_alerts(_costed_stream(t))
-    q = (alerts.writeStream.outputMode("update").foreachBatch(SM.epoch_sink(d + "/table"))
+    windows = SM.stream_alert_windows(_costed_stream(t))
+    q = (windows.writeStream.outputMode("update").foreachBatch(SM.day_upsert_sink(d + "/table", "window_start"))
          .option("checkpointLocation", d + "/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(d + "/table").drop("epoch")
-    except Exception:  # no alert at all → empty table with the alert schema
-        return spark.createDataFrame([], "window_start timestamp_ntz, window_end timestamp_ntz, calls bigint, "
-                                         "severity string, metric string, value double")
+    if not SM.table_exists(spark, d + "/table"):  # no event at all
+        return SM.alert_rows(spark.createDataFrame([], windows.schema))
+    return SM.alert_rows(spark.read.schema(windows.schema).parquet(d + "/table"))
 
 
 HEALTH_CHANGES_SQL = """

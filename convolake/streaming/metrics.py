@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from convolake.functions.columns import round_half_up, round_int
 
@@ -51,24 +52,41 @@ def hourly_upsert_sink(path: str, partition: str = "hour"):
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("hour").parquet(path))
             return
+        day_upsert_sink(path, "hour_bucket")(batch, epoch_id)
+    return sink
+
+
+def table_exists(spark, path: str) -> bool:
+    """Whether a written table stands at ``path``; any other trouble with the
+    storage raises."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def day_upsert_sink(path: str, key: str):
+    """``foreachBatch`` sink for rows named by the time ``key``: the days that
+    a batch touches are read back, its rows replace those of the same key, and
+    the days are overwritten.  A replayed batch changes nothing."""
+    def sink(batch: DataFrame, epoch_id: int) -> None:
         from convolake.operators.changes import upsert_rows
         from convolake.session import cut_lineage
         spark = batch.sparkSession
         merged = batch
-        try:
-            existing = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            existing = None
-        if existing is not None:
-            days = batch.select(F.date_format("hour_bucket", "yyyyMMdd").alias("day")).distinct()
-            old = existing.join(days, "day", "left_semi").drop("day")
-            merged = upsert_rows(old, batch.select(*old.columns), "hour_bucket")
-        merged = cut_lineage(merged.withColumn("day", F.date_format("hour_bucket", "yyyyMMdd")))
+        if table_exists(spark, path):
+            batch = cut_lineage(batch)
+            days = batch.select(F.date_format(key, "yyyyMMdd").alias("day")).distinct()
+            old = spark.read.schema(_with_day(batch)).parquet(path).join(days, "day", "left_semi").drop("day")
+            merged = upsert_rows(old, batch.select(*old.columns), key)
+        merged = cut_lineage(merged.withColumn("day", F.date_format(key, "yyyyMMdd")))
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("day").parquet(path))
     return sink
 
 
+def _with_day(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, StructField("day", StringType())])
+
+
 def epoch_sink(path: str):
     """``foreachBatch`` sink that writes each micro-batch to its own
     ``epoch=<id>`` partition with overwrite: a batch replayed after a
@@ -89,6 +107,19 @@ def stream_alerts(stream: DataFrame, thresholds: dict | None = None, ts: str = "
     error rate exceeds the threshold raises an ``error`` alert, one whose
     average latency exceeds it a ``warning``.  Alerts are rows (the sink is
     a table, not a webhook)."""
+    return alert_rows(stream_alert_windows(stream, thresholds, ts, lateness))
+
+
+def alert_rows(windows: DataFrame) -> DataFrame:
+    return windows.select("window_start", "window_end", "calls", F.inline("alerts"))
+
+
+def stream_alert_windows(stream: DataFrame, thresholds: dict | None = None, ts: str = "created_at",
+                         lateness: str = "2 hours") -> DataFrame:
+    """The windows of op 117 with ``alerts`` as an array, empty where none
+    holds.  In update mode a window comes again whenever it changes; a sink
+    keyed by ``window_start`` (``day_upsert_sink``) keeps its newest state, so
+    an alert that no longer holds goes."""
     th = {**ALERT_THRESHOLDS, **(thresholds or {})}
     s = _ts(stream, ts).withWatermark(ts, lateness)
     g = s.groupBy(F.window(ts, "1 hour", "5 minutes").alias("w")).agg(
@@ -103,7 +134,7 @@ def stream_alerts(stream: DataFrame, thresholds: dict | None = None, ts: str = "
                F.struct(F.lit("warning").alias("severity"), F.lit("avg_latency_ms").alias("metric"),
                         round_half_up("avg_latency", 1).alias("value")))))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "calls", F.inline(alerts))
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "calls", alerts.alias("alerts"))
 
 
 def stream_feedback(interactions: DataFrame, feedback: DataFrame, within: str = "1 hour",

@@ -67,6 +67,26 @@ def test_alert_rows(spark):
     assert {r.value for r in out if r.metric == "error_rate"} == {50.0} and len(out) == 24   # 12 windows × 2
 
 
+def test_alerts_over_several_batches(spark):
+    """Windows that change in later batches are replaced; an alert that no
+    longer holds goes.  Files arrive in any order of time."""
+    import random
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1, 20)
+    rows = [(i, i % 9, t0 + dt.timedelta(minutes=rng.randint(0, 600)), rng.random() < 0.06, rng.randint(100, 900)) for i in range(600)]
+    rng.shuffle(rows)
+    d = tempfile.mkdtemp(dir="/tmp")
+    for k in range(4):
+        _calls(spark, rows[k::4]).coalesce(1).write.mode("append").parquet(d + "/in")
+    calls = spark.readStream.schema(_calls(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(d + "/in")
+    q = (SM.stream_alert_windows(calls, lateness="2 days").writeStream.outputMode("update")
+         .foreachBatch(SM.day_upsert_sink(d + "/t", "window_start")).option("checkpointLocation", d + "/c").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = SM.alert_rows(spark.read.schema(SM.stream_alert_windows(_calls(spark, [])).schema).parquet(d + "/t"))
+    want = SM.stream_alerts(_calls(spark, rows))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_feedback_join_time_range(spark):
     t0 = dt.datetime(2024, 1, 1, 10)
     calls = _calls(spark, [(1, 7, t0, False, 1), (2, 8, t0, False, 1)])
