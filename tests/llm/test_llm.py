@@ -296,6 +296,36 @@ def test_language_model_is_normalised():
     assert np.allclose((10.0 ** table).sum(axis=1), 1, atol=1e-4) and np.isneginf(table[:, 2]).all()
 
 
+def test_language_model_words_of_a_unit_sum_to_one():
+    rng = np.random.default_rng(1)
+    unit = rng.integers(90, 100, 500)
+    total = (1000 / rng.integers(1, 500, 500)).astype(np.int64) + 1
+    part = dict(zip(log_bilinear.TREE, log_bilinear._piece(*log_bilinear._trees(unit, total, rng.permutation(500)))), bucket=0)
+    model = log_bilinear.Model.first(np.ones(log_bilinear.UNITS, dtype=np.int64))
+    words = log_bilinear.Words({"parts": [part]})
+    ctx = np.full(500, 3), np.full(500, 4), np.full(500, 95), np.full(500, 96)
+    logs = words.log10(model, np.arange(500), *ctx)
+    share = total / np.bincount(unit, weights=total)[unit]
+    assert np.allclose(10 ** logs, share, rtol=1e-3)  # before the training
+    words.own[:], words.node[:] = rng.normal(0, 1, words.own.shape), rng.normal(0, 1, words.node.shape)
+    learnt = 10 ** words.log10(model, np.arange(500), *ctx)
+    assert not np.allclose(learnt, share, rtol=0.1) and np.allclose(np.bincount(unit, weights=learnt)[90:], 1, atol=1e-4)
+
+
+def test_language_model_learns_rare_words_by_the_word_before(spark):
+    """Pairs of rare words: given the first, the second is sure; the units of
+    the pairs' first words are shared with many other words."""
+    rng = random.Random(2)
+    firsts = [f"first{i}" for i in range(1500)]
+    text = lambda: " ".join(f"{w} {w.replace('first', 'second')}" for w in rng.sample(firsts, 300))
+    other = lambda: " ".join(f"{w} {rng.choice(firsts).replace('first', 'second')}" for w in rng.sample(firsts, 300))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, other() if i in held[::2] else text()) for i in range(400)]
+    got = _by_id(log_bilinear.score(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)))
+    like, unlike = (np.mean([got[i].score / got[i].n_tokens for i in at]) for at in (held[1::2], held[::2]))
+    assert like > unlike + 0.1
+
+
 def test_empty_tables(empty, spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
