@@ -275,6 +275,14 @@ def test_line_dedup_equals_brute_force(spark):
         assert {r.doc_id: r.text for r in got.collect()} == _jaccard_lines(rows, percent, 12)
 
 
+def test_line_dedup_takes_short_lines_and_copies_of_three_quarters(spark):
+    base = [f"w{i}" for i in range(16)]
+    near, far = " ".join(base[:14] + ["x", "y"]), " ".join(base[:13] + ["p", "q", "r"])  # 14 of 18, 13 of 19 in common
+    rows = [(1, " ".join(base) + "\nEnd\n\n \n終わり"), (2, near + "\nEnd\n\n \nkept"), (3, far + "\n終わり\nend")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_set_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n \nkept", 2), 3: (far, 2)}
+
+
 def test_language_model_base_and_fold(docs):
     got = _by_id(log_bilinear.score(docs))
     tokens = {i: [*_words(t), "\n"] for i, t in _texts().items()}
