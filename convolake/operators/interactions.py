@@ -124,19 +124,21 @@ def training_candidates(df: DataFrame, min_rating: int = 4) -> DataFrame:
             .orderBy(F.desc("user_feedback"), F.desc("created_at"), "id"))
 
 
-def export_candidates(df: DataFrame, min_rating: int = 4, limit_per_skill: int = 1000,
+def export_candidates(df: DataFrame, min_rating: int = 4, limit_per_skill: int | None = None,
                       skill: str | None = None) -> DataFrame:
-    """Op 27: export pairs per skill, capped per skill, keeping ids (Q20).
+    """Op 27: export pairs per skill, keeping ids (Q20).
 
-    The cap is the feature (one export batch per skill); the order inside
-    a skill is explicit (best rating, newest, id) so the cut is stable.
+    All pairs, unless a caller takes batches of ``limit_per_skill``; the order
+    inside a skill is explicit (best rating, newest, id) so a batch is stable.
     """
     c = training_candidates(df, min_rating)
     if skill is not None:
         c = c.where(F.col("skill_id") == skill)
     w = Window.partitionBy("skill_id").orderBy(F.desc("user_feedback"), F.desc("created_at"), "id")
-    return (c.withColumn("rank_in_skill", F.row_number().over(w))
-            .where(F.col("rank_in_skill") <= limit_per_skill)
+    ranked = c.withColumn("rank_in_skill", F.row_number().over(w))
+    if limit_per_skill is not None:
+        ranked = ranked.where(F.col("rank_in_skill") <= limit_per_skill)
+    return (ranked
             .select("id", "skill_id", F.col("user_input").alias("prompt"),
                     F.col("agent_response").alias("completion"), "user_feedback", "rank_in_skill"))
 
