@@ -3,9 +3,8 @@
 
 Keyword cascades become generated ``CASE WHEN`` expressions (no Python
 UDF, stays in whole-stage codegen).  Rule *tables* (skill patterns, error
-patterns) are joined by containment: broadcast nested-loop when the rule
-table is proven small, otherwise an exact equi-join on generated
-substrings so a large rule table never needs a cartesian product.
+patterns) are joined by containment: an exact equi-join on generated
+substrings at every size, so a rule table never needs a cartesian product.
 """
 
 from __future__ import annotations
@@ -36,18 +35,17 @@ def contains_join(probe: DataFrame, id_col: str, text: Column, rules: DataFrame,
                   limit: int = BROADCAST_LIMIT, gram: int = 4) -> DataFrame:
     """All (probe id, rule row) pairs where the rule pattern occurs in the text.
 
-    Small rule tables: broadcast nested-loop join on ``contains``.  Larger
-    ones: a q-gram filter join – every pattern is keyed by its first
+    A q-gram filter join, whatever the size of the rules (``limit`` is kept
+    for callers and has no effect): every pattern is keyed by its first
     ``min(len, gram)`` characters, every text emits its distinct grams of
     those (at most ``gram``) lengths, the two are equi-joined (shuffle join,
     no cartesian product) and each candidate pair is verified with
     ``contains``.  Exact: an occurrence of a pattern always contains its
     prefix gram; the text side grows by at most ``gram`` rows per character.
+    An empty pattern occurs in every text that is not null, as in SQL.
     """
     p = probe.select(F.col(id_col).alias("__id"), text.alias("__t"))
-    size = estimated_bytes(rules)
-    if size is not None and size <= limit:
-        return p.join(F.broadcast(rules), F.col("__t").contains(F.col(pattern_col)), "inner").drop("__t")
+    everywhere = p.where("__t is not null").select("__id").crossJoin(rules.where(F.length(pattern_col) == 0))
     r = (rules.where(F.length(pattern_col) > 0)
          .withColumn("__k", F.least(F.length(pattern_col), F.lit(gram)))
          .withColumn("__g", F.substring(F.col(pattern_col), 1, F.col("__k"))))
@@ -63,7 +61,7 @@ def contains_join(probe: DataFrame, id_col: str, text: Column, rules: DataFrame,
     cand = grams.join(r, (F.col("__k2") == F.col("__k")) & (F.col("__g2") == F.col("__g")), "inner")
     cand = cand.join(texts, F.col("__id") == F.col("__id3"), "inner")
     hits = cand.where(F.col("__t").contains(F.col(pattern_col)))
-    return hits.drop("__k", "__g", "__k2", "__g2", "__id3", "__t").dropDuplicates()
+    return hits.drop("__k", "__g", "__k2", "__g2", "__id3", "__t").unionByName(everywhere).dropDuplicates()
 
 
 # --- 39-42: codes, routing, skill matching -------------------------------
