@@ -35,7 +35,12 @@ MIN_LOG10_GUESSES = 8.0
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|auth|login|bearer)\b["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)(?:bearer\x20+|basic\x20+)?["']?([!-&(-~]{6,})""", re.ASCII | re.IGNORECASE)
+_WORD = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|auth|login|bearer)"
+_VALUE = r"""(?:bearer\x20+|basic\x20+)?["']?([!-&(-~]{6,})"""
+#: what may follow the credential word in a name: SECRET_KEY, token2, secretKey, but not author
+_TAIL = r"s?(?-i:(?:[_-]|[0-9]|(?<=[a-z])[A-Z])[A-Za-z0-9_-]*)?(?![A-Za-z0-9_])"
+#: a match ends with the name, so that a credential word taken for a value is searched, too
+_CONTEXT = re.compile(rf"""{_WORD}(?:{_TAIL}(?=["']?(?:\x20*[:=]\x20*|\x20+is\x20+){_VALUE})|\b(?=["']?\x20+{_VALUE}))""", re.ASCII | re.IGNORECASE)
 
 # Dictionary of frequent words, most frequent first; the rank is the guess count.
 WORDS = """password admin user login welcome secret token example changeme letmein master dragon monkey test guest root
@@ -127,11 +132,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
     found = []
+    done = 0  # end of the last secret
     for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
+        a, b = m.span(m.lastindex)
+        if a < done:
+            continue
         b = a + len(text[a:b].rstrip("\"'`,.;:!?)]}>"))
-        if b - a >= 6 and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b]) >= least:
+        if b - a >= 6 and not any(s <= a and b <= e for s, _, e in base) and guess_cost(text[a:b]) >= least:
             found.append((a, 3, b))
+            done = b
     return found
 
 
