@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import bbit_minhash, byte_bpe, line_set_dedup, log_bilinear, order_minhash, patience_license, preference_quality, rans_store, secret_scan, suffix_decontamination
+from convolake.llm import (bbit_minhash, byte_bpe, chat_format, conversation_repair, line_set_dedup, log_bilinear, order_minhash, patience_license,
+                           preference_quality, rans_store, secret_scan, source_divergence, suffix_decontamination)
 from convolake.llm.common import hex_sha256, table
 
 
@@ -53,5 +54,20 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op9_line_dedup, op10_lm_scores)}
-ORACLES: dict[str, str] = {}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_example(table(spark, sf_dir, "conversations"))
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat_format.read_digests(chat_format.format_conversations(rows, *vocabulary), *vocabulary)
+
+
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_minhash_dedup, op3_quality, op4_license_scan, op5_byte_bpe, op6_token_files, op7_decontamination, op8_secret_scan, op9_line_dedup, op10_lm_scores,
+                                   op11_source_divergence, op12_conversation_repair, op13_chat_format)}
+ORACLES: dict[str, str] = {"op11_source_divergence": source_divergence.ORACLE_SQL}
