@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions.columns import pct, round_half_up, safe_div
+from convolake.functions.scan import NUMBER, Blocks
 from convolake.functions.sizing import broadcast_if_small
 
 # Loss rating bands and the fallback loss used for ordering.
@@ -99,16 +100,21 @@ def loss_curve(steps: DataFrame, job: str = "job_id") -> DataFrame:
     )
 
 
-def adapter_versions(df: DataFrame, key: str = "skill_id") -> DataFrame:
+def adapter_versions(df: DataFrame, key: str = "skill_id", block: int = 1 << 16) -> DataFrame:
     """Op 125: version number per skill in time order, active flag on the
-    newest completed adapter, loss change against the previous version."""
-    w = Window.partitionBy(key).orderBy("created_at", "id")
-    done = F.col("status") == "completed"
-    newest_done = F.max(F.when(done, F.struct("created_at", "id"))).over(Window.partitionBy(key))
-    return (df.withColumn("version", F.row_number().over(w))
-            .withColumn("is_active", F.coalesce(done & (F.struct("created_at", "id") == newest_done),
-                                                F.lit(False)))
-            .withColumn("loss_change", round_half_up(F.col("final_loss") - F.lag("final_loss").over(w), 6)))
+    newest completed adapter, loss change against the previous version.
+
+    A scan over blocks of a skill: the loss before a block and the newest
+    completed adapter of the skill come with the block's summary row."""
+    blocks = Blocks(df, [key], [F.col("created_at").asc_nulls_first(), F.col("id").asc_nulls_first()], block)
+    done, at = F.col("status") == "completed", F.struct("created_at", "id")
+    whole = Window.partitionBy(key)
+    x = blocks.previous(blocks.rows, F.col("final_loss"), "__loss", [F.max(F.when(done, at)).alias("__done")],
+                        [F.max("__done").over(whole).alias("__newest")])
+    x = (x.withColumn("version", F.col(NUMBER).cast("int"))
+         .withColumn("is_active", F.coalesce(done & (at == F.col("__newest")), F.lit(False)))
+         .withColumn("loss_change", round_half_up(F.col("final_loss") - F.col("__loss"), 6)))
+    return blocks.drop(x).drop("__loss", "__done", "__newest")
 
 
 def training_job_summary(jobs: DataFrame, key: str = "skill_id") -> DataFrame:

@@ -3,14 +3,13 @@
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions.columns import pct, round_half_up, with_distinct_counts, word_count
+from convolake.functions.scan import decayed_sum
 from convolake.functions.sizing import broadcast_if_small
 
 # Data-quality tier thresholds (metric, tier, minimum, rank).
@@ -101,42 +100,13 @@ def health_rollup(df: DataFrame, services: Sequence[str] = tuple(HEALTH_SERVICES
 
 
 def ewma(df: DataFrame, key: str | None, order: Sequence[str], value: str, alpha: float = 0.1,
-         block: str = "1 hour", out: str = "ewma") -> DataFrame:
-    """Op 70: ``s = (1−α)·s + α·x`` in time order per key, starting at 0,
-    for every row.
-
-    Scales without sorting a whole key in one task: rows are cut into time
-    blocks of ``block`` (first order column); each (key, block) computes its
-    local recurrence from its last rows – as many as weigh more than 1e-18, i.e.
-    less than a double can hold beside the rest, whatever ``alpha`` is –, the
-    carry from earlier blocks is another bounded fold over block summaries
-    (one row per block), and each row adds carry·(1−α)^(position+1).
-    """
-    a = 1.0 - alpha
-    horizon = max(1, math.ceil(math.log(1e-18) / math.log(a))) if 0 < a < 1 else 1
-    keys = [key] if key else []
-    ts = order[0]
-    x = df.withColumn("__blk", F.window(F.col(ts).cast("timestamp"), block)["start"])
-    wb = Window.partitionBy(*keys, "__blk").orderBy(*order)
-    fold = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc * a + v * alpha)
-    x = (x.withColumn("__local", fold(F.collect_list(F.col(value).cast("double"))
-                                      .over(wb.rowsBetween(-horizon, 0))))
-         .withColumn("__pos", F.row_number().over(wb) - 1))
-    summ = (x.groupBy(*keys, "__blk")
-            .agg(F.max_by("__local", "__pos").alias("__last"), F.count("*").alias("__len")))
-    wk = Window.partitionBy(*keys).orderBy("__blk")
-    # carry into block j = state after block j-1: fold over the previous blocks'
-    # (decay, local end value) pairs
-    steps = F.collect_list(F.struct(F.pow(F.lit(a), F.col("__len")).alias("d"), F.col("__last").alias("l"))) \
-        .over(wk.rowsBetween(-horizon, -1))
-    summ = summ.withColumn("__carry", F.aggregate(steps, F.lit(0.0), lambda acc, s: acc * s["d"] + s["l"]))
-    sm = summ.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__blk").alias("__b2"), "__carry")
-    cond = F.col("__blk").eqNullSafe(F.col("__b2"))
-    for k in keys:  # null keys form their own series, as in a window
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    y = x.join(sm, cond, "left").drop("__b2", *[f"__k_{k}" for k in keys])
-    res = F.col("__local") + F.pow(F.lit(a), F.col("__pos") + 1) * F.coalesce(F.col("__carry"), F.lit(0.0))
-    return y.withColumn(out, res).drop("__blk", "__local", "__pos", "__carry")
+         block: int = 1 << 16, out: str = "ewma") -> DataFrame:
+    """Op 70: ``s = (1−α)·s + α·x`` in time order per key, starting at 0, for
+    every row, by the prefix scan of ``functions.scan.decayed_sum``: no array
+    per row, and a hot key (or hour) is spread over blocks of at most ``block``
+    rows.  A null value leaves the average as it is."""
+    return decayed_sum(df, [key] if key else [], [F.col(c).asc_nulls_first() for c in order],
+                       F.col(value).cast("double") * alpha, 1.0 - alpha, out, block)
 
 
 def last_turns(df: DataFrame, n: int = 10, conv: str = "conv_id", order: str = "turn",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions.columns import pct, round_half_up, round_int, safe_div, trunc_ts
+from convolake.functions.ordering import row_number_within
 from convolake.functions.sizing import broadcast_if_small
 from convolake.functions.skew import salted_join
 
@@ -117,11 +118,14 @@ def monthly_cost_projection(df: DataFrame, unit_cost: DataFrame) -> DataFrame:
 def training_candidates(df: DataFrame, min_rating: int = 4) -> DataFrame:
     """Op 26: the ``training_candidates`` view – deep, well rated, no error,
     not yet exported; best first."""
+    return _candidates(df, min_rating).orderBy(F.desc("user_feedback"), F.desc("created_at"), "id")
+
+
+def _candidates(df: DataFrame, min_rating: int) -> DataFrame:
     return (df.where((F.col("system_used") == "deep") & (F.col("user_feedback") >= min_rating)
                      & (F.col("error_occurred") == F.lit(False))
                      & (F.col("exported_for_training") == F.lit(False)))
-            .select("id", "skill_id", "user_input", "agent_response", "user_feedback", "created_at")
-            .orderBy(F.desc("user_feedback"), F.desc("created_at"), "id"))
+            .select("id", "skill_id", "user_input", "agent_response", "user_feedback", "created_at"))
 
 
 def export_candidates(df: DataFrame, min_rating: int = 4, limit_per_skill: int | None = None,
@@ -130,14 +134,18 @@ def export_candidates(df: DataFrame, min_rating: int = 4, limit_per_skill: int |
 
     All pairs, unless a caller takes batches of ``limit_per_skill``; the order
     inside a skill is explicit (best rating, newest, id) so a batch is stable.
+    A batch is cut task by task before the skills meet; the whole export is
+    numbered over ranges, so that a hot skill is spread over many tasks.
     """
-    c = training_candidates(df, min_rating)
+    c = _candidates(df, min_rating)
     if skill is not None:
         c = c.where(F.col("skill_id") == skill)
-    w = Window.partitionBy("skill_id").orderBy(F.desc("user_feedback"), F.desc("created_at"), "id")
-    ranked = c.withColumn("rank_in_skill", F.row_number().over(w))
+    order = [F.desc("user_feedback"), F.desc("created_at"), F.asc("id")]
     if limit_per_skill is not None:
-        ranked = ranked.where(F.col("rank_in_skill") <= limit_per_skill)
+        w = Window.partitionBy("skill_id").orderBy(*order)
+        ranked = c.withColumn("rank_in_skill", F.row_number().over(w)).where(F.col("rank_in_skill") <= limit_per_skill)
+    else:
+        ranked = row_number_within(c, ["skill_id"], order, "rank_in_skill").withColumn("rank_in_skill", F.col("rank_in_skill").cast("int"))
     return (ranked
             .select("id", "skill_id", F.col("user_input").alias("prompt"),
                     F.col("agent_response").alias("completion"), "user_feedback", "rank_in_skill"))

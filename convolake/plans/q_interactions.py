@@ -116,6 +116,24 @@ def q_export(t):
     return I.export_candidates(V.interactions(t), 4, 100)
 
 
+@query("export_candidates_whole", """
+SELECT id, skill_id, user_input AS prompt, agent_response AS completion, user_feedback,
+  CAST(row_number() OVER (PARTITION BY skill_id ORDER BY user_feedback DESC, created_at DESC, id) AS INTEGER) AS rank_in_skill
+FROM v_interactions
+WHERE system_used = 'deep' AND user_feedback >= 4 AND error_occurred = false AND exported_for_training = false""")
+def q_export_whole(t):
+    return I.export_candidates(V.interactions(t))
+
+
+@query("mark_exported_whole", """
+SELECT id, (system_used = 'deep' AND user_feedback >= 4 AND error_occurred = false AND exported_for_training = false) IS TRUE
+  OR exported_for_training AS exported_for_training
+FROM v_interactions""")
+def q_mark_whole(t):
+    inter = V.interactions(t)
+    return I.mark_exported(inter, I.export_candidates(inter).select("id")).select("id", "exported_for_training")
+
+
 @query("mark_exported", """
 WITH ids AS (
   SELECT id FROM (

@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convolake.functions.sizing import estimated_bytes
 from convolake.operators import interactions as I
 from convolake.plans import views as V
 from convolake.plans.catalog import query
 from convolake.plans.q_interactions import HOURLY_SQL, _w
-from convolake.session import ensure_checkpoint_dir
+from convolake.session import ensure_checkpoint_dir, rocksdb_session
 from convolake.streaming import cycle as CY
 from convolake.streaming import metrics as SM
 from convolake.streaming import turns as ST
@@ -35,6 +36,32 @@ def _run_to_files(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(d + "/out")
 
 
+def _arrivals(t, batches: int = 4, late: str = "12 HOURS"):
+    """The events as they would arrive: in ``batches`` files by time, each event
+    up to ``late`` after its time (by a hash of its id), so that micro-batches
+    overlap in time and hold their rows in no order.  Returns the folder."""
+    d = _dir(t.spark, "arrivals")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000 * F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {late})")
+    arrived = t.events.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")) + delay.cast("bigint"))
+    cuts = arrived.select(F.percentile_approx("__at", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
+    batch = sum(((F.col("__at") >= c).cast("int") for c in cuts), F.lit(0))
+    dealt = arrived.withColumn("__batch", F.coalesce(batch, F.lit(0))).drop("__at")
+    for k in range(batches):  # one after the other: the file source reads by time of writing
+        part = dealt.where(F.col("__batch") == k).drop("__batch")
+        part.repartition(_files(t, batches)).write.mode("append").parquet(d)
+    return d
+
+
+def _files(t, batches: int) -> int:
+    """Files of about 128 MB in a batch."""
+    return 1 + (estimated_bytes(t.events) or 0) // (batches * (128 << 20))
+
+
+def _arriving(spark, t, folder: str, batches: int = 4):
+    """A stream over them with as many micro-batches."""
+    return spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", _files(t, batches)).parquet(folder)
+
+
 def _costed_stream(t):
     s = V.interactions_of(t.stream("events"))
     return I.interaction_cost(I.derive_interaction(s), V.prices(t.spark))
@@ -78,8 +105,8 @@ HEALTH_CHANGES_SQL = """
 WITH lg AS (""" + " UNION ALL ".join(
     f"SELECT '{s}' AS service, checked_at, {s}_healthy AS healthy FROM v_health"
     for s in ["groq", "anthropic", "deepgram", "cartesia", "livekit"]) + """),
-x AS (SELECT *, lag(healthy) OVER (PARTITION BY service ORDER BY checked_at) AS previous FROM lg
-      WHERE healthy IS NOT NULL),
+x AS (SELECT *, lag(healthy) OVER (PARTITION BY service ORDER BY checked_at, healthy) AS previous FROM lg
+      WHERE healthy IS NOT NULL AND checked_at IS NOT NULL),
 ch AS (SELECT * FROM x WHERE previous IS NULL OR previous <> healthy)
 SELECT service, checked_at, previous, healthy, 'state_change' AS event FROM ch
 UNION ALL SELECT service, checked_at, previous, healthy, 'down_alert' FROM x WHERE NOT healthy"""
@@ -87,13 +114,18 @@ UNION ALL SELECT service, checked_at, previous, healthy, 'down_alert' FROM x WHE
 
 @query("stream_health", HEALTH_CHANGES_SQL)
 def q_stream_health(t):
-    out = _run_to_files(ST.stream_health(V.health_of(t.stream("events"))), "health")
+    """The stream, and a closing batch of what still waits behind the watermark."""
+    own, d = rocksdb_session(t.spark), _dir(t.spark, "health")
+    checks = V.health_of(_arriving(own, t, _arrivals(t)))
+    q = (ST.stream_health(checks, "1 day").writeStream.format("parquet")
+         .option("checkpointLocation", d + "/_checkpoint").trigger(availableNow=True).start(d + "/out"))
+    q.awaitTermination()
+    closing = ST.pending_health(own, d + "/_checkpoint")
+    closing.write.mode("append").parquet(d + "/closing")
+    out = t.spark.read.schema(closing.schema).parquet(d + "/out", d + "/closing")
     return out.withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
 
 
-
-
-
 @query("health_state_changes", HEALTH_CHANGES_SQL)
 def q_health_changes(t):
     return ST.health_batch(V.health(t)).withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))

@@ -76,6 +76,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def rocksdb_session(spark):
+    """A session on the same cluster whose streams keep their state in RocksDB,
+    which keyed state with timers needs; the settings of ``spark`` stay."""
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint dir (never local)."""
     ensure_checkpoint_dir(df.sparkSession)

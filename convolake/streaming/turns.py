@@ -1,63 +1,150 @@
-"""Service health state (op 118) as keyed streaming state."""
+"""Service health state (op 118) as keyed streaming state with event-time timers.
+
+``transformWithState`` needs the RocksDB state store; ``streaming.session``
+gives a session with it that leaves the caller's settings alone.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-# --- 118: service health state --------------------------------------------
+from convolake.functions.scan import Blocks
 
-HEALTH_OUT = "service string, checked_at timestamp, previous boolean, healthy boolean, event string"
+# times are microseconds inside the processors: a Python timestamp depends on the zone of its process
+_OUT = "service string, at bigint, previous boolean, healthy boolean, event string"
+SERVICES = ("groq", "anthropic", "deepgram", "cartesia", "livekit")
+_CHECK = StructType([StructField("at", LongType()), StructField("healthy", BooleanType())])
+#: lanes over which finished events of a service are spread on their way out
+LANES = 64
 
 
-def health_long(df: DataFrame, services=("groq", "anthropic", "deepgram", "cartesia", "livekit")) -> DataFrame:
+def health_long(df: DataFrame, services=SERVICES) -> DataFrame:
+    """One row per check and service; checks without a time or a result have
+    no place in the order and are left out."""
     rows = F.array(*[F.struct(F.lit(s).alias("service"), F.col(f"{s}_healthy").alias("healthy")) for s in services])
-    return df.select(F.col("checked_at").cast("timestamp").alias("checked_at"), F.inline(rows))
-
-
-def _health_events(service: str, prev, pdf: pd.DataFrame):
-    rows = []
-    for r in pdf.sort_values("checked_at", kind="stable").itertuples(index=False):
-        h = bool(r.healthy) if r.healthy is not None and not pd.isna(r.healthy) else None
-        if h is None:
-            continue
-        if prev is None or h != prev:
-            rows.append((service, r.checked_at, prev, h, "state_change"))
-        if not h:  # every failed check raises an alert, as the scheduled check does
-            rows.append((service, r.checked_at, prev, h, "down_alert"))
-        prev = h
-    return rows, prev
-
-
-def stream_health(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Op 118: per service, state changes of the health flag (the last value
-    is kept in state between micro-batches) and a down alert for every
-    failed check."""
-    def fn(key, pdfs, state):
-        prev = state.get[0] if state.exists else None
-        rows = []
-        for pdf in pdfs:
-            r, prev = _health_events(str(key[0]), prev, pdf)
-            rows += r
-        if prev is not None:
-            state.update((prev,))
-        yield pd.DataFrame(rows, columns=["service", "checked_at", "previous", "healthy", "event"])
-
-    x = health_long(stream).withWatermark("checked_at", lateness)
-    return x.groupBy("service").applyInPandasWithState(fn, HEALTH_OUT, "last boolean", "append",
-                                                        GroupStateTimeout.NoTimeout)
-
-
-def health_batch(df: DataFrame) -> DataFrame:
-    """Batch twin of op 118: the same change / down-alert rules with a
-    ``lag`` window per service (JVM, spills) instead of Python state."""
-    from pyspark.sql import Window
-    x = health_long(df).where(F.col("healthy").isNotNull())
-    w = Window.partitionBy("service").orderBy("checked_at")
-    x = x.withColumn("previous", F.lag("healthy").over(w))
+    long = df.select(F.col("checked_at").cast("timestamp").alias("checked_at"), F.inline(rows))
+    return long.where("checked_at is not null and healthy is not null")
+
+
+class _Ranges(StatefulProcessor):
+    """Holds the checks of one service and time range until the watermark has
+    passed the range, then releases them in order.  What the first check of the
+    range follows is not known here: it goes out as an ``edge`` with the last
+    value of the range, all others as finished events."""
+
+    def __init__(self, range_ms: int):
+        self.range_ms = range_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.rows = handle.getListState("rows", _CHECK)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            self.rows.appendList([(int(at), bool(ok)) for at, ok in zip(pdf["at"], pdf["healthy"])])
+        self.handle.registerTimer((key[1] + 1) * self.range_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        checks = sorted((at, ok) for at, ok in self.rows.get())
+        self.rows.clear()
+        if checks:
+            yield _events(key[0], checks)
+
+    def close(self):
+        pass
+
+
+def _events(service: str, checks: list) -> pd.DataFrame:
+    """Events of sorted checks; the first row is the edge and carries the last value."""
+    (first, ok), out = checks[0], []
+    out.append((service, 0, first, None, ok, "edge", checks[-1][1]))
+    previous = ok
+    for at, ok in checks[1:]:
+        lane = 1 + at % LANES
+        if ok != previous:
+            out.append((service, lane, at, previous, ok, "state_change", None))
+        if not ok:  # every failed check raises an alert, as the scheduled check does
+            out.append((service, lane, at, previous, ok, "down_alert", None))
+        previous = ok
+    return pd.DataFrame(out, columns=["service", "lane", "at", "previous", "healthy", "event", "last"])
+
+
+class _Edges(StatefulProcessor):
+    """Carries the last value of a range over to the next one.  All ranges that
+    end behind the watermark come in one micro-batch and later ones only
+    afterwards, so sorting the edges of a batch puts them in their order."""
+
+    def init(self, handle):
+        self.last = handle.getValueState("last", StructType(_CHECK.fields[1:]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        columns = [c.split()[0] for c in _OUT.split(", ")]
+        if key[1] != 0:
+            for pdf in rows:
+                yield pdf[columns]
+            return
+        previous = self.last.get()[0] if self.last.exists() else None
+        out = []
+        edges = sorted((at, ok, last) for pdf in rows for at, ok, last in zip(pdf["at"], pdf["healthy"], pdf["last"]))
+        for at, ok, last in edges:
+            if previous is None or bool(ok) != previous:
+                out.append((key[0], at, previous, bool(ok), "state_change"))
+            if not ok:
+                out.append((key[0], at, previous, False, "down_alert"))
+            previous = bool(last)
+        self.last.update((previous,))
+        yield pd.DataFrame(out, columns=columns)
+
+    def close(self):
+        pass
+
+
+def stream_health(stream: DataFrame, lateness: str = "1 hour", range_ms: int = 86_400_000) -> DataFrame:
+    """Op 118: per service the changes of the health flag and a down alert for
+    every failed check, each with the value before it.
+
+    State is keyed by (service, range of ``range_ms``), so the checks of one
+    service are spread over many keys and none of them grows with the table; a
+    second state per service holds one value.  Checks later than ``lateness``
+    are dropped by the watermark.  Checks of one time stand with the failed one
+    first.  What the watermark has not passed yet waits in state;
+    ``pending_health`` reads it from there."""
+    checks = health_long(stream).withWatermark("checked_at", lateness).withColumn("at", F.unix_micros("checked_at"))
+    ranges = checks.withColumn("range", F.floor(F.col("at") / (range_ms * 1000)))
+    released = ranges.groupBy("service", "range").transformWithStateInPandas(
+        _Ranges(range_ms), "service string, lane int, at bigint, previous boolean, healthy boolean, event string, last boolean", "Append", "EventTime")
+    events = released.groupBy("service", "lane").transformWithStateInPandas(_Edges(), _OUT, "Append", "None")
+    return events.select("service", F.timestamp_micros("at").alias("checked_at"), "previous", "healthy", "event")
+
+
+def pending_health(spark, checkpoint: str) -> DataFrame:
+    """The events of checks that wait behind the watermark of a stopped
+    ``stream_health``: rows of open ranges from the state store, after the last
+    value that each service was left with.  A closing batch appends them."""
+    read = spark.read.format("statestore").option("path", checkpoint)
+    # the state of the later operator has the lower id
+    last = (read.option("operatorId", 0).option("stateVarName", "last").load()
+            .select(F.col("key.service").alias("service"), F.col("value.healthy").alias("healthy"), F.lit(None).cast("timestamp").alias("checked_at")))
+    rows = (read.option("operatorId", 1).option("stateVarName", "rows").option("flattenCollectionTypes", True).load()
+            .select(F.col("key.service").alias("service"), F.col("list_element.healthy").alias("healthy"), F.timestamp_micros("list_element.at").alias("checked_at")))
+    # an older value stands before all that waits
+    return _changes(last.unionByName(rows)).where("checked_at is not null")
+
+
+def _changes(x: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Changes and alerts of each service, by a scan over blocks of its checks."""
+    blocks = Blocks(x, ["service"], [F.asc_nulls_first("checked_at"), F.asc("healthy")], block)
+    x = blocks.previous(blocks.rows, F.col("healthy"), "previous")
     changed = F.col("previous").isNull() | (F.col("previous") != F.col("healthy"))
     ev = F.array_compact(F.array(F.when(changed, F.lit("state_change")), F.when(~F.col("healthy"), F.lit("down_alert"))))
     return x.select("service", "checked_at", "previous", "healthy", F.explode(ev).alias("event"))
+
+
+def health_batch(df: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Batch twin of op 118: the same events from a whole table."""
+    return _changes(health_long(df), block)
