@@ -7,7 +7,7 @@ occurs in the text wins".  Two physical forms:
   ``CASE WHEN`` expression; it stays inside whole-stage codegen and needs
   no join at all.
 * rule *tables* (DataFrames that are edited as data) are matched by
-  ``operators.labels.contains_join`` – an exact substring equi-join.
+  ``functions.automaton`` – one pass of a multi-pattern automaton.
 """
 
 from __future__ import annotations

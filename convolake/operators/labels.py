@@ -3,8 +3,7 @@
 
 Keyword cascades become generated ``CASE WHEN`` expressions (no Python
 UDF, stays in whole-stage codegen).  Rule *tables* (skill patterns, error
-patterns) are joined by containment: an exact equi-join on generated
-substrings at every size, so a rule table never needs a cartesian product.
+patterns) become a multi-pattern automaton that reads each text once.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolake.functions import lexicons as L
+from convolake.functions.automaton import all_matches
+from convolake.functions.automaton import first_match as first_match_of
 from convolake.functions.columns import round_half_up, word_count
 from convolake.functions.patterns import any_contains, first_match
 from convolake.functions.sizing import BROADCAST_LIMIT, broadcast_if_small, estimated_bytes
@@ -32,36 +33,13 @@ def _norm(c) -> Column:
 # --- containment join of a rule table -------------------------------------
 
 def contains_join(probe: DataFrame, id_col: str, text: Column, rules: DataFrame, pattern_col: str,
-                  limit: int = BROADCAST_LIMIT, gram: int = 4) -> DataFrame:
-    """All (probe id, rule row) pairs where the rule pattern occurs in the text.
-
-    A q-gram filter join, whatever the size of the rules (``limit`` is kept
-    for callers and has no effect): every pattern is keyed by its first
-    ``min(len, gram)`` characters, every text emits its distinct grams of
-    those (at most ``gram``) lengths, the two are equi-joined (shuffle join,
-    no cartesian product) and each candidate pair is verified with
-    ``contains``.  Exact: an occurrence of a pattern always contains its
-    prefix gram; the text side grows by at most ``gram`` rows per character.
-    An empty pattern occurs in every text that is not null, as in SQL.
-    """
-    p = probe.select(F.col(id_col).alias("__id"), text.alias("__t"))
-    everywhere = p.where("__t is not null").select("__id").crossJoin(rules.where(F.length(pattern_col) == 0))
-    r = (rules.where(F.length(pattern_col) > 0)
-         .withColumn("__k", F.least(F.length(pattern_col), F.lit(gram)))
-         .withColumn("__g", F.substring(F.col(pattern_col), 1, F.col("__k"))))
-    # the distinct gram lengths (at most ``gram`` values) as one scalar array
-    lens = r.select(F.array_sort(F.collect_set("__k"))).scalar()
-    grams = (p.select("__id", F.explode(lens).alias("__k2"), F.length("__t").alias("__n"), "__t")
-             .where(F.col("__k2") <= F.col("__n"))
-             .select("__id", "__k2", F.explode(F.sequence(F.lit(1), F.col("__n") - F.col("__k2") + 1)).alias("__pos"),
-                     "__t")
-             .select("__id", "__k2", F.substring(F.col("__t"), F.col("__pos"), F.col("__k2")).alias("__g2"))
-             .distinct())
-    texts = p.select(F.col("__id").alias("__id3"), "__t")
-    cand = grams.join(r, (F.col("__k2") == F.col("__k")) & (F.col("__g2") == F.col("__g")), "inner")
-    cand = cand.join(texts, F.col("__id") == F.col("__id3"), "inner")
-    hits = cand.where(F.col("__t").contains(F.col(pattern_col)))
-    return hits.drop("__k", "__g", "__k2", "__g2", "__id3", "__t").unionByName(everywhere).dropDuplicates()
+                  limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """All distinct (probe id, rule row) pairs where the rule pattern occurs in
+    the text: each text is read once by the automaton of the rules, and only
+    pairs that match are made.  ``limit`` is kept for callers and has no effect.
+    An empty pattern occurs in every text that is not null, as in SQL."""
+    found = probe.select(F.col(id_col).alias("__id"), F.explode(all_matches(rules, pattern_col)(text)).alias("__r"))
+    return found.select("__id", "__r.*").dropDuplicates()
 
 
 # --- 39-42: codes, routing, skill matching -------------------------------
@@ -108,17 +86,15 @@ def match_skill(queries: DataFrame, patterns: DataFrame, id_col: str = "id", tex
     """Op 41: first skill (registration order) with a pattern contained in the
     lower-cased query; else the current skill.
 
-    ``patterns`` (skill, skill_ord, pattern, pattern_ord, response).
+    ``patterns`` (skill, skill_ord, pattern, pattern_ord, response).  Each query
+    is looked up where it stands, so repeated ids stay apart.
     """
-    pr = patterns.select("skill", "skill_ord", F.lower("pattern").alias("__pat"), "pattern_ord", "response")
-    hits = contains_join(queries, id_col, F.lower(F.col(text)), pr, "__pat")
-    best = hits.groupBy("__id").agg(
-        F.min_by(F.struct("skill", "response"), F.struct("skill_ord", "pattern_ord")).alias("__m"))
-    out = queries.join(best, queries[id_col] == best["__id"], "left")
+    rules = patterns.select("skill", "skill_ord", F.lower("pattern").alias("__pat"), "pattern_ord", "response")
+    match = first_match_of(rules, "__pat", ["skill_ord", "pattern_ord"], ["skill", "response"])
     cur = F.lit(current) if isinstance(current, str) or current is None else current
-    return (out.withColumn("matched_skill", F.coalesce(F.col("__m.skill"), cur))
-            .withColumn("cached_response", F.col("__m.response"))
-            .drop("__id", "__m"))
+    return (queries.withColumn("__m", match(F.lower(F.col(text))))
+            .withColumn("matched_skill", F.coalesce(F.col("__m.skill"), cur))
+            .withColumn("cached_response", F.col("__m.response")).drop("__m"))
 
 
 def canned_response(queries: DataFrame, patterns: DataFrame, id_col: str = "id",
@@ -138,10 +114,9 @@ def error_classes(logs: DataFrame, patterns: DataFrame, id_col: str = "id", text
                   default: str = "unknown") -> DataFrame:
     """Op 64: first matching error category by pattern order, counted by
     category and severity.  ``patterns`` (category, severity, ord, pattern)."""
-    pr = patterns.select("category", "severity", "ord", F.lower("pattern").alias("__pat"))
-    hits = contains_join(logs, id_col, F.lower(F.col(text)), pr, "__pat")
-    best = hits.groupBy("__id").agg(F.min_by(F.struct("category", "severity"), "ord").alias("__m"))
-    x = logs.join(best, logs[id_col] == best["__id"], "left")
+    rules = patterns.select("category", "severity", "ord", F.lower("pattern").alias("__pat"))
+    match = first_match_of(rules, "__pat", ["ord"], ["category", "severity"])
+    x = logs.select(match(F.lower(F.col(text))).alias("__m"))
     return (x.groupBy(F.coalesce(F.col("__m.category"), F.lit(default)).alias("category"),
                       F.coalesce(F.col("__m.severity"), F.lit("low")).alias("severity"))
             .agg(F.count("*").alias("count")))
