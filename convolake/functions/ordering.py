@@ -7,10 +7,12 @@ partitioned sort instead: the range partitioner splits a hot key over many
 tasks, each task numbers its sorted slice, and a tiny table of per-(key,
 slice) counts turns the local positions into global ones.
 
-The sorted, id-stamped frame is cut with a reliable ``checkpoint()`` into
-the shared checkpoint folder before it is used twice, so the range bounds
-(found by sampling) and the positions cannot change if an executor is lost
-and a stage is recomputed.
+The sorted, id-stamped frame is written to the shared checkpoint folder before
+it is used twice, so the range bounds (found by sampling) and the positions
+cannot change if an executor is lost and a stage is recomputed.
+
+An input that is known to fit in one task as a whole (``ONE_TASK_BYTES``) is
+numbered by the plain window: the same numbers without the extra passes.
 """
 
 from __future__ import annotations
@@ -20,20 +22,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.session import cut_lineage
+from convolake.functions.sizing import estimated_bytes
+from convolake.session import staged
+
+ONE_TASK_BYTES = 32 << 20
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    size = estimated_bytes(df)
+    return size is not None and size <= ONE_TASK_BYTES
 
 
 def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
     """``row_number()`` per ``keys`` in ``order`` (which must end with a unique
     column), computed without a per-key window over the data."""
+    if num_partitions is None and fits_one_task(df):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(k).asc_nulls_first() for k in keys] + list(order)
     s = (df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
          .withColumn("__pid", F.spark_partition_id())
          .withColumn("__mid", F.monotonically_increasing_id()))
-    s = cut_lineage(s)
+    s = staged(s, "numbered")
     seg = s.groupBy(*keys, "__pid").agg(F.count("*").alias("__c"), F.min("__mid").alias("__m0"))
     w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("__off", F.coalesce(F.sum("__c").over(w), F.lit(0)))

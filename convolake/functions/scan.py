@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.functions.ordering import row_number_within
+from convolake.functions.ordering import fits_one_task, row_number_within
 
 NUMBER, BLOCK = "__n", "__block"
 
@@ -26,7 +26,10 @@ class Blocks:
     """``rows``: the input with its number in its key (from 1) and its block."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int = 1 << 16):
-        self.keys = list(keys)
+        self.keys, self.whole = list(keys), Window.partitionBy(*keys)
+        #: the whole input fits in a task, so a key needs no carry between blocks
+        self.small = fits_one_task(df)
+        self.order = list(order)
         numbered = row_number_within(df, keys, order, NUMBER)
         self.rows = numbered.withColumn(BLOCK, F.floor((F.col(NUMBER) - 1) / size))
         self.first = F.col(NUMBER) == F.col(BLOCK) * size + 1
@@ -46,14 +49,18 @@ class Blocks:
         joined = rows.join(right, functools.reduce(lambda a, b: a & b, same, F.col(BLOCK) == F.col("__b")), "left")
         return joined.drop("__b", *[f"__k_{k}" for k in self.keys])
 
-    def previous(self, rows: DataFrame, value: Column, out: str, summary: Sequence[Column] = (), carried: Sequence[Column] = ()) -> DataFrame:
+    def previous(self, rows: DataFrame, value: Column, out: str, summary: dict[str, Column] | None = None,
+                 carried: dict[str, Column] | None = None) -> DataFrame:
         """The value of the row before (null for the first of a key) as ``out``;
         ``summary`` aggregates of blocks, and ``carried`` columns made of them
-        over ``along``, go with the same join."""
-        ends = self.summary(F.max_by(value, NUMBER).alias("__end"), *summary)
-        ends = ends.select("*", F.lag("__end").over(self.along).alias("__before"), *carried)
-        extra = [c for c in ends.columns if c not in (*self.keys, BLOCK, "__end")]
-        joined = self.attach(rows.withColumn("__within", F.lag(value).over(self.inside)), ends, *extra)
+        over ``whole`` or ``along``, go with the same join."""
+        summary, carried = summary or {}, carried or {}
+        if self.small:
+            rows = rows.withColumn(out, F.lag(value).over(self.whole.orderBy(*self.order)))
+            return rows.select("*", *[c.over(self.whole).alias(a) for a, c in summary.items()]).select("*", *[c.alias(a) for a, c in carried.items()])
+        ends = self.summary(F.max_by(value, NUMBER).alias("__end"), *[c.alias(a) for a, c in summary.items()])
+        ends = ends.select("*", F.lag("__end").over(self.along).alias("__before"), *[c.alias(a) for a, c in carried.items()])
+        joined = self.attach(rows.withColumn("__within", F.lag(value).over(self.inside)), ends, "__before", *summary, *carried)
         return joined.withColumn(out, F.when(self.first, F.col("__before")).otherwise(F.col("__within"))).drop("__before", "__within")
 
     def drop(self, rows: DataFrame) -> DataFrame:

@@ -108,9 +108,7 @@ def adapter_versions(df: DataFrame, key: str = "skill_id", block: int = 1 << 16)
     completed adapter of the skill come with the block's summary row."""
     blocks = Blocks(df, [key], [F.col("created_at").asc_nulls_first(), F.col("id").asc_nulls_first()], block)
     done, at = F.col("status") == "completed", F.struct("created_at", "id")
-    whole = Window.partitionBy(key)
-    x = blocks.previous(blocks.rows, F.col("final_loss"), "__loss", [F.max(F.when(done, at)).alias("__done")],
-                        [F.max("__done").over(whole).alias("__newest")])
+    x = blocks.previous(blocks.rows, F.col("final_loss"), "__loss", {"__done": F.max(F.when(done, at))}, {"__newest": F.max("__done").over(blocks.whole)})
     x = (x.withColumn("version", F.col(NUMBER).cast("int"))
          .withColumn("is_active", F.coalesce(done & (at == F.col("__newest")), F.lit(False)))
          .withColumn("loss_change", round_half_up(F.col("final_loss") - F.col("__loss"), 6)))

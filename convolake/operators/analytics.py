@@ -3,12 +3,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.functions.columns import pct, round_half_up, with_distinct_counts, word_count
+from convolake.functions.columns import pct, round_half_up, word_count
 from convolake.functions.scan import decayed_sum
 from convolake.functions.sizing import broadcast_if_small
 
@@ -21,23 +22,49 @@ HEALTH_SERVICES = ["groq", "anthropic", "deepgram", "cartesia", "livekit"]
 LATENCY_SERVICES = ["groq", "anthropic"]
 
 
+def _overview(rows: DataFrame, key: str) -> DataFrame:
+    """Adds up rows of partial figures by skill (one union, no joins)."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    x = rows.groupBy(key).agg(*[n(c) for c in ("examples", "tokens", "approved", "adapters", "__done")], F.min("best_loss").alias("best_loss"),
+                              F.max("__listed").alias("__listed"))
+    status = F.when(F.col("__done") > 0, "trained").when(F.col("examples") > 0, "has_data").otherwise("untrained")
+    return x.where("__listed").select(key, "examples", "tokens", "approved", "adapters", "best_loss", status.alias("status"))
+
+
+def _figures(df: DataFrame, key: str, listed: bool, **aggregates: Column) -> DataFrame:
+    """One row per skill of a table, in the columns of ``_overview``; rows
+    without a skill make one without figures."""
+    kinds = {"examples": "bigint", "tokens": "bigint", "approved": "bigint", "adapters": "bigint", "__done": "bigint", "best_loss": "double"}
+    found = df.groupBy(key).agg(F.lit(listed).alias("__listed"), *[c.alias(a) for a, c in aggregates.items()])
+    own = {c: F.when(F.col(key).isNotNull(), F.col(c)) if c in aggregates else F.lit(None) for c in kinds}
+    return found.select(key, "__listed", *[own[c].cast(k).alias(c) for c, k in kinds.items()])
+
+
+def _adapter_figures(adapters: DataFrame, key: str, listed: bool) -> DataFrame:
+    return _figures(adapters, key, listed, adapters=F.count("*"), best_loss=F.min("final_loss"), __done=F.count_if(F.col("status") == "completed"))
+
+
 def skill_overview(skills: DataFrame, examples: DataFrame, items: DataFrame, adapters: DataFrame,
                    key: str = "skill_id") -> DataFrame:
     """Op 59: per skill – examples, item tokens, approved items, adapters,
     best loss and a status (trained / has_data / untrained).  Each input is
-    aggregated to one row per skill before the joins."""
-    ex = examples.groupBy(key).agg(F.count("*").alias("examples"))
-    it = items.groupBy(key).agg(F.sum("tokens").cast("bigint").alias("tokens"),
-                                F.count_if(F.col("is_approved")).alias("approved"))
-    ad = adapters.groupBy(key).agg(F.count("*").alias("adapters"),
-                                   F.min("final_loss").alias("best_loss"),
-                                   F.count_if(F.col("status") == "completed").alias("__done"))
-    x = skills.select(F.col("id").alias(key)).join(ex, key, "left").join(it, key, "left").join(ad, key, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    status = F.when(z("__done") > 0, "trained").when(z("examples") > 0, "has_data").otherwise("untrained")
-    return x.select(key, z("examples").alias("examples"), z("tokens").cast("bigint").alias("tokens"),
-                    z("approved").alias("approved"), z("adapters").alias("adapters"), "best_loss",
-                    status.alias("status"))
+    aggregated to one row per skill; the rows are added up in one union."""
+    parts = [_figures(skills.select(F.col("id").alias(key)), key, True),
+             _figures(examples, key, False, examples=F.count("*")),
+             _figures(items, key, False, tokens=F.sum("tokens"), approved=F.count_if(F.col("is_approved"))),
+             _adapter_figures(adapters, key, False)]
+    return _overview(functools.reduce(DataFrame.unionByName, parts), key)
+
+
+def skill_overview_of(interactions: DataFrame, training: DataFrame, items: DataFrame, adapters: DataFrame,
+                      key: str = "skill_id") -> DataFrame:
+    """Op 59 for every skill that interactions, items or adapters name, where
+    the examples are the training rows and the items that are not archived:
+    each table is read once."""
+    parts = [_figures(interactions, key, True), _figures(training, key, False, examples=F.count("*")),
+             _figures(items, key, True, examples=F.count_if(~F.col("is_archived")), tokens=F.sum("tokens"), approved=F.count_if(F.col("is_approved"))),
+             _adapter_figures(adapters, key, True)]
+    return _overview(functools.reduce(DataFrame.unionByName, parts), key)
 
 
 def dataset_quality(df: DataFrame, tiers: DataFrame, key: str = "skill_id", user: str = "user_message",
@@ -45,41 +72,39 @@ def dataset_quality(df: DataFrame, tiers: DataFrame, key: str = "skill_id", user
     """Op 61: per skill – examples, average tokens, distinct topics, the tier
     reached on each (range join to the tier table), the overall tier (the
     lowest), response-length spread, question-word variety and the examples
-    still missing to the next example tier."""
-    toks = word_count(user) + word_count(response)
+    still missing to the next example tier.
+
+    The input is read once and words are counted once a text; the figures of a
+    skill go through the join with the tiers as three rows and come back as one."""
     first = F.lower(F.regexp_extract(F.col(user), r"^\s*([A-Za-z']+)", 1))
-    g = df.groupBy(key).agg(
+    x = df.select(key, word_count(user).alias("__u"), word_count(response).alias("__r"), F.col(topic).alias("__topic"),
+                  F.nullif(first, F.lit("")).alias("__opener"))
+    own = ["examples", "avg_tokens", "topics", "min_response_words", "max_response_words", "response_words_stddev", "question_openers"]
+    g = x.groupBy(key).agg(
         F.count("*").alias("examples"),
-        round_half_up(F.avg(toks), 1).alias("avg_tokens"),
-        F.min(word_count(response)).alias("min_response_words"),
-        F.max(word_count(response)).alias("max_response_words"),
-        round_half_up(F.stddev_samp(word_count(response)), 2).alias("response_words_stddev"))
-    g = with_distinct_counts(g, df, [key], {"topics": F.col(topic),
-                                            "question_openers": F.nullif(first, F.lit(""))})
+        round_half_up(F.avg(F.col("__u") + F.col("__r")), 1).alias("avg_tokens"),
+        F.count_distinct("__topic").alias("topics"),
+        F.min("__r").alias("min_response_words"),
+        F.max("__r").alias("max_response_words"),
+        round_half_up(F.stddev_samp("__r"), 2).alias("response_words_stddev"),
+        F.count_distinct("__opener").alias("question_openers"))
+    metrics = ("examples", "avg_tokens", "topics")
+    long = g.select(key, F.struct(*own).alias("__g"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("__metric"), F.col(m).cast("double").alias("__value")) for m in metrics])))
     tb = broadcast_if_small(tiers, "tiers")
-    long = g.select(key, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                                            for m in ("examples", "avg_tokens", "topics")])))
-    reached = (long.join(tb, (long["metric"] == tb["metric"]) & (long["value"] >= tb["min_value"]), "left")
-               .groupBy(key, long["metric"]).agg(F.max("rank").alias("rank")))
-    per = reached.groupBy(key).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("rank"))).alias(f"__r_{m}") for m in ("examples", "avg_tokens",
-                                                                                      "topics")])
+    joined = long.join(tb, F.col("__metric") == tb["metric"], "left")
+    rank = {m: F.coalesce(F.max(F.when((F.col("__metric") == m) & (F.col("__value") >= F.col("min_value")), F.col("rank"))), F.lit(0)) for m in metrics}
+    steps = F.collect_list(F.when(F.col("__metric") == "examples", F.struct("rank", "min_value")))
+    per = joined.groupBy(key).agg(F.first("__g").alias("__g"), *[r.alias(f"__{m}") for m, r in rank.items()], steps.alias("__steps"))
     names = F.array(F.lit("Below Minimum"), *[F.lit(n) for n in ("Minimum", "Recommended", "Excellent")])
-    rk = lambda c: F.coalesce(F.col(c), F.lit(0))
-    overall = F.least(rk("__r_examples"), rk("__r_avg_tokens"), rk("__r_topics"))
-    next_min = tiers.where(F.col("metric") == "examples").select("rank", "min_value")
-    nm = broadcast_if_small(next_min.select((F.col("rank") - 1).alias("__cur"), F.col("min_value").alias("__next")),
-                            "tiers")
-    x = g.join(per, key, "left")
-    x = x.join(nm, rk("__r_examples") == F.col("__cur"), "left")
-    return x.select(
-        key, "examples", "avg_tokens", "topics", "min_response_words", "max_response_words", "response_words_stddev",
-        "question_openers",
-        F.try_element_at(names, rk("__r_examples") + 1).alias("examples_tier"),
-        F.try_element_at(names, rk("__r_avg_tokens") + 1).alias("tokens_tier"),
-        F.try_element_at(names, rk("__r_topics") + 1).alias("topics_tier"),
-        F.try_element_at(names, overall + 1).alias("overall_tier"),
-        F.when(F.col("__next").isNotNull(), F.col("__next") - F.col("examples")).alias("missing_to_next_tier"))
+    tier = lambda c: F.try_element_at(names, c + 1)
+    above = F.filter("__steps", lambda s: s["rank"] == F.col("__examples") + 1)
+    return per.select(
+        key, *[F.col(f"__g.{c}").alias(c) for c in own],
+        tier(F.col("__examples")).alias("examples_tier"), tier(F.col("__avg_tokens")).alias("tokens_tier"),
+        tier(F.col("__topics")).alias("topics_tier"),
+        tier(F.least("__examples", "__avg_tokens", "__topics")).alias("overall_tier"),
+        (F.try_element_at(above, F.lit(1))["min_value"] - F.col("__g.examples")).alias("missing_to_next_tier"))
 
 
 def health_rollup(df: DataFrame, services: Sequence[str] = tuple(HEALTH_SERVICES),

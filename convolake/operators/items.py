@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.functions.columns import round_half_up, with_distinct_counts, word_count
+from convolake.functions.columns import round_half_up, word_count
 from convolake.functions.ordering import row_number_within
 
 # Sortable columns of the item listing, item defaults.
@@ -107,9 +107,9 @@ def batch_rows(df: DataFrame, key: str = "skill_id", size: int = 20,
 
 def item_stats(df: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Op 53: totals over unarchived items; archived counted before the
-    filter (Q6).  Distinct counts are exact by default (separate pair
-    aggregates, no Expand of the input); ``approx=True`` uses HyperLogLog
-    sketches."""
+    filter (Q6).  Distinct counts are exact by default, in the same pass: the
+    input is read once, and only distinct (group, value) pairs of a task are
+    shuffled; ``approx=True`` uses HyperLogLog sketches."""
     live = ~F.col("is_archived")
     aggs = [
         F.count_if(live).alias("total"),
@@ -122,9 +122,8 @@ def item_stats(df: DataFrame, by: Sequence[str] = (), approx: bool = False) -> D
     ]
     distinct = {"categories_count": F.when(live, F.col("category")),
                 "sources_count": F.when(live, F.col("source_filename"))}
-    if approx:
-        return df.groupBy(*by).agg(*aggs, *[F.approx_count_distinct(e, 0.01).alias(a) for a, e in distinct.items()])
-    return with_distinct_counts(df.groupBy(*by).agg(*aggs), df, by, distinct)
+    count = (lambda e: F.approx_count_distinct(e, 0.01)) if approx else F.count_distinct
+    return df.groupBy(*by).agg(*aggs, *[count(e).alias(a) for a, e in distinct.items()])
 
 
 def category_counts(df: DataFrame, by: Sequence[str] = ("skill_id",)) -> DataFrame:

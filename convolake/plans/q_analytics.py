@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from convolake.functions.sizing import param_table
 
 from convolake.operators import analytics as AN
-from convolake.operators import changes as CH
-from convolake.operators import curation as C
 from convolake.plans import views as V
 from convolake.plans.catalog import query
 from convolake.plans.q_curation import WORDS_SQL
@@ -29,10 +27,7 @@ SELECT sk.id AS skill_id, coalesce(ex.examples, 0) AS examples, CAST(coalesce(it
        ELSE 'untrained' END AS status
 FROM sk LEFT JOIN ex ON sk.id = ex.skill_id LEFT JOIN it ON sk.id = it.skill_id LEFT JOIN ad ON sk.id = ad.skill_id""")
 def q_skill_overview(t):
-    inter, ext, ad = V.interactions(t), V.extracted(t), V.adapters(t)
-    skills = CH.distinct_ids(inter, ext, ad, key="skill_id").withColumnRenamed("skill_id", "id")
-    examples = C.all_training_examples(V.training_data(t), ext)
-    return AN.skill_overview(skills, examples, ext, ad)
+    return AN.skill_overview_of(V.interactions(t), V.training_data(t), V.extracted(t), V.adapters(t))
 
 
 def tiers(spark):

@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from convolake.functions import ordering
 from convolake.functions.scan import Blocks, decayed_sum
 from convolake.operators import adapters as AD
 from convolake.operators import interactions as I
@@ -14,8 +15,14 @@ from convolake.session import rocksdb_session
 from convolake.streaming import turns as ST
 
 
-@pytest.mark.parametrize("alpha", [0.0, 1e-9, 0.003, 0.1, 0.5, 0.999999, 1.0])
-@pytest.mark.parametrize("size", [1, 7, 1 << 16])
+@pytest.fixture(autouse=True, params=["ranges", "small"])
+def bound(request, monkeypatch):
+    """Every test by ranges, and by the plan for an input that fits in a task."""
+    monkeypatch.setattr(ordering, "ONE_TASK_BYTES", -1 if request.param == "ranges" else 1 << 70)
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1e-9, 0.1, 0.999999, 1.0])
+@pytest.mark.parametrize("size", [7, 1 << 16])
 def test_decayed_sum(spark, alpha, size):
     rng = random.Random(7)
     rows = [(i, rng.choice(["hot", "hot", "b", None]), rng.choice([None, 0.0, rng.uniform(-50, 100)])) for i in range(200)]
