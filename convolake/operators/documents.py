@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from convolake.functions.html import page_column
 from pyspark.sql import types as T
 
 from convolake.functions import lexicons as L
@@ -56,46 +58,23 @@ def _strip(c: Column) -> Column:
 
 # --- 83-87: column-expression text transforms ----------------------------
 
-# HTML entities decoded by html_to_text (&amp; last).
-HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&amp;", "&")]
-BLOCK_TAGS = "p|div|br|ul|ol|tr|table|section|article|header|footer|nav|blockquote|pre|body|html"
-
-
 def html_text(c) -> Column:
     """HTML → Markdown-flavoured text: head, script, style and comments
     dropped; headings become ``#`` lines, links ``[text](href)``, list items
     ``* ``, bold ``**``, italics ``_``; other block tags become line breaks,
-    remaining tags vanish, entities are decoded and blank runs squeezed
-    (no line wrapping)."""
-    x = F.regexp_replace(_c(c), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
-    x = F.regexp_replace(x, r"(?is)<head\b.*?</head\s*>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    for n in range(1, 7):
-        x = F.regexp_replace(x, rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n" + "#" * n + " $1\n")
-    x = F.regexp_replace(x, r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)")
-    x = F.regexp_replace(x, r"(?i)<li\b[^>]*>", "\n  * ")
-    x = F.regexp_replace(x, r"(?i)</?(b|strong)\b[^>]*>", "**")
-    x = F.regexp_replace(x, r"(?i)</?(i|em)\b[^>]*>", "_")
-    x = F.regexp_replace(x, rf"(?i)</?({BLOCK_TAGS})\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for ent, ch in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
-    x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
-    return _strip(x)
+    remaining tags vanish, character references are decoded and blank runs
+    squeezed (no line wrapping).  A link that is never closed is plain text."""
+    return page_column(_c(c))["text"]
 
 
 def html_title(c) -> Column:
-    t = F.regexp_extract(_c(c), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return _strip(t)
+    return page_column(_c(c))["title"]
 
 
 def html_to_text(df: DataFrame, col: str = "html", out: str = "text") -> DataFrame:
     """Op 83: text and title of HTML pages."""
-    return df.withColumn(out, html_text(col)).withColumn("title", html_title(col))
+    return (df.withColumn("__page", page_column(F.col(col)))
+            .withColumn(out, F.col("__page.text")).withColumn("title", F.col("__page.title")).drop("__page"))
 
 
 def rows_to_text(df: DataFrame, cols: list[str] | None = None, out: str = "text") -> DataFrame:
@@ -131,8 +110,12 @@ def rtf_text(c) -> Column:
     return _strip(F.regexp_replace(F.regexp_replace(_c(c), r"\\[a-z]+[0-9]* ?", ""), r"[{}]", ""))
 
 
+# References decoded in XML text (&amp; last).
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+
+
 def _entities(x: Column) -> Column:
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
     return x
 

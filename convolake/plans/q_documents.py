@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import io
 import json
 import tarfile
@@ -23,37 +24,38 @@ from convolake.sources import columns as SC
 from convolake.sources import files as SF
 from convolake.sources import logs as SL
 
-ENT = DOC.HTML_ENTITIES
-
-
-def html_sql(c: str) -> str:
-    x = f"regexp_replace({c}, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?is)<head\\b.*?</head\\s*>', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
-    for n in range(1, 7):
-        x = (f"regexp_replace({x}, '(?is)<h{n}\\b[^>]*>(.*?)</h{n}\\s*>', "
-             f"chr(10) || '{'#' * n} \\1' || chr(10), 'g')")
-    x = f"regexp_replace({x}, '(?is)<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"
-    x = f"regexp_replace({x}, '(?i)<li\\b[^>]*>', chr(10) || '  * ', 'g')"
-    x = f"regexp_replace({x}, '(?i)</?(b|strong)\\b[^>]*>', '**', 'g')"
-    x = f"regexp_replace({x}, '(?i)</?(i|em)\\b[^>]*>', '_', 'g')"
-    x = f"regexp_replace({x}, '(?i)</?({DOC.BLOCK_TAGS})\\b[^>]*>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for ent, ch in ENT:
-        x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    x = f"regexp_replace({x}, '[ \\t\\r\\f]+', ' ', 'g')"
-    x = f"regexp_replace({x}, ' ?\\n[ \\n]*', chr(10), 'g')"
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
-def title_sql(c: str) -> str:
-    x = f"regexp_extract({c}, '(?is)<title[^>]*>(.*?)</title>', 1)"
-    for ent, ch in ENT:
-        x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
-@query("html_to_text", f"SELECT page_id, {html_sql('html')} AS text, {title_sql('html')} AS title FROM pages")
+def _html_sql() -> str:
+    """A relational twin of the parser: a page becomes numbered tokens; windows
+    over them tell what lies in head, script or style, the last link target and
+    whether a link is closed; references are looked up in the standard table."""
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    names = ", ".join(f"({q('&' + name)}, {q(text)})" for name, text in html.entities.html5.items())
+    blocks = ", ".join(q(b) for b in "p div br ul ol tr table section article header footer nav blockquote pre body html".split())
+    return f"""
+WITH refs(ref, ch) AS (VALUES {names}),
+lists AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<[^>]*>|&#?[A-Za-z0-9]+;?|[^<&]+|[<&]') AS l FROM pages),
+tokens AS (SELECT page_id, unnest(l) AS t, unnest(range(len(l))) AS i FROM lists),
+named AS (SELECT page_id, i, t, lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, t LIKE '</%' AS closing FROM tokens),
+placed AS (SELECT *, sum(CASE WHEN tag NOT IN ('head', 'script', 'style') THEN 0 WHEN closing THEN -1 ELSE 1 END) OVER w AS depth,
+    sum(CASE WHEN tag <> 'title' THEN 0 WHEN closing THEN -1 ELSE 1 END) OVER w AS in_title,
+    last_value(CASE WHEN tag = 'a' AND NOT closing THEN regexp_extract(t, 'href="([^"]*)"', 1) END IGNORE NULLS) OVER w AS href
+  FROM named WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+links AS (SELECT page_id, i, NOT closing AND lead(closing) OVER (PARTITION BY page_id ORDER BY i) AS closed,
+    closing AND NOT lag(closing) OVER (PARTITION BY page_id ORDER BY i) AS closes FROM named WHERE tag = 'a'),
+decoded AS (SELECT p.*, coalesce(r.ch, p.t) AS plain, coalesce(l.closed, false) AS closed, coalesce(l.closes, false) AS closes
+  FROM placed p LEFT JOIN refs r ON p.t = r.ref LEFT JOIN links l ON p.page_id = l.page_id AND p.i = l.i),
+pieces AS (SELECT page_id, i, CASE WHEN t LIKE '<!--%' THEN ' ' WHEN t LIKE '<!%' THEN '' WHEN tag = '' THEN plain WHEN tag IN ('script', 'style', 'head') THEN ' '
+    WHEN regexp_matches(tag, '^h[1-6]$') THEN chr(10) || CASE WHEN closing THEN '' ELSE repeat('#', CAST(tag[2] AS INTEGER)) || ' ' END
+    WHEN closed THEN '[' WHEN closes THEN '](' || href || ')' WHEN tag = 'li' AND NOT closing THEN chr(10) || '  * '
+    WHEN tag IN ('b', 'strong') THEN '**' WHEN tag IN ('i', 'em') THEN '_' WHEN tag IN ({blocks}) THEN chr(10) ELSE '' END AS piece,
+    depth <= 0 AS shown, in_title > 0 AND tag = '' AS titled, plain FROM decoded),
+joined AS (SELECT page_id, string_agg(piece, '' ORDER BY i) FILTER (WHERE shown) AS x,
+    coalesce(string_agg(plain, '' ORDER BY i) FILTER (WHERE titled), '') AS title FROM pieces GROUP BY page_id)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text,
+  trim(title) AS title FROM joined"""
+
+
+@query("html_to_text", _html_sql())
 def q_html(t):
     return DOC.html_to_text(t.pages, "html").select("page_id", "text", "title")
 
