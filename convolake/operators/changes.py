@@ -42,12 +42,28 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return g.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in data_cols])
 
 
+def _row_hash(columns: Sequence[str], schema) -> Column:
+    """A hash of a row, to choose among rows that nothing else tells apart."""
+    return F.xxhash64(*[F.to_json(c) if schema[c].dataType.simpleString().startswith(("map", "struct<", "array<map")) else F.col(c) for c in columns])
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
+    """The last row of each key by ``order``; among equals, the same one in every
+    run (by a hash of the row), so that a retried task cannot choose another."""
+    data = [c for c in df.columns if c not in keys]
+    if not data:
+        return df.dropDuplicates(list(keys))
+    return latest_by_key(df, keys, [*order, _row_hash(data, df.schema)])
+
+
 def merge_by_priority(sources: Sequence[tuple[str, DataFrame]], key: str,
-                      priority: Sequence[str] | None = None) -> DataFrame:
+                      priority: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Op 69: union of sources; per key the row of the highest-priority
     source wins and ``source`` tells which (Q8: priority is a parameter).
 
-    Default priority is the order of ``sources``.
+    Default priority is the order of ``sources``.  Of several rows of a key in
+    one source the last by the ``order`` columns wins (a null comes first, as in
+    a source that lacks the column); among equals one and the same in every run.
     """
     names = [n for n, _ in sources]
     prio = list(priority or names)
@@ -57,7 +73,8 @@ def merge_by_priority(sources: Sequence[tuple[str, DataFrame]], key: str,
         d = d.withColumn("source", F.lit(name)).withColumn("__prio", F.lit(rank.get(name, len(prio))))
         u = d if u is None else u.unionByName(d, allowMissingColumns=True)
     data_cols = [c for c in u.columns if c not in (key, "__prio")]
-    g = u.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in data_cols]), F.col("__prio")).alias("__row"))
+    last = F.struct(-F.col("__prio"), *order, _row_hash(data_cols, u.schema))
+    g = u.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in data_cols]), last).alias("__row"))
     return g.select(key, *[F.col(f"__row.{c}").alias(c) for c in data_cols])
 
 
@@ -70,13 +87,14 @@ def distinct_ids(*dfs: DataFrame, key: str = "id") -> DataFrame:
     return u.distinct()
 
 
-def insert_new_only(base: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def insert_new_only(base: DataFrame, new: DataFrame, key: str = "id", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Op 76: insert rows whose key is absent (``ON CONFLICT DO NOTHING``).
 
     Returns ``(table, inserted)``; inserting the same batch twice inserts
-    nothing the second time.  Duplicates inside the batch keep one row.
+    nothing the second time.  Of duplicates inside the batch the last by
+    ``order`` is kept, among equals one and the same in every run.
     """
-    fresh = new.dropDuplicates([key]).join(base.select(key), key, "left_anti")
+    fresh = one_per_key(new, [key], order).select(*new.columns).join(base.select(key), key, "left_anti")
     return base.unionByName(fresh.select(*base.columns)), fresh
 
 
@@ -104,19 +122,28 @@ def upsert_rows(base: DataFrame, new: DataFrame, key: str | Sequence[str],
 
 
 def patch_rows(base: DataFrame, patches: DataFrame, key: str, allowed: Sequence[str],
-               as_of, updated_col: str = "updated_at") -> DataFrame:
+               as_of, updated_col: str = "updated_at", order: Sequence[str] = (), nulls: str = "set_null") -> DataFrame:
     """Op 78: partial update from whitelisted columns; other patch columns
-    are ignored; patched rows get ``updated_at = as_of``."""
-    cols = [c for c in allowed if c in patches.columns and c in base.columns]
-    p = patches.select(F.col(key).alias("__pk"), *[F.col(c).alias(f"__p_{c}") for c in cols]) \
-        .dropDuplicates(["__pk"])
+    are ignored; patched rows get ``updated_at = as_of``.
+
+    A null in a patch leaves the column as it is; allowed columns that its array
+    column ``nulls`` (if any) names become null.  Several patches of a key are
+    applied in ``order``: each column takes its newest value or null marker;
+    without an order, or among equals, by a hash, the same in every run."""
+    cols = [c for c in allowed if (c in patches.columns or nulls in patches.columns) and c in base.columns]
+    marked = (lambda c: F.coalesce(F.array_contains(nulls, c), F.lit(False))) if nulls in patches.columns else lambda c: F.lit(False)
+    at = F.struct(*order, _row_hash([c for c in patches.columns if c != key] or [key], patches.schema))
+    value = lambda c: F.col(c) if c in patches.columns else F.lit(None).cast(base.schema[c].dataType)
+    said = {c: F.struct(marked(c).alias("gone"), F.when(~marked(c), value(c)).alias("v")) for c in cols}
+    p = patches.groupBy(F.col(key).alias("__pk")).agg(F.lit(True).alias("__hit"), *[
+        F.max_by(said[c], F.when(marked(c) | value(c).isNotNull(), at)).alias(f"__p_{c}") for c in cols])
     j = base.join(p, base[key] == p["__pk"], "left")
     hit = F.col("__pk").isNotNull()
     out = []
     for c in base.columns:
         if c in cols:
-            out.append(F.when(hit, F.coalesce(F.col(f"__p_{c}").cast(base.schema[c].dataType), F.col(c)))
-                       .otherwise(F.col(c)).alias(c))
+            new = F.col(f"__p_{c}")
+            out.append(F.when(hit & new["gone"], F.lit(None)).otherwise(F.coalesce(new["v"].cast(base.schema[c].dataType), F.col(c))).alias(c))
         elif c == updated_col:
             continue
         else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from convolake.operators import changes as CH
@@ -10,6 +12,8 @@ from convolake.operators import interactions as I
 from convolake.plans import views as V
 from convolake.plans.catalog import query
 from convolake.plans.q_interactions import COSTED_SQL, costed
+from convolake.session import ensure_checkpoint_dir
+from convolake.sources.versioned import VersionedTable
 
 
 @query("select_ids", """
@@ -118,6 +122,29 @@ def q_patch(t):
     return out.select("id", "epochs", "final_loss", "adapter_name", "updated_at")
 
 
+@query("patch_table", """
+WITH p AS (SELECT l_orderkey AS id, arg_max(l_linenumber, (l_shipdate, l_linenumber)) AS epochs,
+             bool_or(l_linenumber % 2 = 0) AS gone FROM lineitem
+           WHERE l_orderkey <= (SELECT max(l_orderkey) // 8 FROM lineitem) GROUP BY 1)
+SELECT a.id, coalesce(CAST(p.epochs AS INTEGER), a.epochs) AS epochs,
+  CASE WHEN p.gone THEN NULL ELSE a.final_loss END AS final_loss,
+  CASE WHEN p.id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
+FROM v_adapters a LEFT JOIN p ON a.id = p.id""")
+def q_patch_table(t):
+    """Patches of an eighth of the keys, several a key, on a table of files by
+    key range: the files of other ranges stay as they are."""
+    base = V.adapters(t).select("id", "epochs", "final_loss", F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/convolake-table-{uuid.uuid4().hex[:8]}"
+    table = VersionedTable(t.spark, path, base.schema)
+    table.append(base.repartitionByRange(8, "id"))
+    li = t.lineitem
+    few = li.where(F.col("l_orderkey") <= li.agg(F.floor(F.max("l_orderkey") / 8)).scalar())
+    patches = few.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("epochs"), "l_shipdate", "l_linenumber",
+                         F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("final_loss"))).alias("set_null"))
+    table.patch(patches, "id", ["epochs", "final_loss"], "2024-02-01 00:00:00", ["l_shipdate", "l_linenumber"])
+    return table.read()
+
+
 @query("delete_rows", """
 SELECT e.id, e.skill_id FROM v_extracted e JOIN v_skills s ON e.skill_id = s.id WHERE s.is_builtin""")
 def q_delete_cascade(t):
