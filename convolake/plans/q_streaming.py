@@ -18,6 +18,7 @@ from convolake.plans import views as V
 from convolake.plans.catalog import query
 from convolake.plans.q_interactions import HOURLY_SQL, _w
 from convolake.session import ensure_checkpoint_dir, rocksdb_session
+from convolake.sources.versioned import VersionedTable
 from convolake.streaming import cycle as CY
 from convolake.streaming import metrics as SM
 from convolake.streaming import turns as ST
@@ -131,26 +132,35 @@ def q_health_changes(t):
     return ST.health_batch(V.health(t)).withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
 
 
-# A row without feedback is emitted once the watermark (newest event − 2 h)
-# has passed its one-hour match window; matched rows are emitted at once.
+def _closed(spark, folder: str, closing) -> DataFrame:
+    """What a stream wrote, and its closing batch."""
+    closing(spark.read.parquet(folder + "/out")).write.parquet(folder + "/closing")
+    schema = spark.read.parquet(folder + "/out").schema
+    return spark.read.schema(schema).parquet(folder + "/out", folder + "/closing")
+
+
+# Every interaction appears: with each feedback in its hour, or once without.
 @query("stream_feedback", """
 WITH f AS (SELECT user_id AS session_id, CAST(floor(value) % 7 AS INTEGER) AS rating, ts + INTERVAL 5 MINUTE AS fb_ts
-           FROM events WHERE CAST(floor(value) % 7 AS INTEGER) BETWEEN 1 AND 5),
-j AS (SELECT i.id, i.session_id, i.created_at, f.rating, f.fb_ts FROM v_interactions i LEFT JOIN f
-        ON i.session_id = f.session_id AND f.fb_ts >= i.created_at AND f.fb_ts <= i.created_at + INTERVAL 1 HOUR)
-SELECT * FROM j WHERE rating IS NOT NULL
-   OR created_at + INTERVAL 1 HOUR < (SELECT max(created_at) FROM v_interactions) - INTERVAL 2 HOUR""")
+           FROM events WHERE CAST(floor(value) % 7 AS INTEGER) BETWEEN 1 AND 5)
+SELECT i.id, i.session_id, i.created_at, f.rating, f.fb_ts FROM v_interactions i LEFT JOIN f
+        ON i.session_id = f.session_id AND f.fb_ts >= i.created_at AND f.fb_ts <= i.created_at + INTERVAL 1 HOUR""")
 def q_stream_feedback(t):
-    inter = V.interactions_of(t.stream("events"))
-    e = t.stream("events")
+    """Four micro-batches of late rows in no order, and a closing batch."""
+    arrivals = _arrivals(t)
+    e = _arriving(t.spark, t, arrivals)
     fb = e.select(e.user_id.alias("session_id"), (F.floor(e.value) % 7).cast("int").alias("rating"),
                   (e.ts + F.expr("INTERVAL 5 MINUTES")).alias("ts"))
-    out = _run_to_files(SM.stream_feedback(inter, fb.where(F.col("rating").between(1, 5))), "feedback")
+    d = _dir(t.spark, "feedback")
+    joined = SM.stream_feedback(V.interactions_of(_arriving(t.spark, t, arrivals)), fb.where(F.col("rating").between(1, 5)), lateness="1 day")
+    q = (joined.writeStream.format("parquet").option("checkpointLocation", d + "/_checkpoint").trigger(availableNow=True).start(d + "/out"))
+    q.awaitTermination()
+    out = _closed(t.spark, d, lambda done: SM.pending_feedback(t.spark, d + "/_checkpoint", done))
     return (out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
             .withColumn("fb_ts", F.col("fb_ts").cast("timestamp_ntz")))
 
 
-@query("stream_sessions", """
+SESSIONS_SQL = """
 WITH x AS (SELECT session_id, created_at, system_used, call_completed,
   CASE WHEN lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at) IS NULL
     OR created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at) >= INTERVAL 30 MINUTE
@@ -161,12 +171,26 @@ SELECT session_id, min(created_at) AS session_start, max(created_at) + INTERVAL
   CAST(round(CAST(count(*) FILTER (WHERE system_used = 'deep') * 100.0 / count(*) AS DECIMAL(38,10)), 1) AS DOUBLE)
     AS deep_share_pct,
   max(CAST(call_completed AS INTEGER)) = 1 AS completed
-FROM y GROUP BY session_id, sid""")
+FROM y GROUP BY session_id, sid"""
+
+
+@query("stream_sessions", SESSIONS_SQL)
 def q_stream_sessions(t):
     """Batch twin over the whole table: the same session-window plan."""
     return SM.stream_sessions(V.interactions(t))
 
 
+@query("stream_sessions_live", SESSIONS_SQL)
+def q_stream_sessions_live(t):
+    """The stream itself: four micro-batches of late rows, windows merged in
+    state and appended behind the watermark, open ones by a closing batch."""
+    d = _dir(t.spark, "sessions")
+    sessions = SM.stream_sessions(V.interactions_of(_arriving(t.spark, t, _arrivals(t))), lateness="1 day")
+    q = (sessions.writeStream.format("parquet").option("checkpointLocation", d + "/_checkpoint").trigger(availableNow=True).start(d + "/out"))
+    q.awaitTermination()
+    return _closed(t.spark, d, lambda done: SM.pending_sessions(t.spark, d + "/_checkpoint").select(*done.columns))
+
+
 @query("stream_corrections", """SELECT "timestamp", user_input AS prompt, correction AS chosen, agent_response AS rejected, skill_used AS skill
   FROM v_feedback_log WHERE correction IS NOT NULL AND correction <> ''""")
 def q_stream_corrections(t):
@@ -180,14 +204,35 @@ def q_stream_corrections(t):
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@query("training_cycle", """
+CYCLE_SQL = """
 WITH c AS (SELECT "timestamp", user_input AS prompt, correction AS chosen, agent_response AS rejected, skill_used AS skill
   FROM v_feedback_log WHERE correction IS NOT NULL AND correction <> ''),
 rc AS (SELECT DISTINCT skill, prompt, chosen, rejected FROM c
        WHERE "timestamp" > (SELECT max("timestamp") FROM c) - INTERVAL 30 DAY)
-SELECT skill, count(*) AS n_pairs, 'v1' AS version FROM rc GROUP BY skill HAVING count(*) >= 3""")
+SELECT skill, count(*) AS n_pairs, '{version}' AS version FROM rc GROUP BY skill HAVING count(*) >= 3"""
+
+
+@query("training_cycle", CYCLE_SQL.format(version="v1"))
 def q_training_cycle(t):
-    spark = t.spark
-    d = _dir(spark, "cycle")
+    d = _dir(t.spark, "cycle")
     hist = CY.training_cycle(V.feedback_log(t), None, d + "/out", d + "/history", days=30, min_examples=3)
     return hist.select("skill", "n_pairs", "version")
+
+
+@query("stream_training_cycle", CYCLE_SQL.format(version="v2"))
+def q_stream_cycle(t):
+    """The scheduled form: the feedback log comes in two micro-batches, each of
+    which makes a version; the newest stands for the whole log."""
+    spark, d = t.spark, _dir(t.spark, "live-cycle")
+    log = V.feedback_log(t).select(*CY.LOG_COLUMNS)
+    half = log.agg(F.percentile_approx(F.unix_micros(F.col("timestamp").cast("timestamp")), 0.5)).first()[0] or 0
+    early = F.unix_micros(F.col("timestamp").cast("timestamp")) <= half
+    n = 1 + (estimated_bytes(t.conversations) or 0) // (256 << 20)
+    for part in (early, ~early):
+        log.where(part).repartition(n).write.mode("append").parquet(d + "/in")
+    table = VersionedTable(spark, d + "/log", log.schema)
+    q = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", n).parquet(d + "/in").writeStream
+         .foreachBatch(CY.cycle_sink(table, d + "/out", d + "/history", days=30, min_examples=3))
+         .option("checkpointLocation", d + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return CY.history_table(spark, d + "/history").read().where("version = 'v2'").select("skill", "n_pairs", "version")

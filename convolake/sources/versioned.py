@@ -114,6 +114,11 @@ class VersionedTable:
         """Op 78 on the table."""
         return self._change(patches, key, lambda base: CH.patch_rows(base, patches, key, allowed, as_of, updated_col, order))
 
+    def replace(self, rows: DataFrame, key: str, value) -> int:
+        """``rows`` in place of those whose ``key`` is ``value``."""
+        one = self.spark.range(1).select(F.lit(value).alias(key))
+        return self._change(one, key, lambda base: base.where(~F.col(key).eqNullSafe(F.lit(value))).unionByName(rows))
+
     def delete(self, ids: DataFrame, key: str) -> int:
         """Hard delete of op 79 on the table."""
         return self._change(ids, key, lambda base: base.join(ids.select(key).distinct(), key, "left_anti"))

@@ -8,6 +8,7 @@ the tests run the very same plan.
 
 from __future__ import annotations
 
+import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -151,6 +152,20 @@ def stream_feedback(interactions: DataFrame, feedback: DataFrame, within: str =
     return i.join(f, cond, "leftOuter").select("i.id", "i.session_id", "i.created_at", "f.rating", "f.fb_ts")
 
 
+def pending_feedback(spark, checkpoint: str, emitted: DataFrame) -> DataFrame:
+    """Interactions that wait without feedback in the state of a stopped
+    ``stream_feedback``, in the columns of its result; a closing batch appends
+    them.  The state also keeps interactions that have matched: these are in
+    ``emitted``, what the stream has written so far."""
+    names = ["id", "session_id", "created_at"]
+    state = spark.read.format("statestore").option("path", checkpoint).option("joinSide", "left").load()
+    waiting = state.select(*[F.col(f"value.{c}").alias(c) for c in names])
+    done = emitted.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
+    return waiting.join(done, same, "left_anti").select(
+        *names, *[F.lit(None).cast(emitted.schema[c].dataType).alias(c) for c in ("rating", "fb_ts")])
+
+
 def stream_sessions(stream: DataFrame, gap: str = "30 minutes", key: str = "session_id",
                     ts: str = "created_at", lateness: str = "2 hours") -> DataFrame:
     """Op 120: session windows per caller – turns, duration, deep share and
@@ -163,6 +178,10 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", key: str = "sess
         F.min(ts).alias("__first"), F.max(ts).alias("__last"),
         F.count_if(F.col("system_used") == "deep").alias("__deep"),
         F.max(F.col("call_completed").cast("int")).alias("__done"))
+    return _session_rows(g, key)
+
+
+def _session_rows(g: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("session_end"), "turns",
                     (F.unix_micros("__last") - F.unix_micros("__first")).alias("duration_us"),
@@ -170,6 +189,17 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", key: str = "sess
                     (F.col("__done") == 1).alias("completed"))
 
 
+def pending_sessions(spark, checkpoint: str, key: str = "session_id") -> DataFrame:
+    """Sessions still open in the state of a stopped ``stream_sessions``, as it
+    would write them if nothing more came; a closing batch appends them."""
+    state = spark.read.format("statestore").option("path", checkpoint).load()
+    kind = state.schema["value"].dataType
+    # the state holds the key, the window and the aggregates in their order
+    names = [key, "w", "turns", "__first", "__last", "__deep", "__done"]
+    value = StructType([StructField(n, f.dataType) for n, f in zip(names, kind.fields)])
+    return _session_rows(state.select(F.col("value").cast(value).alias("v")).select("v.*"), key)
+
+
 def stream_corrections(stream: DataFrame, lateness: str = "1 day", ts: str = "timestamp") -> DataFrame:
     """Op 122: logged feedback → preference pairs, appended as they arrive;
     the same pair logged twice within the watermark is emitted once."""
