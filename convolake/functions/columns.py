@@ -15,6 +15,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without blanks at both ends (what ``\\s`` matches), in linear time."""
+    return F.btrim(_c(c), F.lit(" \t\n\x0b\f\r"))
+
+
 def round_half_up(c, scale: int) -> Column:
     """Round to ``scale`` decimals, half away from zero, as double."""
     return F.round(_c(c).cast("decimal(38,10)"), scale).cast("double")

@@ -82,6 +82,12 @@ def adapter_cleanup_report(df: DataFrame, key: str = "skill_id") -> DataFrame:
                                             (F.col("__n") - 1).alias("deleted"))
 
 
+def adapter_cleanup_total(df: DataFrame, key: str = "skill_id") -> DataFrame:
+    """Op 67, closing figures: rows deleted and skills cleaned, one row."""
+    return adapter_cleanup_report(df, key).agg(F.coalesce(F.sum("deleted"), F.lit(0)).alias("total_deleted"),
+                                               F.count("*").alias("skills_cleaned"))
+
+
 def loss_curve(steps: DataFrame, job: str = "job_id") -> DataFrame:
     """Op 73: per job start loss, current loss, improvement %, progress %
     and ETA seconds from the step events."""

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolake.functions.columns import strip
 from convolake.functions.html import page_column
 from pyspark.sql import types as T
 
@@ -52,8 +53,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+_strip = strip
 
 
 # --- 83-87: column-expression text transforms ----------------------------
@@ -310,12 +310,13 @@ def extract_text(files: DataFrame) -> DataFrame:
     # (``decode`` raises); the replacement characters are dropped, which is
     # reading with errors ignored
     raw = F.regexp_replace(F.col("content").cast("string"), "\ufffd", "")
+    page = page_column(F.when(h == "html", raw))
     text = (F.when(h == "rtf", rtf_text(raw))
             .when((h == "xml") & (F.col("file_type") == "svg"), svg_text(raw)).when(h == "xml", xml_text(raw))
-            .when(h == "env", redact_text(raw)).when(h == "html", html_text(raw))
+            .when(h == "env", redact_text(raw)).when(h == "html", page["text"])
             .when(h == "srt", srt_text(raw)).when(h == "ass", ass_text(raw))
             .when(h.isin(*TEXT_HANDLERS), raw))
-    meta = (F.when(h == "html", F.create_map(F.lit("title"), html_title(raw)))
+    meta = (F.when(h == "html", F.create_map(F.lit("title"), page["title"]))
             .when(h.isin("xml", "env"), F.create_map(F.lit("format"), F.col("file_type")))
             .when(h == "srt", F.create_map(F.lit("format"), F.lit("srt")))
             .when(h == "ass", F.create_map(F.lit("format"), F.lit("ass")))

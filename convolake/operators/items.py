@@ -208,7 +208,7 @@ def promote_items(df: DataFrame, ids: DataFrame, skill: str | None = None) -> tu
 # --- chunking, model output, items (90-92, 124) ---------------------------
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def chunk_text(df: DataFrame, col: str = "text", max_chars: int = 10000, sep: str = "\n\n",

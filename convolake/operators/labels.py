@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from convolake.functions import lexicons as L
 from convolake.functions.automaton import all_matches
 from convolake.functions.automaton import first_match as first_match_of
-from convolake.functions.columns import round_half_up, word_count
+from convolake.functions.columns import round_half_up, strip, word_count
 from convolake.functions.patterns import any_contains, first_match
 from convolake.functions.sizing import BROADCAST_LIMIT, broadcast_if_small, estimated_bytes
 
@@ -27,7 +27,7 @@ def _c(c) -> Column:
 
 def _norm(c) -> Column:
     """Python ``s.strip().lower()`` for ASCII whitespace."""
-    return F.lower(F.regexp_replace(_c(c), r"^\s+|\s+$", ""))
+    return F.lower(strip(c))
 
 
 # --- containment join of a rule table -------------------------------------
@@ -131,10 +131,10 @@ def extract_references(df: DataFrame, col: str = "text") -> DataFrame:
     trades = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"0[5-9]\d{4}[^0-9]"), 0)))
     sheets = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Z]-?\d{3}"), 0)))
     # a match runs to the end of its line, so one line yields at most one section
-    sections = F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1)
+    sections = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1))
     low = F.lower(t)
     after = F.split_part(low, F.lit("exclud"), F.lit(2))
-    exc_lines = F.filter(F.transform(F.split(after, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")),
+    exc_lines = F.filter(F.transform(F.split(after, "\n"), strip),
                          lambda s: F.length(s) > 10)
     exclusions = F.when(F.locate("exclud", low) > 0, exc_lines) \
         .otherwise(F.array().cast("array<string>"))

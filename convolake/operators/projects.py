@@ -38,6 +38,19 @@ def project_steps(files: DataFrame, project: str = "project_id") -> DataFrame:
                     F.coalesce("n_files", F.lit(0)).alias("n_files"), "first_file")
 
 
+def project_step_files(files: DataFrame, project: str = "project_id") -> DataFrame:
+    """Op 106, long form: one row per file of a step."""
+    names = F.array(*[F.lit(n) for n in L.STEP_NAMES])
+    return files.select(project, "step", F.try_element_at(names, F.col("step")).alias("step_name"), "name")
+
+
+def project_exclusions(scope_files: DataFrame, project: str = "project_id") -> DataFrame:
+    """Op 107, long form: one row per exclusion line, with its file and place."""
+    from convolake.operators.labels import extract_references
+    lines = extract_references(scope_files.select(project, "name", "text"), "text")
+    return lines.select(project, "name", F.posexplode("exclusions").alias("place", "exclusion"))
+
+
 def project_score(steps: DataFrame, project: str = "project_id",
                   scope_files: DataFrame | None = None) -> DataFrame:
     """Op 107: score = int(critical/4·70 + done/10·30) in exact integer
@@ -46,7 +59,8 @@ def project_score(steps: DataFrame, project: str = "project_id",
 
     ``scope_files`` (project_id, name, text) are the scope-of-work files; the
     exclusion lines found in them (op 97) give the "Scope excludes: …"
-    finding (first three, from the last scope file by name)."""
+    finding, all of them in the order of the files' names;
+    ``project_exclusions`` has them as rows."""
     done = F.col("status") == "complete"
     crit = F.col("step").between(1, 4)
     missing = F.array_compact(F.array(*[

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.functions.columns import round_half_up
+from convolake.functions.columns import round_half_up, strip
 from convolake.functions.sizing import broadcast_if_small
 
 # Drawing unit codes → (name, feet per unit); miles corrected to 5280 (Q12).
@@ -120,10 +120,10 @@ def linear_feet(entities: DataFrame, units: DataFrame) -> DataFrame:
     sum."""
     x = with_feet(entities.where(F.col("type").isin("LINE", "LWPOLYLINE")), units)
     x = x.withColumn("__ft", entity_length() * F.col("to_feet"))
-    g = (x.rollup("drawing", "layer").agg(F.grouping_id().alias("__g"), F.sum("__ft").alias("__sum"))
-         .where(F.col("__g") < 3))
-    return g.select("drawing", "layer", (F.col("__g") == 1).alias("is_total"),
-                    round_half_up(F.col("__sum"), 2).alias("linear_feet"))
+    layers = x.groupBy("drawing", "layer").agg(F.sum("__ft").alias("__sum"))
+    totals = layers.groupBy("drawing").agg(F.sum("__sum").alias("__sum")).select("drawing", F.lit(None).cast("string").alias("layer"), "__sum")
+    g = layers.withColumn("is_total", F.lit(False)).unionByName(totals.withColumn("is_total", F.lit(True)))
+    return g.select("drawing", "layer", "is_total", round_half_up(F.col("__sum"), 2).alias("linear_feet"))
 
 
 def block_counts(entities: DataFrame) -> DataFrame:
@@ -151,13 +151,19 @@ def spec_notes(entities: DataFrame, units: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("measurement"), F.lit(0.0))
     return x.select(
         "drawing", "entity_id", kind.alias("kind"), "layer",
-        F.when(note, F.regexp_replace(F.col("text"), r"^\s+|\s+$", "")).when(~dim, F.col("text")).alias("text"),
+        F.when(note, strip("text")).when(~dim, F.col("text")).alias("text"),
         F.when(note, round_half_up(loc["x"], 2)).alias("x"), F.when(note, round_half_up(loc["y"], 2)).alias("y"),
         F.when(note, round_half_up(F.col("height"), 2)).alias("height"),
         F.when(dim, round_half_up(raw, 4)).alias("value_raw"),
         F.when(dim, round_half_up(raw * F.col("to_feet"), 4)).alias("value_feet"))
 
 
+def spec_note_counts(entities: DataFrame, units: DataFrame) -> DataFrame:
+    """Op 114: how many notes, dimensions and leaders a drawing has."""
+    kinds = spec_notes(entities, units)
+    return kinds.groupBy("drawing").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("note", "dimension", "leader")])
+
+
 def entity_full(entities: DataFrame, units: DataFrame) -> DataFrame:
     """Op 115: typed flat dump of every entity with its type-specific
     columns (null where a column does not apply)."""

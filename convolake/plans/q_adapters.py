@@ -71,6 +71,13 @@ def q_cleanup(t):
     return AD.adapter_cleanup_report(V.adapters(t))
 
 
+@query("adapter_cleanup_total", """
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS total_deleted, count(*) AS skills_cleaned
+FROM (SELECT skill_id, count(*) AS n FROM v_adapters GROUP BY 1) WHERE n > 1""")
+def q_cleanup_total(t):
+    return AD.adapter_cleanup_total(V.adapters(t))
+
+
 @query("loss_curve", """
 WITH g AS (SELECT job_id, arg_min(loss, (step, "timestamp")) AS start_loss, arg_max(loss, (step, "timestamp")) AS current_loss,
   max(step) AS step, max(total_steps) AS total_steps, avg(step_time_seconds) AS a FROM v_steps GROUP BY 1)

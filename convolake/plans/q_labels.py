@@ -106,6 +106,17 @@ def q_route(t):
         .agg(F.count("*").alias("calls"))
 
 
+@query("choose_route_three", f"""
+WITH l AS (SELECT conv_id, turn, {query_label_sql('text')} FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN complexity = 'simple' THEN 'groq' WHEN complexity = 'complex' OR requires_reasoning THEN 'anthropic'
+  WHEN turn % 2 = 0 THEN 'groq' ELSE 'openai' END AS provider FROM l""")
+def q_route_three(t):
+    """Three providers: the branches of the latency flag differ."""
+    u = t.conversations.where(F.col("role") == "user").withColumn("latency_critical", F.col("turn") % 2 == 0)
+    lab = LB.label_query(u, "text", DRIVER_SIMPLE, DRIVER_QUESTION, DRIVER_REASONING)
+    return LB.choose_route(lab, ["groq", "anthropic", "openai"], "latency_critical").select("conv_id", "turn", "provider")
+
+
 def turn_end_sql(c: str) -> str:
     t = NORM.format(c=c)
     w = L.TURN_SCORE
@@ -216,7 +227,9 @@ def q_project_dialogue(t):
 SELECT doc_id,
   list_sort(list_distinct(regexp_extract_all(text, '0[5-9]\\d{4}[^0-9]', 0))) AS trade_codes,
   list_sort(list_distinct(regexp_extract_all(text, '[A-Z]-?\\d{3}', 0))) AS sheet_refs,
-  regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})[^\\n]*', 1) AS sections,
+  list_filter(list_transform(regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})[^\\n]*', 1),
+    lambda s, i: CASE WHEN list_position(regexp_extract_all(text, '(?i)SECTION\\s+(\\d{6})[^\\n]*', 1), s) = i THEN s END),
+    lambda s: s IS NOT NULL) AS sections,
   CASE WHEN strpos(lower(text), 'exclud') > 0 THEN list_filter(list_transform(
       string_split(split_part(lower(text), 'exclud', 2), chr(10)),
       lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)

@@ -105,6 +105,14 @@ def q_spec_notes(t):
     return TK.spec_notes(V.entities(t), V.units(t.spark))
 
 
+@query("spec_note_counts", """
+SELECT drawing, count(*) FILTER (WHERE type IN ('TEXT','MTEXT')) AS note_count, count(*) FILTER (WHERE type = 'DIMENSION') AS dimension_count,
+  count(*) FILTER (WHERE type = 'LEADER') AS leader_count
+FROM v_entities WHERE type IN ('TEXT', 'MTEXT', 'DIMENSION', 'LEADER') GROUP BY drawing""")
+def q_spec_note_counts(t):
+    return TK.spec_note_counts(V.entities(t), V.units(t.spark))
+
+
 @query("entity_full", f"""
 WITH {FEET}
 SELECT drawing, entity_id, type, layer, color,
@@ -149,6 +157,11 @@ def q_project_steps(t):
     return steps_df(t)
 
 
+@query("project_step_files", "WITH " + STEPS_SQL + f""" SELECT project_id, step, {STEP_NAMES_SQL}[step] AS step_name, name FROM cf""")
+def q_step_files(t):
+    return P.project_step_files(LB.classify_files(V.files(t)))
+
+
 @query("project_score", "WITH " + STEPS_SQL + f""",
 g AS (SELECT project_id, count(*) FILTER (WHERE step BETWEEN 1 AND 4 AND status = 'complete') AS critical_complete,
         count(*) FILTER (WHERE status = 'complete') AS completed_steps,
