@@ -41,7 +41,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.secret_report(docs, words=secret_scan.frequent_words(docs))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

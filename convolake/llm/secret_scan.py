@@ -9,7 +9,10 @@ repeats of one character or group, keyboard walks and brute-force characters;
 the cost of a segment is log10 of the guesses it takes.  The program runs over
 the positions of the value: best[j] is the least over the segments that end at
 j.  A value that costs at least ``min_log10_guesses`` is a secret; one built of
-words, dates and walks is not.  Values that a base span already holds add none.
+words, dates and walks is not.  Words are priced by their rank in a fixed list
+and in the corpus itself.  After a bare blank or "is", as in prose, plain words
+and addresses are no values, and others must cost ``PROSE_MARGIN`` more.  Values
+that a base span already holds add none.
 
 Offsets are code points, ends exclusive; a span is the whole match (``assign``:
 from the credential word to the end of the value; ``guess``: the value).
@@ -21,9 +24,10 @@ are found in linear time); repeated rows each get their result.
 
 from __future__ import annotations
 
+import collections
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,10 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 8.0
+#: what a value costs more before it counts as a secret after a bare blank or "is"
+PROSE_MARGIN = 2.0
+#: words of the corpus that are priced by their rank, and their lengths
+CORPUS_WORDS, WORD_LENGTHS = 50_000, (3, 24)
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -40,7 +48,9 @@ _VALUE = r"""(?:bearer\x20+|basic\x20+)?["']?([!-&(-~]{6,})"""
 #: what may follow the credential word in a name: SECRET_KEY, token2, secretKey, but not author
 _TAIL = r"s?(?-i:(?:[_-]|[0-9]|(?<=[a-z])[A-Z])[A-Za-z0-9_-]*)?(?![A-Za-z0-9_])"
 #: a match ends with the name, so that a credential word taken for a value is searched, too
-_CONTEXT = re.compile(rf"""{_WORD}(?:{_TAIL}(?=["']?(?:\x20*[:=]\x20*|\x20+is\x20+){_VALUE})|\b(?=["']?\x20+{_VALUE}))""", re.ASCII | re.IGNORECASE)
+_CONTEXT = re.compile(rf"""{_WORD}(?:{_TAIL}(?=["']?\x20*[:=]\x20*{_VALUE})|{_TAIL}(?=["']?\x20+is\x20+{_VALUE})|\b(?=["']?\x20+{_VALUE}))""", re.ASCII | re.IGNORECASE)
+#: after a bare blank or "is", as in prose: plain words, a web or mail address
+_PROSE = re.compile(r"""["'(]?(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:['/.,:;()&-]+(?:[A-Za-z]?[a-z]+|[A-Z]+))*|[A-Za-z]+://.*|[\w.+-]+@[\w-]+\..*""", re.ASCII)
 
 # Dictionary of frequent words, most frequent first; the rank is the guess count.
 WORDS = """password admin user login welcome secret token example changeme letmein master dragon monkey test guest root
@@ -50,7 +60,6 @@ old see two way who boy did its let put say she too use love hello sunshine prin
 spring autumn monday friday january march april june july august october december qwerty abc iloveyou shadow michael
 super batman trust hunter ranger harley pass word""".split()
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST_WORD = max(map(len, WORDS))
 _KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT_KEY = {(r[i], r[i + d]): d for r in _KEY_ROWS for d in (1, -1) for i in range(len(r)) if 0 <= i + d < len(r)}
 _NEXT_KEY.update({(chr(c), chr(c + d)): 2 * d for c in range(48, 123) for d in (1, -1)
@@ -74,8 +83,15 @@ def _char_cost(value: str) -> float:
     return _DIGIT if kinds[0] else _LOWER
 
 
-def guess_cost(value: str) -> float:
+def ranks_of(words: Iterable[str] = ()) -> dict[str, int]:
+    """Ranks of the fixed words and of ``words`` (most frequent first), the better of both."""
+    ranks = {w: i + 1 for i, w in reversed(list(enumerate(words)))}
+    return ranks | {w: min(r, ranks.get(w, r)) for w, r in _RANK.items()}
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``."""
+    ranks = _RANK if ranks is None else ranks
     n = len(value)
     if not n:
         return 0.0
@@ -84,10 +100,10 @@ def guess_cost(value: str) -> float:
     plain = low.translate(_LEET)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # per end: (start, cost)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + WORD_LENGTHS[0], min(n, i + WORD_LENGTHS[1]) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
-                varied = (low[i:j] not in _RANK) + (value[i:j] != low[i:j])
+                varied = (low[i:j] not in ranks) + (value[i:j] != low[i:j])
                 ends[j].append((i, math.log10(rank + 1) + 0.6 * varied))
     for m in _DATE.finditer(value):
         ends[m.end()].append((m.start(), math.log10(120 * (365 if m.end() - m.start() > 4 else 1))))
@@ -130,7 +146,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, base: list[tuple[int, int, int]], least: float, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     found = []
     done = 0  # end of the last secret
     for m in _CONTEXT.finditer(text):
@@ -138,7 +154,10 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], least: float) -> li
         if a < done:
             continue
         b = a + len(text[a:b].rstrip("\"'`,.;:!?)]}>"))
-        if b - a >= 6 and not any(s <= a and b <= e for s, _, e in base) and guess_cost(text[a:b]) >= least:
+        prose = m.lastindex > 1
+        if b - a < 6 or any(s <= a and b <= e for s, _, e in base) or prose and _PROSE.fullmatch(text, a, b):
+            continue
+        if guess_cost(text[a:b], ranks) >= least + PROSE_MARGIN * prose:
             found.append((a, 3, b))
             done = b
     return found
@@ -148,16 +167,48 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES) -> DataFrame:
+_OUTSIDE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS) -> list[str]:
+    """The ``size`` most frequent words (runs of ASCII letters, in lower case) of
+    the corpus, ties by word.  Counted over all texts; tasks hand on what they
+    have counted, and only the best ``size`` words reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        held: collections.Counter = collections.Counter()
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.update(w for w in text.as_py().translate(_OUTSIDE).split() if WORD_LENGTHS[0] <= len(w) <= WORD_LENGTHS[1])
+                if len(held) > 400_000:
+                    yield batch_of()
+                    held.clear()
+        yield batch_of()
+
+    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    counts = src.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES,
+                 words: Sequence[str] = ()) -> DataFrame:
     """Per row: counts of the base kinds, ``base_spans`` and ``spans`` (all)
-    as ``kind:start:end`` joined by commas, and ``n_guess``."""
+    as ``kind:start:end`` joined by commas, and ``n_guess``.  ``words`` are priced
+    by their rank beside the fixed ones (at most a few 10,000, see
+    ``frequent_words``)."""
+    words = list(words)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        ranks = ranks_of(words)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
-                added = guess_spans(text, base, min_log10_guesses)
+                added = guess_spans(text, base, min_log10_guesses, ranks)
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), _joined(base), _joined(sorted(base + added)), len(added)))
             cols = list(zip(*rows)) or [()] * 6
