@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convolake.llm.common import staged
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 8.0
 #: what a value costs more before it counts as a secret after a bare blank or "is"
@@ -171,9 +173,10 @@ _OUTSIDE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS) -> list[str]:
-    """The ``size`` most frequent words (runs of ASCII letters, in lower case) of
-    the corpus, ties by word.  Counted over all texts; tasks hand on what they
-    have counted, and only the best ``size`` words reach the driver."""
+    """The most frequent words (runs of ASCII letters, in lower case) of the
+    corpus, at most ``size``, ties by word; words of a level of frequency come
+    together or not at all.  Counted over all texts; tasks hand on what they
+    have counted, and only the words returned reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]):
         held: collections.Counter = collections.Counter()
@@ -191,7 +194,16 @@ def frequent_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_W
 
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     counts = src.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    level = F.floor(F.log2("n") * 64)  # 64 levels to a doubling, so few whatever the corpus
+    counts = staged(counts.withColumn("level", level), "secret-words")
+    least, held = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > size:
+            break
+        least = r.level
+    best = counts.where(F.col("level") >= least).select("word", "n").collect() if least is not None else []
+    return [r.word for r in sorted(best, key=lambda r: (-r.n, r.word))]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10_guesses: float = MIN_LOG10_GUESSES,
