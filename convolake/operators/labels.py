@@ -125,13 +125,13 @@ def error_classes(logs: DataFrame, patterns: DataFrame, id_col: str = "id", text
 # --- 97: references --------------------------------------------------------
 
 def extract_references(df: DataFrame, col: str = "text") -> DataFrame:
-    """Op 97: trade codes, sheet references, section numbers (distinct),
-    and the lines between the first and the second "exclud", all of them."""
+    """Op 97: distinct trade codes and sheet references, section numbers in the
+    order of the text (with repeats, as the platform gives them), and the lines between the first and the second "exclud", all of them."""
     t = F.col(col)
     trades = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"0[5-9]\d{4}[^0-9]"), 0)))
     sheets = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Z]-?\d{3}"), 0)))
     # a match runs to the end of its line, so one line yields at most one section
-    sections = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1))
+    sections = F.regexp_extract_all(t, F.lit(r"(?i)SECTION\s+(\d{6})[^\n]*"), 1)
     low = F.lower(t)
     after = F.split_part(low, F.lit("exclud"), F.lit(2))
     exc_lines = F.filter(F.transform(F.split(after, "\n"), strip),

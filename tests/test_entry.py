@@ -21,7 +21,7 @@ def test_some_queries_match_schema_on_smoke_data(spark):
 
 
 def test_every_registered_query_runs_on_smoke_data(spark):
-    """All 128 queries build and execute over the sf0.001 driver tables."""
+    """All queries build and execute over the sf0.001 driver tables."""
     failures = {}
     for name, build in E.queries().items():
         try:
