@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +25,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Spark removes the shuffle files of a finished write, as what it wrote is read from then on
+#: Spark removes the shuffle files of a finished action
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Actions inside leave no shuffle files: their result is all that is used from then on."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, so
     that a lost executor costs no recomputation of what stands before."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -283,6 +283,38 @@ def test_line_dedup_takes_short_lines_and_copies_of_three_quarters(spark):
     assert got == {1: (rows[0][1], 0), 2: ("\n \nkept", 2), 3: (far, 2)}
 
 
+def test_line_dedup_keeps_documents_of_one_id_apart_and_replaces_clashing_counts(spark):
+    rows = [(1, "one two three four", "a"), (2, "one two three four", "b"), (2, "a wholly different unique line", "c"), (2, "a wholly different unique line", "c"),
+            (None, "one two three four", "d"), (3, "", "e"), (4, None, "f"), (5, "one two three four\nwords " + "long " * 3 + "x" * 100_000, "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines string")
+    got = line_set_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    assert sorted((r.doc_id or 0, r.text or "", r.n_lines, r.n_removed) for r in got.collect()) == sorted(
+        [(1, rows[0][1], 1, 0), (2, "", 1, 1), (2, rows[2][1], 1, 0), (2, rows[2][1], 1, 0), (0, rows[4][1], 1, 0), (3, "", 1, 0), (4, "", 0, 0), (5, rows[7][1].split("\n")[1], 2, 1)])
+    assert line_set_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_line_dedup_of_groups_equals_brute_force(spark):
+    """Groups of near copies, settled lines as the only source of later ones, lengths from 1 to 60 tokens."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(90)}" for _ in range(rng.randint(1, 60))]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + len(w) // 5)):
+                k = rng.randrange(len(w))
+                w[k:k + 1] = rng.choice([[], ["the"], [f"v{rng.randrange(300)}"], [w[k], f"v{rng.randrange(300)}"]]) or [w[k]]
+            rows.append(" ".join(w))
+            base = w if rng.random() < 0.3 else base
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    for percent in (60, 75, 85):
+        got = line_set_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=percent)
+        want = _jaccard_lines(rows, percent, 1)
+        assert {r.doc_id: r.text for r in got.collect()} == want and 20 < sum(t == "" for t in want.values()) < 160
+
+
 def test_language_model_base_and_fold(docs):
     got = _by_id(log_bilinear.score(docs))
     tokens = {i: [*_words(t), "\n"] for i, t in _texts().items()}
