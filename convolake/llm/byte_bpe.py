@@ -34,7 +34,7 @@ from convolake.llm.common import text_bytes
 
 NO_RANK = np.int64(1) << 40
 #: pieces that a worker remembers before it starts afresh
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,11 +43,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class SegmentTreeBpe:
-    """Encoder and decoder for one rank file."""
+    """Encoder for one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
-        self.token_bytes = {i: t for t, i in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         keys, merged = [], []
         for token, rank in ranks.items():
@@ -162,10 +161,6 @@ class SegmentTreeBpe:
             shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
             yield self.flat[shift + np.arange(total)]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
-
-
 _ENCODERS: dict[tuple[str, str], SegmentTreeBpe] = {}
 
 
@@ -176,6 +171,16 @@ def encoder(path: str, pattern: str) -> SegmentTreeBpe:
     return _ENCODERS[path, pattern]
 
 
+_TOKENS: dict[str, dict[int, bytes]] = {}
+
+
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id, all that decoding needs; one table per worker process and file."""
+    if path not in _TOKENS:
+        _TOKENS[path] = {i: t for t, i in read_ranks(path).items()}
+    return _TOKENS[path]
+
+
 def in_slices(columns: list[list], weight: list[int], limit: int = 1_000_000) -> Iterator[slice]:
     """Slices of about ``limit`` bytes each, so that a batch of long texts is
     handled in bounded memory."""
@@ -209,15 +214,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     return out.select(F.col("id").alias(id_col), "n_tokens", "ids")
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """The bytes of each row of ``encode_documents``, beside its columns."""
 
     def run(batches):
-        bpe = encoder(path, pattern)
+        known = token_bytes(path)
         for batch in batches:
             ids = batch.column(2).to_pylist()
             for part in in_slices([], [len(x) for x in ids]):
-                texts = [bpe.decode(np.frombuffer(x, dtype="<u4")) for x in ids[part]]
+                texts = [b"".join(map(known.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in ids[part]]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], batch.column(2)[part],
                                                   pa.array(texts, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
 
@@ -229,6 +234,6 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, decodes the ids and returns digests of both."""
-    both = decode_documents(encode_documents(docs, path, pattern, id_col, text_col), path, pattern, id_col)
+    both = decode_documents(encode_documents(docs, path, pattern, id_col, text_col), path, id_col)
     return both.select(id_col, "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
