@@ -49,7 +49,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_documents(encoded, path, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode_documents(encoded, path)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
