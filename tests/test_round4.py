@@ -1,6 +1,7 @@
 """Memory and time of a task stay bounded while the tables grow."""
 
 import datetime as dt
+import os
 import random
 import tempfile
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from convolake.functions.ordering import fits_one_task, sort_tasks
 from convolake.functions.scan import Blocks
-from convolake.session import rocksdb_session
+from convolake.plans import catalog
+from convolake.session import ensure_checkpoint_dir, rocksdb_session
 from convolake.streaming import turns as ST
 
 
@@ -43,3 +45,26 @@ def test_checks_that_come_together_are_one_value_of_the_state(spark):
     batch = ST.health_batch(table)
     got = spark.read.schema(batch.schema).parquet(d + "/out").collect() + ST.pending_health(own, d + "/c").collect()
     assert sorted(map(str, got)) == sorted(map(str, batch.collect()))
+
+
+def test_a_bucket_is_written_by_every_task(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    texts.repartition(4).write.parquet(d + "/documents.parquet")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(256 << 20))  # a task per file
+    try:
+        known = {r.path for r in _written(spark)}
+        got = catalog.queries()["scan_documents"](spark, d).collect()
+        files = [r.path for r in _written(spark) if r.path not in known]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    want = {f"d{k}": sum(len(f"é{i}\n".encode()) for i in range(k, 60, 3)) for k in range(3)}
+    assert {r.bucket: r.length for r in got} == want and len(got) == 3
+    assert len(files) > 6
+
+
+def _written(spark):
+    folder = ensure_checkpoint_dir(spark).rstrip("/") + "/convolake-io"
+    os.makedirs(folder.removeprefix("file:"), exist_ok=True)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).select("path").collect()
