@@ -5,10 +5,12 @@ import os
 import random
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from convolake.functions.ordering import fits_one_task, sort_tasks
 from convolake.functions.scan import Blocks
+from convolake.operators import documents as DOC
 from convolake.plans import catalog
 from convolake.session import ensure_checkpoint_dir, rocksdb_session
 from convolake.streaming import turns as ST
@@ -68,3 +70,34 @@ def _written(spark):
     folder = ensure_checkpoint_dir(spark).rstrip("/") + "/convolake-io"
     os.makedirs(folder.removeprefix("file:"), exist_ok=True)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).select("path").collect()
+
+
+def test_files_are_decoded_by_slices(monkeypatch):
+    monkeypatch.setattr(DOC, "SLICE_BYTES", 100)
+    none = [None] * 50
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b"a,b\n1,%d\n" % k if k % 2 else None for k in range(50)], pa.binary()), pa.array(["csv" if k % 2 else "html" for k in range(50)]),
+         pa.array([f"/f{k}" for k in range(50)]), pa.array(["" if k % 2 else f"<title>t{k}</title><b>{k}" for k in range(50)]),
+         pa.array([1] * 50, pa.int32()), pa.array([[]] * 50, pa.list_(pa.string())), pa.array(none, pa.map_(pa.string(), pa.string())),
+         pa.array(none, pa.string()), pa.array(none, pa.string())],
+        ["content", "handler", "path", "text", "pages", "errors", "metadata", "source_type", "file_type"])
+    parts = list(DOC._finish(iter([batch])))
+    assert len(parts) > 4 and max(p.num_rows for p in parts) < 20
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["path"] for r in rows] == [f"/f{k}" for k in range(50)]
+    assert rows[3]["text"] == "a: 1 | b: 3" and rows[4]["text"] == "t4**4" and rows[4]["metadata"] == [("title", "t4")]
+
+
+def test_one_python_step_decodes(spark):
+    files = spark.createDataFrame([("/a.html", b"<p>x"), ("/b.csv", b"a\n1\n")], "path string, content binary")
+    plan = DOC.extract_text(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+
+
+def test_parsed_files_are_written_once(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    texts = spark.range(36).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    texts.write.parquet(d + "/documents.parquet")
+    plan = catalog.queries()["ingest_summary"](spark, d)
+    assert plan.first().files_total == 36
+    assert any("convolake-parsed" in f for f in plan.inputFiles())
