@@ -101,3 +101,25 @@ def test_parsed_files_are_written_once(spark):
     plan = catalog.queries()["ingest_summary"](spark, d)
     assert plan.first().files_total == 36
     assert any("convolake-parsed" in f for f in plan.inputFiles())
+
+
+def test_parsing_hands_python_few_rows_at_once(spark, monkeypatch):
+    """Before, a Python worker held 10,000 whole files at once."""
+    d = tempfile.mkdtemp(dir="/tmp")
+    texts = spark.range(0, 1800, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    texts.write.parquet(d + "/documents.parquet")
+    whole = DOC._finish
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                assert batch.num_rows <= 500, f"{batch.num_rows} files at once"
+                yield batch
+
+        return whole(each())
+
+    monkeypatch.setattr(DOC, "_finish", counted)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    assert catalog.queries()["ingest_summary"](spark, d).first().files_total == 1800
+    assert spark.conf.get(rows) == before
