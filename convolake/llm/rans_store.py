@@ -24,6 +24,8 @@ a block of its own.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -39,17 +41,31 @@ BLOCK_IDS = 1 << 17
 LANES = 2048
 CACHE_WORDS = 200_000
 LIBRARY_CALL = 4096  # words handed to the library at once
+JOINED = 256  # of them, as one text
+MARK = "\x01"  # stands between them; its id comes from no text without it
+#: a pre-tokenizer that parts letters from punctuation, so that a mark behind a letter or digit and before a blank is a word by itself
+PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LAST_MARK = re.compile(r"(?<=[A-Za-z0-9])[.,;:!?](?=[ \n]|\Z)")
 
 
 class WordCachedTokenizer:
     """ids of whole texts from the tokenizers library, which sees each
-    distinct run of non-blank characters once.  Only for vocabularies whose
-    tokens never span a blank (the pre-tokenizer drops them)."""
+    distinct run of non-blank characters once, many of them in one text.  Only
+    for vocabularies whose tokens never span a blank (the pre-tokenizer drops
+    them).  Where it also parts letters from punctuation, a mark at a word's
+    end is a word of its own, so that fewer words are new."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        settings = json.loads(self.library.to_str())
+        steps = settings["pre_tokenizer"] or {}
+        first = (steps.get("pretokenizers") or [steps])[0]
+        self.parting = first.get("type") == "Split" and first["pattern"] == {"Regex": PARTING} and first["behavior"] == "Removed" and first["invert"]
+        self.parting = self.parting and not any(set(x["content"]) & {*".,;:!?", MARK} for x in settings["added_tokens"])
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if self.parting and len(mark) == 1 else None
         self._forget()
 
     def _forget(self, least_uses: int = 1 << 40) -> None:
@@ -66,11 +82,25 @@ class WordCachedTokenizer:
         self.start, self.size, self.uses = np.cumsum(size) - size, size, np.zeros(len(old), dtype=np.int32)
         self.known = {words[i]: k for k, i in enumerate(old.tolist())}
 
-    def _add(self, words: list[str], found: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    def _library(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in some order, the number of ids of each, and all ids."""
+        alone = [w for w in words if self.mark is None or MARK in w]
+        joined = [w for w in words if MARK not in w] if alone else words
+        joined = [] if self.mark is None else joined
+        texts = [f" {MARK} ".join([*joined[k:k + JOINED], ""]) for k in range(0, len(joined), JOINED)]  # a mark behind every word
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array([i for x in found for i in x], dtype=np.uint32)
+        ends = np.flatnonzero(ids == self.mark) if joined else np.empty(0, dtype=np.int64)
+        if len(ends) != len(joined):
+            raise ValueError("the tokenizer merges words over blanks")
+        own = [e.ids for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
+        sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.array([len(x) for x in own], dtype=np.int64)])
+        return [*joined, *alone], sizes, np.concatenate([np.delete(ids, ends), np.array([i for x in own for i in x], dtype=np.uint32)])
+
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], dtype=np.uint32)])
+        self.flat = np.concatenate([self.flat, ids])
         self.size = np.concatenate([self.size, sizes])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int32)])
 
@@ -79,13 +109,14 @@ class WordCachedTokenizer:
         if len(self.known) > CACHE_WORDS:
             self._forget(least_uses=3)
         if "\n" not in self.known:  # stands for the end of a text
-            self._add(["\n"], [[end_id]])
+            self._add(["\n"], np.ones(1, dtype=np.int64), np.array([end_id], dtype=np.uint32))
+        if self.parting:
+            texts = [_LAST_MARK.sub(r" \g<0>", t) for t in texts]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         unseen = list({w for words in split for w in words}.difference(self.known))
         if unseen:
             for k in range(0, len(unseen), LIBRARY_CALL):
-                part = unseen[k:k + LIBRARY_CALL]
-                self._add(part, [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)])
+                self._add(*self._library(unseen[k:k + LIBRARY_CALL]))
         at = np.concatenate([np.fromiter(map(self.known.__getitem__, [*words, "\n"]), dtype=np.int64, count=len(words) + 1) for words in split])
         self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         size = self.size[at]

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from convolake.llm import chat_format, conversation_repair, queries, source_divergence, turn_order  # noqa: E402
+from convolake.llm import chat_format, conversation_repair, queries, rans_store, source_divergence, turn_order  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -292,3 +292,30 @@ def test_ranges_keep_the_order(spark):
     table = spark.createDataFrame(rows, SCHEMA)
     order = [(r.conv_id, r.turn) for r in turn_order.in_ranges(table.fillna("", ["role", "text"]), 8).collect()]
     assert order == sorted(order, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0))
+
+
+def test_new_words_go_to_the_library_joined():
+    """Many words a call, marks behind words by themselves, and the ids of the library for whole texts."""
+    import random
+
+    rng = random.Random(5)
+    pieces = ["a", "B", "is", "é", "é", "́", " ", " ", "\n", "\t", ".", ",", "!", "...", "'s", "'", "12", "\x01", "\x00", "中", "<|endoftext|>", "_", "ᄀ", "ᅡ", ";", "\x0b", " "]
+    texts = ["", "One, two.", *("".join(rng.choice(pieces) for _ in range(rng.randrange(16))) for _ in range(1500)), "end.\n\nnew (end.) a.b ab"]
+    coder = rans_store.WordCachedTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    whole = [[*e.ids, 2] for e in coder.library.encode_batch_fast(texts, add_special_tokens=False)]
+    calls = []
+
+    class Counting:
+        def encode_batch_fast(self, part, **options):
+            calls.append(len(part))
+            return library.encode_batch_fast(part, **options)
+
+    library, coder.library = coder.library, Counting()
+    ids, sizes = coder.encode(texts, 2)
+    ends = sizes.cumsum()
+    assert [ids[b - n:b].tolist() for b, n in zip(ends.tolist(), sizes.tolist())] == whole
+    with_mark = {w for t in texts for w in t.replace("\n", " ").split(" ") if "\x01" in w}
+    assert sum(calls) < len(with_mark) + 20
+    calls.clear()
+    coder.encode(["One. two,"], 2)
+    assert not calls and "two" in coder.known and "two." not in coder.known
