@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from convolake.llm.common import text_bytes
 
 NO_RANK = np.int64(1) << 40
-#: pieces that a worker remembers before it starts afresh
+#: pieces that a worker remembers before it forgets the rare ones
 CACHE_PIECES = 100_000
 
 
@@ -68,15 +69,14 @@ class SegmentTreeBpe:
         return np.where((right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], NO_RANK)
 
     # -- many pieces of one size class ---------------------------------------
-    def _encode_rows(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
-        """Ids of each piece; ``width`` is a power of two, at least their length."""
-        n, levels = len(pieces), width.bit_length() - 1
-        lengths = np.array([len(p) for p in pieces])
-        raw = np.zeros((n, width), dtype=np.uint8)
-        for r, p in enumerate(pieces):
-            raw[r, :len(p)] = np.frombuffer(p, dtype=np.uint8)
+    def _encode_rows(self, data: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces whose bytes stand one after the other in
+        ``data``, and the ids of each; ``width`` is a power of two, at least
+        their length."""
+        n, levels = len(lengths), width.bit_length() - 1
         pos = np.arange(width)
-        token = np.where(pos < lengths[:, None], self.byte_ids[raw], -1)
+        token = np.full((n, width), -1, dtype=np.int64)
+        token[pos < lengths[:, None]] = self.byte_ids[data]
         following = np.where(pos + 1 < lengths[:, None], pos + 1, width)
         before = np.broadcast_to(pos - 1, (n, width)).copy()
         # leaves hold rank * width + position, so the minimum is leftmost too
@@ -115,51 +115,79 @@ class SegmentTreeBpe:
             update(rows, p, self._rank(token[rows, p], new[has]) * width + p)
             live = live[tree[live, 1] < NO_RANK * width]
         kept = token >= 0
-        return np.split(token[kept].astype(np.uint32), np.cumsum(kept.sum(axis=1))[:-1])
+        return token[kept].astype(np.uint32), kept.sum(axis=1)
+
+    def _encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the pieces in the order in which they are encoded, the
+        number of ids of each, and all ids."""
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        width = np.array([max(2, 1 << (k - 1).bit_length()) if k else 2 for k in range(int(lengths.max(initial=0)) + 1)])[lengths]
+        order = np.argsort(width, kind="stable")
+        sizes, ids = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint32)]
+        edges = np.flatnonzero(np.diff(width[order], prepend=-1, append=-1)) if len(pieces) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            w = int(width[order[a]])
+            step = max(1, 1 << 17 >> w.bit_length() - 2)  # bounds the array of trees
+            for k in range(a, b, step):
+                part = order[k:min(k + step, b)]
+                data = np.frombuffer(b"".join([pieces[i] for i in part.tolist()]), dtype=np.uint8)
+                found, n = self._encode_rows(data, lengths[part], w)
+                ids.append(found)
+                sizes.append(n)
+        return order, np.concatenate(sizes), np.concatenate(ids)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+        order, sizes, ids = self._encode_many(pieces)
         out: list[np.ndarray] = [None] * len(pieces)
-        classes: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            classes.setdefault(max(2, 1 << (len(p) - 1).bit_length()) if p else 2, []).append(i)
-        for width, members in classes.items():
-            step = max(1, 1 << 17 >> width.bit_length() - 2)  # bounds the array of trees
-            for k in range(0, len(members), step):
-                part = members[k:k + step]
-                for i, ids in zip(part, self._encode_rows([pieces[j] for j in part], width)):
-                    out[i] = ids
+        ends = np.cumsum(sizes)
+        for i, a, b in zip(order.tolist(), (ends - sizes).tolist(), ends.tolist()):
+            out[i] = ids[a:b]
         return out
 
     # -- texts ----------------------------------------------------------------
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.start = np.empty(0, dtype=np.int64)
-        self.size = np.empty(0, dtype=np.int64)
+    def _forget(self, least_uses: int = 1 << 40) -> None:
+        """Keeps only the pieces that were used at least so often since then."""
+        old = np.flatnonzero(self.uses >= least_uses) if hasattr(self, "uses") else np.empty(0, dtype=np.int64)
+        if not len(old) or len(old) > CACHE_PIECES // 2:
+            self.known: dict[str, int] = {}
+            self.flat = np.empty(0, dtype=np.uint32)
+            self.start, self.size, self.uses = (np.empty(0, dtype=np.int64) for _ in range(3))
+            return
+        pieces, size = list(self.known), self.size[old]
+        self.flat = self.flat[_places(self.start[old], size)]
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, np.zeros(len(old), dtype=np.int64)
+        self.known = {pieces[i]: k for k, i in enumerate(old.tolist())}
 
     def _learn(self, unseen: list[str]) -> None:
-        ids = self.encode_pieces([p.encode() for p in unseen])
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.known.update(zip(unseen, range(len(self.size), len(self.size) + len(unseen))))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.start = np.concatenate([self.start, starts])
+        order, sizes, ids = self._encode_many([p.encode() for p in unseen])
+        self.known.update(zip([unseen[i] for i in order.tolist()], range(len(self.size), len(self.size) + len(unseen))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, ids])
         self.size = np.concatenate([self.size, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(unseen), dtype=np.int64)])
 
     def encode_texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order."""
         split = [self.pattern.findall(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self._forget()
-        unseen = list({p for pieces in split for p in pieces}.difference(self.known))
+            self._forget(least_uses=2)
+        unseen = list(set(chain.from_iterable(split)).difference(self.known))
         if unseen:
             self._learn(unseen)
-        for pieces in split:
-            at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-            size = self.size[at]
-            total = int(size.sum())
-            shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-            yield self.flat[shift + np.arange(total)]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        size = self.size[at]
+        ids, upto = self.flat[_places(self.start[at], size)], np.concatenate([[0], np.cumsum(size)])
+        end = np.cumsum([0, *map(len, split)])
+        for a, b in zip(upto[end[:-1]].tolist(), upto[end[1:]].tolist()):
+            yield ids[a:b]
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Every place of the runs of ``size`` places from ``start``."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
+
 
 _ENCODERS: dict[tuple[str, str], SegmentTreeBpe] = {}
 

@@ -8,13 +8,14 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from convolake.llm import chat_format, conversation_repair, queries, rans_store, source_divergence, turn_order  # noqa: E402
+from convolake.llm import byte_bpe, chat_format, conversation_repair, queries, rans_store, source_divergence, turn_order  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -319,3 +320,17 @@ def test_new_words_go_to_the_library_joined():
     calls.clear()
     coder.encode(["One. two,"], 2)
     assert not calls and "two" in coder.known and "two." not in coder.known
+
+
+def test_frequent_pieces_stay_known(monkeypatch):
+    """A full cache of pieces loses the rare ones only."""
+    coder = byte_bpe.SegmentTreeBpe(byte_bpe.read_ranks(VOCABULARY[0]), VOCABULARY[1])
+    texts = ["the old house", "", " the house é中", "zzxqy the house", "five rare words come once"]
+    first = [x.tolist() for x in coder.encode_texts(texts)]
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 8)
+    learnt = []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    assert [x.tolist() for x in coder.encode_texts(texts)] == first
+    assert learnt and " house" not in learnt
+    assert [x.tolist() for x in coder.encode_pieces([b" house", b"", b"the"])] == [coder.encode_pieces([p])[0].tolist() for p in (b" house", b"", b"the")]
