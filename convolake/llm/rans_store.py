@@ -25,27 +25,38 @@ a block of its own.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.llm.common import scratch_path, shuffle_partitions, staged
+from convolake.session import small_batches
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 17
 LANES = 2048
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+SLICE_CHARS = 1_000_000  # tokenized at once
 LIBRARY_CALL = 4096  # words handed to the library at once
 JOINED = 256  # of them, as one text
 MARK = "\x01"  # stands between them; its id comes from no text without it
 #: a pre-tokenizer that parts letters from punctuation, so that a mark behind a letter or digit and before a blank is a word by itself
 PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LAST_MARK = re.compile(r"(?<=[A-Za-z0-9])[.,;:!?](?=[ \n]|\Z)")
+#: such a mark (RE2, which has no lookaround; the blank behind it can't belong to a second match)
+LAST_MARK = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?])( |\z)"
+
+#: a normalizer that only lowers texts of printable ASCII and the letters of Latin-1 (no combining marks, no other blanks)
+LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BEYOND_LATIN_1 = r"[^ -~À-ÖØ-öø-ÿ]"
+SMALL_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 class WordCachedTokenizer:
@@ -56,6 +67,7 @@ class WordCachedTokenizer:
     end is a word of its own, so that fewer words are new."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker on every core; threads of their own only cost each worker memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -64,6 +76,16 @@ class WordCachedTokenizer:
         first = (steps.get("pretokenizers") or [steps])[0]
         self.parting = first.get("type") == "Split" and first["pattern"] == {"Regex": PARTING} and first["behavior"] == "Removed" and first["invert"]
         self.parting = self.parting and not any(set(x["content"]) & {*".,;:!?", MARK} for x in settings["added_tokens"])
+        self.letters = None
+        if self.parting and settings["normalizer"] == LOWERING and settings["model"].get("end_of_word_suffix"):
+            # a word of small letters is one piece that the normalizer leaves as it is: the same model without these steps
+            own = settings["pre_tokenizer"] | {"pretokenizers": [{"type": "WhitespaceSplit"}, *steps["pretokenizers"][1:]]}
+            self.letters = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "pre_tokenizer": own}))
+            # texts that may not be lowered first: an added token is found in the text as it came, in its own case only
+            self.as_it_is = "|".join([BEYOND_LATIN_1, *(f"(?i:{re.escape(x['content'])})" for x in settings["added_tokens"])])
+            suffix, vocabulary = settings["model"]["end_of_word_suffix"], self.library.get_vocab()
+            self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+            self.closing[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if self.parting and len(mark) == 1 else None
         self._forget()
@@ -84,18 +106,25 @@ class WordCachedTokenizer:
 
     def _library(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The words in some order, the number of ids of each, and all ids."""
-        alone = [w for w in words if self.mark is None or MARK in w]
-        joined = [w for w in words if MARK not in w] if alone else words
+        small = [w for w in words if SMALL_LETTERS(w)] if self.letters else []
+        others = [w for w in words if not SMALL_LETTERS(w)] if self.letters else words
+        alone = [w for w in others if self.mark is None or MARK in w]
+        joined = [w for w in others if MARK not in w] if alone else others
         joined = [] if self.mark is None else joined
-        texts = [f" {MARK} ".join([*joined[k:k + JOINED], ""]) for k in range(0, len(joined), JOINED)]  # a mark behind every word
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array([i for x in found for i in x], dtype=np.uint32)
+        plain = self._ids([" ".join(small[k:k + JOINED]) for k in range(0, len(small), JOINED)], self.letters)
+        last = np.flatnonzero(self.closing[plain]) if small else np.empty(0, dtype=np.int64)
+        ids = self._ids([f" {MARK} ".join([*joined[k:k + JOINED], ""]) for k in range(0, len(joined), JOINED)], self.library)  # a mark behind every word
         ends = np.flatnonzero(ids == self.mark) if joined else np.empty(0, dtype=np.int64)
-        if len(ends) != len(joined):
+        if len(ends) != len(joined) or len(last) != len(small):
             raise ValueError("the tokenizer merges words over blanks")
         own = [e.ids for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
-        sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.array([len(x) for x in own], dtype=np.int64)])
-        return [*joined, *alone], sizes, np.concatenate([np.delete(ids, ends), np.array([i for x in own for i in x], dtype=np.uint32)])
+        sizes = np.concatenate([np.diff(last, prepend=-1), np.diff(ends, prepend=-1) - 1, np.array([len(x) for x in own], dtype=np.int64)])
+        return [*small, *joined, *alone], sizes, np.concatenate([plain, np.delete(ids, ends), np.array([i for x in own for i in x], dtype=np.uint32)])
+
+    @staticmethod
+    def _ids(texts: list[str], library) -> np.ndarray:
+        found = library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return np.fromiter(chain.from_iterable(e.ids for e in found), dtype=np.uint32)
 
     def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
@@ -104,26 +133,35 @@ class WordCachedTokenizer:
         self.size = np.concatenate([self.size, sizes])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int32)])
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by ``end_id``, and the sizes."""
         if len(self.known) > CACHE_WORDS:
-            self._forget(least_uses=3)
+            self._forget(least_uses=2)
         if "\n" not in self.known:  # stands for the end of a text
             self._add(["\n"], np.ones(1, dtype=np.int64), np.array([end_id], dtype=np.uint32))
+        lines = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
         if self.parting:
-            texts = [_LAST_MARK.sub(r" \g<0>", t) for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        unseen = list({w for words in split for w in words}.difference(self.known))
-        if unseen:
-            for k in range(0, len(unseen), LIBRARY_CALL):
-                self._add(*self._library(unseen[k:k + LIBRARY_CALL]))
-        at = np.concatenate([np.fromiter(map(self.known.__getitem__, [*words, "\n"]), dtype=np.int64, count=len(words) + 1) for words in split])
+            lines = pc.replace_substring_regex(lines, LAST_MARK, r"\1 \2\3")
+        if self.letters:  # lower case may come before the rest where it and the other steps of the normalizer don't meet
+            lines = pc.if_else(pc.match_substring_regex(lines, self.as_it_is), lines, pc.utf8_lower(lines))
+        split = pc.split_pattern(lines, " ")
+        words = split.flatten().dictionary_encode()  # a word is looked up once a call
+        found = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unseen = [w for w in found if w not in self.known]
+        for k in range(0, len(unseen), LIBRARY_CALL):
+            self._add(*self._library(unseen[k:k + LIBRARY_CALL]))
+        place = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts + 1)
+        at = np.full(int(ends[-1]) if len(ends) else 0, self.known["\n"], dtype=np.int64)
+        inner = np.ones(len(at), dtype=bool)
+        inner[ends - 1] = False
+        at[inner] = place[words.indices.to_numpy(zero_copy_only=False)]
         self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         size = self.size[at]
-        ids = self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        ends = np.cumsum([len(words) + 1 for words in split])
-        upto = np.cumsum(size)[ends - 1]
-        return ids, np.diff(upto, prepend=0)
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - (upto - size), size) + np.arange(int(size.sum()))]
+        return ids, np.diff(upto[ends - 1], prepend=0)
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
@@ -216,22 +254,24 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: s
 
         held = 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, chars = batch.column(0).to_pylist(), np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False))
             begin = 0
-            while begin < len(texts):
-                end, chars = begin, 0
-                while end < len(texts) and chars < 300_000:  # about one block
-                    chars += len(texts[end])
-                    end += 1
-                found, n = coder.encode(texts[begin:end], end_id)
-                doc_ids += names[begin:end]
-                sizes.append(n)
-                ids.append(found)
-                held += len(found)
+            while begin < len(names):
+                end = int(np.searchsorted(chars, (chars[begin - 1] if begin else 0) + SLICE_CHARS)) + 1
+                found, n = coder.encode(batch.column(1)[begin:end], end_id)
+                upto, a = np.cumsum(n), 0
+                while a < len(n):  # whole documents, until the block is full
+                    before = int(upto[a - 1]) if a else 0
+                    b = min(int(np.searchsorted(upto, before + block_ids - held)) + 1, len(n))
+                    doc_ids += names[begin + a:begin + b]
+                    sizes.append(n[a:b])
+                    ids.append(found[before:int(upto[b - 1])])
+                    held += int(upto[b - 1]) - before
+                    a = b
+                    if held >= block_ids:
+                        yield row()
+                        doc_ids, sizes, ids, held, first = [], [], [], 0, first + held
                 begin = end
-                if held >= block_ids:
-                    yield row()
-                    doc_ids, sizes, ids, held, first = [], [], [], 0, first + held
         if doc_ids:
             yield row()
 
@@ -261,7 +301,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Writes ``folder/blocks`` and ``folder/symbols``."""
     spark = docs.sparkSession
     width = "<u2" if vocab_size <= 1 << 16 else "<u4"
-    raw = staged(_tokenized(docs, tokenizer_path, end_id, id_col, text_col, block_ids, width), "token-ids")
+    with small_batches(spark):
+        raw = staged(_tokenized(docs, tokenizer_path, end_id, id_col, text_col, block_ids, width), "token-ids")
     found = _counts(raw, width).collect()  # bounded by the vocabulary
     counts = np.zeros(max([vocab_size, *(r.symbol + 1 for r in found)]), dtype=np.int64)
     for r in found:

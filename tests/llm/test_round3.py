@@ -334,3 +334,37 @@ def test_frequent_pieces_stay_known(monkeypatch):
     assert [x.tolist() for x in coder.encode_texts(texts)] == first
     assert learnt and " house" not in learnt
     assert [x.tolist() for x in coder.encode_pieces([b" house", b"", b"the"])] == [coder.encode_pieces([p])[0].tolist() for p in (b" house", b"", b"the")]
+
+
+def test_texts_are_tokenized_in_large_slices_and_cut_into_full_blocks(spark, tmp_path, monkeypatch):
+    """Python is handed few rows at once, words are looked up once a call, and a block ends with the document that fills it."""
+    rows = [(i, f"Réparé, one two word{i % 7}. é.\nnew" * (i % 5)) for i in range(700)] + [(None, None), (3, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rans_store.write_token_files(docs, str(tmp_path), path, 2, block_ids=500)
+    blocks = spark.read.parquet(f"{tmp_path}/blocks").collect()
+    for b in blocks:
+        sizes = np.frombuffer(b.doc_sizes, dtype="<i8")
+        assert b.n_ids == sizes.sum() and b.n_ids - sizes[-1] < 500
+    library = rans_store.WordCachedTokenizer(path).library
+    want = sorted((i is not None, i or 0, t or "", [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
+    got = rans_store.read_token_files(spark, str(tmp_path)).orderBy("start").collect()
+    assert [(r.doc_id, np.frombuffer(r.ids, dtype="<u4").tolist()) for r in got] == [(i if known else None, ids) for known, i, _, ids in want]
+    coder = rans_store.WordCachedTokenizer(path)
+    coder.encode(["Réparé. one"], 2)
+    assert "réparé" in coder.known and not {"Réparé", "réparé."} & set(coder.known)
+
+
+def test_plain_texts_are_lowered_before_words_are_looked_up():
+    """The ids stay those of the library, also beside added tokens, combining marks and letters beyond Latin-1."""
+    rng = random.Random(8)
+    pieces = [*map(chr, range(0x20, 0x7F)), *"ÀÉÖ×ØÞßàéö÷øÿªºµ¿", *"  \n\n..,!?", "the", "House", "<|endoftext|>", "<|EndOfText|>", "'S", "'s"]
+    beyond = ["\u0331", "\u030a", "ẞ", "İ", "Σ", "\u00a0", "\t", "—", "K"]
+    texts = ["".join(rng.choice(pieces if k % 3 else pieces + beyond) for _ in range(rng.randrange(30))) for k in range(3000)] + ["H\u0331 the", "ΟΔΟΣ."]
+    coder = rans_store.WordCachedTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    ids, sizes = coder.encode(texts, 2)
+    ends = sizes.cumsum()
+    whole = coder.library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids[b - n:b].tolist() for b, n in zip(ends.tolist(), sizes.tolist())] == [[*e.ids, 2] for e in whole]
+    assert "house" in coder.known
+    assert coder.encode([], 2)[0].tolist() == []
