@@ -12,10 +12,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from convolake.llm import byte_bpe, chat_format, conversation_repair, queries, rans_store, source_divergence, turn_order  # noqa: E402
+from convolake.llm import byte_bpe, chat_format, conversation_repair, line_set_dedup, queries, rans_store, source_divergence, turn_order  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -368,3 +369,33 @@ def test_plain_texts_are_lowered_before_words_are_looked_up():
     assert [ids[b - n:b].tolist() for b, n in zip(ends.tolist(), sizes.tolist())] == [[*e.ids, 2] for e in whole]
     assert "house" in coder.known
     assert coder.encode([], 2)[0].tolist() == []
+
+
+def test_unrelated_long_lines_are_told_apart_before_their_texts_move(spark, monkeypatch):
+    """64 parities can't tell lines of 150 tokens; such pairs moved both texts."""
+    words = lambda seed, n: [hashlib.md5(f"{seed}-{k}".encode()).hexdigest()[:6] for k in range(n)]
+    rows = [(d, " ".join(words("shared", 30) + words(d, 120))) for d in range(30)]
+    rows.append((30, " ".join(words("shared", 30) + words(7, 120)[:110] + words("new", 10))))  # 140 of 160 as in 7
+    rows.append((31, " ".join(words("shared", 30) + words(8, 120)[:90] + words("other", 30))))  # 120 of 180 as in 8
+    moved, staged = [], line_set_dedup.staged
+
+    def counted(df, name, *rest):
+        out = staged(df, name, *rest)
+        if name == "close-pairs":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_set_dedup, "staged", counted)
+    got = line_set_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got if r.n_removed) == [30]
+    assert moved and sum(moved) <= 4
+
+
+def test_wide_parities_count_at_most_the_unequal_tokens(spark):
+    sets = [[hash((k, x)) for x in range(n)] + list(range(m)) for k, (n, m) in enumerate([(0, 1), (3, 5), (40, 90), (300, 20), (0, 20), (1, 21)])]
+    df = spark.createDataFrame(list(enumerate(sets)), "i int, h array<bigint>").select("i", "h", line_set_dedup._parities(F.col("h")).alias("wide"))
+    old = df.select(*(F.col(c).alias(f"old_{c}") for c in df.columns))
+    for r in old.crossJoin(df).withColumn("bits", line_set_dedup._unequal_bits()).collect():
+        unequal = len(set(r.old_h) ^ set(r.h))
+        assert r.bits <= unequal and r.bits % 2 == unequal % 2
+        assert r.bits or not unequal or unequal % 2 == 0
