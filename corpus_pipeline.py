@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.llm import bbit_minhash, byte_bpe, line_set_dedup, preference_quality, suffix_decontamination
-from convolake.llm.common import staged, table
+from convolake.llm.common import discard, staged, table
+from convolake.session import small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +40,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bbit_minhash.keep_first(docs)
+    with small_batches(spark):
+        return bbit_minhash.keep_first(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return suffix_decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_documents(encoded, path)
-    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    # written in between: a task that encodes and decodes at once holds two Python workers, which outlive the stage
+    with small_batches(spark):
+        encoded = staged(byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN), "pipeline-ids")
+        decoded = byte_bpe.decode_documents(encoded, path)
+        out = staged(decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")), "pipeline-tokens")
+    discard(encoded)
+    return out
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("tokens", tokens)]
