@@ -424,3 +424,11 @@ def test_minhash_members_around_a_large_group(spark):
                 low, high = sorted((want[a], want[b]))
                 want = [low if w == high else w for w in want]
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 1
+
+
+def test_pipeline_tokens_encode_and_decode_in_tasks_of_their_own(spark):
+    """Two Python steps in one task held twice the workers, which outlived the stage."""
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
+    out = corpus_pipeline.tokens(spark, docs, SF)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert {r.doc_id: r.decoded_sha256 for r in out.collect()} == {i: hashlib.sha256(t).hexdigest() for i, t in ((1, b"some words"), (2, b""))}
