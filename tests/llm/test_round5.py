@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from convolake.llm import line_set_dedup
 from convolake.llm import preference_quality as PQ
 
 
@@ -54,3 +55,23 @@ def test_fit_of_equal_scores(spark):
     model = PQ.fit_pairs(spark.createDataFrame([(k % 2, x) for k in range(10)], "label int, x binary"))
     assert model.threshold == 0 and model.score(np.ones((1, PQ.N_FEATURES))).tolist() == [0.5]
     assert PQ.fit_pairs(spark.createDataFrame([(1, x)], "label int, x binary")) is None
+
+
+def test_unrelated_long_lines_are_told_apart_where_their_postings_meet(spark, monkeypatch):
+    """Before, all pairs of long lines with a rare token in common were written."""
+    rng = np.random.default_rng(5)
+    lines = [[f"p{min(a, b)}-{max(a, b)}" for b in range(30) if b != a] + [f"w{x}" for x in rng.choice(600, 120, replace=False)] for a in range(30)]
+    lines.append([*lines[7][:140], *(f"new{x}" for x in range(10))])
+    rows = [(k, " ".join(x)) for k, x in enumerate(lines)]
+    met, staged = [], line_set_dedup.staged
+
+    def counted(df, name, *rest):
+        out = staged(df, name, *rest)
+        if name in ("line-pairs", "close-pairs"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_set_dedup, "staged", counted)
+    got = line_set_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r.doc_id for r in got if r.n_removed] == [30]
+    assert max(met) <= 2
